@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from textloom.llm import quality
+from textloom.llm import quality, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.SQL,
