@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from textloom.llm import quality, simhash
+from textloom.llm import decontam, quality, simhash, substring
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_substring_dedup": substring.op3_substring_dedup,
+    "op4_decontamination": decontam.op4_decontamination,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.SQL,
+    "op3_substring_dedup": substring.SQL,
+    "op4_decontamination": decontam.SQL,
 }
