@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontam, quality, simhash, substring
+from textloom.llm import decontam, quality, simhash, substring, token_counts, url_rules
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_decontamination": decontam.op4_decontamination,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op8_url_filters": url_rules.op8_url_filters,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.SQL,
     "op3_substring_dedup": substring.SQL,
     "op4_decontamination": decontam.SQL,
+    "op8_url_filters": url_rules.SQL,
 }
