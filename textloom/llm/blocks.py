@@ -8,10 +8,16 @@ in Python.
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import uuid
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -40,22 +46,69 @@ LOWER[0x41:0x5B] += 32
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of the Arrow batches that later plans of this session use."""
+    """Bounds the rows of the Arrow batches that later plans of this session use,
+    and lets its Python workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    ship(spark)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder that
-    spark.checkpoint.dir names; only where that is unset (a local run), in a
-    temporary folder."""
-    sc = df.sparkSession.sparkContext
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a session, unless the workers'
+    path has it."""
+    package = Path(__file__).resolve().parents[1]
+    known = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or package.parent in known or package.parent == Path.cwd():
+        return
+    folder = tempfile.mkdtemp(prefix="package-")  # the driver serves it from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = Path(folder, f"{package.name}.zip")
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(made))
+    _SHIPPED.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where that is unset (a
+    local run), a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-")
-        )
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table in the shared folder that cuts the lineage; columnar and compressed,
+    since it holds texts. Removed when the session's program ends."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        try:
+            jvm = spark._jvm
+            if jvm is not None and spark.sparkContext._jsc is not None:
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone already
+            pass
+
+    atexit.register(drop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about `most` bytes, one row at least."""
     if not batch.num_rows:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontam, quality, simhash, substring, token_counts, url_rules
+from textloom.llm import decontam, lm, packing, quality, simhash, substring, token_counts, url_rules
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_decontamination": decontam.op4_decontamination,
+    "op5_lm_scoring": lm.op5_lm_scoring,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_url_filters": url_rules.op8_url_filters,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.SQL,

@@ -20,9 +20,7 @@ result; rows without an id are handled like others.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,27 +89,6 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A table in the shared folder that cuts the lineage; columnar and compressed,
-    since it holds texts. Removed when the session's program ends."""
-    spark = df.sparkSession
-    blocks.cut(spark.range(0))  # names the shared folder where none is set
-    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-
-    def drop() -> None:
-        try:
-            jvm = spark._jvm
-            if jvm is not None and spark.sparkContext._jsc is not None:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session is gone already
-            pass
-
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _parse(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """(parsed, hits). parsed: the rows with their text compressed and the blocks
     whose anchor recurs. hits: by row key, the first window of each block with a
@@ -160,7 +137,7 @@ def _parse(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
                     [part.column(f.name) for f in rest] + [_signed(total), pa.array(z, pa.binary()), by_row], schema.names
                 )
 
-    parsed = _stored(docs.join(wanted, _KEY, "left").mapInArrow(detail, schema))
+    parsed = blocks.stored(docs.join(wanted, _KEY, "left").mapInArrow(detail, schema))
     runs = parsed.select(_KEY, _SUM, F.explode(_RUNS).alias("r")).select(_KEY, _SUM, "r.*")
     whole = blocks.cut(runs.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.first("windows").alias("windows")))
     # anchors with a block that occurs once, next to other blocks
