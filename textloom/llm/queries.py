@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontam, lm, packing, quality, simhash, substring, token_counts, url_rules
+from textloom.llm import decontam, language, lm, packing, quality, sharding, simhash, substring, token_counts, url_rules
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_decontamination": decontam.op4_decontamination,
     "op5_lm_scoring": lm.op5_lm_scoring,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_sharding": sharding.op7_sharding,
     "op8_url_filters": url_rules.op8_url_filters,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_language_id": language.op10_language_id,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.SQL,
