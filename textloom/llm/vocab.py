@@ -8,6 +8,8 @@ after another, and each distinct pre-token of a step needs one call only.
 
 from __future__ import annotations
 
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,18 +37,66 @@ def load(path: str):
     return t
 
 
-def encoded(distinct: pa.Array, path: str, most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of distinct pre-tokens one after another, and their offsets."""
-    t = load(path)
-    ids: list[int] = []
-    sizes = np.zeros(len(distinct) + 1, np.int64)
-    for lo in range(0, len(distinct), most):
-        words = [w.decode() for w in distinct.slice(lo, most).to_pylist()]
-        got = [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
-        sizes[lo + 1 : lo + 1 + len(got)] = [len(g) for g in got]
-        for g in got:
-            ids += g
-    return np.array(ids, np.uint32), np.cumsum(sizes)
+#: Words that need no Unicode tables: printable ASCII and Latin-1 letters, without
+#: the characters that contractions and special strings begin with.
+_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]*")
+#: The vocabulary's pre-tokens of such words, in lower case.
+_PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Byte-level BPE writes a byte as a printable character: itself, or one from 256 on.
+_SHOWN = {b: chr(b) for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
+_SHOWN |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Words, and pre-tokens, that a worker remembers from step to step.
+REMEMBERED = 500_000
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+class Encoder:
+    """Ids of blank-separated words, packed as 32-bit integers. Plain words are
+    split into the vocabulary's own pre-tokens, each given to the model once;
+    others go through the library's whole pipeline."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load(path)
+        self.model = self.tokenizer.model
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(_SHOWN.__getitem__, piece.encode()))
+        ids = _packed([t.id for t in self.model.tokenize(shown)])
+        if len(self.pieces) < REMEMBERED:
+            self.pieces[piece] = ids
+        return ids
+
+    def word(self, word: bytes) -> bytes:
+        text, known = word.decode(), self.pieces
+        if _PLAIN.fullmatch(text):
+            ids = b"".join([known.get(p) or self.piece(p) for p in _PIECE.findall(text.lower())])
+        else:
+            ids = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(self.words) < REMEMBERED:
+            self.words[word] = ids
+        return ids
+
+    def all(self, words: list[bytes]) -> list[bytes]:
+        known = self.words
+        return [known.get(w) or self.word(w) for w in words]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def encoded(distinct: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct words one after another, and their offsets."""
+    packed = encoder(path).all(distinct.to_pylist())
+    sizes = np.zeros(len(packed) + 1, np.int64)
+    sizes[1:] = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    return np.frombuffer(b"".join(packed), np.uint32), np.cumsum(sizes)
 
 
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
