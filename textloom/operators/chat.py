@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.functions.schemas import FEW_ROLE_ALIASES, MESSAGES, OUTPUT_ROLES, ROLE_ALIASES, ROLES, STATE
 
-_NONE = F.array
-
 
 def message(role: Column, content: Column) -> Column:
     return F.struct(role.alias("role"), content.alias("content"))
@@ -132,6 +130,10 @@ def default_state() -> Column:
     return F.struct(*(F.struct(*(F.lit(v).alias(f) for f, v in fields.items())).alias(s) for s, fields in STATE.items()))
 
 
+def _prefixed(prefix: str, names: Column) -> Column:
+    return F.transform(F.sort_array(names), lambda n: F.concat(F.lit(prefix), n))
+
+
 def state_problems(state_json: Column) -> Column:
     """What is wrong with a state given as JSON; an empty array for a valid one.
     Booleans and strings are no numbers."""
@@ -141,8 +143,8 @@ def state_problems(state_json: Column) -> Column:
     names = F.map_keys(F.coalesce(top, F.create_map().cast("map<string,string>")))
     expected = F.array(*map(F.lit, STATE))
     found = [
-        F.transform(F.sort_array(F.array_except(expected, names)), lambda s: F.concat(F.lit("missing section "), s)),
-        F.transform(F.sort_array(F.array_except(names, expected)), lambda s: F.concat(F.lit("unexpected section "), s)),
+        _prefixed("missing section ", F.array_except(expected, names)),
+        _prefixed("unexpected section ", F.array_except(names, expected)),
     ]
     for section, fields in STATE.items():
         inner = F.from_json(top[section], "map<string,string>")
@@ -159,8 +161,8 @@ def state_problems(state_json: Column) -> Column:
             for f in fields
         ]
         found.append(F.when(there, F.concat(
-            F.transform(F.sort_array(F.array_except(expected, keys)), lambda f, s=section: F.concat(F.lit(f"missing field {s}."), f)),
-            F.transform(F.sort_array(F.array_except(keys, expected)), lambda f, s=section: F.concat(F.lit(f"unexpected field {s}."), f)),
+            _prefixed(f"missing field {section}.", F.array_except(expected, keys)),
+            _prefixed(f"unexpected field {section}.", F.array_except(keys, expected)),
             F.filter(F.array(*values), lambda v: v.isNotNull()),
         )).otherwise(F.array().cast("array<string>")))
     return F.coalesce(*out, F.concat(*found))

@@ -20,7 +20,8 @@ def document_block(text: Column | str) -> Column:
 def write_documents(docs: DataFrame, path: str, order: str, text: str = "text") -> None:
     """Ordered text files: each file holds a range of the order, named by range."""
     ranged = docs.repartitionByRange(order).sortWithinPartitions(order)
-    ranged.select(document_block(text).alias("value")).write.option("lineSep", "").text(path)
+    block = F.regexp_replace(document_block(text), r"\n\z", "")  # the writer adds the last newline
+    ranged.select(block.alias("value")).write.text(path)
 
 
 def write_jsonl(records: DataFrame, path: str, *columns: str) -> None:
