@@ -92,45 +92,49 @@ def test_base_scores(spark, rows):
 
 
 def ctw_log10(train, text):
-    """Recursive context-tree weighting over (bit position, bits so far)."""
-    counts = [Counter() for _ in range(4)]
-    context = lambda data, i: tuple(int((lm.NEAR, lm.FAR, lm.FAR)[k][data[i - 1 - k]]) if i > k else 0 for k in range(3))
-    children = defaultdict(set)
+    """Recursive context-tree weighting, a decision (tree, node) at a time."""
+    counts, children = Counter(), defaultdict(set)
 
     def events(t):
         data = plain.lower(t).encode() + bytes([lm.END])
         for i, b in enumerate(data):
-            c = context(data, i)
+            before = [data[i - 1 - k] if i > k else None for k in range(4)]
+            coarse = [0 if x is None else int(lm.COARSE[x]) for x in before]
+            c = int(lm.COARSE[b])
+            for k in range(5):
+                yield tuple(coarse), ("class", 1 << k | c >> (5 - k)), c >> (4 - k) & 1
+            fine = 0 if before[0] is None else int(lm.FINE[before[0]])
             for k in range(8):
-                yield c, (1 << k | b >> (8 - k)), b >> (7 - k) & 1
+                alike = [x for x in range(256) if lm.MEMBERS[c][x] and x >> (8 - k) == b >> (8 - k)]
+                if len({x >> (7 - k) & 1 for x in alike}) > 1:
+                    yield (fine, coarse[1]), (c, 1 << k | b >> (8 - k)), b >> (7 - k) & 1
 
     for t in train:
         for c, node, bit in events(t):
-            for d in range(4):
-                counts[d][c[:d], node, bit] += 1
+            for d in range(len(c) + 1):
+                counts[c[:d], node, bit] += 1
                 if d:
                     children[c[: d - 1], node].add(c[:d])
 
     memo = {}
 
-    def weighted(c, node):
+    def weighted(c, node, depth):
         if (c, node) not in memo:
-            d = len(c)
-            e = plain.kt(counts[d][c, node, 0], counts[d][c, node, 1])
-            if d < 3:
-                w = sum(weighted(x, node) for x in children[c, node])
+            e = plain.kt(counts[c, node, 0], counts[c, node, 1])
+            if len(c) < depth:
+                w = sum(weighted(x, node, depth) for x in children[c, node])
                 e = math.log(0.5) + max(e, w) + math.log1p(math.exp(-abs(e - w)))
             memo[c, node] = e
         return memo[c, node]
 
     def p_one(c, node, d=0):
-        n0, n1 = counts[d][c[:d], node, 0], counts[d][c[:d], node, 1]
+        n0, n1 = counts[c[:d], node, 0], counts[c[:d], node, 1]
         if n0 + n1 == 0:
             return 0.5
         own = (n1 + 0.5) / (n0 + n1 + 1)
-        if d == 3:
+        if d == len(c):
             return own
-        share = math.exp(math.log(0.5) + plain.kt(n0, n1) - weighted(c[:d], node))
+        share = math.exp(math.log(0.5) + plain.kt(n0, n1) - weighted(c[:d], node, len(c)))
         return share * own + (1 - share) * p_one(c, node, d + 1)
 
     return sum(math.log10(p if bit else 1 - p) for c, node, bit in events(text) for p in [p_one(c, node)])
@@ -149,7 +153,7 @@ def test_context_tree_weighting(spark):
 def test_a_model_without_training_texts(spark):
     only = next(i for i in range(100) if plain.held_out(i))
     r = score(spark, [(only, "abc")]).first()
-    assert math.isclose(r.score, 4 * 8 * math.log10(0.5), rel_tol=1e-5)
+    assert math.isclose(r.score, 4 * 5 * math.log10(0.5), rel_tol=1e-5)  # three letters and the end
     assert (r.n_known, r.train_tokens) == (0, 0)
     assert score(spark, [(only, "abc")]).limit(0).count() == 0
 
