@@ -9,7 +9,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,14 +35,27 @@ def char_vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
     return [*PRINTABLE, *sorted(set(extra) - set(PRINTABLE)), UNK, EOS]
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once however often f refers to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def char_ids(text: Column | str, vocabulary: Sequence[str]) -> Column:
     """Ids of a text's characters, the unknown id for others, the end id for each
-    end marker."""
-    ids = F.create_map(*(x for i, t in enumerate(vocabulary) for x in (F.lit(t), F.lit(i))))
-    unk, end = vocabulary.index(UNK), vocabulary.index(EOS)
-    parts = F.transform(X.eos_parts(text), lambda p: F.transform(X.characters(p), lambda c: F.coalesce(F.try_element_at(ids, c), F.lit(unk))))
-    closed = F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.array(F.lit(end)), p)).otherwise(p))
-    return F.flatten(closed)
+    end marker. ASCII characters index a table; others look up a map."""
+    place = {t: i for i, t in enumerate(vocabulary)}
+    unk, end = place[UNK], place[EOS]
+    table = F.array(*(F.lit(place.get(chr(i), unk)) for i in range(128)))
+    extra = [(t, i) for t, i in place.items() if len(t) == 1 and ord(t) >= 128]
+
+    def one(c: Column) -> Column:
+        rare = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in extra for x in kv)), c), F.lit(unk)) if extra else F.lit(unk)
+        return F.when(F.ascii(c) < 128, F.get(table, F.ascii(c))).otherwise(rare)
+
+    ids = lambda p: F.transform(X.characters(p), one)
+    whole = F.col(text) if isinstance(text, str) else text
+    closed = F.flatten(F.transform(X.eos_parts(whole), lambda p, i: F.when(i > 0, F.concat(F.array(F.lit(end)), ids(p))).otherwise(ids(p))))
+    return F.when(F.contains(whole, F.lit(EOS)), closed).otherwise(ids(whole))
 
 
 def decode(tokens: Column, vocabulary: Sequence[str]) -> Column:
@@ -191,15 +204,16 @@ def shifted(window: str) -> tuple[Column, Column]:
     return F.slice(window, 1, n), F.slice(window, 2, n)
 
 
-def sample_parts(messages: Column, ids) -> Column:
+def sample_parts(messages: Column, ids: Callable[[Column], Column]) -> Column:
     """(role, ids, header) of each message: its tokens (header, content, newline and,
     for outputs, the end) and how many of them the header has. ids encodes a text."""
-    end = ids(F.lit(EOS))
-    return F.transform(messages, lambda m: F.struct(
-        m["role"].alias("role"),
-        F.concat(ids(F.concat(F.lit("<|"), m["role"], F.lit("|>\n"))), ids(m["content"]), ids(F.lit("\n")), F.when(m["role"].isin(*OUTPUT_ROLES), end).otherwise(F.array().cast("array<int>"))).alias("ids"),
-        F.size(ids(F.concat(F.lit("<|"), m["role"], F.lit("|>\n")))).alias("header"),
-    ))
+    def one(m: Column) -> Column:
+        tail = F.when(m["role"].isin(*OUTPUT_ROLES), F.lit(f"\n{EOS}")).otherwise(F.lit("\n"))
+        head = ids(F.concat(F.lit("<|"), m["role"], F.lit("|>\n")))
+        # contents are encoded by themselves, so that no piece crosses their ends
+        return bound(head, lambda h: F.struct(m["role"].alias("role"), F.concat(h, ids(m["content"]), ids(tail)).alias("ids"), F.size(h).alias("header")))
+
+    return F.transform(messages, one)
 
 
 def fit_parts(parts: Column, length: int) -> Column:
@@ -207,26 +221,38 @@ def fit_parts(parts: Column, length: int) -> Column:
     turns from the last user turn on, if all don't fit length + 1 tokens;
     skipped_system or skipped_overlength if that doesn't fit either."""
     size = lambda p: F.aggregate(p, F.lit(0), lambda a, m: a + F.size(m["ids"]))
-    n = F.size(parts)
-    other = F.array_position(F.transform(parts, lambda m: m["role"] != "system"), True)
-    lead = F.when(other > 0, other - 1).otherwise(n).cast("int")
-    system = F.slice(parts, 1, lead)
-    users = F.transform(parts, lambda m, i: (m["role"] == "user") & (i >= lead) & (i < n - 1))
-    last = (n - F.array_position(F.reverse(users), True) + 1).cast("int")  # one-based
-    short = F.concat(system, F.slice(parts, F.when(F.exists(users, lambda u: u), last).otherwise(n + 1), n))
-    outcome = (
-        F.when(size(parts) <= length + 1, "kept").when(size(system) > length + 1, "skipped_system")
-        .when(~F.exists(users, lambda u: u), "skipped_overlength").when(size(short) > length + 1, "skipped_overlength").otherwise("compacted")
-    )
-    return F.struct(outcome.alias("outcome"), F.when(outcome == "kept", parts).when(outcome == "compacted", short).alias("parts"))
+
+    def fit(p: Column) -> Column:
+        n = F.size(p)
+        other = F.array_position(F.transform(p, lambda m: m["role"] != "system"), True)
+        lead = F.when(other > 0, other - 1).otherwise(n).cast("int")
+
+        def choose(lead: Column) -> Column:
+            users = F.transform(p, lambda m, i: (m["role"] == "user") & (i >= lead) & (i < n - 1))
+            some = F.exists(users, lambda u: u)
+            last = (n - F.array_position(F.reverse(users), True) + 1).cast("int")  # one-based
+            short = F.concat(F.slice(p, 1, lead), F.slice(p, F.when(some, last).otherwise(n + 1), n))
+            outcome = (
+                F.when(size(p) <= length + 1, "kept").when(size(F.slice(p, 1, lead)) > length + 1, "skipped_system")
+                .when(~some, "skipped_overlength").when(size(short) > length + 1, "skipped_overlength").otherwise("compacted")
+            )
+            return bound(outcome, lambda o: F.struct(o.alias("outcome"), F.when(o == "kept", p).when(o == "compacted", short).alias("parts")))
+
+        return bound(lead, choose)
+
+    return bound(parts, fit)
 
 
 def supervised(parts: Column, length: int, pad: int) -> Column:
     """(input_ids, labels), each of `length`: padded, shifted, -100 where nothing is
     trained; outputs' contents, newlines and ends are trained, headers are not."""
-    ids = F.flatten(F.transform(parts, lambda m: m["ids"]))
-    train = F.flatten(F.transform(parts, lambda m: F.transform(m["ids"], lambda t, i: m["role"].isin(*OUTPUT_ROLES) & (i >= m["header"]))))
-    room = F.greatest(F.lit(length + 1) - F.size(ids), F.lit(0))
-    ids, train = F.concat(ids, F.array_repeat(F.lit(pad), room)), F.concat(train, F.array_repeat(F.lit(False), room))
-    labels = F.zip_with(F.slice(ids, 2, length), F.slice(train, 2, length), lambda t, on: F.when(on, t).otherwise(-100))
-    return F.struct(F.slice(ids, 1, length).alias("input_ids"), labels.alias("labels"))
+    token = F.transform(parts, lambda m: bound(m["role"].isin(*OUTPUT_ROLES), lambda out: F.transform(m["ids"], lambda t, i: F.struct(t.alias("t"), (out & (i >= m["header"])).alias("on")))))
+    filler = F.struct(F.lit(pad).alias("t"), F.lit(False).alias("on"))
+
+    def made(a: Column) -> Column:
+        full = F.concat(a, F.array_repeat(filler, F.greatest(F.lit(length + 1) - F.size(a), F.lit(0))))
+        ids = F.transform(F.slice(full, 1, length), lambda x: x["t"])
+        labels = F.transform(F.slice(full, 2, length), lambda x: F.when(x["on"], x["t"]).otherwise(-100))
+        return F.struct(ids.alias("input_ids"), labels.alias("labels"))
+
+    return bound(F.flatten(token), made)
