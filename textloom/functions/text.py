@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 EOS = "<EOS>"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once however often f refers to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without leading and trailing Unicode white space."""
     return F.regexp_replace(c, _EDGES, "")

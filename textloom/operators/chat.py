@@ -42,8 +42,12 @@ def group_turns(turns: DataFrame, key: str, order: str, role: str = "role", text
 
 def drop_head(messages: Column, role: str) -> Column:
     """From the first message of a role on; none without one."""
-    at = F.array_position(F.transform(messages, lambda m: m["role"]), role)
-    return F.when(at > 0, F.slice(messages, at.cast("int"), F.size(messages))).otherwise(no_messages())
+
+    def cut(ms: Column) -> Column:
+        at = F.array_position(F.transform(ms, lambda m: m["role"]), role)
+        return F.when(at > 0, F.slice(ms, F.greatest(at, F.lit(1)).cast("int"), F.size(ms))).otherwise(no_messages())
+
+    return X.let(messages, cut)
 
 
 def drop_tail(messages: Column, role: str = "assistant") -> Column:
@@ -53,10 +57,13 @@ def drop_tail(messages: Column, role: str = "assistant") -> Column:
 
 def alternates(messages: Column) -> Column:
     """No two neighbours share a role."""
-    roles = F.transform(messages, lambda m: m["role"])
-    n = F.size(messages)
-    same = F.zip_with(F.slice(roles, 1, F.greatest(n - 1, F.lit(0))), F.slice(roles, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a == b)
-    return F.when(n < 2, F.lit(True)).otherwise(~F.exists(same, lambda s: s))
+
+    def differ(roles: Column) -> Column:
+        n = F.greatest(F.size(roles) - 1, F.lit(0))
+        same = F.zip_with(F.slice(roles, 1, n), F.slice(roles, 2, n), lambda a, b: a == b)
+        return F.when(F.size(roles) < 2, F.lit(True)).otherwise(~F.exists(same, lambda s: s))
+
+    return X.let(F.transform(messages, lambda m: m["role"]), differ)
 
 
 def valid(messages: Column) -> Column:
@@ -80,8 +87,7 @@ def normalize(messages: Column) -> Column:
     after the assistant. Null if fewer than two are left or they don't alternate."""
     known = F.transform(messages, lambda m: message(alias_role(F.lower(X.strip(m["role"])), ROLE_ALIASES), X.collapse(m["content"])))
     kept = F.filter(known, lambda m: F.coalesce(m["role"].isin("user", "assistant"), F.lit(False)) & (m["content"] != ""))
-    kept = drop_tail(drop_head(kept, "user"))
-    return F.when((F.size(kept) >= 2) & alternates(kept), kept)
+    return X.let(drop_tail(drop_head(kept, "user")), lambda k: F.when((F.size(k) >= 2) & alternates(k), k))
 
 
 def normalize_keep_system(messages: Column) -> Column:
@@ -89,18 +95,21 @@ def normalize_keep_system(messages: Column) -> Column:
     alternation. Null without a user and an assistant turn."""
     known = F.transform(messages, lambda m: message(alias_role(F.lower(m["role"]), FEW_ROLE_ALIASES), X.strip(m["content"])))
     kept = F.filter(known, lambda m: F.coalesce(m["role"].isin("system", "user", "assistant"), F.lit(False)) & (F.coalesce(m["content"], F.lit("")) != ""))
-    kept = drop_tail(kept)
-    return F.when(F.exists(kept, lambda m: m["role"] == "user") & F.exists(kept, lambda m: m["role"] == "assistant"), kept)
+    has = lambda k, role: F.exists(k, lambda m: m["role"] == role)
+    return X.let(drop_tail(kept), lambda k: F.when(has(k, "user") & has(k, "assistant"), k))
 
 
 def two_speakers(turns: Column, speaker: str = "speaker", text: str = "text") -> Column:
     """The first speaker as user, the second as assistant. Null if a turn is blank
     or there aren't exactly two; an unanswered tail goes."""
-    clean = F.transform(turns, lambda t: message(X.collapse(t[speaker]), X.collapse(t[text])))
-    bad = F.exists(clean, lambda m: (m["role"] == "") | (m["content"] == ""))
-    names = F.array_distinct(F.transform(clean, lambda m: m["role"]))
-    named = F.transform(clean, lambda m: message(F.when(m["role"] == F.element_at(names, 1), "user").otherwise("assistant"), m["content"]))
-    return F.when(~bad & (F.size(names) == 2), drop_tail(named))
+
+    def named(clean: Column) -> Column:
+        bad = F.exists(clean, lambda m: (m["role"] == "") | (m["content"] == ""))
+        role = lambda names, m: F.when(m["role"] == F.element_at(names, 1), "user").otherwise("assistant")
+        turn = lambda names: F.when(~bad & (F.size(names) == 2), drop_tail(F.transform(clean, lambda m: message(role(names, m), m["content"]))))
+        return X.let(F.array_distinct(F.transform(clean, lambda m: m["role"])), turn)
+
+    return X.let(F.transform(turns, lambda t: message(X.collapse(t[speaker]), X.collapse(t[text]))), named)
 
 
 def canonical(messages: Column) -> Column:

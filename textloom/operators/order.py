@@ -14,16 +14,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that a table is dealt into at most.
+RANGES = 256
+
+
 def running_total(
     df: DataFrame, value: Column | str, order: str, name: str, strata: Sequence[str] = (), rows_per_range: int = 500_000
 ) -> DataFrame:
     """df with `name`, the sum of `value` over the rows before each row in the order
     of the numeric column `order` (within strata), which must have no ties."""
     value = F.col(value) if isinstance(value, str) else value
-    ranges = max(1, df.count() // rows_per_range + 1)
-    bounds = df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.001) if ranges > 1 else []
+    # one pass for the number of rows and for as many bounds as a range each may need
+    seen = df.agg(F.count("*").alias("n"), F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000).alias("bounds")).first()
+    every = max(1, RANGES * rows_per_range // max(1, seen["n"]))
     part = F.lit(0)
-    for b in sorted(set(bounds)):
+    for b in sorted(set((seen["bounds"] or [])[every - 1 :: every])):
         part = part + (F.col(order) > F.lit(b)).cast("int")
     df = df.withColumn("part__", part).withColumn("value__", value)
     keys = [*strata, "part__"]

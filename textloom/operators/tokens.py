@@ -35,11 +35,6 @@ def char_vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
     return [*PRINTABLE, *sorted(set(extra) - set(PRINTABLE)), UNK, EOS]
 
 
-def bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with value computed once however often f refers to it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def char_ids(text: Column | str, vocabulary: Sequence[str]) -> Column:
     """Ids of a text's characters, the unknown id for others, the end id for each
     end marker. ASCII characters index a table; others look up a map."""
@@ -211,7 +206,7 @@ def sample_parts(messages: Column, ids: Callable[[Column], Column]) -> Column:
         tail = F.when(m["role"].isin(*OUTPUT_ROLES), F.lit(f"\n{EOS}")).otherwise(F.lit("\n"))
         head = ids(F.concat(F.lit("<|"), m["role"], F.lit("|>\n")))
         # contents are encoded by themselves, so that no piece crosses their ends
-        return bound(head, lambda h: F.struct(m["role"].alias("role"), F.concat(h, ids(m["content"]), ids(tail)).alias("ids"), F.size(h).alias("header")))
+        return X.let(head, lambda h: F.struct(m["role"].alias("role"), F.concat(h, ids(m["content"]), ids(tail)).alias("ids"), F.size(h).alias("header")))
 
     return F.transform(messages, one)
 
@@ -236,17 +231,17 @@ def fit_parts(parts: Column, length: int) -> Column:
                 F.when(size(p) <= length + 1, "kept").when(size(F.slice(p, 1, lead)) > length + 1, "skipped_system")
                 .when(~some, "skipped_overlength").when(size(short) > length + 1, "skipped_overlength").otherwise("compacted")
             )
-            return bound(outcome, lambda o: F.struct(o.alias("outcome"), F.when(o == "kept", p).when(o == "compacted", short).alias("parts")))
+            return X.let(outcome, lambda o: F.struct(o.alias("outcome"), F.when(o == "kept", p).when(o == "compacted", short).alias("parts")))
 
-        return bound(lead, choose)
+        return X.let(lead, choose)
 
-    return bound(parts, fit)
+    return X.let(parts, fit)
 
 
 def supervised(parts: Column, length: int, pad: int) -> Column:
     """(input_ids, labels), each of `length`: padded, shifted, -100 where nothing is
     trained; outputs' contents, newlines and ends are trained, headers are not."""
-    token = F.transform(parts, lambda m: bound(m["role"].isin(*OUTPUT_ROLES), lambda out: F.transform(m["ids"], lambda t, i: F.struct(t.alias("t"), (out & (i >= m["header"])).alias("on")))))
+    token = F.transform(parts, lambda m: X.let(m["role"].isin(*OUTPUT_ROLES), lambda out: F.transform(m["ids"], lambda t, i: F.struct(t.alias("t"), (out & (i >= m["header"])).alias("on")))))
     filler = F.struct(F.lit(pad).alias("t"), F.lit(False).alias("on"))
 
     def made(a: Column) -> Column:
@@ -255,4 +250,4 @@ def supervised(parts: Column, length: int, pad: int) -> Column:
         labels = F.transform(F.slice(full, 2, length), lambda x: F.when(x["on"], x["t"]).otherwise(-100))
         return F.struct(ids.alias("input_ids"), labels.alias("labels"))
 
-    return bound(F.flatten(token), made)
+    return X.let(F.flatten(token), made)
