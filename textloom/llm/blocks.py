@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step handles; longer texts are a step of their own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Rows that Spark hands to Python at once; bounds a worker's memory.
 BATCH_ROWS = 1024
 

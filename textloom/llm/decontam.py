@@ -218,50 +218,44 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     shared = indexes(docs, benchmark, text, item, item_text, block_words)
     carried = T.StructType(rest + T.StructType.fromDDL("hits__ array<int>, items__ array<string>").fields)
 
-    def step(block):
+    def step(block, last: bool):
+        """Adds one block's finds to what the rows carry; the last step closes."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, by_prefix = block.value
             for batch in batches:
                 for part in blocks.steps(batch, text):
                     w = blocks.words(part.column(text), blocks.ALNUM, lower=True)
-                    window, place = _occurrences(w, index, by_prefix)
-                    hit = np.zeros(len(w.starts) + 1, np.int64)
-                    np.add.at(hit, place, 1)
-                    np.add.at(hit, place + index.lengths[window], -1)
-                    hits: list = [[] for _ in range(part.num_rows)]
-                    items: list = [[] for _ in range(part.num_rows)]
-                    at = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
-                    for own in np.split(at, np.flatnonzero(np.diff(w.row[at])) + 1) if len(at) else []:
-                        r = int(w.row[own[0]])
-                        hits[r] = (own - w.ends[r]).tolist()
-                    pairs = np.unique(w.row[place] * len(index.items) + index.owner[window])
-                    for p in pairs.tolist():
-                        items[p // len(index.items)].append(index.items[p % len(index.items)])
-                    before = part.column("hits__").to_pylist(), part.column("items__").to_pylist()
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(f.name) for f in rest]
-                        + [pa.array([a + b for a, b in zip(before[0], hits)], pa.list_(pa.int32())), pa.array([a + b for a, b in zip(before[1], items)], pa.list_(pa.string()))],
-                        carried.names,
-                    )
+                    hits, items = part.column("hits__").to_pylist(), part.column("items__").to_pylist()
+                    if block is not None:
+                        index, by_prefix = block.value
+                        window, place = _occurrences(w, index, by_prefix)
+                        hit = np.zeros(len(w.starts) + 1, np.int64)
+                        np.add.at(hit, place, 1)
+                        np.add.at(hit, place + index.lengths[window], -1)
+                        at = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
+                        for own in np.split(at, np.flatnonzero(np.diff(w.row[at])) + 1) if len(at) else []:
+                            r = int(w.row[own[0]])
+                            hits[r] = hits[r] + (own - w.ends[r]).tolist()
+                        pairs = np.unique(w.row[place] * len(index.items) + index.owner[window])
+                        for p in pairs.tolist():
+                            items[p // len(index.items)].append(index.items[p % len(index.items)])
+                    if last:
+                        n_hit = [len(set(h)) for h in hits]
+                        made = [pa.array(w.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(set(i)) for i in items], pa.list_(pa.string())), pa.array([n > 0 for n in n_hit], pa.bool_())]
+                    else:
+                        made = [pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                    names = (closed if last else carried).names
+                    yield pa.RecordBatch.from_arrays([part.column(f.name) for f in rest] + made, names)
 
         return run
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks.steps(batch, text):
-                w = blocks.words(part.column(text), blocks.ALNUM, lower=True)
-                n_hit = [len(set(h)) for h in part.column("hits__").to_pylist()]
-                items = [sorted(set(i)) for i in part.column("items__").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(f.name) for f in rest]
-                    + [pa.array(w.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([n > 0 for n in n_hit], pa.bool_())],
-                    [f.name for f in rest] + added.names,
-                )
-
+    closed = T.StructType(rest + added.fields)
     out = docs.withColumns({"hits__": F.array().cast("array<int>"), "items__": F.array().cast("array<string>")})
-    for block in shared:
-        out = out.mapInArrow(step(block), carried)
-    return out.mapInArrow(close, T.StructType(rest + added.fields))
+    chain = shared or [None]
+    for i, block in enumerate(chain):
+        last = i == len(chain) - 1
+        out = out.mapInArrow(step(block, last), closed if last else carried)
+    return out
 
 
 def digest(found: DataFrame) -> DataFrame:

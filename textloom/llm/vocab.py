@@ -46,7 +46,7 @@ _PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _SHOWN = {b: chr(b) for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
 _SHOWN |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Words, and pre-tokens, that a worker remembers from step to step.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def _packed(ids: list[int]) -> bytes:
