@@ -175,3 +175,16 @@ def test_null_ids_and_clashing_columns(spark):
     assert [r.n_removed for r in substring.substring_dedup(df.select("doc_id", "text", "kept"), counts=True).orderBy("kept").collect()] == [80, 80, 0]
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontam.contaminate(df, bench).count() == 3
+
+
+def test_samples_are_about_as_large_as_asked(spark, docs):
+    assert blocks.about(docs, 10_000).count() == docs.count()
+    many = spark.range(20_000).withColumn("text", F.lit("a copy"))
+    assert 800 < blocks.about(many, 1000).count() < 1200
+    assert blocks.about(many.limit(0), 5).count() == 0
+
+
+def test_different_texts_without_ids_stay(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(80)) for k in "ab")
+    df = spark.createDataFrame([(None, one), (None, two), (None, one), (7, one + " x")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.near_dedup(df).collect()) == sorted([one + " x", two])

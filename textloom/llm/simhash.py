@@ -208,12 +208,12 @@ def exact_tables(bits: int, radius: int, n: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in itertools.combinations(parts, m)]
 
 
-def sampled_tables(bits: int, radius: int, n: int, miss: float = 0.01) -> list[np.ndarray]:
-    """Random sets of bits, as many as leave a pair at three quarters of the
-    radius apart with a chance of at most `miss` in all of them."""
-    k = max(12, math.ceil(math.log2(max(2, n))) - 2)
-    hit = (1 - 0.75 * radius / bits) ** k
-    count = math.ceil(math.log(miss) / math.log1p(-hit))
+def sampled_tables(bits: int, radius: int, n: int, miss: float = 0.1) -> list[np.ndarray]:
+    """Random sets of bits, as many as leave a pair at the very radius with a chance
+    of at most `miss` to differ in all of them (closer pairs: far less). The sets
+    grow beyond 2 ** 24 rows, to keep a bucket's chance rows near 256."""
+    k = max(16, math.ceil(math.log2(max(2, n))) - 8)
+    count = math.ceil(math.log(miss) / math.log1p(-((1 - radius / bits) ** k)))
     rng = np.random.default_rng(0)
     return [np.sort(rng.permutation(bits)[:k]) for _ in range(count)]
 
@@ -265,36 +265,40 @@ def links(nodes: DataFrame, lanes: int, radius: int, tables: list[np.ndarray]) -
     dealt = nodes.mapInArrow(deal, "bucket long, node long, fp binary")
     # A bucket of n blocks becomes n * (n + 1) / 2 cells of two blocks at most: a
     # row is in n of them. Buckets of one block, nearly all, are one cell.
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
-    met = dealt.join(sizes, "bucket").withColumn("own", own)
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
-    met = met.select(cell.alias("cell"), "node", "fp")
+    large = blocks.cut(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")))
+    found = large.count()
+    met = dealt.select(F.col("bucket").alias("cell"), "node", "fp")
+    if found:
+        # few large buckets are broadcast; else the join is by bucket
+        met = dealt.join(F.broadcast(large) if found <= 100_000 else large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+        met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cell = F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
+        met = met.select(cell.alias("cell"), "node", "fp")
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return met.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
 
 
-def _fingerprinted(docs: DataFrame, key: str, text: str, shingle: int, lanes: int) -> DataFrame:
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("fp", T.BinaryType())])
+def _fingerprinted(docs: DataFrame, columns: tuple[str, ...], text: str, shingle: int, lanes: int) -> DataFrame:
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in columns] + [T.StructField("fp", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks.steps(batch, text):
                 fps = fingerprints(part.column(text), shingle, lanes)
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * lanes), len(fps), [None, pa.py_buffer(fps.astype(">u8"))])
-                yield pa.RecordBatch.from_arrays([part.column(key), raw.cast(pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), raw.cast(pa.binary())], schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(*columns, text).mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, lanes: int = 1, radius: int = 4, exact: bool = True) -> DataFrame:
-    """(key, fp, component_id) of every row. Fingerprints of 64 * lanes bits link
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, lanes: int = 1, radius: int = 4, exact: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, fp, component_id) of every row. Fingerprints of 64 * lanes bits link
     at `radius` differing bits or fewer; component_id is the least key reachable.
     exact: all links are found (block pigeonhole). Otherwise buckets are sampled
     bits, for radii where blocks of untouched bits are too short to tell apart."""
     blocks.small_batches(docs.sparkSession)
-    fps = blocks.cut(_fingerprinted(docs, key, text, shingle, lanes))
+    fps = blocks.cut(_fingerprinted(docs, (key, *carry), text, shingle, lanes))
     # a fingerprint is a node; its id is the fingerprint where that has 64 bits
     node = F.conv(F.hex("fp"), 16, -10).cast("long") if lanes == 1 else F.xxhash64("fp")
     nodes = blocks.cut(fps.groupBy("fp").agg(F.min(key).alias("least")).withColumn("node", node))
@@ -309,16 +313,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, similarity: float = 0.8) -> DataFrame:
     """The documents with one of each group of near-duplicates left, the one with
-    the least key. Similarity is the share of equal fingerprint bits."""
+    the least key. Similarity is the share of equal fingerprint bits. Different
+    texts with the same least key, or without any, all stay."""
     radius = math.floor(64 * lanes * (1 - similarity))
-    found = near_duplicates(docs, key, text, shingle, lanes, radius, exact=False)
-    keep = blocks.cut(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count("*").alias("n__")))
-    rows = docs.join(keep.withColumnRenamed(key, "key__"), docs[key].eqNullSafe(F.col("key__"))).drop("key__")
+    marked = docs.withColumn("mark__", F.xxhash64(text))
+    found = near_duplicates(marked, key, text, shingle, lanes, radius, exact=False, carry=("mark__",))
+    keep = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key, "mark__").agg(F.count("*").alias("n__"))
+    keep = blocks.cut(keep.withColumnRenamed(key, "key__").withColumnRenamed("mark__", "kept__"))
+    rows = marked.join(keep, marked[key].eqNullSafe(F.col("key__")) & (F.col("mark__") == F.col("kept__")))
+    rows = rows.drop("key__", "kept__", "mark__")
     if keep.where("n__ > 1").isEmpty():
         return rows.drop("n__")
-    # repeated rows share a key: one row of each key stays
+    # rows that share a key: one of each text stays
     once = rows.where("n__ = 1").drop("n__")
-    return once.unionByName(rows.where("n__ > 1").drop("n__").dropDuplicates([key]))
+    return once.unionByName(rows.where("n__ > 1").drop("n__").dropDuplicates([key, text]))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
