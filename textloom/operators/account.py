@@ -78,3 +78,15 @@ def merge_statistics(first: DataFrame, second: DataFrame, kept_first: int, kept_
         F.count_if(F.col("side") == 0).alias("available_first"), F.count_if(F.col("side") == 1).alias("available_second"),
         (F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).alias("duplicates"),
     ).withColumns({"selected_first": F.lit(kept_first), "selected_second": F.lit(kept_second)})
+
+
+def beats_uniform(loss: Column, vocabulary: int) -> Column:
+    """Whether a loss is below that of an even guess over the vocabulary."""
+    return loss < F.ln(F.lit(float(vocabulary)))
+
+
+def batch_digest(batches: DataFrame, batch: int, key: str, first: int = 10) -> DataFrame:
+    """(digest) of the first ids of a batch, by which a resumed run knows its place."""
+    ids = batches.where(F.col("batch") == batch).orderBy("place").limit(first)
+    row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", key))), lambda r: r[key].cast("string")), ",")
+    return ids.agg(F.sha2(row, 256).alias("digest"))

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions.schemas import EMOTIONS_28, EMOTIONS_6, EMOTIONS_7, EMOTIONS_DIALOGUE, MESSAGES
-from textloom.operators.chat import message, normalize, normalize_keep_system, turn_pairs_text, two_speakers
+from textloom.operators.chat import context_windows, message, normalize, normalize_keep_system, turn_pairs_text, two_speakers
 
 #: Prompt texts are the caller's; these are this library's defaults.
 RECOGNISE = "Name only the emotions that the message supports. Do not diagnose the writer."
@@ -188,3 +188,16 @@ def emotion_rows(rows: DataFrame, source: str) -> DataFrame:
         rows = rows.where((F.lower(X.collapse("language")) == "en") & ~F.coalesce("is_label_conflict", F.lit(False)))
     labels = {"emotion": EMOTIONS_6, "many_emotions": EMOTIONS_7}[source]
     return rows.withColumn("emotion", label_name(F.col("label").cast("string"), labels)).where("emotion IS NOT NULL")
+
+
+def scripted_emotions(rows: DataFrame, back: int = 2) -> DataFrame:
+    """(dialogue_id, utterance_index, prompt, emotion) of scripted dialogue lines:
+    each line with up to `back` lines before it, a line a speaker's turn. Lines
+    without an utterance or an emotion go first."""
+    clean = rows.select(
+        F.col("Dialogue_ID").cast("string").alias("dialogue_id"), F.coalesce(F.col("Utterance_ID").try_cast("int"), F.lit(0)).alias("at"),
+        F.concat(X.collapse("Speaker"), F.lit(": "), X.collapse("Utterance")).alias("line"), X.collapse("Utterance").alias("said"), F.lower(X.collapse("Emotion")).alias("emotion"),
+    ).where("dialogue_id <> '' AND said <> '' AND emotion <> ''")
+    near = context_windows(clean, "dialogue_id", "at", "line", back)
+    nth = F.row_number().over(Window.partitionBy("dialogue_id").orderBy("at")) - 1
+    return near.select("dialogue_id", nth.alias("utterance_index"), F.col("context").alias("prompt"), "emotion", "context_turns")

@@ -129,6 +129,18 @@ def train_bpe(docs: DataFrame, vocab_size: int, text: str = "text") -> tuple[lis
     return [*sorted(vocabulary), UNK, EOS], merges
 
 
+def check_vocabulary(vocabulary: Sequence[str], merges: Sequence[tuple[str, str]] = ()) -> None:
+    """Raises unless tokens are distinct, the end token is last, and merges are
+    distinct and made of tokens."""
+    known = set(vocabulary)
+    if not vocabulary or len(known) < len(vocabulary):
+        raise ValueError("the vocabulary is empty or repeats a token")
+    if EOS in known and vocabulary[-1] != EOS:
+        raise ValueError("the end token must be the last one")
+    if len(set(merges)) < len(merges) or any(t not in known for a, b in merges for t in (a, b, a + b)):
+        raise ValueError("merges repeat or use unknown tokens")
+
+
 def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     """Symbols of a word after all merges, lowest rank first, leftmost first."""
     symbols: list[str | None] = list(word)
