@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles; longer texts are a step of their own.
 STEP_BYTES = 2 << 20
@@ -92,9 +93,14 @@ def stored(df: DataFrame) -> DataFrame:
     """A table in the shared folder that cuts the lineage; columnar and compressed,
     since it holds texts. Removed when the session's program ends."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the session's program ends."""
 
     def drop() -> None:
         try:
@@ -106,7 +112,16 @@ def stored(df: DataFrame) -> DataFrame:
             pass
 
     atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def about(df: DataFrame, rows: int) -> DataFrame:
+    """A sample of about `rows` rows, taken by a hash of the whole row, so that no
+    task gathers it and copies that differ in any column are taken one by one."""
+    n = df.count()
+    if n <= rows:
+        return df
+    key = F.xxhash64(*(c for c, t in df.dtypes if not t.startswith("map")))
+    return df.where(F.pmod(key, F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
 
 def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

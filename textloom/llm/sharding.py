@@ -27,7 +27,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.blocks import shared_folder
+from textloom.llm.blocks import remove_at_exit, shared_folder
 
 #: Shards of a tier that make it worth merging, and the ratio between tiers.
 FAN = 4
@@ -180,6 +180,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     each, and are read back from the last version: where each row lies now."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = ShardStore(spark, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
+    remove_at_exit(spark, store.root)
     parts = 3
     arrival = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
     for k in range(parts):
