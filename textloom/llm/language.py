@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 from textloom.llm import blocks
 from textloom.llm.url_rules import host_of
 
-#: Labelled texts that the trigram model is fitted on, and bytes of each.
-SAMPLE_ROWS, SLOTS = 20_000, 1 << 16
+#: Labelled texts, about, that the trigram model is fitted on.
+SAMPLE_ROWS = 20_000
+#: Slots that trigrams are hashed to.
+SLOTS = 1 << 16
 #: Weight of a level's parent in the host prior, as pages.
 PARENT = 5.0
 #: Trigrams of one text overlap; their evidence counts as this share.
@@ -63,8 +65,8 @@ _LETTERS = blocks._table([*range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and log probability by slot and language, of at most sample_rows
-    labelled texts taken by a hash of the text."""
+    """Languages, and log probability by slot and language, of about sample_rows
+    labelled texts."""
     blocks.small_batches(labelled.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,8 +77,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_row
                 keys, n = np.unique(np.repeat(labels, np.diff(ends)) * SLOTS + slots, return_counts=True)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(keys // SLOTS)).cast(pa.string()), pa.array(keys % SLOTS), pa.array(n.astype(np.int64))], ["lang", "slot", "n"])
 
-    chosen = labelled.select(text, label).where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    chosen = chosen.where(F.pmod(F.xxhash64(text), F.lit(8)) == 0).limit(sample_rows)
+    chosen = blocks.about(labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()), sample_rows).select(text, label)
     sums = chosen.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(sums.column("lang").to_pylist()))
     n = np.full((SLOTS, len(names)), 0.5)

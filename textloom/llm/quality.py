@@ -153,8 +153,8 @@ def passes(texts: pa.Array, rules: Sequence[Rule]) -> np.ndarray:
 
 
 def estimate(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 512) -> list[dict]:
-    """Seconds, rejections and rows of each rule over at most sample_rows rows,
-    taken by a hash of the text. Only these sums reach the driver."""
+    """Seconds, rejections and rows of each rule over about sample_rows rows. Only
+    these sums reach the driver."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,8 +166,7 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_
                     rows.append((rule.name, time.perf_counter() - began, out, part.num_rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["rule", "seconds", "rejected", "seen"])
 
-    sample = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(16)) == 0).limit(sample_rows)
-    sums = sample.mapInArrow(measure, "rule string, seconds double, rejected long, seen long").groupBy("rule")
+    sums = blocks.about(docs, sample_rows).select(text).mapInArrow(measure, "rule string, seconds double, rejected long, seen long").groupBy("rule")
     return [r.asDict() for r in sums.agg(*(F.sum(c).alias(c) for c in ("seconds", "rejected", "seen"))).collect()]
 
 
