@@ -105,7 +105,8 @@ def _parse(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([_signed(r.anchor), pa.array(key), pa.array(at, pa.int32())], ["anchor", _KEY, _AT])
 
     found = docs.select(text, _KEY).mapInArrow(anchors, f"anchor long, {_KEY} long, {_AT} int")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # materialised, so that the join shuffles both sides and a hot anchor can be split
+    twice = blocks.cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     wanted = found.join(twice, "anchor", "left_semi").groupBy(_KEY).agg(F.collect_list(_AT).alias(_AT))
 
     rest = [f for f in docs.schema.fields if f.name != text]
