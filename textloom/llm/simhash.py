@@ -306,7 +306,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     tables = (exact_tables if exact else sampled_tables)(64 * lanes, radius, n)
     roots = components(links(nodes.select("node", "fp"), lanes, radius, tables))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # materialised, so that the join shuffles both sides and a hot root can be split
+    least = blocks.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp")
 
