@@ -112,6 +112,21 @@ def test_near_dedup_keeps_one_of_each_group(spark, rows, docs):
     assert sorted(r.doc_id for r in twice.collect()) == sorted(kept)
 
 
+def shingle_sets(texts):
+    words = [plain.words(plain.lower(t)) for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in words]
+
+
+def test_near_dedup_keeps_texts_below_the_similarity(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(404)) for k in range(40)]
+    # 68 or 80 shingles differ on each side: 332 / 468 = 0.71 and 320 / 480 = 0.67
+    near = [" ".join(f"other{i}" if i < 64 + 12 * (k % 2) else w for i, w in enumerate(t.split(" "))) for k, t in enumerate(texts)]
+    a, b = shingle_sets([texts[0], near[0]])
+    assert 0.6 < len(a & b) / len(a | b) < 0.8
+    out = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string"))
+    assert out.count() == 80
+
+
 def test_substring_counts(docs, rows):
     out = substring.substring_dedup(docs.select("doc_id", "text"), counts=True).collect()
     expected = plain.substring([t for _, t, *_ in rows])

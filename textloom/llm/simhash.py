@@ -16,6 +16,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm import blocks
+from textloom.llm import blocks, jaccard
 from textloom.llm.components import components
 
 #: Fingerprints of a bucket that are compared as one block; larger buckets are split.
@@ -312,13 +313,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return fps.join(named, "fp")
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, similarity: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with one of each group of near-duplicates left, the one with
-    the least key. Similarity is the share of equal fingerprint bits. Different
-    texts with the same least key, or without any, all stay."""
-    radius = math.floor(64 * lanes * (1 - similarity))
+    the least key. Similarity is the Jaccard of the texts' word shingles, and all
+    pairs that have it are linked. Different texts with the same least key, or
+    without any, all stay."""
+    blocks.small_batches(docs.sparkSession)
     marked = docs.withColumn("mark__", F.xxhash64(text))
-    found = near_duplicates(marked, key, text, shingle, lanes, radius, exact=False, carry=("mark__",))
+    texts = marked.select(F.col("mark__").alias("node"), F.col(text).alias("text"))
+    roots = components(jaccard.links(texts, Fraction(str(similarity)), shingle))
+    ids = blocks.cut(marked.select(key, F.col("mark__").alias("node")))
+    nodes = blocks.cut(ids.groupBy("node").agg(F.min(key).alias("least")))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = blocks.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    found = ids.join(rooted.join(least, "root").select("node", "component_id"), "node").withColumnRenamed("node", "mark__")
     keep = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key, "mark__").agg(F.count("*").alias("n__"))
     keep = blocks.cut(keep.withColumnRenamed(key, "key__").withColumnRenamed("mark__", "kept__"))
     rows = marked.join(keep, marked[key].eqNullSafe(F.col("key__")) & (F.col("mark__") == F.col("kept__")))
