@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import plain
@@ -127,6 +128,21 @@ def test_near_dedup_keeps_texts_below_the_similarity(spark):
     assert out.count() == 80
 
 
+def test_near_dedup_links_what_brute_force_links(spark):
+    r = random.Random(3)
+    texts = [None, " ", "a b", "A  b"]
+    for k in range(30):  # about 0.8 on either side, and chains
+        w = [f"t{k}w{i}" for i in range(r.randint(30, 120))]
+        for _ in range(8):
+            texts.append(" ".join(w))
+            at = r.randrange(len(w))
+            w = [*w[:at], *(f"x{r.random()}" for _ in range(r.randint(0, 12))), *w[at + r.randint(0, 3) :]]
+    sets = shingle_sets(texts)
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    got = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert {x.doc_id for x in got.collect()} == set(plain.groups(len(texts), alike))
+
+
 def test_substring_counts(docs, rows):
     out = substring.substring_dedup(docs.select("doc_id", "text"), counts=True).collect()
     expected = plain.substring([t for _, t, *_ in rows])
