@@ -1,13 +1,12 @@
-"""Exact substring dedup by Relative Lempel-Ziv parsing.
+"""Exact substring dedup by minimiser anchors and window hashes. It stands in for
+Relative Lempel-Ziv: no text is factored against a reference.
 
 Each text is cut into blocks around content-chosen anchors: of the 28 eight-word
 grams in a window of 35 words, the one with the least hash. Equal windows choose
-equal anchors, so a text needs to be parsed only against the blocks that share an
+equal anchors, so a text needs to be compared only with the blocks that share an
 anchor with it; those anchors that the corpus has twice are the index. A block
-found elsewhere as a whole is a factor, and neighbouring factors are one greedy
-longer factor. Where a block ends a factor, that is, it occurs only once, each
-window that crosses the boundary is looked up by itself. Windows found twice
-are duplicate spans; every factor of 35 words or more is made of such windows.
+found elsewhere as a whole is duplicate. Where an anchor's blocks differ, each of
+their windows is looked up by itself. Windows found twice are duplicate spans.
 
 Blocks and windows are compared by two independent 64-bit hashes (anchor and
 block, or anchor and window), 128 bits together.
