@@ -12,7 +12,9 @@ only decides how many candidates there are. Texts without words are alike.
 
 In each group that shares a shingle all sets are first compared with one of them;
 sets that are connected by then need no comparison with each other, so a large
-group of near copies is not compared in pairs. All other pairs are.
+group of near copies is not compared in pairs. All other pairs are, first by
+sketches that count the shingles in SKETCH slots: the sum of the lesser counts is
+at least what two sets have in common, so a pair is dropped only if it can't link.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from textloom.llm.components import components
 SLOTS = 1 << 16
 #: One text in so many is counted.
 SHARE = 8
+#: Counters of a set's sketch, which bounds what two sets can have in common.
+SKETCH = 256
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +110,39 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction, n: int) -
                 keep = pa.array(q * common >= p * (sizes - common))
                 yield part.select(["a", "b"]).filter(keep)
 
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks.steps(batch):
+                h, ends = shingles(part.column("text"), n)
+                size = np.diff(ends)
+                slot = np.repeat(np.arange(len(size)), size) * SKETCH + (h & (SKETCH - 1))
+                held = np.bincount(slot, minlength=len(size) * SKETCH).reshape(-1, SKETCH)
+                fits = (held <= 255).all(1).tolist()  # else there is no bound
+                held = [x.tobytes() if ok else None for x, ok in zip(held.astype(np.uint8), fits)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(size, pa.int64()), pa.array(held, pa.binary())], ["node", "size", "sketch"])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            known = np.flatnonzero(batch.column("sketch_a").is_valid().to_numpy(zero_copy_only=False) & batch.column("sketch_b").is_valid().to_numpy(zero_copy_only=False))
+            x, y = (blocks.raw(batch.column(c).take(pa.array(known)))[0].reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
+            sizes = (batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy())[known]
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            keep[known] = q * most >= p * (sizes - most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    def sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        for side in "ba":
+            pairs = pairs.join(table.select(*(F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in table.columns)), side)
+        return pairs
+
     pairs = blocks.cut(pairs.distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    small = blocks.stored(texts.join(asked, "node", "left_semi").mapInArrow(sketch, "node long, size long, sketch binary").dropDuplicates(["node"]))
+    pairs = blocks.cut(sides(pairs, small).mapInArrow(possible, "a long, b long"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = blocks.stored(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(asked.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(asked.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return blocks.cut(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    return blocks.cut(sides(pairs, asked).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
 
 def links(texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:
@@ -125,9 +156,9 @@ def links(texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:
     group = Window.partitionBy("shingle")
     met = prefixes(texts, similarity, n).withColumns({"pivot": F.min(F.struct("node", "size")).over(group), "last": F.max("node").over(group)})
     met = met.where("pivot.node < last").select("shingle", "node", F.col("size").cast("long").alias("size"), F.col("pivot.node").alias("pivot"), F.col("pivot.size").cast("long").alias("other"))
-    met = blocks.cut(met.where("node <> pivot").distinct())
+    met = blocks.stored(met.where("node <> pivot").distinct())
     first = verified(met.where(alike("size", "other")).select(F.col("pivot").alias("a"), F.col("node").alias("b")), texts, similarity, n)
-    left = blocks.cut(met.join(components(first), "node", "left").select("shingle", "node", "size", F.coalesce("root", "node").alias("root")))
+    left = blocks.stored(met.join(components(first), "node", "left").select("shingle", "node", "size", F.coalesce("root", "node").alias("root")))
     mixed = left.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
     left = blocks.cut(left.join(blocks.cut(mixed), "shingle", "left_semi"))
     x = left.select("shingle", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
