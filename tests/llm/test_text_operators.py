@@ -219,3 +219,42 @@ def test_different_texts_without_ids_stay(spark):
     one, two = (" ".join(f"{k}{i}" for i in range(80)) for k in "ab")
     df = spark.createDataFrame([(None, one), (None, two), (None, one), (7, one + " x")], "doc_id long, text string")
     assert sorted(r.text for r in simhash.near_dedup(df).collect()) == sorted([one + " x", two])
+
+
+def test_substring_compares_words_and_not_their_hashes(spark):
+    """Two words whose polynomial hashes modulo 2 ** 64 agree."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = "".join("ba"[i.bit_count() % 2] for i in range(1024))
+    r = random.Random(7)
+    say = [f"w{r.random()}" for _ in range(40)]
+    texts = [" ".join(say[:20] + [x] + say[21:]) for x in (one, other)]
+    out = substring.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), counts=True)
+    assert [x.n_removed for x in out.collect()] == [0, 0]
+
+
+def test_substring_hot_anchors_and_large_groups(spark, monkeypatch):
+    """A passage in many texts, a frequent phrase in changing company, and anchors
+    with more blocks than a task takes."""
+    monkeypatch.setattr(substring, "HOT_LEAST", 3)
+    r = random.Random(5)
+    say = lambda n: [f"v{r.randint(0, 10**6)}" for _ in range(n)]
+    passage, phrase = say(60), say(8)
+    texts = [" ".join(say(40) + passage[: r.randint(36, 60)] + say(30)) for _ in range(40)]
+    texts += [" ".join(say(30) + phrase + say(30)) for _ in range(60)]
+    texts += [" ".join(say(5) + passage[i : i + 45] + say(5)) for i in range(0, 15)]
+    expected = plain.substring(texts)
+    for group in (substring.GROUP, 2):
+        monkeypatch.setattr(substring, "GROUP", group)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        out = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring.substring_dedup(df, counts=True).collect()}
+        assert out == dict(enumerate(expected))
+
+
+def test_substring_equal_rows_and_clashing_columns(spark):
+    r = random.Random(3)
+    text = " ".join(f"v{r.random()}" for _ in range(120))
+    df = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit(text).alias("text"), F.lit("x").alias("N_words"), F.lit(2).alias("key__"), F.lit(3).alias("a.b"))
+    out = substring.substring_dedup(df, counts=True)
+    assert out.columns == ["doc_id", "key__", "a.b", "n_words", "n_removed", "kept_sha256"]
+    assert out.groupBy("n_removed", "key__").count().collect() == [(120, 2, 3000)]
+    assert substring.substring_dedup(df).columns == df.columns

@@ -14,7 +14,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from pathlib import Path
@@ -124,6 +124,13 @@ def about(df: DataFrame, rows: int) -> DataFrame:
     return df.where(F.pmod(key, F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
 
+def others(docs: DataFrame, text: str, added: Iterable[str]) -> list:
+    """The fields of docs but the text and those that added columns replace; names
+    differ in more than case, as Spark resolves them."""
+    gone = {text.lower(), *(a.lower() for a in added)}
+    return [f for f in docs.schema.fields if f.name.lower() not in gone]
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about `most` bytes, one row at least."""
     if not batch.num_rows:
@@ -207,6 +214,16 @@ class Words:
     def codes(self) -> tuple[np.ndarray, pa.Array]:
         return coded(self.values)
 
+    @cached_property
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words, each with a blank behind it, and where each begins (and the end)."""
+        sizes = self.stops - self.starts
+        starts = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes + 1, out=starts[1:])
+        out = np.full(int(starts[-1]), 0x20, np.uint8)
+        out[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = self.data[self.inside]
+        return out.tobytes(), starts
+
     def windows(self, n: int) -> np.ndarray:
         """Indexes of the words that n consecutive words of one row start at."""
         if len(self.starts) < n:

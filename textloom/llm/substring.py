@@ -1,20 +1,32 @@
-"""Exact substring dedup by minimiser anchors and window hashes. It stands in for
-Relative Lempel-Ziv: no text is factored against a reference.
-
-Each text is cut into blocks around content-chosen anchors: of the 28 eight-word
-grams in a window of 35 words, the one with the least hash. Equal windows choose
-equal anchors, so a text needs to be compared only with the blocks that share an
-anchor with it; those anchors that the corpus has twice are the index. A block
-found elsewhere as a whole is duplicate. Where an anchor's blocks differ, each of
-their windows is looked up by itself. Windows found twice are duplicate spans.
-
-Blocks and windows are compared by two independent 64-bit hashes (anchor and
-block, or anchor and window), 128 bits together.
+"""Exact substring dedup by Relative Lempel-Ziv factors.
+
+The reference is the corpus itself, cut into blocks around content-chosen anchors:
+of the 28 eight-word grams in a window of 35 words, the one with the least hash.
+A block is a run of windows with one anchor, so equal windows lie in blocks with
+equal anchors, and the anchor indexes every reference block that a block can be
+factored against.
+
+A block that the corpus has elsewhere as a whole is one factor, told by its words'
+keyed BLAKE2b digest next to the anchor's hash; such factors of neighbouring blocks
+run on into each other. Where the blocks under an anchor differ, each is factored
+against all others by their words: matches grow from the anchor to the left and to
+the right in tries, and a match of 35 words or more is a factor. A factor may end
+inside a block, so each window that begins in the block is tried: no duplicate
+window across a factor's boundary is missed. Words in a factor are duplicate.
+
+Hot anchors (at least one block in HOT_SHARE of all) are found first, counted over
+all texts, and windows choose another gram where they have one. What is left of
+hot anchors lies in passages that many texts share as a whole; such blocks are
+known to recur, and each task sends one row for all of its copies. Anchors that
+still have more than GROUP different blocks are decided window by window, grouped
+by the window's words, and not in one task.
 
 Defined cases: null and empty texts have no words and stay as they are; a
 window may recur in the same text, also overlapping itself; repeated rows are
 copies of each other, so all their windows recur; an empty table gives an empty
-result; rows without an id are handled like others.
+result; rows without an id are handled like others; a very long text is one step
+of its own and is held whole; an input column with the name of an added one is
+replaced by it, other columns are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +35,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +45,18 @@ from textloom.llm import blocks
 
 WINDOW = 35
 GRAM = 8
-_KEY, _SUM, _Z, _RUNS, _AT = "key__", "sum__", "z__", "runs__", "at__"
+#: Windows of one block, at most.
+MOST = WINDOW - GRAM + 1
+#: An anchor, or a block of a hot anchor, is hot with one in so many of all blocks.
+#: So there are never more hot ones than this.
+HOT_SHARE = 8192
+#: Blocks that make an anchor hot at least.
+HOT_LEAST = 64
+#: Different blocks of one anchor that a task takes at once.
+GROUP = 50_000
+#: Bits of a rank that tell the place; a column of texts has fewer bytes.
+_PLACE = 31
+_WHOLE, _EDGE, _SHIP, _BIG = 1, 2, 4, 8  # what is known about a block
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -46,175 +70,385 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
+def _in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Which values are among sorted ones; most are told apart by a small table."""
+    out = np.zeros(len(values), bool)
+    if len(sorted_):
+        table = np.zeros(1 << 20, bool)
+        table[(sorted_ >> np.uint64(44)).astype(np.int64)] = True
+        some = np.flatnonzero(table[(values >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(sorted_, values[some]), len(sorted_) - 1)
+        out[some] = sorted_[at] == values[some]
+    return out
+
+
 class Runs:
     """Blocks of a column of texts: for each, its row, the first and the last
-    window (word positions of the whole column), its anchor's hash."""
+    window (word positions of the whole column), its anchor's place and hash, and
+    whether that is hot. hot has sorted hashes of grams to avoid."""
 
-    def __init__(self, w: blocks.Words):
+    def __init__(self, w: blocks.Words, hot: np.ndarray):
         self.words = w
         hashes = blocks.word_hashes(w)
         at = w.windows(WINDOW)
-        self.second = blocks.Rolling(hashes, 1)
         if not len(at):
             self.first = self.last = self.row = self.place = at
-            self.anchor = at.astype(np.uint64)
+            self.anchor, self.hot = at.astype(np.uint64), at.astype(bool)
             return
         gram = np.arange(len(hashes) - GRAM + 1)
         grams = blocks.Rolling(hashes, 0).of(gram, gram + GRAM)
-        bits = np.uint64(max(1, int(len(grams)).bit_length()))
-        least = _least(grams >> bits << bits | gram.astype(np.uint64), WINDOW - GRAM + 1)[at]
-        place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        avoid = _in(grams, hot)
+        # the same bits rank a gram in every batch, and of equals the first one counts
+        rank = grams >> np.uint64(_PLACE + 1) << np.uint64(_PLACE) | gram.astype(np.uint64)
+        rank |= avoid.astype(np.uint64) << np.uint64(63)
+        least = _least(rank, MOST)[at]
+        place = (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
         new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)))
         self.first, self.last = at[new], at[np.append(new[1:] - 1, len(at) - 1)]
         self.place, self.row = place[new], w.row[at[new]]
-        self.anchor = grams[self.place]
+        self.hot = avoid[self.place]
+        # blocks whose windows had other grams to choose must not meet those that hadn't
+        self.anchor = np.where(self.hot, blocks.mix(grams[self.place]), grams[self.place])
 
-    def blocks(self) -> np.ndarray:
-        """Hashes of whole blocks; equal ones have their anchor at the same place."""
-        lead = (self.place - self.first).astype(np.uint64)
-        return blocks.mix(self.second.of(self.first, self.last + WINDOW) + blocks.BASES[0] * (lead + np.uint64(1)))
+    def texts(self, of: np.ndarray) -> list[bytes]:
+        """The words of some blocks, joined by one blank."""
+        data, starts = self.words.joined
+        return [data[a:b] for a, b in zip(starts[self.first[of]].tolist(), (starts[self.last[of] + WINDOW] - 1).tolist())]
 
-    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows of some blocks, told apart by the anchor's place
-        in them, and offsets by block."""
-        many = self.last[of] - self.first[of] + 1
-        ends = np.concatenate([[0], np.cumsum(many)])
-        at = np.arange(ends[-1]) - np.repeat(ends[:-1], many) + np.repeat(self.first[of], many)
-        lead = (np.repeat(self.place[of], many) - at).astype(np.uint64)
-        return blocks.mix(self.second.of(at, at + WINDOW) + blocks.BASES[0] * (lead + np.uint64(1))), ends
+    def digests(self, of: np.ndarray) -> np.ndarray:
+        blake = hashlib.blake2b
+        made = b"".join([blake(t, digest_size=8).digest() for t in self.texts(of)])
+        return np.frombuffer(made, np.int64)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _parse(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """(parsed, hits). parsed: the rows with their text compressed and the blocks
-    whose anchor recurs. hits: by row key, the first window of each block with a
-    duplicate window, and which of its windows are duplicates (a bit each)."""
-    blocks.small_batches(docs.sparkSession)
-    docs = docs.withColumn(_KEY, F.xxhash64(*(c for c, t in docs.dtypes if not t.startswith("map"))))
+def _hot(docs: DataFrame, text: str, avoid: np.ndarray) -> np.ndarray:
+    """Sorted hot anchors, or with grams to avoid, the hot blocks that have to do
+    with one. Counted over all texts; a task sends what is frequent in itself."""
+    shared = docs.sparkSession.sparkContext.broadcast(avoid)
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks.steps(batch, text):
-                r = Runs(blocks.words(part.column(text)))
-                key = part.column(_KEY).to_numpy(zero_copy_only=False)[r.row]
-                at = r.first - r.words.ends[r.row]
-                yield pa.RecordBatch.from_arrays([_signed(r.anchor), pa.array(key), pa.array(at, pa.int32())], ["anchor", _KEY, _AT])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, total = shared.value, 0
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        fresh: list[np.ndarray] = []
 
-    found = docs.select(text, _KEY).mapInArrow(anchors, f"anchor long, {_KEY} long, {_AT} int")
-    # materialised, so that the join shuffles both sides and a hot anchor can be split
-    twice = blocks.cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    wanted = found.join(twice, "anchor", "left_semi").groupBy(_KEY).agg(F.collect_list(_AT).alias(_AT))
+        def fold() -> None:
+            nonlocal keys, n, fresh
+            values = np.concatenate([keys, *fresh])
+            group, found = pd.factorize(values)
+            n = np.bincount(group, weights=np.concatenate([n, np.ones(len(values) - len(keys), np.int64)]), minlength=len(found)).astype(np.int64)
+            keys, fresh = found, []
 
-    rest = [f for f in docs.schema.fields if f.name != text]
-    run = "array<struct<anchor:long,block:long,at:int,windows:array<long>>>"
-    schema = T.StructType(rest + T.StructType.fromDDL(f"{_SUM} long, {_Z} binary, {_RUNS} {run}").fields)
-
-    def detail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", 1)
         for batch in batches:
             for part in blocks.steps(batch, text):
-                r = Runs(blocks.words(part.column(text)))
-                w = r.words
-                lists = part.column(_AT)
-                per = np.diff(lists.offsets.to_numpy()) if not lists.null_count else lists.value_lengths().fill_null(0).to_numpy()
-                asked = np.repeat(np.arange(part.num_rows), per) << 32 | lists.flatten().to_numpy().astype(np.int64)
-                at = r.first - w.ends[r.row]
-                of = np.flatnonzero(np.isin(r.row << 32 | at, asked))
-                windows, ends = r.windows(of)
-                made = pa.StructArray.from_arrays(
-                    [_signed(r.anchor[of]), _signed(r.blocks()[of]), pa.array(at[of], pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(windows))],
-                    ["anchor", "block", "at", "windows"],
-                )
-                by_row = pa.ListArray.from_arrays(pa.array(np.searchsorted(r.row[of], np.arange(part.num_rows + 1)), pa.int32()), made)
-                raw = [None if t is None else t.encode() for t in part.column(text).to_pylist()]
-                z = [None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in raw]
-                total = r.second.of(w.ends[:-1], w.ends[1:]) if part.num_rows else np.zeros(0, np.uint64)
+                r = Runs(blocks.words(part.column(text)), hot)
+                total += len(r.anchor)
+                fresh.append(r.digests(np.flatnonzero(r.hot)).view(np.uint64) if len(hot) else r.anchor)
+                if sum(map(len, fresh)) > 1 << 20:
+                    fold()
+                    keep = n > 1 + total // (4 * HOT_SHARE)
+                    keys, n = keys[keep], n[keep]
+        fold()
+        keep = n >= max(2, total // (2 * HOT_SHARE))
+        out = np.append(keys[keep].view(np.int64), 0)
+        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(np.append(n[keep], total)), pa.array(np.append(np.zeros(len(out) - 1, bool), True))], ["k", "n", "whole"])
+
+    sums = blocks.cut(docs.select(text).mapInArrow(count, "k long, n long, whole boolean").groupBy("k", "whole").agg(F.sum("n").alias("n")))
+    total = sums.where("whole").agg(F.max("n")).first()[0] or 0
+    found = sums.where(~F.col("whole") & (F.col("n") >= max(HOT_LEAST, total // HOT_SHARE))).select("k").toArrow()
+    return np.sort(found.column("k").to_numpy().view(np.uint64))
+
+
+def _known(docs: DataFrame, text: str, key: str, hot, copies) -> DataFrame:
+    """(key, at, digest, kind) of the blocks that recur or share their anchor with
+    others: _WHOLE, _EDGE (once there, next to different ones), _SHIP (the one of
+    its copies that goes to the reference), _BIG (of an anchor with too many)."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
+        for batch in batches:
+            for part in blocks.steps(batch, text):
+                r = Runs(blocks.words(part.column(text)), hot.value)
+                digest = r.digests(np.arange(len(r.first)))
+                many = np.zeros(len(r.first), bool)
+                some = np.flatnonzero(r.hot)
+                many[some] = _in(digest[some].view(np.uint64), copies.value)
+                keep = ~many
+                for i in np.flatnonzero(many).tolist():
+                    if digest[i] not in told:
+                        told.add(int(digest[i]))
+                        keep[i] = True
+                at = np.flatnonzero(keep)
+                keys = part.column(key).to_numpy(zero_copy_only=False)[r.row[at]]
+                place = r.first[at] - r.words.ends[r.row[at]]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(f.name) for f in rest] + [_signed(total), pa.array(z, pa.binary()), by_row], schema.names
+                    [_signed(r.anchor[at]), pa.array(digest[at]), pa.array(keys), pa.array(place, pa.int32()), pa.array(many[at])],
+                    ["anchor", "digest", "key", "at", "many"],
                 )
 
-    parsed = blocks.stored(docs.join(wanted, _KEY, "left").mapInArrow(detail, schema))
-    runs = parsed.select(_KEY, _SUM, F.explode(_RUNS).alias("r")).select(_KEY, _SUM, "r.*")
-    whole = blocks.cut(runs.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.first("windows").alias("windows")))
-    # anchors with a block that occurs once, next to other blocks
-    mixed = whole.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1")
-    edge = whole.join(mixed, "anchor", "left_semi").select("anchor", "block", "n", F.posexplode("windows").alias("j", "window"))
-    again = edge.groupBy("anchor", "window").agg(F.sum("n").alias("t")).where("t > 1").select("anchor", "window")
-    part = edge.where("n = 1").join(again, ["anchor", "window"], "left_semi")
-    part = part.groupBy("anchor", "block").agg(F.expr("bit_or(shiftleft(1, j))").alias("mask"))
-    verdict = whole.where("n > 1").select("anchor", "block", F.expr("shiftleft(1, size(windows)) - 1").alias("mask")).unionByName(part)
-    hits = runs.select(_KEY, _SUM, "anchor", "block", "at").join(verdict, ["anchor", "block"])
-    return parsed, hits.groupBy(_KEY, _SUM).agg(F.collect_list(F.struct("at", "mask")).alias("hits"))
-
-
-def _covered(counts: np.ndarray, hits: list) -> np.ndarray:
-    """Which words are inside a duplicate window, for rows one after another."""
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    mark = np.zeros(ends[-1] + 1, np.int64)
-    for row, found in enumerate(hits):
-        if found:
-            pairs = np.array([(h["at"], h["mask"]) for h in found], np.int64)
-            on = (pairs[:, 1:] >> np.arange(WINDOW - GRAM + 1)) & 1
-            at = (pairs[:, :1] + np.arange(WINDOW - GRAM + 1))[on == 1]
-            at = at + ends[row]
-            np.add.at(mark, at, 1)
-            np.add.at(mark, at + WINDOW, -1)
+    rows = docs.select(text, key).mapInArrow(found, "anchor long, digest long, key long, at int, many boolean")
+    group = Window.partitionBy("anchor")
+    order = group.orderBy("digest", "key", "at")
+    rows = rows.withColumns({
+        "first": ~F.coalesce(F.lag("digest").over(order) == F.col("digest"), F.lit(False)),
+        "next": F.coalesce(F.lead("digest").over(order) == F.col("digest"), F.lit(False)),
+    })
+    rows = rows.withColumn("blocks", F.sum(F.col("first").cast("int")).over(group))
+    again = F.col("many") | F.col("next") | ~F.col("first")
+    differ = F.col("blocks") > 1
+    rows = rows.where(again | differ).where(~F.col("many") | F.col("first") & differ)
+    kind = F.when(again, _WHOLE).otherwise(_EDGE) + F.when(F.col("first") & differ, _SHIP).otherwise(0) + F.when(F.col("blocks") > GROUP, _BIG).otherwise(0)
+    return rows.select("key", "at", "digest", kind.cast("int").alias("kind"))
+
+
+def factors(anchor: np.ndarray, lead: np.ndarray, words: pa.Array) -> np.ndarray:
+    """For different blocks, given by anchor, words before the anchor and words
+    joined by blanks: a mask of the windows (bit 0: the block's first) that lie in
+    a factor, which is a match of WINDOW words or more with another block of the
+    anchor."""
+    w = blocks.words(words)
+    codes, _ = w.codes
+    size = np.int64(len(codes) + 1)
+    root, _ = blocks.grouped(anchor)
+    middle = w.ends[:-1] + lead
+
+    def grow(node: np.ndarray, at: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        """The tries' nodes one word on; -1 where the block ends."""
+        ok = np.flatnonzero((node >= 0) & ok)
+        out = np.full(len(node), -1, np.int64)
+        out[ok] = blocks.grouped(node[ok] * size + codes[at[ok]])[0]
+        return out
+
+    right = [root]
+    for k in range(WINDOW):
+        right.append(grow(right[-1], middle + k, middle + k < w.ends[1:]))
+    left, mask = root, np.zeros(len(anchor), np.int64)
+    for k in range(MOST):  # windows that begin k words before the anchor
+        if k:
+            left = grow(left, middle - k, middle - k >= w.ends[:-1])
+        end = right[WINDOW - k]
+        both = np.flatnonzero((left >= 0) & (end >= 0))
+        if len(both):
+            match, found = blocks.grouped(left[both] * size + end[both])
+            hit = both[np.bincount(match, minlength=found)[match] > 1]
+            mask[hit] |= np.int64(1) << (lead[hit] - k)
+    return mask
+
+
+def _factored(refs: DataFrame) -> DataFrame:
+    """(key, at, digest, mask) of the blocks to factor (edge) of refs (anchor,
+    digest, key, at, edge, lead, words): anchors are dealt out, and a task reads
+    them in order, a few whole ones at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def parse(table: pa.Table) -> pa.RecordBatch:
+            table = table.combine_chunks()
+            anchor, digest = table.column("anchor").to_numpy(), table.column("digest").to_numpy()
+            new = np.ones(len(anchor), bool)  # repeated rows bring a block more than once
+            new[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
+            table = table.filter(pa.array(new))
+            words = table.column("words").combine_chunks()
+            mask = factors(anchor[new], table.column("lead").to_numpy().astype(np.int64), words)
+            out = table.append_column("mask", pa.array(mask)).select(["key", "at", "digest", "mask"])
+            some = table.column("edge").to_numpy() & (mask != 0)
+            return out.filter(pa.array(some)).combine_chunks().to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 1 << 14:
+                table = pa.Table.from_batches(held)
+                anchor = table.column("anchor").to_numpy()
+                to = int(np.searchsorted(anchor, anchor[-1]))
+                if to:
+                    yield from parse(table.slice(0, to))
+                    held = table.slice(to).to_batches()
+                    size = table.num_rows - to
+        if size:
+            yield from parse(pa.Table.from_batches(held))
+
+    parts = max(int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = refs.repartition(parts, "anchor").sortWithinPartitions("anchor", "digest")
+    return dealt.mapInArrow(run, "key long, at int, digest long, mask long")
+
+
+def _by_window(refs: DataFrame) -> DataFrame:
+    """The same for anchors with more than GROUP blocks: windows are counted by
+    their words' digest, with partial sums, so that no anchor is one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = blocks.words(batch.column("words").cast(pa.binary()))
+            data, starts = w.joined
+            windows = w.windows(WINDOW)
+            row = w.row[windows]
+            made = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts[windows].tolist(), (starts[windows + WINDOW] - 1).tolist())]
+            taken = [batch.column(c).take(pa.array(row)) for c in ("anchor", "digest", "key", "at", "edge")]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(windows - w.ends[row], pa.int32()), pa.array(made, pa.binary())], ["anchor", "digest", "key", "at", "edge", "j", "window"])
+
+    refs = refs.dropDuplicates(["anchor", "digest"]).drop("lead")
+    windows = refs.mapInArrow(run, "anchor long, digest long, key long, at int, edge boolean, j int, window binary")
+    again = blocks.cut(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    hits = windows.where("edge").join(again, ["anchor", "window"], "left_semi")
+    return hits.groupBy("key", "at", "digest").agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask"))
+
+
+def _gone(w: blocks.Words, rows: np.ndarray, first: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which words are inside a duplicate window, of those that masks tell for
+    blocks by their row and first window in it."""
+    on = (masks[:, None] >> np.arange(MOST)) & 1
+    at = (first[:, None] + w.ends[rows][:, None] + np.arange(MOST))[on == 1]
+    mark = np.bincount(at, minlength=len(w.starts) + 1)[: len(w.starts) + 1]
+    mark = mark - np.bincount(at + WINDOW, minlength=len(w.starts) + 1)[: len(w.starts) + 1]
     return np.cumsum(mark[:-1]) > 0
 
 
+def _kept_digests(w: blocks.Words, gone: np.ndarray) -> list[str]:
+    data, starts = w.joined
+    left = np.repeat(~gone, np.diff(starts))
+    kept = np.frombuffer(data, np.uint8)[left].tobytes()
+    ends = np.concatenate([[0], np.cumsum(left)])[starts[w.ends]].tolist()
+    return [hashlib.sha256(kept[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _without(w: blocks.Words, gone: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Texts without some words; a word takes the bytes up to the next word of its
+    row along."""
+    nxt = np.append(w.starts[1:], len(w.data))
+    stop = np.minimum(nxt, w.offsets[1:][w.row]) if len(w.row) else nxt[:0]
+    cut = np.zeros(len(w.data) + 1, np.int64)
+    np.add.at(cut, w.starts[gone], 1)
+    np.add.at(cut, stop[gone], -1)
+    left = np.cumsum(cut[:-1]) == 0
+    made = blocks.binary(w.data[left], np.concatenate([[0], np.cumsum(left)])[w.offsets]).cast(pa.large_string())
+    return pa.array([None if n else t for t, n in zip(made.to_pylist(), null.tolist())], pa.string())
+
+
+_DIGESTS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+_REFS = "array<struct<anchor:long,digest:long,at:int,edge:boolean,big:boolean,lead:int,words:binary>>"
+_OPEN = f"key__ long, z__ binary, whole__ array<struct<at:int,mask:long>>, refs__ {_REFS}"
+
+
 def substring_dedup(docs: DataFrame, text: str = "text", counts: bool = False) -> DataFrame:
     """The rows with every word cut out that a duplicate window covers; bytes around
     the words that stay are kept, but for the blanks that follow a word cut out.
     counts adds n_words, n_removed and kept_sha256 (of the kept words, joined by one
     blank) instead of the text."""
-    rest = [f for f in docs.schema.fields if f.name != text]
-    parsed, hits = _parse(docs, text)
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    schema = T.StructType(rest + (added if counts else [T.StructField(text, T.StringType())]))
-    hit_type = "array<struct<at:int,mask:int>>"
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = docs.sparkSession
+    blocks.small_batches(spark)
+    order = docs.columns
+    added = _DIGESTS if counts else T.StructType([T.StructField(text, T.StringType())])
+    rest = blocks.others(docs, text, added.names)
+    # columns are carried under names of their own, so that none can clash
+    carried = [T.StructField(f"c{i}__", f.dataType) for i, f in enumerate(rest)]
+    plain = [c for c, t in docs.dtypes if not t.startswith("map")]
+    docs = docs.select(*(F.col(f"`{f.name}`").alias(c.name) for f, c in zip(rest, carried)), F.col(f"`{text}`").alias("text__"), F.xxhash64(*(f"`{c}`" for c in plain)).alias("key__"))
+
+    sc = spark.sparkContext
+    anchors = _hot(docs, "text__", np.zeros(0, np.uint64))
+    hot = sc.broadcast(anchors)
+    copies = sc.broadcast(_hot(docs, "text__", anchors) if len(anchors) else anchors)
+    known = _known(docs, "text__", "key__", hot, copies)
+    lists = known.groupBy("key").agg(F.collect_set(F.struct("at", "digest", "kind")).alias("known__")).withColumnRenamed("key", "key__")
+    made = T.StructType([T.StructField("m__", T.StructType(added.fields))])
+    schema = T.StructType(carried + made.fields + T.StructType.fromDDL(_OPEN).fields)
+    inner = pa.struct([(f.name, pa.int64() if f.dataType == T.LongType() else pa.string()) for f in added.fields])
+
+    def outcome(w: blocks.Words, texts: pa.Array, gone: np.ndarray) -> pa.StructArray:
+        if counts:
+            columns = [pa.array(w.counts, pa.int64()), pa.array(blocks.per_row(gone, w.ends), pa.int64()), pa.array(_kept_digests(w, gone), pa.string())]
+        else:
+            columns = [_without(w, gone, texts.is_null().to_numpy(zero_copy_only=False))]
+        return pa.StructArray.from_arrays(columns, fields=list(inner))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Finishes the texts whose blocks are all known, and takes the others
+        apart: their text, the windows known, and what goes to the reference."""
         codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            for part in blocks.steps(batch, "text__"):
+                texts, n = part.column("text__"), part.num_rows
+                r = Runs(blocks.words(texts), hot.value)
+                w = r.words
+                asked = part.column("known__")
+                per = asked.value_lengths().fill_null(0).to_numpy()
+                flat = asked.flatten()
+                place = np.repeat(np.arange(n), per) << 32 | flat.field("at").to_numpy().astype(np.int64)
+                own = r.row << 32 | r.first - w.ends[r.row]  # ascending
+                of = np.minimum(np.searchsorted(own, place), max(0, len(own) - 1))
+                kind = np.zeros(len(own), np.int64)
+                if len(own) and len(place):
+                    there = np.flatnonzero(own[of] == place)
+                    same = there[r.digests(of[there]) == flat.field("digest").to_numpy()[there]]
+                    np.bitwise_or.at(kind, of[same], flat.field("kind").to_numpy()[same].astype(np.int64))
+                some = np.flatnonzero(r.hot)
+                kind[some[_in(r.digests(some).view(np.uint64), copies.value)]] |= _WHOLE
+                mask = np.where(kind & _WHOLE, (np.int64(1) << (r.last - r.first + 1)) - 1, 0)
+                whole = np.flatnonzero(mask)
+                done = outcome(w, texts, _gone(w, r.row[whole], r.first[whole] - w.ends[r.row[whole]], mask[whole]))
+                # rows with a block to factor stay open
+                open_ = np.zeros(n, bool)
+                open_[r.row[(kind & _EDGE) > 0]] = True
+                ship = np.flatnonzero(kind & (_SHIP | _EDGE))
+                refs = pa.StructArray.from_arrays(
+                    [_signed(r.anchor[ship]), pa.array(r.digests(ship)), pa.array(own[ship] & 0xFFFFFFFF, pa.int32()), pa.array((kind[ship] & _EDGE) > 0),
+                     pa.array((kind[ship] & _BIG) > 0), pa.array(r.place[ship] - r.first[ship], pa.int32()), pa.array(r.texts(ship), pa.binary())],
+                    ["anchor", "digest", "at", "edge", "big", "lead", "words"],
+                )
+                shown = np.flatnonzero((mask != 0) & open_[r.row])
+                spans = pa.StructArray.from_arrays([pa.array(own[shown] & 0xFFFFFFFF, pa.int32()), pa.array(mask[shown])], ["at", "mask"])
+                z = [None] * n
+                for i in np.flatnonzero(open_).tolist():
+                    raw = texts[i].as_py().encode()
+                    z[i] = len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True)
+                by = np.arange(n + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c.name) for c in carried]
+                    + [pa.StructArray.from_arrays(done.flatten(), fields=list(inner), mask=pa.array(open_)), part.column("key__"), pa.array(z, pa.binary()),
+                       pa.ListArray.from_arrays(pa.array(np.searchsorted(r.row[shown], by), pa.int32()), spans),
+                       pa.ListArray.from_arrays(pa.array(np.searchsorted(r.row[ship], by), pa.int32()), refs)],
+                    schema.names,
+                )
 
-        def plain(z: bytes | None) -> bytes | None:
-            return None if z is None else codec.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True)
+    settled = blocks.stored(docs.join(lists, "key__", "left").mapInArrow(settle, schema))
+    refs = settled.select(F.col("key__").alias("key"), F.explode("refs__").alias("r")).select("key", "r.*")
+    masks = _factored(refs.where("NOT big").drop("big"))
+    if not refs.where("big").isEmpty():
+        masks = masks.unionByName(_by_window(refs.where("big").drop("big")))
+    masks = masks.groupBy("key").agg(F.collect_set(F.struct("at", "digest", "mask")).alias("masks__")).withColumnRenamed("key", "key__")
+    closed = T.StructType(carried + made.fields)
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
         for batch in batches:
-            for part in blocks.steps(batch, _Z, blocks.STEP_BYTES // 4):
-                texts = pa.array([plain(z) for z in part.column(_Z).to_pylist()], pa.binary())
+            for part in blocks.steps(batch, "z__", blocks.STEP_BYTES // 4):
+                raw = [codec.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True) for z in part.column("z__").to_pylist()]
+                texts = pa.array(raw, pa.binary())
                 w = blocks.words(texts)
-                gone = _covered(w.counts, part.column("hits").to_pylist())
-                if counts:
-                    digests = []
-                    values = w.values
-                    for i in range(part.num_rows):
-                        own = slice(int(w.ends[i]), int(w.ends[i + 1]))
-                        kept = values[own].filter(pa.array(~gone[own]))
-                        digests.append(hashlib.sha256(b" ".join(kept.to_pylist())).hexdigest())
-                    out = [pa.array(w.counts, pa.int64()), pa.array(blocks.per_row(gone, w.ends), pa.int64()), pa.array(digests)]
-                else:
-                    # a word cut out takes the bytes up to the next word of its row along
-                    nxt = np.append(w.starts[1:], len(w.data))
-                    stop = np.minimum(nxt, w.offsets[1:][w.row]) if len(w.row) else nxt[:0]
-                    cut = np.zeros(len(w.data) + 1, np.int64)
-                    np.add.at(cut, w.starts[gone], 1)
-                    np.add.at(cut, stop[gone], -1)
-                    left = np.cumsum(cut[:-1]) == 0
-                    data = w.data[left]
-                    ends = np.concatenate([[0], np.cumsum(left)])[w.offsets]
-                    made = blocks.binary(data, ends).cast(pa.large_string())
-                    out = [pa.array([None if n else t for t, n in zip(made.to_pylist(), texts.is_null().to_pylist())], pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in rest] + out, schema.names)
-
-    keep = [f.name for f in rest]
-    clean = parsed.where(F.size(_RUNS) == 0).select(*keep, _Z, F.lit(None).cast(hit_type).alias("hits"))
-    found = parsed.where(F.size(_RUNS) > 0).select(*keep, _Z, _KEY, _SUM).join(hits, [_KEY, _SUM], "left").select(*keep, _Z, "hits")
-    out = clean.unionByName(found).mapInArrow(finish, schema)
-    return out if counts else out.select(*docs.columns)
+                rows, first, mask = [], [], []
+                for i, (whole, edges, found) in enumerate(zip(part.column("whole__").to_pylist(), part.column("edges__").to_pylist(), part.column("masks__").to_pylist())):
+                    own = {(e["at"], e["digest"]) for e in edges}
+                    # another row may have the same key: only this one's own blocks count
+                    for h in whole + [h for h in found or () if (h["at"], h["digest"]) in own]:
+                        rows.append(i)
+                        first.append(h["at"])
+                        mask.append(h["mask"])
+                gone = _gone(w, np.array(rows, np.int64), np.array(first, np.int64), np.array(mask, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(c.name) for c in carried] + [outcome(w, texts, gone)], closed.names)
+
+    names = [c.name for c in carried]
+    edges = F.transform(F.filter("refs__", lambda x: x["edge"]), lambda x: F.struct(x["at"].alias("at"), x["digest"].alias("digest")))
+    left = settled.where("z__ IS NOT NULL").select(*names, "key__", "z__", "whole__", edges.alias("edges__"))
+    late = left.join(masks, "key__", "left").select(*names, "z__", "whole__", "edges__", "masks__").mapInArrow(finish, closed)
+    out = settled.where("z__ IS NULL").select(*names, "m__").unionByName(late)
+    out = out.select(*(F.col(c.name).alias(f.name) for f, c in zip(rest, carried)), *(F.col(f"m__.`{n}`").alias(n) for n in added.names))
+    return out if counts else out.select(*(f"`{c}`" for c in order))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
