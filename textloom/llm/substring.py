@@ -14,10 +14,11 @@ the right in tries, and a match of 35 words or more is a factor. A factor may en
 inside a block, so each window that begins in the block is tried: no duplicate
 window across a factor's boundary is missed. Words in a factor are duplicate.
 
-Hot anchors (at least one block in HOT_SHARE of all) are found first, counted over
-all texts, and windows choose another gram where they have one. What is left of
-hot anchors lies in passages that many texts share as a whole; such blocks are
-known to recur, and each task sends one row for all of its copies. Anchors that
+Hot grams (one in HOT_SHARE of all) are found first, counted over all texts, and
+windows choose another one where they have it. What is left of hot anchors lies
+in passages that many texts share as a whole, or that repeat a few words; blocks
+of it that are hot themselves are known to recur, and each task sends one row for
+all of its copies. Anchors that
 still have more than GROUP different blocks are decided window by window, grouped
 by the window's words, and not in one task.
 
@@ -47,11 +48,13 @@ WINDOW = 35
 GRAM = 8
 #: Windows of one block, at most.
 MOST = WINDOW - GRAM + 1
-#: An anchor, or a block of a hot anchor, is hot with one in so many of all blocks.
-#: So there are never more hot ones than this.
-HOT_SHARE = 8192
-#: Blocks that make an anchor hot at least.
+#: A gram's slot is hot with one in so many of all grams, and a block of a hot gram
+#: with one in so many of all blocks. So there are never more hot ones than this.
+HOT_SHARE = 1 << 16
+#: Occurrences that are needed to be hot.
 HOT_LEAST = 64
+#: Slots that grams are counted in.
+SLOTS = 1 << 22
 #: Different blocks of one anchor that a task takes at once.
 GROUP = 50_000
 #: Bits of a rank that tell the place; a column of texts has fewer bytes.
@@ -82,10 +85,14 @@ def _in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - (SLOTS - 1).bit_length())).astype(np.int64)
+
+
 class Runs:
     """Blocks of a column of texts: for each, its row, the first and the last
     window (word positions of the whole column), its anchor's place and hash, and
-    whether that is hot. hot has sorted hashes of grams to avoid."""
+    whether that is hot. hot tells by slot which grams to avoid."""
 
     def __init__(self, w: blocks.Words, hot: np.ndarray):
         self.words = w
@@ -97,7 +104,7 @@ class Runs:
             return
         gram = np.arange(len(hashes) - GRAM + 1)
         grams = blocks.Rolling(hashes, 0).of(gram, gram + GRAM)
-        avoid = _in(grams, hot)
+        avoid = hot[_slot(grams)]
         # the same bits rank a gram in every batch, and of equals the first one counts
         rank = grams >> np.uint64(_PLACE + 1) << np.uint64(_PLACE) | gram.astype(np.uint64)
         rank |= avoid.astype(np.uint64) << np.uint64(63)
@@ -107,8 +114,7 @@ class Runs:
         self.first, self.last = at[new], at[np.append(new[1:] - 1, len(at) - 1)]
         self.place, self.row = place[new], w.row[at[new]]
         self.hot = avoid[self.place]
-        # blocks whose windows had other grams to choose must not meet those that hadn't
-        self.anchor = np.where(self.hot, blocks.mix(grams[self.place]), grams[self.place])
+        self.anchor = grams[self.place]
 
     def texts(self, of: np.ndarray) -> list[bytes]:
         """The words of some blocks, joined by one blank."""
@@ -125,41 +131,68 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _hot(docs: DataFrame, text: str, avoid: np.ndarray) -> np.ndarray:
-    """Sorted hot anchors, or with grams to avoid, the hot blocks that have to do
-    with one. Counted over all texts; a task sends what is frequent in itself."""
-    shared = docs.sparkSession.sparkContext.broadcast(avoid)
+def _hot_grams(docs: DataFrame, text: str) -> np.ndarray:
+    """Which of SLOTS slots of gram hashes are hot, counted over all grams. A task
+    sends the slots that are frequent in it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in blocks.steps(batch, text):
+                hashes = blocks.word_hashes(blocks.words(part.column(text)))
+                at = np.arange(max(0, len(hashes) - GRAM + 1))
+                n += np.bincount(_slot(blocks.Rolling(hashes, 0).of(at, at + GRAM)), minlength=SLOTS)
+        total = int(n.sum())
+        some = np.flatnonzero(n >= max(2, total // (2 * HOT_SHARE)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], total))], ["k", "n"])
+
+    sums = docs.select(text).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return _frequent(sums, "k < 0", np.zeros(SLOTS, bool))
+
+
+def _hot_blocks(docs: DataFrame, text: str, hot) -> np.ndarray:
+    """Sorted digests of the hot blocks among those with a hot anchor."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, total = shared.value, 0
-        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        total, keys, n = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
         fresh: list[np.ndarray] = []
 
         def fold() -> None:
             nonlocal keys, n, fresh
-            values = np.concatenate([keys, *fresh])
-            group, found = pd.factorize(values)
-            n = np.bincount(group, weights=np.concatenate([n, np.ones(len(values) - len(keys), np.int64)]), minlength=len(found)).astype(np.int64)
+            group, found = pd.factorize(np.concatenate([keys, *fresh]))
+            weights = np.concatenate([n, np.ones(len(group) - len(keys), np.int64)])
+            n = np.bincount(group, weights=weights, minlength=len(found)).astype(np.int64)
             keys, fresh = found, []
 
         for batch in batches:
             for part in blocks.steps(batch, text):
-                r = Runs(blocks.words(part.column(text)), hot)
-                total += len(r.anchor)
-                fresh.append(r.digests(np.flatnonzero(r.hot)).view(np.uint64) if len(hot) else r.anchor)
+                r = Runs(blocks.words(part.column(text)), hot.value)
+                total += len(r.first)
+                fresh.append(r.digests(np.flatnonzero(r.hot)))
                 if sum(map(len, fresh)) > 1 << 20:
                     fold()
                     keep = n > 1 + total // (4 * HOT_SHARE)
                     keys, n = keys[keep], n[keep]
         fold()
         keep = n >= max(2, total // (2 * HOT_SHARE))
-        out = np.append(keys[keep].view(np.int64), 0)
-        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(np.append(n[keep], total)), pa.array(np.append(np.zeros(len(out) - 1, bool), True))], ["k", "n", "whole"])
+        whole = np.append(np.zeros(keep.sum(), bool), True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[keep], 0)), pa.array(np.append(n[keep], total)), pa.array(whole)], ["k", "n", "whole"])
+
+    sums = docs.select(text).mapInArrow(count, "k long, n long, whole boolean").groupBy("k", "whole").agg(F.sum("n").alias("n"))
+    return _frequent(sums, "whole", None)
+
 
-    sums = blocks.cut(docs.select(text).mapInArrow(count, "k long, n long, whole boolean").groupBy("k", "whole").agg(F.sum("n").alias("n")))
-    total = sums.where("whole").agg(F.max("n")).first()[0] or 0
-    found = sums.where(~F.col("whole") & (F.col("n") >= max(HOT_LEAST, total // HOT_SHARE))).select("k").toArrow()
-    return np.sort(found.column("k").to_numpy().view(np.uint64))
+def _frequent(sums: DataFrame, whole: str, table: np.ndarray | None) -> np.ndarray:
+    """Of counts (k, n) next to the row of their total: the frequent k, at most
+    HOT_SHARE or so, sorted or as marks in a table."""
+    sums = blocks.cut(sums)
+    total = sums.where(whole).agg(F.max("n")).first()[0] or 0
+    found = sums.where(f"NOT ({whole})").where(F.col("n") >= max(HOT_LEAST, total // HOT_SHARE)).select("k").toArrow()
+    found = found.column("k").to_numpy()
+    if table is None:
+        return np.sort(found.view(np.uint64))
+    table[found] = True
+    return table
 
 
 def _known(docs: DataFrame, text: str, key: str, hot, copies) -> DataFrame:
@@ -351,9 +384,9 @@ def substring_dedup(docs: DataFrame, text: str = "text", counts: bool = False) -
     docs = docs.select(*(F.col(f"`{f.name}`").alias(c.name) for f, c in zip(rest, carried)), F.col(f"`{text}`").alias("text__"), F.xxhash64(*(f"`{c}`" for c in plain)).alias("key__"))
 
     sc = spark.sparkContext
-    anchors = _hot(docs, "text__", np.zeros(0, np.uint64))
-    hot = sc.broadcast(anchors)
-    copies = sc.broadcast(_hot(docs, "text__", anchors) if len(anchors) else anchors)
+    grams = _hot_grams(docs, "text__")
+    hot = sc.broadcast(grams)  # SLOTS marks at any corpus size
+    copies = sc.broadcast(_hot_blocks(docs, "text__", hot) if grams.any() else np.zeros(0, np.uint64))
     known = _known(docs, "text__", "key__", hot, copies)
     lists = known.groupBy("key").agg(F.collect_set(F.struct("at", "digest", "kind")).alias("known__")).withColumnRenamed("key", "key__")
     made = T.StructType([T.StructField("m__", T.StructType(added.fields))])
