@@ -7,7 +7,7 @@ import plain
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textloom.llm import lm, packing, token_counts, vocab
+from textloom.llm import frequent, lm, packing, token_counts, vocab
 
 
 def ids_of(text):
@@ -21,7 +21,9 @@ def test_ids_are_the_library_s(rows):
     ids, ends = vocab.piece_ids(pa.array(texts, pa.string()), vocab.vocabulary_path())
     expected = [ids_of(t) for t in texts]
     assert [ids[ends[i] : ends[i + 1]].tolist() for i in range(len(texts))] == expected
-    assert vocab.piece_counts(pa.array(texts, pa.string()), vocab.vocabulary_path()).tolist() == list(map(len, expected))
+    codes, distinct, ends = vocab.pre_tokens(pa.array(texts, pa.string()))
+    n = vocab.pieces_of(distinct.to_pylist(), vocab.vocabulary_path())[codes]
+    assert [int(n[a:b].sum()) for a, b in zip(ends[:-1], ends[1:])] == list(map(len, expected))
 
 
 def test_token_counts(docs, rows, empty):
@@ -48,6 +50,21 @@ def check_packing(out, table):
     return len(bins)
 
 
+def test_token_counts_beyond_the_head(spark, docs, rows, monkeypatch):
+    """Rare and very long pre-tokens, repeated rows, and columns with clashing names."""
+    monkeypatch.setattr(frequent, "HEAD", 20)
+    assert len(frequent.head(spark.createDataFrame([(bytes([i]), i) for i in range(1, 100)], "token binary, n long"), 20)) <= 20
+    extra = docs.withColumn("N_Tokens", F.lit("x")).withColumn("pieces", F.lit("y")).withColumn("row__", F.lit(1))
+    long = spark.createDataFrame([(-1, "a" * 100_000 + " " + "é'" * 50_000, None, None, 0)], docs.schema)
+    extra = extra.unionByName(long, allowMissingColumns=True)
+    out = token_counts.token_counts(extra.unionByName(extra))
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "pieces", "row__", "n_bytes", "n_tokens", "over_limit"]
+    tokenizer = vocab.load(vocab.vocabulary_path())
+    texts = {i: t or "" for i, t, *_ in rows} | {-1: "a" * 100_000 + " " + "é'" * 50_000}
+    found = {(r.doc_id, r.n_bytes, r.n_tokens): r.n for r in out.groupBy("doc_id", "n_bytes", "n_tokens").agg(F.count("*").alias("n")).collect()}
+    assert found == {(i, len(t.encode()), len(tokenizer.encode(t, add_special_tokens=False).ids)): 2 for i, t in texts.items()}
+
+
 def test_packing(docs, rows, empty):
     out = packing.pack(docs.select("doc_id", "text")).collect()
     bins = check_packing(out, [(r[0], r[1]) for r in rows])

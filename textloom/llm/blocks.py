@@ -22,8 +22,9 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that one vectorised step handles; longer texts are a step of their own.
 STEP_BYTES = 2 << 20
@@ -131,6 +132,17 @@ def others(docs: DataFrame, text: str, added: Iterable[str]) -> list:
     return [f for f in docs.schema.fields if f.name.lower() not in gone]
 
 
+def renamed(docs: DataFrame, fields: list, text: str) -> tuple[DataFrame, list[T.StructField]]:
+    """The rows with the fields under names that can't clash, the text as text__,
+    and those names' fields."""
+    carried = [T.StructField(f"c{i}__", f.dataType) for i, f in enumerate(fields)]
+    return docs.select(*(F.col(f"`{f.name}`").alias(c.name) for f, c in zip(fields, carried)), F.col(f"`{text}`").alias("text__")), carried
+
+
+def restored(fields: list, carried: list) -> list[Column]:
+    return [F.col(c.name).alias(f.name) for f, c in zip(fields, carried)]
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about `most` bytes, one row at least."""
     if not batch.num_rows:

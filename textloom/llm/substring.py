@@ -378,10 +378,8 @@ def substring_dedup(docs: DataFrame, text: str = "text", counts: bool = False) -
     order = docs.columns
     added = _DIGESTS if counts else T.StructType([T.StructField(text, T.StringType())])
     rest = blocks.others(docs, text, added.names)
-    # columns are carried under names of their own, so that none can clash
-    carried = [T.StructField(f"c{i}__", f.dataType) for i, f in enumerate(rest)]
-    plain = [c for c, t in docs.dtypes if not t.startswith("map")]
-    docs = docs.select(*(F.col(f"`{f.name}`").alias(c.name) for f, c in zip(rest, carried)), F.col(f"`{text}`").alias("text__"), F.xxhash64(*(f"`{c}`" for c in plain)).alias("key__"))
+    docs, carried = blocks.renamed(docs, rest, text)
+    docs = docs.withColumn("key__", F.xxhash64(*(c for c, t in docs.dtypes if not t.startswith("map"))))
 
     sc = spark.sparkContext
     grams = _hot_grams(docs, "text__")
@@ -480,7 +478,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", counts: bool = False) -
     left = settled.where("z__ IS NOT NULL").select(*names, "key__", "z__", "whole__", edges.alias("edges__"))
     late = left.join(masks, "key__", "left").select(*names, "z__", "whole__", "edges__", "masks__").mapInArrow(finish, closed)
     out = settled.where("z__ IS NULL").select(*names, "m__").unionByName(late)
-    out = out.select(*(F.col(c.name).alias(f.name) for f, c in zip(rest, carried)), *(F.col(f"m__.`{n}`").alias(n) for n in added.names))
+    out = out.select(*blocks.restored(rest, carried), *(F.col(f"m__.`{n}`").alias(n) for n in added.names))
     return out if counts else out.select(*(f"`{c}`" for c in order))
 
 

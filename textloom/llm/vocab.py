@@ -106,13 +106,53 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
 
 
-def piece_counts(texts: pa.Array, path: str) -> np.ndarray:
-    """Number of pieces of each text: the counts of its pre-tokens, looked up by
-    pre-token and summed."""
+#: Printable ASCII without the characters of _PLAIN's gap.
+_ASCII = blocks._table(b for b in range(0x21, 0x7F) if b not in b"'<")
+#: Kinds of a plain word's bytes: letters (also those of two bytes), digits, others.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = 0
+_KIND[0x30:0x3A] = 1
+
+
+def pre_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Code of each pre-token, the distinct pre-tokens, and offsets by text. Plain
+    words are split into the vocabulary's own pre-tokens, in lower case: runs of
+    letters, single digits, runs of other characters. Another word is one."""
     w = blocks.words(texts)
-    codes, distinct = w.codes
-    _, ends = encoded(distinct, path)
-    return blocks.per_row(np.diff(ends)[codes], w.ends)
+    data = blocks.LOWER[w.data]
+    lead = np.zeros(len(data), bool)
+    lead[1:] = data[:-1] == 0xC3
+    letter = lead & (data >= 0x80) & (data < 0xC0) & (data != 0x97) & (data != 0xB7)
+    before = np.zeros(len(data), bool)
+    before[:-1] = letter[1:]
+    odd = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(w.inside & ~(_ASCII[data] | letter | (data == 0xC3) & before), out=odd[1:])
+    plain = odd[w.stops] == odd[w.starts]
+    upper = letter & (data < 0x9F)
+    inside = w.inside
+    ours = np.repeat(plain, w.stops - w.starts)  # by byte inside a word
+    found = np.where(ours, np.where(upper, data + 0x20, data)[inside], w.data[inside])
+    kind = _KIND[found]
+    sizes = w.stops - w.starts
+    first = np.zeros(len(found), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    starts = np.flatnonzero(first | ours & np.append(False, (kind[1:] != kind[:-1]) | (kind[1:] == 1))[: len(found)])
+    codes, distinct = blocks.coded(blocks.binary(found, np.append(starts, len(found))))
+    edges = np.concatenate([[0], np.cumsum(sizes)])[w.ends]
+    return codes, distinct, np.searchsorted(starts, edges)
+
+
+def pieces_of(tokens: list[bytes], path: str) -> np.ndarray:
+    """Number of pieces of each pre-token."""
+    t, shown = load(path), _SHOWN
+    out = []
+    for token in tokens:
+        text = token.decode()
+        if _PLAIN.fullmatch(text):
+            out.append(len(t.model.tokenize("".join(map(shown.__getitem__, token)))))
+        else:
+            out.append(len(t.encode(text, add_special_tokens=False)))
+    return np.array(out, np.int64)
 
 
 def piece_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
