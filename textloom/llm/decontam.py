@@ -9,9 +9,10 @@ place must have room for the window (length bound), and its words are compared
 one by one (verification).
 
 Defined cases: null and empty texts have no words and no hits; items without
-words have no windows; repeated item ids are one item; an item without an id counts as the empty id; repeated documents
-are judged one by one; an empty benchmark hits nothing; an empty table gives an
-empty result.
+words have no windows; repeated item ids are one item; an item without an id
+counts as the empty id; repeated documents are judged one by one; a very long text
+is one step of its own; an empty benchmark hits nothing; an empty table gives an
+empty result; an input column with the name of an added one is replaced by it.
 """
 
 from __future__ import annotations
@@ -47,24 +48,27 @@ class Index:
     items: list[str]
     shingles: np.ndarray  # sorted distinct keys of all windows' shingles
     of: np.ndarray  # (n, WINDOW - SHINGLE + 1): positions in shingles, -1 behind the end
+    heads: np.ndarray  # sorted distinct keys of all shingles' first two words
     prefix: np.ndarray | None = None  # window's offset of its rarest shingle
 
+    def pairs(self, codes: np.ndarray) -> np.ndarray:
+        """One key for the first two of each SHINGLE codes; -1 is no word."""
+        return (codes[..., 0].astype(np.int64) + 1) * np.int64(len(self.words) + 1) + codes[..., 1] + 1
+
     def keys(self, codes: np.ndarray) -> np.ndarray:
-        """One key for each run of up to SHINGLE codes; -1 is no word of the index
-        in it. A short window has a shingle of its own length."""
-        base = np.int64(len(self.words) + 1)
-        out = codes[..., 0].astype(np.int64) + 1
-        for k in range(1, codes.shape[-1]):
-            out = out * base + codes[..., k] + 1
-        return out
+        """One key for each SHINGLE codes, or -1 where no shingle of the index has
+        the first two. Places among the heads keep a key below 2 ** 62 for any block."""
+        pairs = self.pairs(codes)
+        if not len(self.heads):
+            return np.full(pairs.shape, -1, np.int64)
+        at = np.minimum(np.searchsorted(self.heads, pairs), len(self.heads) - 1)
+        return np.where(self.heads[at] == pairs, at * np.int64(len(self.words) + 1) + codes[..., 2] + 1, -1)
 
 
 def build(items: list[tuple[str, pa.Scalar]]) -> Index:
     """The index of items given as (id, text)."""
     w = blocks.words(pa.array([t for _, t in items], pa.string()), blocks.ALNUM, lower=True)
     codes, distinct = w.codes
-    if len(distinct) >= 1 << 20:
-        raise ValueError("a block of the benchmark must have fewer than 2 ** 20 distinct words")
     windows, lengths, owner = [], [], []
     for i in range(len(items)):
         own = codes[w.ends[i] : w.ends[i + 1]]
@@ -77,8 +81,9 @@ def build(items: list[tuple[str, pa.Scalar]]) -> Index:
             owner.append(i)
     windows = np.array(windows, np.int64).reshape(-1, WINDOW)
     lengths = np.array(lengths, np.int64)
-    index = Index(distinct, windows, lengths, np.array(owner, np.int64), [i for i, _ in items], np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
+    index = Index(distinct, windows, lengths, np.array(owner, np.int64), [i for i, _ in items], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), np.zeros(0, np.int64))
     runs = np.stack([windows[:, k : k + SHINGLE] for k in range(WINDOW - SHINGLE + 1)], axis=1)
+    index.heads = np.unique(index.pairs(runs))
     keys = index.keys(runs)
     # a run is the window's own where it ends inside; a window shorter than a
     # shingle has its only run at 0, padded alike on both sides
@@ -213,8 +218,8 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     contaminated. An input column of such a name is replaced."""
     blocks.small_batches(docs.sparkSession)
     added = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, contaminated boolean")
-    rest = [f for f in docs.schema.fields if f.name not in added.names]
-    docs = docs.select(*(f.name for f in rest))
+    rest = blocks.others(docs, "", added.names)
+    docs = docs.select(*(f"`{f.name}`" for f in rest))
     shared = indexes(docs, benchmark, text, item, item_text, block_words)
     carried = T.StructType(rest + T.StructType.fromDDL("hits__ array<int>, items__ array<string>").fields)
 
