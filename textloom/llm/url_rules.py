@@ -1,22 +1,25 @@
 """URL rules as a sort-merge range join with a stack of nested rules.
 
-A host's canonical key is its labels reversed, each closed by a separator that
-sorts before any host character. A rule then covers an interval of keys: its
-host and all subdomains. Rules and hosts are swept together in key order. The
-intervals are nested or disjoint, so the rules open at a host are the last rule
-begun before it with that rule's own enclosing rules, without those that have
-ended: the sweep's stack. Path prefixes nest in the same way and are decided on
-the stack, longest rule first.
-
-The sweep runs over distinct hosts, so that a hot host is one row. Rules never
-cross top-level labels, which are the sweep's partitions; a label with many
-hosts is dealt out into several, each with a copy of the label's rules.
+A host's canonical key is its labels reversed, each closed by a separator that no
+label has (its characters are escaped). A rule's host then covers an interval of
+keys: itself and all subdomains. Rule hosts and page hosts are swept together in
+key order. Intervals are nested or disjoint, so those open at a host are that of
+the last rule host begun before it and the ones around that, without those that
+have ended: the sweep's stack, at most one for each label. Path prefixes nest in
+the same way: a second sweep, for each rule host in the order of paths, finds the
+rules that fit, and the longest of all wins. A stack holds what is nested, never
+all rules of a host.
+
+The sweeps run over distinct hosts and distinct paths, so that a hot page is one
+row. They are dealt out by top-level label and by rule host; one with many points
+is dealt into several parts, each with a copy of its rules.
 
 Defined cases: a null url, or one without "://", has an empty host and path and
 fits no rule; so does an empty url path, since every rule's path begins with "/";
 a rule without a host fits nothing; of equal rules one stays, block before
-allow; repeated rows are judged one by one; empty tables give empty results or
-default verdicts; an input column with the name of an added one is replaced.
+allow; very long urls are handled like others; repeated rows are judged one by
+one; empty tables give empty results or default verdicts; an input column with
+the name of an added one is replaced, other columns are carried.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Closes each label of a key.
-_SEP = "\x01"
-#: Hosts of one top-level label that one partition of the sweep takes.
-HOSTS = 200_000
+#: Closes each label of a key; a label's own such characters follow an escape.
+_SEP, _ESC = "\x01", "\x02"
+#: Points of one group that one partition of a sweep takes.
+POINTS = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -48,65 +51,62 @@ def _after_scheme(url: Column) -> Column:
 
 
 def key_of(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), _SEP), F.lit(_SEP))
-
-
-def _top(key: Column) -> Column:
-    return F.substring_index(key, _SEP, 1)
-
-
-def stacks(rules: DataFrame) -> DataFrame:
-    """(key, stack): each distinct rule host with its own rules and those of the
-    hosts around it, found by an equi-join on the enclosing keys."""
-    rule = F.struct("key", "path", "rule", "verdict")
-    own = rules.groupBy("key").agg(F.collect_list(rule).alias("own"))
-    labels = F.split(F.col("key"), _SEP)
-    around = rules.select("key").distinct().select(
-        "key",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), _SEP), F.lit(_SEP)))).alias("outer"),
-    )
-    return (
-        around.join(own.withColumnRenamed("key", "outer"), "outer")
-        .groupBy("key").agg(F.flatten(F.collect_list("own")).alias("stack"))
+    plain = F.replace(F.replace(host, F.lit(_ESC), F.lit(_ESC + "2")), F.lit(_SEP), F.lit(_ESC + "1"))
+    return F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), _SEP), F.lit(_SEP))
+
+
+def nested(rules: DataFrame, group: str, at: str, around: Column, carried: Column) -> DataFrame:
+    """(group, at, stack): each rule with those around it, itself included, found by
+    an equi-join on the values of `around`; of each, what `carried` says."""
+    outer = rules.select(group, at, F.explode(around).alias("outer"))
+    own = rules.select(F.col(group).alias("of__"), F.col(at).alias("outer"), carried.alias("one"))
+    found = outer.join(own, (F.col(group) == F.col("of__")) & (outer["outer"] == own["outer"]))
+    return found.groupBy(group, at).agg(F.collect_list("one").alias("stack"))
+
+
+def sweep(points: DataFrame, rules: DataFrame, group: str, at: str, most: int) -> DataFrame:
+    """(group, at, stack) of the distinct points (group, at) inside an interval:
+    the rules open there. Rules are (group, at, stack)."""
+    # only groups that have rules; as many parts each as its points ask for
+    sizes = points.join(rules.select(group).distinct(), group, "left_semi").groupBy(group).agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    begun = rules.join(sizes, group).select(group, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), at, "stack", F.lit(0).alias("point"))
+    asked = points.join(sizes, group).select(
+        group, F.pmod(F.xxhash64(at), F.col("parts").cast("long")).cast("int").alias("part"), at, F.lit(None).cast(rules.schema["stack"].dataType).alias("stack"), F.lit(1).alias("point")
     )
+    order = Window.partitionBy(group, "part").orderBy(at, "point").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = F.filter("stack", lambda r: F.col(at).startswith(r[at]))
+    events = begun.unionByName(asked).withColumn("stack", F.last("stack", ignorenulls=True).over(order))
+    return events.where("point = 1").select(group, at, open_.alias("stack")).where(F.size("stack") > 0)
 
 
-def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", hosts: int = HOSTS) -> DataFrame:
+def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", points: int = POINTS) -> DataFrame:
     """All rows of pages with host, path, rule (host and path of the longest that
     fits, or null) and verdict. rules has the columns verdict, host and path."""
     added = ("host", "path", "rule", "verdict")
-    pages = pages.select(*(c for c in pages.columns if c not in added), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rest = [c for c in pages.columns if c.lower() not in added]
+    pages = pages.select(*(F.col(f"`{c}`").alias(f"c{i}__") for i, c in enumerate(rest)), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rules = (
         rules.where("host <> ''")
         .select(key_of(F.col("host")).alias("key"), F.col("path"), F.concat("host", "path").alias("rule"), "verdict")
         .groupBy("key", "path", "rule").agg(F.max("verdict").alias("verdict"))  # block after allow
     )
-    begun = stacks(rules).withColumn("top", _top(F.col("key")))
-    swept = pages.where("host <> ''").select("host").distinct().withColumn("key", key_of(F.col("host"))).withColumn("top", _top(F.col("key")))
-    # only labels that have rules; as many partitions each as its hosts ask for
-    sizes = swept.join(begun.select("top").distinct(), "top", "left_semi").groupBy("top").agg(F.ceil(F.count("*") / hosts).cast("int").alias("parts"))
-    events = (
-        begun.join(sizes, "top")
-        .select("top", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", F.lit(None).cast("string").alias("host"), "stack")
-        .unionByName(
-            swept.join(sizes, "top").select(
-                "top", F.pmod(F.xxhash64("host"), F.col("parts").cast("long")).cast("int").alias("part"), "key", "host",
-                F.lit(None).cast("array<struct<key:string,path:string,rule:string,verdict:string>>").alias("stack"),
-            )
-        )
-    )
-    order = Window.partitionBy("top", "part").orderBy("key", F.col("host").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        events.withColumn("stack", F.last("stack", ignorenulls=True).over(order))
-        .where("host IS NOT NULL")
-        .select("host", F.filter("stack", lambda r: F.col("key").startswith(r["key"])).alias("stack"))
-        .where(F.size("stack") > 0)
-    )
-    fits = F.filter("stack", lambda r: F.col("path").startswith(r["path"]))
-    longest = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), F.length(r["key"]).alias("h"), r["verdict"].alias("verdict"), r["rule"].alias("rule"))))
-    judged = pages.join(found, "host", "left").withColumn("best", longest)
+    top = F.substring_index(F.col("key"), _SEP, 1).alias("top")
+    closings = F.filter(F.sequence(F.lit(1), F.length("key")), lambda i: F.col("key").substr(i, F.lit(1)) == _SEP)
+    outer_keys = F.transform(closings, lambda i: F.substring("key", F.lit(1), i))
+    hosts = pages.where("host <> ''").select("host").distinct().withColumn("key", key_of(F.col("host")))
+    begun = nested(rules.select(top, "key").distinct(), "top", "key", outer_keys, F.struct("key"))
+    open_ = sweep(hosts.select(top, "key"), begun, "top", "key", points)
+    # where a page's host is inside rule hosts: its path, under each of them
+    under = hosts.join(open_, "key").select("host", "stack")
+    asked = pages.select("host", "path").distinct().join(under, "host").select("host", "path", F.explode("stack.key").alias("key"))
+    outer_paths = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring("path", F.lit(1), i))
+    verdict = F.struct("path", F.length("rule").alias("n"), F.length("key").alias("h"), "verdict", "rule")
+    fits = sweep(asked.select("key", "path").distinct(), nested(rules, "key", "path", outer_paths, verdict), "key", "path", points)
+    longest = F.array_max(F.transform("stack", lambda r: F.struct(r["n"].alias("n"), r["h"].alias("h"), r["verdict"].alias("verdict"), r["rule"].alias("rule"))))
+    best = asked.join(fits.select("key", "path", longest.alias("best")), ["key", "path"]).groupBy("host", "path").agg(F.max("best").alias("best"))
+    judged = pages.join(best, ["host", "path"], "left")
     return judged.select(
-        *(c for c in pages.columns if c not in added), "host", "path", F.col("best.rule").alias("rule"),
+        *(F.col(f"c{i}__").alias(c) for i, c in enumerate(rest)), "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
 
