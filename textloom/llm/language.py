@@ -7,11 +7,14 @@ over all pages, against the text's own verdict. The prior comes from the host:
 counts of all its pages, smoothed towards its domain, that towards its suffix,
 that towards all pages. All counts are grouped sums.
 
-Defined cases: a page without text has no text evidence; a missing or unknown
-declaration counts as its own value; a null url has the empty host and suffix;
-pages with no evidence at all get the most common language; repeated rows are
-judged one by one; an empty table gives an empty result; ties go to the language
-that sorts first; an input column with the name of an added one is replaced.
+Defined cases: a page without trigrams has no text evidence, a null text_lang, and
+is left out of all counts; a missing or unknown declaration counts as its own
+value; a null url has the empty host and suffix; pages with no evidence at all get
+the most common language; repeated rows are judged one by one; a very long page is
+one step of its own; an empty table gives an empty result; ties go to the language
+that sorts first; an input column with the name of an added one is replaced, other
+columns are carried whatever their names. The model knows the LABELS most frequent
+labels of its sample.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from textloom.llm.url_rules import host_of
 
 #: Labelled texts, about, that the trigram model is fitted on.
 SAMPLE_ROWS = 20_000
+#: Labels that it can tell apart.
+LABELS = 256
 #: Slots that trigrams are hashed to.
 SLOTS = 1 << 16
 #: Weight of a level's parent in the host prior, as pages.
@@ -71,13 +76,15 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_row
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks.steps(batch, text):
-                slots, ends = _slots(part.column(text))
-                labels, names = blocks.coded(part.column(label).cast(pa.large_string()))
+            for part in blocks.steps(batch):
+                slots, ends = _slots(part.column("text"))
+                labels, names = blocks.coded(part.column("label").cast(pa.large_string()))
                 keys, n = np.unique(np.repeat(labels, np.diff(ends)) * SLOTS + slots, return_counts=True)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(keys // SLOTS)).cast(pa.string()), pa.array(keys % SLOTS), pa.array(n.astype(np.int64))], ["lang", "slot", "n"])
 
-    chosen = blocks.about(labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()), sample_rows).select(text, label)
+    chosen = blocks.about(labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()), sample_rows).select(F.col(text).alias("text"), F.col(label).alias("label"))
+    known = chosen.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS)
+    chosen = chosen.join(F.broadcast(known.select("label")), "label", "left_semi").select("text", "label")
     sums = chosen.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(sums.column("lang").to_pylist()))
     n = np.full((SLOTS, len(names)), 0.5)
@@ -88,7 +95,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_row
 
 def text_evidence(pages: DataFrame, names: list[str], logs: np.ndarray, html: str = "html") -> DataFrame:
     """All columns but the html, with declared (markup language, lower case) and
-    evidence (tempered log likelihoods of the text)."""
+    evidence (tempered log likelihoods of the text; null without a trigram)."""
     blocks.small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(logs.astype(np.float32))
     rest = [f for f in pages.schema.fields if f.name not in (html, "declared", "evidence")]
@@ -108,7 +115,7 @@ def text_evidence(pages: DataFrame, names: list[str], logs: np.ndarray, html: st
                 yield pa.RecordBatch.from_arrays(
                     [part.column(f.name) for f in rest]
                     + [pa.array([m and m[1].lower() for m in heads], pa.string()),
-                       pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * k, pa.int32()), pa.array(found.ravel()))],
+                       pa.array([x if n else None for x, n in zip(found.tolist(), np.diff(ends).tolist())], pa.list_(pa.float64()))],
                     schema.names,
                 )
 
@@ -119,38 +126,43 @@ def _argmax(scores: Column, names: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), F.array_position(scores, F.array_max(scores)).cast("int"))
 
 
+def _counts(names: list[str]) -> list[Column]:
+    """Pages of each verdict; those without one count for none."""
+    return [F.count(F.when(F.col("verdict") == x, 1)).cast("double").alias(f"n{i}") for i, x in enumerate(names)]
+
+
 def _believed(pages: DataFrame, column: str, names: list[str]) -> DataFrame:
     """Log probability of each value of a column in each language, add-one, from
-    all pages and the text's verdict."""
-    n = pages.groupBy(column).agg(*(F.sum((F.col("verdict") == x).cast("double")).alias(f"n{i}") for i, x in enumerate(names)))
-    total = pages.groupBy().agg(*(F.sum((F.col("verdict") == x).cast("double")).alias(f"t{i}") for i, x in enumerate(names)), F.countDistinct(column).alias("v"))
-    row = total.first()  # one row
-    logs = [F.log((F.col(f"n{i}") + 1) / F.lit(float((row[f"t{i}"] or 0) + row["v"] + 1))) for i in range(len(names))]
+    all pages with a verdict."""
+    n = pages.groupBy(column).agg(*_counts(names))
+    row = pages.groupBy().agg(*_counts(names), F.countDistinct(column).alias("v")).first()  # one row
+    logs = [F.log((F.col(f"n{i}") + 1) / F.lit(row[f"n{i}"] + row["v"] + 1.0)) for i in range(len(names))]
     return n.select(column, F.array(*logs).alias(f"by_{column}"))
 
 
 def identify(pages: DataFrame, names: list[str], logs: np.ndarray, url: str = "url", html: str = "html", parent: float = PARENT) -> DataFrame:
     """All columns but the html, with lang, probability, text_lang, declared,
     suffix and host_prior (probabilities by language, in the order of names)."""
-    added = ("lang", "probability", "text_lang", "declared", "suffix", "host_prior")
-    rest = [c for c in pages.columns if c not in (*added, html, "host", "domain", "verdict", "evidence")]
-    seen = text_evidence(pages.select(*rest, html), names, logs, html)
+    rest = blocks.others(pages, html, ("lang", "probability", "text_lang", "declared", "suffix", "host_prior"))
+    named = pages.withColumn("url__", F.col(url))
+    pages, carried = blocks.renamed(named, [*rest, named.schema["url__"]], html)
+    at = carried.pop().name
     labels = F.split("host", r"\.")
     seen = (
-        seen.withColumn("host", host_of(F.col(url)))
+        text_evidence(pages, names, logs, "text__")
+        .withColumn("host", host_of(F.col(at)))
         .withColumn("suffix", F.element_at(labels, -1))
         .withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."))
         .withColumn("declared", F.coalesce("declared", F.lit("")))
-        .withColumn("verdict", _argmax(F.col("evidence"), names))
+        .withColumn("verdict", F.when(F.col("evidence").isNotNull(), _argmax(F.col("evidence"), names)))
     )
     seen = blocks.cut(seen)
     # the host prior, level by level: (own counts + PARENT * parent's share) / (pages + PARENT)
     k = range(len(names))
-    level = seen.groupBy("suffix", "domain", "host").agg(*(F.sum((F.col("verdict") == names[i]).cast("double")).alias(f"c{i}") for i in k))
-    level = blocks.cut(level)
+    level = blocks.cut(seen.groupBy("suffix", "domain", "host").agg(*_counts(names)))
 
     def sums(*keys: str) -> DataFrame:
-        return level.groupBy(*keys).agg(F.array(*(F.sum(f"c{i}") for i in k)).alias("c"))
+        return level.groupBy(*keys).agg(F.array(*(F.sum(f"n{i}") for i in k)).alias("c"))
 
     def smooth(c: str, above: Column) -> Column:
         total = F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x)
@@ -168,11 +180,12 @@ def identify(pages: DataFrame, names: list[str], logs: np.ndarray, url: str = "u
         .join(_believed(seen, "suffix", names), "suffix")
     )
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    logp = plus(plus("evidence", "by_declared"), plus("by_suffix", F.transform("host_prior", lambda p: F.log(p))))
+    text = F.coalesce("evidence", F.array(*(F.lit(0.0) for _ in k)))
+    logp = plus(plus(text, "by_declared"), plus("by_suffix", F.transform("host_prior", lambda p: F.log(p))))
     judged = judged.withColumn("logp", logp)
     weights = F.transform("logp", lambda x: F.exp(x - F.array_max("logp")))
     return judged.select(
-        *rest, _argmax(F.col("logp"), names).alias("lang"),
+        *blocks.restored(rest, carried), _argmax(F.col("logp"), names).alias("lang"),
         (F.lit(1.0) / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)).alias("probability"),
         F.col("verdict").alias("text_lang"), "declared", "suffix", "host_prior",
     )
