@@ -1,4 +1,7 @@
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ def test_url_rules(spark, hosts):
     urls = list(enumerate(ODD + made + made[:5]))
     pages = spark.createDataFrame(urls, "page_id long, url string").withColumn("verdict", F.lit(7))
     table = spark.createDataFrame(rules, "verdict string, host string, path string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.apply_rules(pages, table, hosts=hosts).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.apply_rules(pages, table, points=hosts).collect()}
     assert got == {i: judge(u, rules) for i, u in urls}
     assert url_rules.apply_rules(pages.limit(0), table).count() == 0
     none = url_rules.apply_rules(pages, table.limit(0))
@@ -64,6 +67,25 @@ def test_a_lost_commit_race_leaves_the_store(spark, docs, tmp_path):
     assert b.read().count() == docs.count()
 
 
+def test_separators_in_hosts_and_many_rules_of_one_host(spark):
+    """Hosts hold any character; a host has many path rules, some nested."""
+    hosts = ["example.net", "a.example.net", "example\x01y.net", "\x01.net", "\x02.net", "net", "x\x02.\x011.net", "org", "example\x02.net", ".net", "net."]
+    paths = ["/", "/a", "/a/", "/a/b", "/a/b/c", "/b", "/\x01", "/é/x", "/a0", ""]
+    rules = [("block", "net", "/"), ("allow", "example.net", "/a"), ("block", "example.net", "/a/b"), ("allow", "example.net", "/b"), ("block", "x\x02.\x011.net", "/"), ("allow", "", "/"), ("block", "example.net", "/b")]
+    rules += [("allow", "example.net", f"/a/{i}") for i in range(200)]
+    urls = [(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in paths)]
+    pages = spark.createDataFrame(urls, "page_id long, url string").withColumn("stack", F.lit(1)).withColumn("RULE", F.lit(2))
+    for points in (url_rules.POINTS, 2):
+        out = url_rules.apply_rules(pages, spark.createDataFrame(rules, "verdict string, host string, path string"), points=points)
+        assert out.columns == ["page_id", "url", "stack", "host", "path", "rule", "verdict"]
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()}
+        for i, u in urls:
+            host, path = judge(u, [])[:2]
+            fits = [(len(h + p), len(h), v, h + p) for v, h, p in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+            best = max(fits, default=(0, 0, "allow", None))
+            assert got[i] == (host, path, best[3], best[2]), u
+
+
 PAGES = [
     (0, "http://a.example.com/1", '<html lang="en"><body><p>the of and to in that with this from have</p></body></html>'),
     (1, "http://a.example.com/2", '<html lang="fr"><script>var the = 1</script><body>les des une est dans pour avec que qui sur</body></html>'),
@@ -100,11 +122,11 @@ def test_fusion_is_bayes_rule(spark, model):
     out = language.identify(pages, names, logs).collect()
     seen = {r.page_id: r.evidence for r in language.text_evidence(pages, names, logs).collect()}
     host = {r.page_id: judge(next(u for i, u, _ in PAGES if i == r.page_id), [])[0] for r in out}
-    rows = [(host[r.page_id], r.suffix, ".".join(host[r.page_id].split(".")[-2:]), r.declared, names.index(r.text_lang)) for r in out]
+    rows = [(host[r.page_id], r.suffix, ".".join(host[r.page_id].split(".")[-2:]), r.declared, names.index(r.text_lang) if r.text_lang else None) for r in out]
     total = [sum(x[4] == k for x in rows) for k in range(2)]
     for r in out:
         h = host[r.page_id]
-        prior = [(t + 1) / (len(rows) + 2) for t in total]
+        prior = [(t + 1) / (sum(total) + 2) for t in total]
         for at, key in ((1, r.suffix), (2, ".".join(h.split(".")[-2:])), (0, h)):
             own = [sum(x[at] == key and x[4] == k for x in rows) for k in range(2)]
             prior = [(o + language.PARENT * p) / (sum(own) + language.PARENT) for o, p in zip(own, prior)]
@@ -113,11 +135,39 @@ def test_fusion_is_bayes_rule(spark, model):
         for at, key in ((3, r.declared), (1, r.suffix)):
             values = len({x[at] for x in rows})
             like.append([(sum(x[at] == key and x[4] == k for x in rows) + 1) / (total[k] + values + 1) for k in range(2)])
-        logp = np.array(seen[r.page_id]) + np.log(like[0]) + np.log(like[1]) + np.log(prior)
+        logp = np.array(seen[r.page_id] or [0, 0]) + np.log(like[0]) + np.log(like[1]) + np.log(prior)
         p = np.exp(logp - logp.max())
         assert r.lang == names[int(logp.argmax())] and np.isclose(r.probability, (p / p.sum()).max())
 
 
+def test_pages_without_text_are_no_votes(spark, model):
+    names, logs = model
+    rows = [(i, f"http://h{i}.example.fr/", "les des une est dans pour avec que qui sur") for i in range(10)] + [(i, f"http://e{i}.example.fr/", "<p></p>") for i in range(10, 50)]
+    out = language.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), names, logs).collect()
+    assert {r.lang for r in out} == {"fr"}
+    assert all((r.text_lang is None) == (r.page_id >= 10) for r in out)
+
+
+def test_page_text_and_trigrams():
+    pages = ["<html><!-- a --><style>b {}</style><p class='x'>Ab&amp;Cé</p>d1e", None, "", "<script>x</script >", "ab", "z" * 5]
+    text = language.plain(pa.array(pages)).to_pylist()
+    assert [t.split() if t else t for t in text] == [["Ab".encode(), "Cé".encode(), b"d1e"], None, b"", [], [b"ab"], [b"zzzzz"]]
+    slots, ends = language._slots(language.plain(pa.array(pages)))
+    # letters of every text, one blank behind each run; trigrams that begin in a text are its own
+    runs = [re.findall(rb"[a-z\x80-\xff]+", (t or b"").lower()) for t in text]
+    joined = [b"".join(r + b" " for r in own) for own in runs]
+    stream = b"".join(joined)
+    expected = [((stream[i] << 16 | stream[i + 1] << 8 | stream[i + 2]) * 0x9E3779B1 % 2**32) >> 16 for i in range(len(stream) - 2)]
+    assert slots.tolist() == expected
+    assert ends.tolist() == [min(sum(map(len, joined[:i])), len(expected)) for i in range(len(pages) + 1)]
+
+
+def test_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "LABELS", 2)
+    rows = [("some words here", "aa")] * 3 + [("other words", "bb")] * 2 + [("few", "cc")]
+    assert language.fit(spark.createDataFrame(rows, "text string, lang string"))[0] == ["aa", "bb"]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 100")
     train = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) > 0)

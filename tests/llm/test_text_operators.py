@@ -258,3 +258,14 @@ def test_substring_equal_rows_and_clashing_columns(spark):
     assert out.columns == ["doc_id", "key__", "a.b", "n_words", "n_removed", "kept_sha256"]
     assert out.groupBy("n_removed", "key__").count().collect() == [(120, 2, 3000)]
     assert substring.substring_dedup(df).columns == df.columns
+
+
+def test_decontamination_with_more_words_than_a_million():
+    n = (1 << 20) + 50
+    index = decontam.build([("a", " ".join(f"{i:x}" for i in range(n)))])
+    assert len(index.words) == n and len(index.shingles) == n - 2
+    index.prefix = np.zeros(len(index.windows), np.int64)
+    text = " ".join(["none", *(f"{i:x}" for i in range(n - 30, n - 10)), "none"])
+    w = blocks.words(pa.array([text]), blocks.ALNUM, lower=True)
+    window, place = decontam._occurrences(w, index, decontam._by_prefix(index))
+    assert sorted(place.tolist()) == list(range(1, 12))

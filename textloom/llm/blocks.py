@@ -9,7 +9,7 @@ in Python.
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 #: Text bytes that one vectorised step handles; longer texts are a step of their own.
 STEP_BYTES = 2 << 20
-#: Rows that Spark hands to Python at once; bounds a worker's memory.
-BATCH_ROWS = 1024
+#: Rows and bytes that Spark hands to Python at once; a row is never cut.
+BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 
 
 def _table(members) -> np.ndarray:
@@ -48,9 +48,10 @@ LOWER[0x41:0x5B] += 32
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of the Arrow batches that later plans of this session use,
-    and lets its Python workers import this package."""
+    """Bounds the rows and bytes of the Arrow batches that later plans of this
+    session use, and lets its Python workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship(spark)
 
 
@@ -58,29 +59,35 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once a session, unless the workers'
-    path has it."""
-    package = Path(__file__).resolve().parents[1]
-    known = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED or package.parent in known or package.parent == Path.cwd():
+    """Sends the package to the executors, once a session."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED or _local(sc):
         return
+    package = Path(__file__).resolve().parents[1]
     folder = tempfile.mkdtemp(prefix="package-")  # the driver serves it from here
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     made = Path(folder, f"{package.name}.zip")
     with zipfile.ZipFile(made, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(made))
-    _SHIPPED.add(app)
+    sc.addPyFile(str(made))
+    _SHIPPED.add(sc.applicationId)
+
+
+def _local(sc) -> bool:
+    """Whether the workers are the driver's own."""
+    return re.fullmatch(r"local(\[.*\])?", sc.master) is not None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where that is unset (a
-    local run), a temporary one."""
+    """The folder that spark.checkpoint.dir names; only where that is unset, in a
+    local run, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not _local(sc):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return sc.getCheckpointDir()
 
 
