@@ -236,6 +236,7 @@ def test_substring_hot_anchors_and_large_groups(spark, monkeypatch):
     """A passage in many texts, a frequent phrase in changing company, and anchors
     with more blocks than a task takes."""
     monkeypatch.setattr(substring, "HOT_LEAST", 3)
+    monkeypatch.setattr(substring, "HOT_TOLD", 2)
     r = random.Random(5)
     say = lambda n: [f"v{r.randint(0, 10**6)}" for _ in range(n)]
     passage, phrase = say(60), say(8)

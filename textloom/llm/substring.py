@@ -51,8 +51,8 @@ MOST = WINDOW - GRAM + 1
 #: A gram's slot is hot with one in so many of all grams, and a block of a hot gram
 #: with one in so many of all blocks. So there are never more hot ones than this.
 HOT_SHARE = 1 << 16
-#: Occurrences that are needed to be hot.
-HOT_LEAST = 64
+#: Occurrences that are needed to be hot, in all and in a task that tells of them.
+HOT_LEAST, HOT_TOLD = 64, 8
 #: Slots that grams are counted in.
 SLOTS = 1 << 22
 #: Different blocks of one anchor that a task takes at once.
@@ -134,6 +134,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _hot_grams(docs: DataFrame, text: str) -> np.ndarray:
     """Which of SLOTS slots of gram hashes are hot, counted over all grams. A task
     sends the slots that are frequent in it."""
+    least = HOT_TOLD
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
@@ -143,7 +144,7 @@ def _hot_grams(docs: DataFrame, text: str) -> np.ndarray:
                 at = np.arange(max(0, len(hashes) - GRAM + 1))
                 n += np.bincount(_slot(blocks.Rolling(hashes, 0).of(at, at + GRAM)), minlength=SLOTS)
         total = int(n.sum())
-        some = np.flatnonzero(n >= max(2, total // (2 * HOT_SHARE)))
+        some = np.flatnonzero(n >= max(least, total // (2 * HOT_SHARE)))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], total))], ["k", "n"])
 
     sums = docs.select(text).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
@@ -152,6 +153,7 @@ def _hot_grams(docs: DataFrame, text: str) -> np.ndarray:
 
 def _hot_blocks(docs: DataFrame, text: str, hot) -> np.ndarray:
     """Sorted digests of the hot blocks among those with a hot anchor."""
+    least = HOT_TOLD
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, keys, n = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -174,7 +176,7 @@ def _hot_blocks(docs: DataFrame, text: str, hot) -> np.ndarray:
                     keep = n > 1 + total // (4 * HOT_SHARE)
                     keys, n = keys[keep], n[keep]
         fold()
-        keep = n >= max(2, total // (2 * HOT_SHARE))
+        keep = n >= max(least, total // (2 * HOT_SHARE))
         whole = np.append(np.zeros(keep.sum(), bool), True)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[keep], 0)), pa.array(np.append(n[keep], total)), pa.array(whole)], ["k", "n", "whole"])
 
