@@ -1,5 +1,6 @@
 import hashlib
 import random
+from fractions import Fraction
 
 import numpy as np
 import plain
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.llm import blocks, decontam, quality, simhash, substring
+from textloom.llm import bits, blocks, decontam, jaccard, quality, simhash, substring
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\t\x0b\x1cé🙂|#", max_size=60)), max_size=12)
 
@@ -71,7 +72,7 @@ def test_bit_sliced_links_connect_what_is_near(lanes, radius):
             row[b // 64] ^= np.uint64(1 << int(b % 64))
     bucket = np.sort(np.concatenate([rng.integers(0, 90, size=700), np.full(200, 999)]))
     near = lambda i, j: bucket[i] == bucket[j] and np.bitwise_count(f[i] ^ f[j]).sum() <= radius
-    links = simhash.link_near(bucket, f, radius).tolist()
+    links = bits.link_near(bucket, f, radius).tolist()
     assert all(near(a, b) for a, b in links)
     have = {(a, b) for a, b in links} | {(b, a) for a, b in links}
     for b in np.unique(bucket):
@@ -89,7 +90,7 @@ def test_every_pair_within_the_radius_meets_in_a_table():
 
 
 def test_large_buckets_are_split(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(bits, "BLOCK", 16)
     rng = np.random.default_rng(5)
     f = np.full(150, 0x0123456789ABCDEF, np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, size=150, dtype=np.uint64))
     f = np.unique(np.append(f, np.array([7, 8], np.uint64)))
@@ -128,7 +129,35 @@ def test_near_dedup_keeps_texts_below_the_similarity(spark):
     assert out.count() == 80
 
 
-def test_near_dedup_links_what_brute_force_links(spark):
+def test_radius_keeps_the_similarity():
+    """Random sets of a similarity just at 0.8, small ones and large ones."""
+    radius = jaccard.radius_of(Fraction(4, 5))
+    assert radius < 110
+    rng = np.random.default_rng(1)
+    h, per = [], []
+    for _ in range(400):
+        common = int(rng.choice([4, 8, 12, 40, 400]))
+        both = rng.integers(0, 1 << 63, common, dtype=np.uint64)
+        apart = rng.integers(0, common // 4 + 1)
+        for n in (apart, common // 4 - apart):
+            h.append(np.concatenate([both, rng.integers(0, 1 << 63, n, dtype=np.uint64)]))
+            per.append(common + n)
+    fps = bits.majority(blocks.mix(np.concatenate(h)), np.array(per), jaccard.LANES)
+    assert np.bitwise_count(fps[::2] ^ fps[1::2]).sum(1).max() <= radius
+
+
+def test_all_pairs_of_different_labels(monkeypatch):
+    rng = np.random.default_rng(2)
+    f = rng.integers(0, 1 << 63, size=(12, 4), dtype=np.uint64)[rng.integers(0, 12, 500)]
+    f = f ^ (np.uint64(1) << rng.integers(0, 64, size=f.shape, dtype=np.uint64))
+    bucket, label = np.sort(rng.choice([1, 2, 3, 4, 4, 4, 4], size=500)), rng.integers(0, 5, 500)
+    got = {tuple(sorted(x)) for x in bits.link_near(bucket, f, 9, label=label).tolist()}
+    assert got == {(i, j) for i in range(500) for j in range(i + 1, 500) if bucket[i] == bucket[j] and label[i] != label[j] and np.bitwise_count(f[i] ^ f[j]).sum() <= 9}
+
+
+@pytest.mark.parametrize("many", [1000, 2])
+def test_near_dedup_links_what_brute_force_links(spark, monkeypatch, many):
+    monkeypatch.setattr(jaccard, "MANY", many)
     r = random.Random(3)
     texts = [None, " ", "a b", "A  b"]
     for k in range(30):  # about 0.8 on either side, and chains

@@ -1,24 +1,28 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, complete and exact.
+"""Near-duplicates by the Jaccard similarity of word shingles, with SimHash
+fingerprints to tell which texts to compare.
 
 A text is the set of its lower-cased word n-grams (of all its words, if it has
 fewer), as 64-bit hashes; equal texts are one node. In one order of all shingles,
 rare ones first, two sets of a similarity of at least p / q share a shingle among
-the first size - ceil(size * p / q) + 1 of each (prefix filter). Sets that share
-one are candidates, and a candidate is a link if the whole sets have the
-similarity, decided in integers. So no link is missed and none is too far.
-
-How rare a shingle is comes from SLOTS counters over a share of the texts; that
-only decides how many candidates there are. Texts without words are alike.
-
-In each group that shares a shingle all sets are first compared with one of them;
-sets that are connected by then need no comparison with each other, so a large
-group of near copies is not compared in pairs. All other pairs are, first by
-sketches that count the shingles in SKETCH slots: the sum of the lesser counts is
-at least what two sets have in common, so a pair is dropped only if it can't link.
+the first size - ceil(size * p / q) + 1 of each (prefix filter). These shingles are
+the buckets in which fingerprints meet; how rare one is comes from SLOTS counters
+over all texts, which only decides how large buckets are.
+
+Fingerprints are SimHashes of LANES * 64 bits over the set. The radius is such that
+two sets of the similarity lie beyond it with a chance below LOSS; what is nearer
+is compared shingle by shingle, and linked if the whole sets have the similarity,
+decided in integers. Texts without words are alike.
+
+In each bucket all sets are first compared with one of them; sets that are connected
+by then need no comparison with each other, so a large group of near copies is not
+compared in pairs. Buckets that are not connected as a whole are compared bit plane
+by bit plane (see bits.py), and only pairs within the radius leave a task. Joins by
+a node that is in many pairs are salted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -27,15 +31,64 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import blocks
+from textloom.llm import bits, blocks
 from textloom.llm.components import components
 
 #: Counters that shingles share to be ordered by frequency.
 SLOTS = 1 << 16
-#: One text in so many is counted.
-SHARE = 8
-#: Counters of a set's sketch, which bounds what two sets can have in common.
-SKETCH = 256
+#: 64-bit parts of a fingerprint.
+LANES = 4
+#: Chance that two sets of the similarity are not compared.
+LOSS = 1e-12
+#: Pairs of a node that a join takes as one group; more are dealt out.
+MANY = 1000
+#: Nodes, at most, that are broadcast to pick their texts.
+ASKED = 1_000_000
+
+
+def radius_of(similarity: Fraction, lanes: int = LANES, loss: float = LOSS) -> int:
+    """The least radius that sets of the similarity exceed with a chance below loss.
+    A bit differs with the chance that majorities of two random 0-1 columns differ,
+    which is greatest for the smallest sets that can have the similarity."""
+    p, q = similarity.as_integer_ratio()
+
+    def half(n: int) -> list[float]:
+        return [math.comb(n, k) / 2**n for k in range(n + 1)]
+
+    def differ(common: int, x: int, y: int) -> float:
+        total = 0.0
+        for k, chance in enumerate(half(common)):
+            one = sum(c for i, c in enumerate(half(x)) if 2 * (k + i) > common + x)
+            other = sum(c for i, c in enumerate(half(y)) if 2 * (k + i) > common + y)
+            total += chance * (one * (1 - other) + other * (1 - one))
+        return total
+
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of large sets
+    for common in range(1, 33):
+        for rest in range(common * (q - p) // p + 1):
+            chance = max(chance, max(differ(common, x, rest - x) for x in range(rest + 1)))
+    n, tail = 64 * lanes, 0.0
+    for k in range(n, 0, -1):
+        tail += math.comb(n, k) * chance**k * (1 - chance) ** (n - k)
+        if tail >= loss:
+            return k
+    return 0
+
+
+class Once:
+    """Rows of a task whose node it has not met yet, for as many as it remembers."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def __call__(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        if len(self.seen) > 1 << 20:
+            self.seen.clear()
+        for node in part.column("node").to_pylist():
+            keep.append(node not in self.seen)
+            self.seen.add(node)
+        return part if all(keep) else part.filter(pa.array(keep))
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,22 +116,22 @@ def prefixes(texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:
     slots, (p, q) = SLOTS, similarity.as_integer_ratio()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(slots, np.int64)
+        seen, once = np.zeros(slots, np.int64), Once()
         for batch in batches:
-            for part in blocks.steps(batch):
+            for part in blocks.steps(once(batch)):
                 seen += np.bincount(_slot(shingles(part.column("text"), n)[0]), minlength=slots)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["slot", "n"])
 
-    share = texts.where(F.pmod("node", F.lit(SHARE)) == 0)
-    counted = share.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(slots, np.int64)  # SLOTS rows at any corpus size
     table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
     often = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = Once()
         for batch in batches:
-            for part in blocks.steps(batch):
+            for part in blocks.steps(once(batch)):
                 h, ends = shingles(part.column("text"), n)
                 size = np.diff(ends)
                 row = np.repeat(np.arange(len(size)), size)
@@ -93,6 +146,51 @@ def prefixes(texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:
     return texts.mapInArrow(run, "shingle long, node long, size int")
 
 
+def fingerprints(texts: DataFrame, n: int) -> DataFrame:
+    """(node, fp) of every node of texts (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = Once()
+        for batch in batches:
+            for part in blocks.steps(once(batch)):
+                h, ends = shingles(part.column("text"), n)
+                fps = bits.majority(blocks.mix(h.view(np.uint64)), np.diff(ends), LANES)
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * LANES), len(fps), [None, pa.py_buffer(fps.astype(">u8"))])
+                yield pa.RecordBatch.from_arrays([part.column("node"), raw.cast(pa.binary())], ["node", "fp"])
+
+    return blocks.stored(texts.mapInArrow(run, "node long, fp binary").dropDuplicates(["node"]))
+
+
+def _with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b, ...) with a column of the table (node, column) for both nodes. A
+    node with many pairs is several groups of the join, each with its row."""
+    for side, other in (("b", "a"), ("a", "b")):
+        own = table.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}"))
+        many = blocks.cut(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > MANY).select(side, F.ceil(F.col("n") / MANY).cast("int").alias("parts")))
+        found = many.count()
+        if not found:
+            pairs = pairs.join(own, side)
+            continue
+        many = F.broadcast(many) if found <= ASKED // 10 else many
+        parts = F.coalesce("parts", F.lit(1))
+        salted = pairs.join(many, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), parts.cast("long")).cast("int")).drop("parts")
+        own = own.join(many, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        pairs = salted.join(own, [side, "salt"]).drop("salt")
+    return pairs
+
+
+def near(pairs: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
+    """The pairs (a, b) whose fingerprints lie within the radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (blocks.raw(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("fp_a", "fp_b"))
+            far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) if batch.num_rows else np.zeros(0)
+            yield batch.select(["a", "b"]).filter(pa.array(far <= radius))
+
+    return _with(pairs, fps, "fp").select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets have the similarity."""
     p, q = similarity.as_integer_ratio()
@@ -110,58 +208,30 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction, n: int) -
                 keep = pa.array(q * common >= p * (sizes - common))
                 yield part.select(["a", "b"]).filter(keep)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks.steps(batch):
-                h, ends = shingles(part.column("text"), n)
-                size = np.diff(ends)
-                slot = np.repeat(np.arange(len(size)), size) * SKETCH + (h & (SKETCH - 1))
-                held = np.bincount(slot, minlength=len(size) * SKETCH).reshape(-1, SKETCH)
-                fits = (held <= 255).all(1).tolist()  # else there is no bound
-                held = [x.tobytes() if ok else None for x, ok in zip(held.astype(np.uint8), fits)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(size, pa.int64()), pa.array(held, pa.binary())], ["node", "size", "sketch"])
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            known = np.flatnonzero(batch.column("sketch_a").is_valid().to_numpy(zero_copy_only=False) & batch.column("sketch_b").is_valid().to_numpy(zero_copy_only=False))
-            x, y = (blocks.raw(batch.column(c).take(pa.array(known)))[0].reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
-            sizes = (batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy())[known]
-            most = np.minimum(x, y).sum(1, dtype=np.int64)
-            keep[known] = q * most >= p * (sizes - most)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    def sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
-        for side in "ba":
-            pairs = pairs.join(table.select(*(F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in table.columns)), side)
-        return pairs
-
-    pairs = blocks.cut(pairs.distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    small = blocks.stored(texts.join(asked, "node", "left_semi").mapInArrow(sketch, "node long, size long, sketch binary").dropDuplicates(["node"]))
-    pairs = blocks.cut(sides(pairs, small).mapInArrow(possible, "a long, b long"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = blocks.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    asked = F.broadcast(asked) if asked.count() <= ASKED else asked
     asked = blocks.stored(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]))
-    return blocks.cut(sides(pairs, asked).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    return blocks.cut(_with(pairs, asked, "text").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
 
 def links(texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:
     """(a, b): links between nodes of texts (node, text) that have the similarity
     or more; enough of them to connect whatever is linked."""
     p, q = similarity.as_integer_ratio()
+    radius = radius_of(similarity)
 
     def alike(x: str, y: str) -> Column:
         return q * F.least(x, y) >= p * F.greatest(x, y)
 
+    fps = fingerprints(texts, n)
     group = Window.partitionBy("shingle")
     met = prefixes(texts, similarity, n).withColumns({"pivot": F.min(F.struct("node", "size")).over(group), "last": F.max("node").over(group)})
     met = met.where("pivot.node < last").select("shingle", "node", F.col("size").cast("long").alias("size"), F.col("pivot.node").alias("pivot"), F.col("pivot.size").cast("long").alias("other"))
     met = blocks.stored(met.where("node <> pivot").distinct())
-    first = verified(met.where(alike("size", "other")).select(F.col("pivot").alias("a"), F.col("node").alias("b")), texts, similarity, n)
-    left = blocks.stored(met.join(components(first), "node", "left").select("shingle", "node", "size", F.coalesce("root", "node").alias("root")))
-    mixed = left.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
-    left = blocks.cut(left.join(blocks.cut(mixed), "shingle", "left_semi"))
-    x = left.select("shingle", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
-    y = left.select("shingle", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-    rest = x.join(y, "shingle").where(F.col("root_a") < F.col("root_b")).where(alike("size_a", "size_b"))
-    return first.unionByName(verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, similarity, n))
+    pairs = met.where(alike("size", "other")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    first = verified(blocks.cut(near(blocks.cut(pairs), fps, radius)), texts, similarity, n)
+    left = blocks.stored(met.join(components(first), "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("label")))
+    mixed = blocks.cut(left.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle"))
+    left = blocks.stored(left.join(mixed, "shingle", "left_semi").join(fps, "node").select(F.col("shingle").alias("bucket"), "node", "fp", "label"))
+    rest = blocks.cut(bits.meet(left, LANES, radius, label=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return first.unionByName(verified(rest, texts, similarity, n))
