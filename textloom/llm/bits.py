@@ -123,28 +123,12 @@ class Forest:
         return np.concatenate(self.links) if self.links else np.zeros((0, 2), np.int64)
 
 
-class Pairs(Forest):
-    """All pairs whose labels differ, instead of enough to connect them."""
-
-    def __init__(self, up: np.ndarray):
-        super().__init__(0)
-        self.up = up
-
-    def labels(self) -> np.ndarray:
-        return self.up
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        cross = self.up[a] != self.up[b]
-        self.links.append(np.stack([a[cross], b[cross]], axis=1))
-
-
-def link_near(bucket: np.ndarray, fps: np.ndarray, radius: int, small: int = 64, label: np.ndarray | None = None) -> np.ndarray:
+def link_near(bucket: np.ndarray, fps: np.ndarray, radius: int, small: int = 64) -> np.ndarray:
     """Links that connect all fingerprints of one bucket whose distance is at most
-    the radius, for rows sorted by bucket; with labels, all such pairs whose labels
-    differ. Runs of up to `small` rows are compared with shifted planes, all runs at
-    once; longer ones query by query."""
+    the radius, for rows sorted by bucket. Runs of up to `small` rows are compared
+    with shifted planes, all runs at once; longer ones query by query."""
     n, bits = len(fps), fps.shape[1] * 64
-    forest = Forest(n) if label is None else Pairs(label)
+    forest = Forest(n)
     starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     sizes = np.diff(np.append(starts, n))
     pick = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= small), sizes))
@@ -155,8 +139,6 @@ def link_near(bucket: np.ndarray, fps: np.ndarray, radius: int, small: int = 64,
             same[: len(own) - s] = own[:-s] == own[s:] if s < len(own) else 0
             if not same.any():
                 break
-            if label is not None:
-                same[: len(own) - s] &= label[pick[:-s]] != label[pick[s:]]
             valid = np.packbits(same, bitorder="little").view(np.uint64)
             lo, hi = np.uint64(s), np.uint64(64 - s)
 
@@ -170,7 +152,7 @@ def link_near(bucket: np.ndarray, fps: np.ndarray, radius: int, small: int = 64,
     for start, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist()):
         p = planes(fps[start : start + size])
         words, step = p.shape[1], max(1, (1 << 15) // p.shape[1])
-        group = Forest(size) if label is None else Pairs(label[start : start + size])
+        group = Forest(size)
         for q in range(0, size, step):
             rows = np.arange(q, min(size, q + step))
             now = group.labels()
@@ -190,12 +172,11 @@ def link_near(bucket: np.ndarray, fps: np.ndarray, radius: int, small: int = 64,
     return forest.found()
 
 
-def meet(dealt: DataFrame, lanes: int, radius: int, label: bool = False) -> DataFrame:
+def meet(dealt: DataFrame, lanes: int, radius: int) -> DataFrame:
     """(a, b): links between nodes of rows (bucket long, node long, fp binary) that
     meet in a bucket and lie within the radius; enough of them to connect whatever
-    is linked. With a column label (long), all pairs of different labels instead."""
+    is linked."""
     block = BLOCK
-    columns = ["node", "fp", *(["label"] if label else [])]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -207,7 +188,7 @@ def meet(dealt: DataFrame, lanes: int, radius: int, label: bool = False) -> Data
             node = table.column("node").to_numpy()
             data, _ = blocks.raw(table.column("fp").combine_chunks())
             fps = data.view(">u8").astype(np.uint64).reshape(len(node), lanes)
-            found = link_near(bucket, fps, radius, label=table.column("label").to_numpy() if label else None)
+            found = link_near(bucket, fps, radius)
             return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
 
         for batch in batches:  # sorted by cell: whole cells are compared together
@@ -228,13 +209,13 @@ def meet(dealt: DataFrame, lanes: int, radius: int, label: bool = False) -> Data
     # row is in n of them. Buckets of one block, nearly all, are one cell.
     large = blocks.cut(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")))
     found = large.count()
-    met = dealt.select(F.col("bucket").alias("cell"), *columns)
+    met = dealt.select(F.col("bucket").alias("cell"), "node", "fp")
     if found:
         # few large buckets are broadcast; else the join is by bucket
         met = dealt.join(F.broadcast(large) if found <= 100_000 else large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cell = F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
-        met = met.select(cell.alias("cell"), *columns)
+        met = met.select(cell.alias("cell"), "node", "fp")
     parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return met.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")

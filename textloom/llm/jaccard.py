@@ -9,15 +9,17 @@ the buckets in which fingerprints meet; how rare one is comes from SLOTS counter
 over all texts, which only decides how large buckets are.
 
 Fingerprints are SimHashes of LANES * 64 bits over the set. The radius is such that
-two sets of the similarity lie beyond it with a chance below LOSS; what is nearer
-is compared shingle by shingle, and linked if the whole sets have the similarity,
-decided in integers. Texts without words are alike.
-
-In each bucket all sets are first compared with one of them; sets that are connected
-by then need no comparison with each other, so a large group of near copies is not
-compared in pairs. Buckets that are not connected as a whole are compared bit plane
-by bit plane (see bits.py), and only pairs within the radius leave a task. Joins by
-a node that is in many pairs are salted.
+two sets of the similarity lie beyond it with a chance below LOSS. In each bucket
+fingerprints are compared bit plane by bit plane (see bits.py), and what connects
+those within the radius makes families; a link is always inside a family. Sets of
+fewer than SMALL shingles, whose fingerprints tell less, are a family where they
+share a bucket with another small one.
+
+In a family the whole sets are compared, and linked if they have the similarity,
+decided in integers. Of large families, blocks are compared with blocks. Sets are
+told by their differences from what most of them have, so near copies cost what
+differs; a task sends enough links to connect what is linked, never all pairs.
+Texts without words are alike.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import bits, blocks
@@ -37,11 +39,13 @@ from textloom.llm.components import components
 #: Counters that shingles share to be ordered by frequency.
 SLOTS = 1 << 16
 #: 64-bit parts of a fingerprint.
-LANES = 4
-#: Chance that two sets of the similarity are not compared.
+LANES = 8
+#: Chance that two sets of the similarity don't meet in a family.
 LOSS = 1e-12
-#: Pairs of a node that a join takes as one group; more are dealt out.
-MANY = 1000
+#: Shingles that a set needs to be told by its fingerprint.
+SMALL = 24
+#: Sets, and shingles in all, of a block of a family.
+BLOCK, SHINGLES = 1024, 2_000_000
 #: Nodes, at most, that are broadcast to pick their texts.
 ASKED = 1_000_000
 
@@ -49,7 +53,7 @@ ASKED = 1_000_000
 def radius_of(similarity: Fraction, lanes: int = LANES, loss: float = LOSS) -> int:
     """The least radius that sets of the similarity exceed with a chance below loss.
     A bit differs with the chance that majorities of two random 0-1 columns differ,
-    which is greatest for the smallest sets that can have the similarity."""
+    which is greatest for the smallest sets; those have SMALL shingles."""
     p, q = similarity.as_integer_ratio()
 
     def half(n: int) -> list[float]:
@@ -64,7 +68,7 @@ def radius_of(similarity: Fraction, lanes: int = LANES, loss: float = LOSS) -> i
         return total
 
     chance = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of large sets
-    for common in range(1, 33):
+    for common in range(-(-SMALL * p // q), 2 * SMALL):
         for rest in range(common * (q - p) // p + 1):
             chance = max(chance, max(differ(common, x, rest - x) for x in range(rest + 1)))
     n, tail = 64 * lanes, 0.0
@@ -161,77 +165,118 @@ def fingerprints(texts: DataFrame, n: int) -> DataFrame:
     return blocks.stored(texts.mapInArrow(run, "node long, fp binary").dropDuplicates(["node"]))
 
 
-def _with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b, ...) with a column of the table (node, column) for both nodes. A
-    node with many pairs is several groups of the join, each with its row."""
-    for side, other in (("b", "a"), ("a", "b")):
-        own = table.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}"))
-        many = blocks.cut(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > MANY).select(side, F.ceil(F.col("n") / MANY).cast("int").alias("parts")))
-        found = many.count()
-        if not found:
-            pairs = pairs.join(own, side)
-            continue
-        many = F.broadcast(many) if found <= ASKED // 10 else many
-        parts = F.coalesce("parts", F.lit(1))
-        salted = pairs.join(many, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), parts.cast("long")).cast("int")).drop("parts")
-        own = own.join(many, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-        pairs = salted.join(own, [side, "salt"]).drop("salt")
-    return pairs
-
-
-def near(pairs: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
-    """The pairs (a, b) whose fingerprints lie within the radius."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (blocks.raw(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("fp_a", "fp_b"))
-            far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) if batch.num_rows else np.zeros(0)
-            yield batch.select(["a", "b"]).filter(pa.array(far <= radius))
-
-    return _with(pairs, fps, "fp").select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets have the similarity."""
+def together(h: np.ndarray, ends: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """Links that connect the sets h[ends[i]:ends[i + 1]] that have the similarity."""
     p, q = similarity.as_integer_ratio()
+    size = np.diff(ends)
+    n = len(size)
+    row = np.repeat(np.arange(n), size)
+    token, found = blocks.grouped(h)
+    often = np.bincount(token, minlength=found)
+    if n * found <= 1 << 22:
+        has = np.zeros((n, found), np.float32)
+        has[row, token] = 1
+        common = (has @ has.T).astype(np.int64)
+    else:
+        # |A & B| by what A and B lack of the tokens that most sets have, and share of others
+        most = np.flatnonzero(2 * often > n)
+        place = np.full(found, -1)
+        place[most] = np.arange(len(most))
+        lacks = np.ones((n, len(most)), bool)
+        usual = place[token] >= 0
+        lacks[row[usual], place[token[usual]]] = False
+        without = lacks.sum(1)
+        common = len(most) - without[:, None] - without[None, :]
+        shared = np.flatnonzero(~usual & (often[token] > 1))
+        shared = shared[np.argsort(token[shared], kind="stable")]
+        by, of = np.nonzero(lacks.T)
+        for key, members in ((token[shared], row[shared]), (by, of)):
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            many = np.diff(np.append(starts, len(key)))
+            for k in np.unique(many):
+                lists = members[starts[many == k][:, None] + np.arange(k)]
+                if k > 32:
+                    for x in lists:
+                        common[np.ix_(x, x)] += 1
+                    continue
+                for lo in range(0, len(lists), max(1, (1 << 20) // int(k * k))):
+                    x = lists[lo : lo + max(1, (1 << 20) // int(k * k))]
+                    common += np.bincount((x[:, :, None] * n + x[:, None, :]).ravel(), minlength=n * n).reshape(n, n)
+    # one row of pairs at a time, and only those that aren't connected yet
+    forest = bits.Forest(n)
+    for i in range(n - 1):
+        j = np.flatnonzero(q * common[i, i + 1 :] >= p * (size[i] + size[i + 1 :] - common[i, i + 1 :])) + i + 1
+        if len(j):
+            forest.join(np.full(len(j), i), j)
+    return forest.found()
+
+
+def linked(cells: DataFrame, similarity: Fraction, n: int) -> DataFrame:
+    """(a, b): links between the nodes of each cell of rows (cell, node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks.steps(batch, "text_a"):
-                (x, x_ends), (y, y_ends) = shingles(part.column("text_a"), n), shingles(part.column("text_b"), n)
-                sizes = np.diff(x_ends) + np.diff(y_ends)
-                row = np.concatenate([np.repeat(np.arange(part.num_rows), np.diff(x_ends)), np.repeat(np.arange(part.num_rows), np.diff(y_ends))])
-                h = np.concatenate([x, y])
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                common = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=part.num_rows)
-                keep = pa.array(q * common >= p * (sizes - common))
-                yield part.select(["a", "b"]).filter(keep)
-
-    asked = blocks.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    asked = F.broadcast(asked) if asked.count() <= ASKED else asked
-    asked = blocks.stored(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]))
-    return blocks.cut(_with(pairs, asked, "text").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def compare(table: pa.Table) -> pa.RecordBatch:
+            cell, node = table.column("cell").to_numpy(), table.column("node").to_numpy()
+            parts = [shingles(part.column("text"), n) for batch in table.to_batches() for part in blocks.steps(batch)]
+            h = np.concatenate([x for x, _ in parts])
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in parts]))])
+            at = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+            found = [together(h[ends[x] : ends[y]], ends[x : y + 1] - ends[x], similarity) + x for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+            found = np.concatenate(found)
+            return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
+
+        for batch in batches:  # sorted by cell: whole cells are compared together
+            held.append(batch)
+            size += batch.nbytes
+            if size >= 1 << 23:
+                table = pa.Table.from_batches(held)
+                cell = table.column("cell").to_numpy()
+                to = int(np.searchsorted(cell, cell[-1]))
+                if to:
+                    yield compare(table.slice(0, to))
+                    held = [table.slice(to).combine_chunks().to_batches()[0]]
+                    size = held[0].nbytes
+        if held and sum(b.num_rows for b in held):
+            yield compare(pa.Table.from_batches(held))
+
+    parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
 def links(texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:
     """(a, b): links between nodes of texts (node, text) that have the similarity
     or more; enough of them to connect whatever is linked."""
     p, q = similarity.as_integer_ratio()
-    radius = radius_of(similarity)
-
-    def alike(x: str, y: str) -> Column:
-        return q * F.least(x, y) >= p * F.greatest(x, y)
-
-    fps = fingerprints(texts, n)
+    zero = F.lit(bytearray(8 * LANES))
     group = Window.partitionBy("shingle")
-    met = prefixes(texts, similarity, n).withColumns({"pivot": F.min(F.struct("node", "size")).over(group), "last": F.max("node").over(group)})
-    met = met.where("pivot.node < last").select("shingle", "node", F.col("size").cast("long").alias("size"), F.col("pivot.node").alias("pivot"), F.col("pivot.size").cast("long").alias("other"))
-    met = blocks.stored(met.where("node <> pivot").distinct())
-    pairs = met.where(alike("size", "other")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = verified(blocks.cut(near(blocks.cut(pairs), fps, radius)), texts, similarity, n)
-    left = blocks.stored(met.join(components(first), "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("label")))
-    mixed = blocks.cut(left.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle"))
-    left = blocks.stored(left.join(mixed, "shingle", "left_semi").join(fps, "node").select(F.col("shingle").alias("bucket"), "node", "fp", "label"))
-    rest = blocks.cut(bits.meet(left, LANES, radius, label=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return first.unionByName(verified(rest, texts, similarity, n))
+    met = prefixes(texts, similarity, n).withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)})
+    met = blocks.stored(met.where("lo < hi").select("shingle", "node", F.col("size").cast("long").alias("size")).distinct())
+    fps = fingerprints(texts, n)
+    large = met.where(F.col("size") >= SMALL).join(fps, "node").select(F.col("shingle").alias("bucket"), "node", "fp")
+    # where one of two linked sets is small, the other isn't much larger
+    small = met.where(F.col("size") * p < SMALL * q).select(F.xxhash64("shingle").alias("bucket"), "node", zero.alias("fp"))
+    near = blocks.cut(bits.meet(blocks.stored(large.unionByName(small)), LANES, radius_of(similarity)).distinct())
+    sizes = met.groupBy("node").agg(F.first("size").alias("size"))
+    roots = components(near)  # without the roots themselves
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    family = blocks.cut(roots.join(sizes, "node").select("node", "root", "size"))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / SHINGLES)).cast("int")
+    split = blocks.cut(family.groupBy("root").agg(parts.alias("parts")).where("parts > 1"))
+    found = split.count()
+    family = family.drop("size")
+    cells = family.withColumn("cell", F.col("root"))
+    if found:
+        # a family of k blocks becomes k * (k + 1) / 2 cells of two blocks at most
+        k = F.coalesce("parts", F.lit(1))
+        dealt = family.join(F.broadcast(split) if found <= ASKED // 10 else split, "root", "left").withColumn("parts", k)
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cells = dealt.withColumn("cell", F.when(F.col("parts") == 1, F.col("root")).otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))))
+    cells = blocks.cut(cells.select("cell", "node"))
+    asked = family.select("node")
+    asked = F.broadcast(asked) if asked.count() <= ASKED else asked
+    whole = blocks.stored(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]))
+    return blocks.cut(linked(cells.join(whole, "node").select("cell", "node", "text"), similarity, n))
