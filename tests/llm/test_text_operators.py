@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.llm import bits, blocks, decontam, jaccard, quality, simhash, substring
+from textloom.llm import bits, blocks, components, decontam, jaccard, quality, simhash, substring
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\t\x0b\x1cé🙂|#", max_size=60)), max_size=12)
 
@@ -311,3 +311,15 @@ def test_decontamination_with_more_words_than_a_million():
     w = blocks.words(pa.array([text]), blocks.ALNUM, lower=True)
     window, place = decontam._occurrences(w, index, decontam._by_prefix(index))
     assert sorted(place.tolist()) == list(range(1, 12))
+
+
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
+    r = random.Random(8)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(229, 41)]
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = sorted({x for e in edges for x in e})
+    linked = {(nodes.index(a), nodes.index(b)) for a, b in edges} | {(nodes.index(b), nodes.index(a)) for a, b in edges}
+    roots = plain.groups(len(nodes), lambda i, j: (i, j) in linked)
+    assert got == {x: nodes[k] for x, k in zip(nodes, roots) if nodes[k] != x}

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from textloom.llm.blocks import cut
 
+#: Edges that make a node a hub, and hubs, at most, that are broadcast.
+HUB, HUBS = 1000, 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge to another node; root is the
-    component's smallest node. `edges` has the columns a and b; loops and
-    repeated edges do no harm. Each round is a grouped minimum and a join, and is
-    checkpointed; rounds grow with the logarithm of the longest path."""
+    """(node, root) of every node with an edge to a smaller node; root is the
+    component's smallest node, which has no row. `edges` has the columns a and b;
+    loops and repeated edges do no harm. Each round is a grouped minimum and a join,
+    and is checkpointed; rounds grow with the logarithm of the longest path."""
     now = cut(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -25,9 +28,20 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
+        large = _least_of(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = _least_of(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = least.select("u", F.col("m").alias("v"))
         now = cut(small.unionByName(own).where("u <> v").distinct())
+
+
+def _least_of(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with m of their u. A hub's edges stay where they are: hubs are
+    broadcast, if they are few, and only other edges are dealt by u."""
+    hubs = least.where(least["n"] > HUB).select("u", "m")
+    if not 0 < hubs.count() <= HUBS:
+        return edges.join(least.select("u", "m"), "u")
+    hubs = F.broadcast(hubs)
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(least["n"] <= HUB).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(others)
