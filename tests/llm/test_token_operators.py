@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import plain
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import frequent, lm, packing, token_counts, vocab
@@ -98,75 +99,118 @@ def score(spark, table, **more):
     return lm.score(df, training, **more)
 
 
-def test_base_scores(spark, rows):
-    table = [(r[0], r[1]) for r in rows] + [(None, "no id")]
-    for head in (4, 1 << 17):  # most words are looked up by a join, or none is
-        got = {r.doc_id: r for r in score(spark, table, head=head).collect()}
+def test_base_scores(spark, rows, monkeypatch):
+    table = [(r[0], r[1]) for r in rows] + [(None, "no id"), (900, "w" * 200 + " " + "w" * 200), (901, "W" * 48 + "\n" + "w" * 47)]
+    for head in (4, 1 << 17):  # most units are looked up by a join, or none is
+        monkeypatch.setattr(frequent, "HEAD", head)
+        got = {r.doc_id: r for r in score(spark, table).collect()}
         for (i, _), (held, n, known, total, base) in zip(table, plain.base_scores(table)):
             r = got[i]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
             assert math.isclose(r.base_score, base, rel_tol=1e-9)
 
 
-def ctw_log10(train, text):
-    """Recursive context-tree weighting, a decision (tree, node) at a time."""
-    counts, children = Counter(), defaultdict(set)
-
-    def events(t):
-        data = plain.lower(t).encode() + bytes([lm.END])
-        for i, b in enumerate(data):
-            before = [data[i - 1 - k] if i > k else None for k in range(4)]
-            coarse = [0 if x is None else int(lm.COARSE[x]) for x in before]
-            c = int(lm.COARSE[b])
-            for k in range(5):
-                yield tuple(coarse), ("class", 1 << k | c >> (5 - k)), c >> (4 - k) & 1
-            fine = 0 if before[0] is None else int(lm.FINE[before[0]])
-            for k in range(8):
-                alike = [x for x in range(256) if lm.MEMBERS[c][x] and x >> (8 - k) == b >> (8 - k)]
-                if len({x >> (7 - k) & 1 for x in alike}) > 1:
-                    yield (fine, coarse[1]), (c, 1 << k | b >> (8 - k)), b >> (7 - k) & 1
-
+def decisions(text, kept, begin):
+    """(context by depth, place, bit) of every decision about a text's bytes."""
+    data = plain.lower(text).encode() + bytes([lm.END])
+    units, unit = [], b""
+    for b in data:
+        unit += bytes([b])
+        if b in b" \t\n\v\f\r\xff":
+            units.append(unit)
+            unit = b""
+    for unit in units:
+        for lo in range(0, len(unit), lm.CUT):
+            piece = (bytes([lm.ON]) if lo else b"") + unit[lo : lo + lm.CUT]
+            for i in range(bool(lo), len(piece)):
+                c = [piece[i - k] if i >= k else lm.START for k in (1, 2, 3)]
+                path = ["", (c[0],), (c[0], c[1])] + ([tuple(c)] if kept is None or tuple(c) in kept else [])
+                path.append(("from", piece[:i]) if i >= begin(piece) else ("end", path[-1]))
+                for k in range(8):
+                    yield path, 1 << k | piece[i] >> (8 - k), piece[i] >> (7 - k) & 1
+
+
+def ctw_log10(train, text, kept=None, begin=lambda piece: 3):
+    """Recursive context-tree weighting, a decision at a time."""
+    counts, children, deepest = Counter(), defaultdict(set), set()
     for t in train:
-        for c, node, bit in events(t):
-            for d in range(len(c) + 1):
-                counts[c[:d], node, bit] += 1
+        for path, place, bit in decisions(t, kept, begin):
+            for d, node in enumerate(path):
+                counts[node, place, bit] += 1
                 if d:
-                    children[c[: d - 1], node].add(c[:d])
+                    children[path[d - 1], place].add(node)
+            deepest.add((path[-1], place))
 
     memo = {}
 
-    def weighted(c, node, depth):
-        if (c, node) not in memo:
-            e = plain.kt(counts[c, node, 0], counts[c, node, 1])
-            if len(c) < depth:
-                w = sum(weighted(x, node, depth) for x in children[c, node])
+    def weighted(node, place):
+        if (node, place) not in memo:
+            e = plain.kt(counts[node, place, 0], counts[node, place, 1])
+            if (node, place) not in deepest:
+                w = sum(weighted(x, place) for x in children[node, place])
                 e = math.log(0.5) + max(e, w) + math.log1p(math.exp(-abs(e - w)))
-            memo[c, node] = e
-        return memo[c, node]
+            memo[node, place] = e
+        return memo[node, place]
 
-    def p_one(c, node, d=0):
-        n0, n1 = counts[c[:d], node, 0], counts[c[:d], node, 1]
+    def p_one(path, place):
+        n0, n1 = counts[path[0], place, 0], counts[path[0], place, 1]
         if n0 + n1 == 0:
             return 0.5
         own = (n1 + 0.5) / (n0 + n1 + 1)
-        if d == len(c):
+        if len(path) == 1:
             return own
-        share = math.exp(math.log(0.5) + plain.kt(n0, n1) - weighted(c[:d], node, len(c)))
-        return share * own + (1 - share) * p_one(c, node, d + 1)
+        share = math.exp(math.log(0.5) + plain.kt(n0, n1) - weighted(path[0], place))
+        return share * own + (1 - share) * p_one(path[1:], place)
+
+    return sum(math.log10(p if bit else 1 - p) for path, place, bit in decisions(text, kept, begin) for p in [p_one(path, place)])
 
-    return sum(math.log10(p if bit else 1 - p) for c, node, bit in events(text) for p in [p_one(c, node)])
 
+CTW = ["The cat sat.", "the dog é sat on", "", None, "cat cat cat", "zz top 12", "the cat and the dog\n", "unseen: Ω!", "a" * 130 + " cats  thesis", "\x00 theses", "thesis the\tcatalogue", "a" * 130]
 
-def test_context_tree_weighting(spark):
-    table = [(i, t) for i, t in enumerate(["The cat sat.", "the dog é sat on", "", None, "cat cat cat", "zz top 12", "the cat and the dog", "unseen: Ω!"])]
+
+@pytest.mark.parametrize("keep", [1 << 17, 0])
+def test_context_tree_weighting(spark, monkeypatch, keep):
+    monkeypatch.setattr(lm, "KEEP", keep)
+    table = list(enumerate(CTW))
     train = [t for i, t in table if not plain.held_out(i)]
     assert len(train) < len(table)
     for r in score(spark, table).collect():
         t = dict(table)[r.doc_id]
-        assert math.isclose(r.score, ctw_log10(train, t), rel_tol=1e-4, abs_tol=1e-4)
+        assert math.isclose(r.score, ctw_log10(train, t, None if keep else ()), rel_tol=1e-6, abs_tol=1e-6)
         assert math.isclose(r.code_length, -r.score * math.log2(10) / (len((t or "").encode()) + 1))
 
 
+def test_large_groups_of_units_begin_later(spark, monkeypatch):
+    """With more than two units of three bytes alike, six bytes tell a group."""
+    monkeypatch.setattr(lm, "GROUP", 2)
+    monkeypatch.setattr(lm, "BEGINS", (3, 6))
+    monkeypatch.setattr(lm, "CHUNK", 2)
+    table = list(enumerate(CTW))
+    train = [t for i, t in table if not plain.held_out(i)]
+    units = {u for _, t in table for u in lm.units(pa.array([t], pa.string()))[1].to_pylist() if u[0] != lm.DIGEST}
+    times = Counter(u[:3] for u in units)
+    for r in score(spark, table).collect():
+        want = ctw_log10(train, dict(table)[r.doc_id], None, lambda piece: 6 if times[piece[:3]] > 2 else 3)
+        assert math.isclose(r.score, want, rel_tol=1e-6, abs_tol=1e-6)
+
+
+def test_held_out_code_length(spark):
+    """On held-out documents, real contexts need far fewer bits a byte than none,
+    about as many as the word model (which leaves out the blanks), and fewer with more
+    training texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    data = "\n".join(plain.lower(r.text) for r in docs.where("pmod(xxhash64(doc_id), 5) = 0").collect()).encode()
+    share = np.bincount(np.frombuffer(data, np.uint8)) / len(data)
+    alone = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    bits, base = [], []
+    for training in ("pmod(xxhash64(doc_id), 5) > 0", "pmod(xxhash64(doc_id), 50) = 1"):
+        held = lm.score(docs, training).where("pmod(xxhash64(doc_id), 5) = 0")
+        r = held.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+        bits.append(-r.s * math.log2(10) / len(data))
+        base.append(-r.b * math.log2(10) / len(data))
+    assert bits[0] < bits[1] < alone and bits[0] < 0.65 * alone and bits[0] < 1.2 * base[0]
+
+
 def test_a_model_without_training_texts(spark):
     only = next(i for i in range(100) if plain.held_out(i))
     r = score(spark, [(only, "abc")]).first()

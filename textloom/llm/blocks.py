@@ -9,6 +9,7 @@ in Python.
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
@@ -61,9 +62,11 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once a session."""
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED or _local(sc):
-        return
     package = Path(__file__).resolve().parents[1]
+    # workers of a local run share the driver's folder and path; others may not
+    known = [Path.cwd(), *(Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    if sc.applicationId in _SHIPPED or _local(sc) and package.parent in known:
+        return
     folder = tempfile.mkdtemp(prefix="package-")  # the driver serves it from here
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     made = Path(folder, f"{package.name}.zip")
