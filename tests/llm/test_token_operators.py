@@ -214,7 +214,7 @@ def test_held_out_code_length(spark):
 def test_a_model_without_training_texts(spark):
     only = next(i for i in range(100) if plain.held_out(i))
     r = score(spark, [(only, "abc")]).first()
-    assert math.isclose(r.score, 4 * 5 * math.log10(0.5), rel_tol=1e-5)  # three letters and the end
+    assert math.isclose(r.score, 4 * 8 * math.log10(0.5), rel_tol=1e-5)  # three letters and the end, eight bits each
     assert (r.n_known, r.train_tokens) == (0, 0)
     assert score(spark, [(only, "abc")]).limit(0).count() == 0
 
