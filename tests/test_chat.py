@@ -175,3 +175,42 @@ def test_emotion_converters(spark):
     many = spark.createDataFrame([("t", "3", "en", False), ("t", "joy", "EN ", None), ("t", "0", "de", False), ("t", "0", "en", True), ("t", "9", "en", False)], "text string, label string, language string, is_label_conflict boolean")
     assert [r.emotion for r in V.emotion_rows(many, "many_emotions").collect()] == ["love", "joy"]
     assert [r.emotion for r in V.emotion_rows(many.select("text", "label"), "emotion").collect()] == ["anger", "joy", "sadness", "sadness"]
+
+
+def test_records_have_their_provenance(spark):
+    rows = spark.createDataFrame([("q", "a")], "prompt string, response string")
+    spec = {"license": "mit", "repository": "some/where", "split": "train"}
+    r = V.convert_chat("gpt4all", rows, spec).first()
+    assert (r.dataset_license, r.dataset_repository, r.dataset_split, r.dataset_source) == ("mit", "some/where", "train", "gpt4all")
+    assert r.state.needs.rest == 0.5 and [m.role for m in r.messages] == ["user", "assistant"]
+    with pytest.raises(ValueError, match="lacks license"):
+        V.convert_chat("gpt4all", rows, {"repository": "x", "split": "y"})
+
+
+def test_an_explicit_null_counts(spark):
+    raw = '[{"role":null,"from":"user","content":"a"},{"from":"user","value":"b"},{"speaker":"x","text":null}]'
+    out = spark.createDataFrame([(raw,)], "r string").select(V.as_messages(F.col("r")).alias("m")).first().m
+    assert [(m.role, m.content) for m in out] == [(None, "a"), ("user", "b"), ("x", None)]
+
+
+def test_tool_arguments_are_escaped(spark):
+    tools = [("t", "d", '{"type":"object","properties":{"a\\"b":{"type":"string"}},"required":[]}')]
+    df = spark.createDataFrame([(tools,)], "tools array<struct<name:string,description:string,parameters:string>>")
+    assert 'Args: {"a\\"b":"string"}.' in df.select(H.tool_instructions(F.col("tools"))).first()[0]
+
+
+def test_merge_of_emotion_sources(spark):
+    def rows(name, license_, *texts):
+        made = [(i, name, license_, [("system", f"s{i}"), ("user", t)]) for i, t in enumerate(texts)]
+        return spark.createDataFrame(made, "i long, dataset_source string, dataset_license string, messages array<struct<role:string,content:string>>")
+
+    a, b = rows("a", "x", "one", " one ", "two"), rows("b", "x", "two", "three")
+    out, counts = V.merge_emotions([("a", a), ("b", b)], "i", "messages.content", 1)
+    assert {r.dataset_source: r.n for r in counts.collect()} == {"a": 2, "b": 1}
+    assert sorted((r.dataset_source, r.i) for r in out.collect()) == [("a", 0), ("a", 2), ("b", 1)]
+    with pytest.raises(Exception, match="isn't of b"):
+        V.merge_emotions([("b", a)], "i", "i", 1)[0].collect()
+    with pytest.raises(Exception, match="no licence"):
+        V.merge_emotions([("a", rows("a", None, "one"))], "i", "i", 1)[0].collect()
+    with pytest.raises(ValueError):
+        V.merge_emotions([("a", a.limit(0))], "i", "i", 1)

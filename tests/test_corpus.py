@@ -124,6 +124,40 @@ def test_budgets_match_a_greedy_loop(spark, target):
         assert got == greedy(texts, target, least)
 
 
+def test_a_budget_s_tail_takes_few_jobs(spark, monkeypatch):
+    """Many documents try the remainder, some rows of the tail at a time."""
+    r = random.Random(3)
+    texts = ["w" * 30, "x " * 400] + ["long" * r.randint(5, 90) if r.random() < 0.5 else "w" * r.randint(0, 2) for _ in range(400)] + ["a b c d e f g h"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "o long, text string").repartition(3)
+    for rows in (10_000, 7):
+        monkeypatch.setattr(C, "TAIL_ROWS", rows)
+        before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+        got = [(x.o, x.text) for x in C.char_budget_min_tail(df, 300, "o", 401).orderBy("o").collect()]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before)
+        assert got == greedy(texts, 300, 401)
+        assert jobs < (40 if rows > 7 else 600)
+
+
+def test_more_ranges_than_bounds(spark):
+    from textloom.operators import order
+
+    df = spark.range(0, 5000).select((F.col("id") * F.col("id") - 9).alias("o"))
+    out = order.position(df.repartition(3), "o", "p").collect()
+    few = order.running_total(df, F.lit(1), "o", "p", rows_per_range=3).collect()
+    for rows in (out, few):
+        assert all(r.o == r.p * r.p - 9 for r in rows) and len(rows) == 5000
+
+
+def test_sources_without_training_rows(spark):
+    from textloom.operators import sampling as S
+
+    df = spark.createDataFrame([(i, "a") for i in range(10)] + [(10, "b")], "k long, s string")
+    with pytest.raises(Exception, match="no training rows are left of b"):
+        S.split_sources(df, "k", "s", ["a", "b"], 1, 0.1).collect()
+    part = S.split_sources(df, "k", "s", ["a"], 1, 0.25)
+    assert sorted(r.part for r in part.collect()) == ["train"] * 8 + ["validation"] * 2
+
+
 def test_round_robin(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "a"), (4, "b"), (5, "a"), (6, "z")], "o int, source string")
     out = C.round_robin(df, ["a", "b"], "o").orderBy("turn", "source_index").collect()

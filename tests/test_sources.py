@@ -101,7 +101,7 @@ def test_token_shards(spark, tmp_path):
     assert (tmp_path / "s" / "shard-00002.bin").read_bytes() == struct.pack("<2I", 6000, 7000)
     back = files.token_shards(spark, f"file://{tmp_path}/s").orderBy("pos").collect()
     assert [(r.pos, r.token) for r in back] == [(i, i * 1000) for i in range(8)]
-    (tmp_path / "s" / ".shard-00002.bin.crc").unlink()
+    (tmp_path / "s" / ".shard-00002.bin.crc").unlink(missing_ok=True)
     (tmp_path / "s" / "shard-00002.bin").write_bytes(b"1234")
     with pytest.raises(Exception, match="bytes for"):
         files.token_shards(spark, f"file://{tmp_path}/s").collect()
@@ -140,3 +140,23 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r.n for r in spark.sql("SELECT n FROM counted").collect()) == 3
+
+
+def test_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('\ufeffname,"text"\nx,"a ""b"", c\nd"\ny,é\n'.encode())
+    out = files.csv(spark, str(tmp_path / "a.csv"))
+    assert out.columns == ["name", "text"]
+    assert [tuple(r) for r in out.orderBy("name").collect()] == [("x", 'a "b", c\nd'), ("y", "é")]
+
+
+def test_trees(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"message_tree_id":"a"}\n\n{"message_tree_id":"b"}\n{broken\n')
+    schema = "message_tree_id string"
+    out = files.trees(spark, str(tmp_path / "t.jsonl"), schema, strict=False).orderBy("ord").collect()
+    assert [r.message_tree_id for r in out] == ["a", "b"]
+    first = files.trees(spark, str(tmp_path / "t.jsonl"), schema, max_trees=1, strict=False).collect()
+    assert [r.message_tree_id for r in first] == ["a"]
+    with pytest.raises(Exception, match="invalid JSON in line 3"):
+        files.trees(spark, str(tmp_path / "t.jsonl"), schema).collect()
+    with pytest.raises(ValueError):
+        files.trees(spark, str(tmp_path / "t.jsonl"), schema, max_trees=0)

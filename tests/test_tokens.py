@@ -58,7 +58,7 @@ def apply(symbols, pair):
 @pytest.mark.parametrize("size", [12, 18, 40, 90])
 def test_bpe_equals_sequential_passes(spark, size):
     t = ["banana bandana aaa aaaa", "the then these banana", "a cat sat on a mat", "ana nana"]
-    vocabulary, merges = K.train_bpe(texts(spark, *t), size)
+    vocabulary, merges = K.train_bpe(texts(spark, *t), size, "i")
     assert merges == sequential("\n".join(t), size) or len(set("\n".join(t))) > len(set("".join(t)))
     assert len(vocabulary) <= size and vocabulary[-2:] == [K.UNK, K.EOS]
     ids = {x: i for i, x in enumerate(vocabulary)}
@@ -79,12 +79,50 @@ def test_bpe_equals_sequential_passes(spark, size):
 
 def test_bpe_bounds(spark):
     many = "".join(chr(0x4E00 + i) for i in range(600))
-    vocabulary, _ = K.train_bpe(texts(spark, many), 512)
+    vocabulary, _ = K.train_bpe(texts(spark, many), 512, "i")
     assert len(vocabulary) <= 512
     with pytest.raises(ValueError):
-        K.train_bpe(texts(spark, "x"), 2)
+        K.train_bpe(texts(spark, "x"), 2, "i")
     with pytest.raises(ValueError):
-        K.train_bpe(texts(spark, ""), 10)
+        K.train_bpe(texts(spark, ""), 10, "i")
+
+
+def test_training_sample_keeps_the_corpus_s_characters(spark):
+    t = ["a" * 60, "a" * 40 + " rare-symbol Ω", "banana"]
+    vocabulary, merges = K.train_bpe(texts(spark, *t), 16, "i", sample_characters=20)
+    assert len(vocabulary) <= 16 and {"a", "-"} <= set(vocabulary) and "Ω" in vocabulary
+    assert all(set(a + b) == {"a"} for a, b in merges)  # nothing else is in the sample
+    with pytest.raises(ValueError):
+        K.train_bpe(texts(spark, "x"), 10, "i", sample_characters=0)
+
+
+def stream(spark, *rows):
+    return spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, tokens array<int>").repartition(3)
+
+
+def test_capped_stream(spark):
+    rows = [[1, 2, 3], None, [], [4, 5], [6, 9]]
+
+    def tokens(most):
+        out = K.capped_stream(stream(spark, *rows), "tokens", "i", 9, most).orderBy("start").collect()
+        return [x for r in out for x in r.tokens]
+
+    assert tokens(None) == [1, 2, 3, 4, 5, 6, 9]  # ends with the end token
+    assert tokens(4) == [1, 2, 3, 4, 9]  # cut, then closed
+    assert tokens(7) == [1, 2, 3, 4, 5, 6, 9] and tokens(1) == [1, 9]
+    with pytest.raises(ValueError):
+        tokens(0)
+    with pytest.raises(ValueError):
+        K.capped_stream(stream(spark, [], None), "tokens", "i", 9)
+
+
+@pytest.mark.parametrize(("size", "stride"), [(3, 1), (4, 3), (2, 5), (50, 1), (1, 1)])
+def test_stream_windows(spark, size, stride):
+    rows = [[1, 2, 3], None, [], list(range(10, 30)), [4], [5, 6]]
+    flat = [x for r in rows for x in r or []]
+    out = K.stream_windows(stream(spark, *rows), "tokens", "i", size, stride)
+    got = {r.idx: r.window for r in out.collect()}
+    assert got == {i: flat[s : s + size] for i, s in enumerate(range(0, len(flat) - size + 1, stride))}
 
 
 def test_windows(spark):

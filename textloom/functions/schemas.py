@@ -12,7 +12,7 @@ EXTENDED_ROLES = (
     "file", "moderator", "tool_call:assistant", "tool_call:result->assistant", "system-1",
     "mcp_tool_call:assistant", "mcp_tool_call:result->assistant", "error", "tool_call:error", "mcp_tool_call:error",
 )
-MULTI_ASSISTANT_ROLES = tuple(f"assistant:{name}" for name in ("Gemini", "Claude", "ChatGPT", "Qwen", "DeepSeek"))
+MULTI_ASSISTANT_ROLES = ("assistant:Gemini", "assistant:Claude", "assistant:ChatGPT", "assistant:Qwen", "assistant:DeepSeek")
 ROLES = (*BASE_ROLES, *EXTENDED_ROLES, *MULTI_ASSISTANT_ROLES)
 #: Roles whose text is a model's output.
 OUTPUT_ROLES = ("assistant", "tool_call:assistant", "mcp_tool_call:assistant", *MULTI_ASSISTANT_ROLES)

@@ -7,27 +7,32 @@ label raises where the source promises valid ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions.schemas import EMOTIONS_28, EMOTIONS_6, EMOTIONS_7, EMOTIONS_DIALOGUE, MESSAGES
-from textloom.operators.chat import context_windows, message, normalize, normalize_keep_system, turn_pairs_text, two_speakers
+from textloom.operators.chat import canonical, context_windows, default_state, message, normalize, normalize_keep_system, turn_pairs_text, two_speakers, without_system
+from textloom.operators.corpus import dedup_first
+from textloom.operators.sampling import shuffled
 
 #: Prompt texts are the caller's; these are this library's defaults.
 RECOGNISE = "Name only the emotions that the message supports. Do not diagnose the writer."
 RESPOND = "Answer naturally. The emotion label is a cue, not a certainty."
 
-_PARSED = "array<struct<role:string,from:string,speaker:string,content:string,value:string,text:string>>"
-
-
 def as_messages(raw: Column) -> Column:
     """(role, content) of JSON in any of the usual spellings; the first key that is
-    there counts."""
-    items = F.from_json(raw, _PARSED)
-    return F.transform(items, lambda m: message(F.coalesce(m["role"], m["from"], m["speaker"]), F.coalesce(m["content"], m["value"], m["text"])))
+    there counts, also with a null."""
+    def first(m: Column, *keys: str) -> Column:
+        out = F.when(F.map_contains_key(m, keys[0]), m[keys[0]])
+        for k in keys[1:]:
+            out = out.when(F.map_contains_key(m, k), m[k])
+        return out
+
+    items = F.from_json(raw, "array<map<string,string>>")
+    return F.transform(items, lambda m: message(first(m, "role", "from", "speaker"), first(m, "content", "value", "text")))
 
 
 def _pair(user: Column, reply: Column) -> Column:
@@ -59,9 +64,12 @@ def _blended() -> Column:
     return F.when(~X.blank("free_turker_utterance") & ~X.blank("guided_turker_utterance") & (n % 2 == 0), F.concat(system, first, F.flatten(pairs)))
 
 
+#: Fixed value: what is put before a problem.
+PROBLEM_LEAD = "Solve this grade-school math problem. Show a clear, concise calculation and state the final answer.\n\n"
+
+
 def _gsm8k() -> Column:
-    lead = "Solve this grade-school math problem. Show a clear, concise calculation and state the final answer.\n\n"
-    return F.when(~X.blank("question") & ~X.blank("answer"), _pair(F.concat(F.lit(lead), X.strip("question")), X.strip("answer")))
+    return F.when(~X.blank("question") & ~X.blank("answer"), _pair(F.concat(F.lit(PROBLEM_LEAD), X.strip("question")), X.strip("answer")))
 
 
 def _multiwoz() -> Column:
@@ -101,15 +109,43 @@ CHAT: dict[str, Callable[[], Column]] = {
 }
 
 
-def convert_chat(source: str, rows: DataFrame) -> DataFrame:
+def convert_chat(source: str, rows: DataFrame, provenance: Mapping[str, str] | None = None) -> DataFrame:
     """rows with messages; a transcript row may become several. The rest of the
-    columns stay as provenance."""
+    columns stay as they are. With provenance (license, repository, split) the rows
+    are records: they get the default state and dataset_license, dataset_repository
+    and dataset_split; a missing entry raises."""
+    if provenance is not None and (missing := {"license", "repository", "split"} - set(provenance)):
+        raise ValueError(f"the provenance lacks {', '.join(sorted(missing))}")
     if source == "catgirl_corpus":
         pairs = rows.select("*", F.explode(turn_pairs_text("text")).alias("messages"))
         out = pairs.withColumn("messages", normalize(F.col("messages")))
     else:
         out = rows.withColumn("messages", CHAT[source]())
-    return out.where(F.col("messages").isNotNull()).withColumn("dataset_source", F.lit(source))
+    out = out.where(F.col("messages").isNotNull()).withColumn("dataset_source", F.lit(source))
+    if provenance is None:
+        return out
+    return out.withColumns({"state": default_state(), **{f"dataset_{k}": F.lit(provenance[k]) for k in ("license", "repository", "split")}})
+
+
+def merge_emotions(sources: Sequence[tuple[str, DataFrame]], order: str, key: str, seed: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, counts): the sources' records, each conversation once (its first one
+    by source and order; system messages don't count), in a seeded order with their
+    position, `most` of them; and the sources' numbers of records before that cut. A
+    record of another source, or without a licence, raises; so does a total of zero."""
+    if most is not None and most < 1:
+        raise ValueError("the number of records must be positive")
+    both = None
+    for i, (name, rows) in enumerate(sources):
+        same = F.col("dataset_source").eqNullSafe(F.lit(name))
+        checked = F.when(~same, F.raise_error(F.lit(f"a record isn't of {name}"))).when(F.col("dataset_license").isNull(), F.raise_error(F.lit(f"a record of {name} has no licence")))
+        tagged = rows.withColumn("dataset_source", F.coalesce(checked.cast("string"), F.col("dataset_source"))).withColumn("rank__", F.struct(F.lit(i).alias("t"), F.col(order).alias("o")))
+        both = tagged if both is None else both.unionByName(tagged, allowMissingColumns=True)
+    unique = dedup_first(both, F.md5(canonical(without_system(F.col("messages")))), "rank__").drop("rank__")
+    counts = unique.groupBy("dataset_source").agg(F.count("*").alias("n"))
+    if counts.isEmpty():
+        raise ValueError("the sources have no records")
+    placed = shuffled(unique, key, seed)
+    return (placed if most is None else placed.where(F.col("pos") < most)), counts
 
 
 def label_name(label: Column, labels: tuple[str, ...]) -> Column:

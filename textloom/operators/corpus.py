@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import text as X
 from textloom.functions.schemas import ID_COLUMNS
@@ -134,32 +135,53 @@ def char_budget(docs: DataFrame, target: int, order: str, text: str = "text", st
     return run.where(F.col("before") < target).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(target) - F.col("before")).cast("int"))).drop("before")
 
 
+#: Rows of a budget's tail that are decided at once.
+TAIL_ROWS = 10_000
+
+
 def char_budget_min_tail(docs: DataFrame, target: int, order: str, min_words: int, text: str = "text", max_documents: int | None = None) -> DataFrame:
     """char_budget where a cut text must keep `min_words` words, or else it is
     skipped and later documents try the same remainder. Everything before the
-    first overflow is one prefix sum; what follows fills the remainder: a document
-    that fits comes whole, the first whose cut is long enough ends the scan. That
-    tail is found by rounds, each of which drops at least the overflowing row."""
-    docs = docs.withColumn("chars__", F.length(F.coalesce(text, F.lit(""))).cast("long"))
-    left, after, taken = target, None, []
-    while left > 0:
-        rest = docs if after is None else docs.where(F.col(order) > after)
-        run = running_total(rest, "chars__", order, "before")
-        over = run.where((F.col("before") + F.col("chars__") > left) & (F.col("before") < left)).orderBy(order).limit(1).first()
-        if over is None:
-            taken.append(run.where(F.col("before") < left).drop("before"))
-            break
-        room = left - over["before"]
-        taken.append(run.where(F.col(order) < over[order]).drop("before"))
-        cut = run.where(F.col(order) == over[order]).withColumn(text, F.substring(F.col(text), 1, int(room))).drop("before")
-        if cut.where(F.size(X.words(text)) >= min_words).count():
-            taken.append(cut)
-            break
-        left, after = room, over[order]
-    out = taken[0] if taken else docs.limit(0)
-    for t in taken[1:]:
-        out = out.unionByName(t)
-    out = out.drop("chars__")
+    first overflow is one prefix sum. From there on a document counts only if it
+    fits the remainder or is cut long enough by it; the remainder never grows, so
+    what doesn't count is out for good. Those that count are decided TAIL_ROWS at a
+    time, in order, from their lengths; the remainder is shorter than the document
+    that overflowed, so there are few of them."""
+    n = F.length(F.coalesce(text, F.lit(""))).cast("long")
+    run = running_total(docs.withColumn("chars__", n), "chars__", order, "before__")
+    over = run.where((F.col("before__") < target) & (F.col("before__") + F.col("chars__") > target)).orderBy(order).limit(1).select(order, "before__").first()
+    if over is None:
+        out = run.where(F.col("before__") < target)
+    else:
+        room, at, first, taken, last = target - over["before__"], over[order], True, [], None
+        # characters up to the first one of the last word that a cut must keep
+        word, gap = r"[^\s\x1c-\x1f]++", r"[\s\x1c-\x1f]++"
+        need = F.length(F.regexp_extract(F.coalesce(text, F.lit("")), f"(?U)^(?:{gap})?(?:{word}{gap}){{{min_words - 1}}}[^\\s\\x1c-\\x1f]", 0)) if min_words > 0 else F.lit(1)
+        rest = run.withColumn("need__", F.when(need > 0, need)).select(order, "chars__", "need__")
+        while room > 0 and last is None:
+            beyond = F.col(order) >= at if first else F.col(order) > at
+            counts = (F.col("chars__") > 0) & ((F.col("chars__") <= room) | (F.col("need__") <= room))
+            live = rest.where(beyond & counts).orderBy(order).limit(TAIL_ROWS).collect()
+            for row in live:
+                if row["chars__"] <= room:
+                    taken.append(row[order])
+                    room -= row["chars__"]
+                elif row["need__"] is not None and row["need__"] <= room:
+                    last = (row[order], room)
+                if room <= 0 or last is not None:
+                    break
+            if len(live) < TAIL_ROWS:
+                break
+            at, first = live[-1][order], False
+        # empty texts fit wherever something is left
+        end = last[0] if last else taken[-1] if taken and room <= 0 else None
+        empty = (F.col("chars__") == 0) & (F.col(order) > over[order]) & (F.lit(True) if end is None else F.col(order) < end)
+        kind = docs.schema[order].dataType
+        marks = docs.sparkSession.createDataFrame([(o,) for o in taken + ([last[0]] if last else [])], T.StructType([T.StructField("taken__", kind)]))
+        out = run.where((F.col(order) < over[order]) | empty).unionByName(run.join(marks, F.col(order) == F.col("taken__"), "left_semi"))
+        if last:
+            out = out.withColumn(text, F.when(F.col(order) == F.lit(last[0]), F.substring(F.col(text), 1, int(last[1]))).otherwise(F.col(text)))
+    out = out.drop("chars__", "before__")
     return out if max_documents is None else position(out, order, "nth__").where(F.col("nth__") < max_documents).drop("nth__")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Ranges that a table is dealt into at most.
+#: Ranges with bounds of their own; of a larger table each is cut into even parts.
 RANGES = 256
 
 
@@ -25,11 +25,19 @@ def running_total(
     of the numeric column `order` (within strata), which must have no ties."""
     value = F.col(value) if isinstance(value, str) else value
     # one pass for the number of rows and for as many bounds as a range each may need
-    seen = df.agg(F.count("*").alias("n"), F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000).alias("bounds")).first()
+    bounds = F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000)
+    seen = df.agg(F.count("*").alias("n"), bounds.alias("bounds"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     every = max(1, RANGES * rows_per_range // max(1, seen["n"]))
-    part = F.lit(0)
-    for b in sorted(set((seen["bounds"] or [])[every - 1 :: every])):
+    part, inner = F.lit(0), sorted(set((seen["bounds"] or [])[every - 1 :: every]))
+    for b in inner:
         part = part + (F.col(order) > F.lit(b)).cast("int")
+    fine = -(-seen["n"] // (RANGES * rows_per_range))
+    if fine > 1:  # even parts of each range, in the order of the column
+        edges = [float(x) for x in (seen["lo"], *inner, seen["hi"])]
+        lows = F.array(*map(F.lit, edges[:-1]))
+        steps = F.array(*(F.lit(max(b - a, 1e-300) / fine) for a, b in zip(edges, edges[1:])))
+        at = F.floor((F.col(order).cast("double") - F.get(lows, part)) / F.get(steps, part))
+        part = part * fine + F.greatest(F.least(at, F.lit(fine - 1)), F.lit(0)).cast("int")
     df = df.withColumn("part__", part).withColumn("value__", value)
     keys = [*strata, "part__"]
     totals = df.groupBy(*keys).agg(F.sum("value__").alias("total__"))

@@ -7,7 +7,7 @@ in any engine; ties can't occur for distinct keys.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,10 +44,33 @@ def split(df: DataFrame, key: str, seed: int, share: float, within: str | None =
     group = [within] if within else []
     placed = position(df.withColumn("order__", hash_order(seeded(seed, key))), "order__", "pos__", group)
     sizes = df.groupBy(*group).agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(share))).alias("take__"))
-    joined = placed.join(F.broadcast(sizes), within) if within else placed.crossJoin(F.broadcast(sizes))
+    # without groups there is one row of sizes
+    joined = placed.join(sizes, within) if within else placed.crossJoin(F.broadcast(sizes))
     return joined.withColumn("part", F.when(F.col("pos__") < F.col("take__"), "validation").otherwise("train")).drop("order__", "pos__", "take__")
 
 
+def split_sources(df: DataFrame, key: str, source: str, sources: Sequence[str], seed: int, share: float) -> DataFrame:
+    """df with `part`, for rows of the given sources: each source is split by itself,
+    in an order seeded with seed + its index. A source without training rows left
+    raises."""
+    index = F.array_position(F.array(*map(F.lit, sources)), F.col(source)) - 1
+    known = df.where(F.col(source).isin(*sources))
+    order = hash_order(F.md5(F.concat((F.lit(seed) + index).cast("string"), F.lit("-"), F.col(key).cast("string"))))
+    placed = position(known.withColumn("order__", order), "order__", "pos__", [source])
+    sizes = known.groupBy(source).agg(F.count("*").alias("n__"))  # a row for each of the sources
+    take = F.greatest(F.lit(1), F.floor(F.col("n__") * F.lit(share)))
+    left = F.when(F.col("n__") > take, take).otherwise(F.raise_error(F.concat(F.lit("no training rows are left of "), F.col(source))).cast("long"))
+    joined = placed.join(F.broadcast(sizes), source)
+    return joined.withColumn("part", F.when(F.col("pos__") < left, "validation").otherwise("train")).drop("order__", "pos__", "n__")
+
+
+def validation_draws(df: DataFrame, key: str, source: str, ratios: Mapping[str, float], seed: int, share: float, draws: int | None = None) -> DataFrame:
+    """(draw, columns of df): rows of the sources' validation parts with replacement,
+    a source by its ratio; as many as the parts have unless `draws` says so."""
+    part = split_sources(df, key, source, list(ratios), seed, share).where("part = 'validation'").drop("part")
+    return ratio_draws(part, source, key, ratios, part.count() if draws is None else draws, seed + 1000)
+
+
 def epoch_batches(df: DataFrame, key: str, seed: int, epoch: int, batch: int) -> DataFrame:
     """df with the epoch's batch number and place in it; the last batch may be short."""
     placed = shuffled(df, key, seed + epoch, "pos__")
@@ -78,7 +101,7 @@ def ratio_draws(df: DataFrame, source: str, order: str, ratios: Mapping[str, flo
         lo += share
     ranges = spark.createDataFrame(rows, "source__ string, lo__ double, hi__ double")
     placed = position(df, order, "nth__", [source])
-    sizes = df.groupBy(source).agg(F.count("*").alias("size__")).withColumnRenamed(source, "source__")
+    sizes = df.where(F.col(source).isin(*ratios)).groupBy(source).agg(F.count("*").alias("size__")).withColumnRenamed(source, "source__")
     # the shares hold a row per source: a nested loop over those is a lookup
     u = spark.range(draws).select(F.col("id").alias("draw"), (uniform(F.lit(str(seed)), F.lit("s"), F.col("id").cast("string")) * F.lit(lo)).alias("u"), uniform(F.lit(str(seed)), F.lit("r"), F.col("id").cast("string")).alias("v"))
     picked = u.join(F.broadcast(ranges), (F.col("u") >= F.col("lo__")) & (F.col("u") < F.col("hi__"))).join(F.broadcast(sizes), "source__")

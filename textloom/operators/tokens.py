@@ -6,7 +6,6 @@ word of a batch in Arrow batches, since merges never cross white space.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator, Sequence
@@ -18,6 +17,8 @@ from pyspark.sql import types as T
 
 from textloom.functions import text as X
 from textloom.functions.schemas import OUTPUT_ROLES
+from textloom.operators.corpus import char_budget
+from textloom.operators.order import running_total
 
 UNK, EOS = "<UNK>", X.EOS
 #: Newline, then the printable ASCII characters, in the vocabulary's order.
@@ -81,13 +82,24 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return at.groupBy("p.first", "p.second").agg(F.sum("n").alias("n"))
 
 
-def train_bpe(docs: DataFrame, vocab_size: int, text: str = "text") -> tuple[list[str], list[tuple[str, str]]]:
-    """Vocabulary and ranked merges. Words of the frequent base alphabet are split
-    at other characters; the pieces and their counts come to the driver, which
-    keeps pair counts up to date merge by merge instead of recounting."""
+#: Leading characters of a corpus that merges are trained on.
+SAMPLE_CHARACTERS = 250_000
+
+
+def train_bpe(docs: DataFrame, vocab_size: int, order: str, text: str = "text", sample_characters: int = SAMPLE_CHARACTERS) -> tuple[list[str], list[tuple[str, str]]]:
+    """Vocabulary and ranked merges, from the corpus's first sample_characters
+    characters in the given order. The base alphabet is ranked by their counts there;
+    all other characters of the corpus come behind, with count 0. Words are split at
+    characters outside it; the pieces and their counts, which the sample bounds, come
+    to the driver, which keeps pair counts up to date merge by merge."""
     if vocab_size < 3:
         raise ValueError("vocab_size must be at least 3")
-    ranked = character_counts(docs, text).orderBy(F.desc("n"), "token").limit(min(256, vocab_size - 2)).collect()
+    if sample_characters < 1:
+        raise ValueError("sample_characters must be positive")
+    sample = char_budget(docs.select(order, text), sample_characters, order, text)
+    known = character_counts(sample, text).unionByName(distinct_characters(docs, text).withColumn("n", F.lit(0).cast("long")))
+    ranked = known.groupBy("token").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "token").limit(min(256, vocab_size - 2)).collect()
+    docs = sample
     vocabulary = {r.token for r in ranked}
     if not vocabulary:
         raise ValueError("training text must not be empty")
@@ -142,25 +154,24 @@ def check_vocabulary(vocabulary: Sequence[str], merges: Sequence[tuple[str, str]
 
 
 def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Symbols of a word after all merges, lowest rank first, leftmost first."""
-    symbols: list[str | None] = list(word)
-    after = [*range(1, len(symbols)), -1]
-    before = [*range(-1, len(symbols) - 1)]
-    heap = [(ranks[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
-    heapq.heapify(heap)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i] if symbols[i] == a else -1
-        if j < 0 or symbols[j] != b:
-            continue
-        symbols[i], symbols[j] = a + b, None
-        after[i] = after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        for left, right in ((before[i], i), (i, after[i])):
-            if left >= 0 and right >= 0 and (p := (symbols[left], symbols[right])) in ranks:
-                heapq.heappush(heap, (ranks[p], left, *p))
-    return [s for s in symbols if s is not None]
+    """Symbols of a word after all merges: in passes, the pair of the lowest rank that
+    is there is merged wherever it is, from the left."""
+    symbols = list(word)
+    while len(symbols) > 1:
+        least = min((ranks[p] for p in zip(symbols, symbols[1:]) if p in ranks), default=None)
+        if least is None:
+            break
+        out: list[str] = []
+        joined = False  # whether the last symbol of out is a pair made in this pass
+        for s in symbols:
+            if out and not joined and ranks.get((out[-1], s)) == least:
+                out[-1] += s
+                joined = True
+            else:
+                out.append(s)
+                joined = False
+        symbols = out
+    return symbols
 
 
 def bpe_encode(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tuple[str, str]], text: str = "text", name: str = "tokens") -> DataFrame:
@@ -205,6 +216,41 @@ def dense_windows(rows: DataFrame, tokens: str, length: int) -> DataFrame:
     return rows.select("*", F.explode(at).alias("idx")).withColumn("window", F.slice(tokens, F.col("idx") + 1, length))
 
 
+def capped_stream(rows: DataFrame, tokens: str, order: str, end: int, most: int | None = None) -> DataFrame:
+    """rows as one token stream in the given order, cut after `most` tokens and
+    closed by the end token unless it ends with one; adds start, the place of a
+    row's first token. Without any token it raises."""
+    if most is not None and most < 1:
+        raise ValueError("the number of tokens must be positive")
+    n = F.size(F.coalesce(tokens, F.array().cast("array<int>")))
+    run = running_total(rows, n.cast("long"), order, "start").where(n > 0)
+    if most is not None:
+        run = run.where(F.col("start") < most).withColumn(tokens, F.slice(tokens, F.lit(1), F.greatest(F.least(F.size(tokens).cast("long"), F.lit(most) - F.col("start")), F.lit(0)).cast("int")))
+    last = run.agg(F.max("start").alias("start")).first()["start"]
+    if last is None:
+        raise ValueError("there are no tokens")
+    open_ = (F.col("start") == last) & (F.element_at(tokens, -1) != end)
+    return run.withColumn(tokens, F.when(open_, F.concat(tokens, F.array(F.lit(end)))).otherwise(F.col(tokens)))
+
+
+def stream_windows(rows: DataFrame, tokens: str, order: str, size: int, stride: int = 1) -> DataFrame:
+    """(idx, window): `size` tokens from every stride-th place of the rows' token
+    stream that has as many, across the rows' ends. A row gives each window that it
+    touches its slice; no task holds more than a window's."""
+    n = F.size(F.coalesce(tokens, F.array().cast("array<int>"))).cast("long")
+    run = running_total(rows.select(order, tokens), n, order, "start__").where(n > 0)
+    total = run.agg(F.max(F.col("start__") + n).alias("n")).first()["n"] or 0
+    windows = max(0, (total - size) // stride + 1)
+    lo = F.greatest(F.lit(0), F.ceil((F.col("start__") - size + 1) / stride))
+    hi = F.least(F.lit(windows - 1), F.floor((F.col("start__") + n - 1) / stride))
+    at = run.withColumn("idx", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))))
+    begin = F.greatest(F.col("idx") * stride - F.col("start__"), F.lit(0))
+    end = F.least(F.col("idx") * stride + size - F.col("start__"), n)
+    own = at.where(end > begin).select("idx", F.struct("start__", F.slice(tokens, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")).alias("part")).alias("own"))
+    parts = own.groupBy("idx").agg(F.sort_array(F.collect_list("own")).alias("parts"))
+    return parts.select("idx", F.flatten(F.transform("parts", lambda p: p["part"])).alias("window"))
+
+
 def shifted(window: str) -> tuple[Column, Column]:
     """Inputs and targets of a window: all but its last, all but its first token."""
     n = F.size(window) - 1

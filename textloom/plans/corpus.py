@@ -210,7 +210,12 @@ def stratum_budget(spark, sf):
     return C.char_budget(docs(spark, sf), STRATUM_BUDGET, "doc_id", strata=["source"]).select("doc_id", "source", "text")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE o AS (SELECT doc_id, text, length(text) AS n, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT 0::BIGINT AS k, {BUDGET}::BIGINT AS room, NULL::BIGINT AS doc_id, NULL::VARCHAR AS text
+  UNION ALL SELECT o.k, r.room - CASE WHEN o.n <= r.room THEN o.n WHEN c.w >= 20 THEN r.room ELSE 0 END, CASE WHEN o.n <= r.room OR c.w >= 20 THEN o.doc_id END, left(o.text, r.room)
+  FROM r JOIN o ON o.k = r.k + 1, LATERAL (SELECT len(list_filter(regexp_split_to_array(left(o.text, r.room), '\\s+'), lambda x: x <> '')) AS w) c WHERE r.room > 0)
+SELECT doc_id, text FROM r WHERE doc_id IS NOT NULL""")
 def char_budget_min_tail(spark, sf):
     return C.char_budget_min_tail(docs(spark, sf), BUDGET, "doc_id", 20).select("doc_id", "text")
 

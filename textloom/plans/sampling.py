@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.operators import account as A
+from textloom.operators import convert as C
 from textloom.operators import sampling as S
 from textloom.operators.order import position
 from textloom.plans.corpus import docs, table
@@ -73,6 +74,47 @@ def ratio_sample(spark, sf):
     return out.select("draw", F.col("label").cast("int").alias("label"), "vec_id")
 
 
+_BY_SOURCE = """s AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5((40 + label) || '-' || vec_id)) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label < 3),
+p AS (SELECT *, CASE WHEN pos < greatest(1, floor(n * 0.2)) THEN 'validation' ELSE 'train' END AS part FROM s)"""
+
+
+@query(f"WITH {_BY_SOURCE} SELECT vec_id, label::INTEGER AS label, part FROM p")
+def split_by_source_seed(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"))
+    return S.split_sources(e, "vec_id", "label", ["0", "1", "2"], 40, 0.2).select("vec_id", F.col("label").cast("int").alias("label"), "part")
+
+
+@query(f"""WITH {_BY_SOURCE}, v AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS nth, count(*) OVER (PARTITION BY label) AS n FROM p WHERE part = 'validation'),
+r(label, lo, hi) AS (VALUES (0, 0.0, 0.5), (1, 0.5, 0.75), (2, 0.75, 1.0)), c AS (SELECT count(*) AS n FROM v),
+u AS (SELECT i AS draw, ('0x' || substr(md5('1040-s-' || i), 1, 8))::BIGINT / 4294967296.0 AS u, ('0x' || substr(md5('1040-r-' || i), 1, 8))::BIGINT / 4294967296.0 AS v FROM c, unnest(range(c.n)) t(i))
+SELECT draw, r.label::INTEGER AS label, vec_id FROM u JOIN r ON u >= lo AND u < hi JOIN v ON v.label = r.label AND nth = floor(u.v * v.n)""")
+def ratio_validation(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"))
+    out = S.validation_draws(e, "vec_id", "label", {"0": 0.5, "1": 0.25, "2": 0.25}, 40, 0.2)
+    return out.select("draw", F.col("label").cast("int").alias("label"), "vec_id")
+
+
+_STRIPPED = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
+_MERGED = f"""d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY {_STRIPPED} ORDER BY source, doc_id) AS k FROM documents WHERE source IN ('src0', 'src1')), u AS (SELECT doc_id, source FROM d WHERE k = 1)"""
+
+
+def _emotion_sources(spark, sf):
+    turn = F.array(F.struct(F.lit("system").alias("role"), F.col("lang").alias("content")), F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    rows = docs(spark, sf).select("doc_id", F.col("source").alias("dataset_source"), F.lit("a licence").alias("dataset_license"), turn.alias("messages"))
+    return [(s, rows.where(F.col("dataset_source") == s)) for s in ("src0", "src1")]
+
+
+@query(f"WITH {_MERGED}, p AS (SELECT *, row_number() OVER (ORDER BY md5('42-' || doc_id)) - 1 AS pos FROM u) SELECT doc_id, source, pos FROM p WHERE pos < 120")
+def emotion_merge(spark, sf):
+    out, _ = C.merge_emotions(_emotion_sources(spark, sf), "doc_id", "doc_id", 42, 120)
+    return out.select("doc_id", F.col("dataset_source").alias("source"), "pos")
+
+
+@query(f"WITH {_MERGED} SELECT source, count(*) AS n FROM u GROUP BY source")
+def emotion_merge_counts(spark, sf):
+    return C.merge_emotions(_emotion_sources(spark, sf), "doc_id", "doc_id", 42)[1].withColumnRenamed("dataset_source", "source")
+
+
 @query("""
 WITH s AS (SELECT i AS step FROM range(1000) t(i))
 SELECT step, CASE WHEN step < 30 THEN 0.0003 * (step + 1) / 30.0 ELSE 0.0003 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (step - 30) / 969.0)))) END::DOUBLE AS rate FROM s""")

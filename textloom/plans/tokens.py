@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import tokens as K
+from textloom.operators.corpus import char_budget
 from textloom.operators.order import running_total
 from textloom.plans.corpus import docs, table
 from textloom.plans.registry import query
@@ -45,20 +46,23 @@ def pair_freq(spark, sf):
     return out.select("first", "second", F.col("n").cast("long").alias("n"))
 
 
-@query(f"SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE {_ID} = 96) AS n_unk, sha256(string_agg(({_ID})::VARCHAR, ',' ORDER BY p)) AS ids_sha256 FROM {_CHARS} WHERE t <> '' GROUP BY doc_id")
+_BY_DOC = f"(SELECT d.doc_id, d.source, count(t) AS n, count(t) FILTER (WHERE {_ID} = 96) AS unk, coalesce(string_agg(({_ID})::VARCHAR, ',' ORDER BY p) FILTER (WHERE t IS NOT NULL), '') AS ids, coalesce(string_agg(CASE WHEN {_ID} = 96 THEN chr(65533) ELSE t END, '' ORDER BY p), '') AS decoded FROM documents d LEFT JOIN (SELECT doc_id, t, p FROM {_CHARS} WHERE t <> '') c ON c.doc_id = d.doc_id GROUP BY d.doc_id, d.source)"
+
+
+@query(f"SELECT doc_id, n AS n_tokens, unk AS n_unk, sha256(ids) AS ids_sha256 FROM {_BY_DOC}")
 def char_encode(spark, sf):
-    d = encoded(docs(spark, sf).where("text <> ''"))
+    d = encoded(docs(spark, sf)).withColumn("tokens", F.coalesce("tokens", F.array().cast("array<int>")))
     return d.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.filter("tokens", lambda t: t == 96)).cast("long").alias("n_unk"), F.sha2(F.array_join("tokens", ","), 256).alias("ids_sha256"))
 
 
-@query(f"SELECT doc_id, string_agg(CASE WHEN {_ID} = 96 THEN chr(65533) ELSE t END, '' ORDER BY p) AS decoded FROM {_CHARS} WHERE t <> '' GROUP BY doc_id")
+@query(f"SELECT doc_id, decoded FROM {_BY_DOC}")
 def char_decode(spark, sf):
-    return encoded(docs(spark, sf).where("text <> ''")).select("doc_id", K.decode(F.col("tokens"), _VOCABULARY).alias("decoded"))
+    return encoded(docs(spark, sf)).select("doc_id", F.coalesce(K.decode(F.col("tokens"), _VOCABULARY), F.lit("")).alias("decoded"))
 
 
-@query(f"SELECT source, count(*) FILTER (WHERE {_ID} = 96) / count(*)::DOUBLE AS unk_fraction, count(DISTINCT doc_id) AS n_eos FROM {_CHARS} WHERE t <> '' GROUP BY source")
+@query(f"SELECT source, sum(unk) / sum(n)::DOUBLE AS unk_fraction, count(*) AS n_eos FROM {_BY_DOC} GROUP BY source")
 def unk_fraction(spark, sf):
-    d = encoded(docs(spark, sf).where("text <> ''"))
+    d = encoded(docs(spark, sf)).withColumn("tokens", F.coalesce("tokens", F.array().cast("array<int>")))
     unk = F.sum(F.size(F.filter("tokens", lambda t: t == 96)).cast("long"))
     return d.groupBy("source").agg((unk / F.sum(F.size("tokens").cast("long"))).alias("unk_fraction"), F.count("*").alias("n_eos"))
 
@@ -106,14 +110,57 @@ def token_shards(spark, sf):
     return d.groupBy("shard").agg(F.sum("n").alias("n_tokens"), F.sum("s").alias("total"))
 
 
+_STREAM = f"s AS (SELECT id, row_number() OVER (ORDER BY doc_id, p) - 1 AS g FROM (SELECT doc_id, p, {_ID} AS id FROM {_CHARS} WHERE t <> ''))"
+
+
+@query(f"""WITH {_STREAM}, c AS (SELECT id, g FROM s WHERE g < 100000), e AS (SELECT * FROM c UNION ALL SELECT 97, max(g) + 1 FROM c)
+SELECT (g // 1000)::BIGINT AS part, count(*) AS n_tokens, sum(id)::BIGINT AS total, sum(id * (g % 1000))::BIGINT AS weighted FROM e GROUP BY 1""")
+def corpus_tokens(spark, sf):
+    """At most 100,000 tokens of the corpus and the end token, summed in thousands."""
+    d = K.capped_stream(encoded(docs(spark, sf)).select("doc_id", "tokens"), "tokens", "doc_id", 97, 100_000)
+    t = d.select("start", F.posexplode("tokens").alias("i", "id")).withColumn("g", F.col("start") + F.col("i"))
+    return t.groupBy(F.floor(F.col("g") / 1000).cast("long").alias("part")).agg(
+        F.count("*").alias("n_tokens"), F.sum("id").alias("total"), F.sum(F.col("id") * (F.col("g") % 1000)).alias("weighted"))
+
+
+@query(f"""WITH {_STREAM}, f AS (SELECT id, g, lead(id, 128) OVER (ORDER BY g) AS far, count(*) OVER () AS n FROM s)
+SELECT (g // 128)::BIGINT AS idx, (sum(id) + max(far) FILTER (WHERE g % 128 = 0))::BIGINT AS total, 129::BIGINT AS size FROM f WHERE (g // 128) * 128 + 129 <= n GROUP BY 1""")
+def token_windows_stream(spark, sf):
+    """Windows of 129 tokens, 128 apart, over all texts as one stream."""
+    w = K.stream_windows(encoded(docs(spark, sf)).select("doc_id", "tokens"), "tokens", "doc_id", 129, 128)
+    return w.select("idx", F.aggregate("window", F.lit(0), lambda a, x: a + x).cast("long").alias("total"), F.size("window").cast("long").alias("size"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, unnest(string_split(text, '')) AS t, generate_subscripts(string_split(text, ''), 1) AS p FROM conversations WHERE turn = 0),
+s AS (SELECT {_ID} AS id, row_number() OVER (ORDER BY conv_id, p) - 1 AS g FROM c WHERE t <> ''),
+w AS (SELECT g AS idx, sum(id) OVER (ORDER BY g ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS total, count(*) OVER (ORDER BY g ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS n FROM s)
+SELECT idx::BIGINT AS idx, total::BIGINT AS total FROM w WHERE n = 16""")
+def dense_windows_stream(spark, sf):
+    """Windows of 16 tokens from every place of the first turns as one stream."""
+    first = encoded(table(spark, sf, "conversations").where("turn = 0")).select("conv_id", "tokens")
+    w = K.stream_windows(first, "tokens", "conv_id", 16)
+    return w.select("idx", F.aggregate("window", F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
+
+
+@query(f"""WITH d AS (SELECT text, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents),
+s AS (SELECT unnest(string_split(left(text, ({K.SAMPLE_CHARACTERS} - before)::BIGINT), '')) AS t FROM d WHERE before < {K.SAMPLE_CHARACTERS}),
+k AS (SELECT t, count(*) AS n FROM s WHERE t <> '' GROUP BY t), a AS (SELECT DISTINCT t FROM {_CHARS} WHERE t <> '')
+SELECT t AS token, coalesce(n, 0)::BIGINT AS n FROM a LEFT JOIN k USING (t) ORDER BY n DESC, t LIMIT 256""")
+def bpe_alphabet(spark, sf):
+    """The base alphabet: characters by their counts in the sample, all others last."""
+    sample = char_budget(docs(spark, sf).select("doc_id", "text"), K.SAMPLE_CHARACTERS, "doc_id")
+    known = K.character_counts(sample).unionByName(K.distinct_characters(docs(spark, sf)).withColumn("n", F.lit(0).cast("long")))
+    return known.groupBy("token").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "token").limit(256)
+
+
 @query()
 def bpe_merges(spark, sf):
-    _, merges = K.train_bpe(docs(spark, sf), 400)
+    _, merges = K.train_bpe(docs(spark, sf), 400, "doc_id")
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, first string, second string")
 
 
 @query()
 def bpe_encode_len(spark, sf):
-    vocabulary, merges = K.train_bpe(docs(spark, sf), 400)
+    vocabulary, merges = K.train_bpe(docs(spark, sf), 400, "doc_id")
     d = K.bpe_encode(docs(spark, sf).select("doc_id", "text"), vocabulary, merges)
     return d.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))

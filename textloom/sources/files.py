@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import io
 import json
-import struct
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,6 +66,29 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> D
     return spark.read.schema(schema).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")
 
 
+def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of CSV files with a header; a byte order mark goes, quoted fields may
+    hold line breaks and doubled quotes. All columns are text unless a schema says
+    otherwise."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
+    out = (reader.schema(schema) if schema else reader).csv(path)
+    return out.toDF(*(c.removeprefix("\ufeff") for c in out.columns))
+
+
+def trees(spark: SparkSession, path: str, schema: str, max_trees: int | None = None, strict: bool = True) -> DataFrame:
+    """(ord, the schema's columns) of message trees, one a line, in file order; the
+    first max_trees of them. A bad line raises, or goes if not strict."""
+    if max_trees is not None and max_trees < 1:
+        raise ValueError("max_trees must be positive")
+    rows = numbered(spark, path, "\n", ~X.blank("value"))
+    parsed = rows.select("ord", F.from_json("value", schema + ", broken__ string", {"columnNameOfCorruptRecord": "broken__"}).alias("t")).select("ord", "t.*")
+    bad = F.col("broken__").isNotNull()
+    if strict:
+        parsed = parsed.withColumn("ord", F.when(bad, F.raise_error(F.concat(F.lit("invalid JSON in line "), (F.col("ord") + 1).cast("string"))).cast("long")).otherwise(F.col("ord")))
+    parsed = (parsed if strict else parsed.where(~bad)).drop("broken__")
+    return parsed if max_trees is None else parsed.orderBy("ord").limit(max_trees)
+
+
 def web_documents(spark: SparkSession, documents_path: str) -> DataFrame:
     """(row, raw_content) of a shard in line order; the row is the join key."""
     rows = numbered(spark, documents_path, "\n", F.col("value") != "")
@@ -154,8 +177,8 @@ def token_shards(spark: SparkSession, folder: str) -> DataFrame:
                 start, n = starts[path.rsplit("/", 1)[-1]]
                 if len(content) != 4 * n:
                     raise ValueError(f"{path} has {len(content)} bytes for {n} tokens")
-                tokens = pa.array(struct.unpack(f"<{n}I", content), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(range(start, start + n), pa.int64()), tokens], ["pos", "token"])
+                tokens = np.frombuffer(content, "<u4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + n)), pa.array(tokens)], ["pos", "token"])
 
     files = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in names])
     return files.select("path", "content").mapInArrow(run, "pos long, token long")

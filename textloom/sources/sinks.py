@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import uuid
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,29 +42,31 @@ def write_buckets(records: DataFrame, path: str, bucket: str) -> None:
 
 def write_token_shards(tokens: DataFrame, folder: str, per_shard: int, pos: str = "pos", token: str = "token") -> dict:
     """Little-endian uint32 shards of `per_shard` tokens and a manifest. A shard is
-    one task's group, bounded by per_shard; an id outside uint32 raises."""
+    one task's group, bounded by per_shard, and that task writes its file: beside
+    it first, then moved, so that a repeated task does no harm. Only names and
+    sizes reach the driver. An id outside uint32 raises."""
     spark = tokens.sparkSession
+    root = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     checked = F.when(F.col(token).between(0, 4294967295), F.col(token)).otherwise(F.raise_error(F.lit("token id outside uint32")).cast("long"))
     rows = tokens.select(F.floor(F.col(pos) / per_shard).cast("long").alias("shard"), F.col(pos).cast("long").alias("pos"), checked.cast("long").alias("token"))
 
-    def encode(table: pa.Table) -> pa.Table:
+    def write(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
-        data = table.column("token").to_numpy().astype("<u4").tobytes()
-        return pa.table({"shard": [table.column("shard")[0].as_py()], "n": [table.num_rows], "content": pa.array([data], pa.binary())})
-
-    shards = rows.groupBy("shard").applyInArrow(encode, "shard long, n long, content binary")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    listed = []
-    for r in shards.orderBy("shard").toLocalIterator():  # one shard at a time
-        name = f"shard-{r.shard:05d}.bin"
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        stream = path.getFileSystem(conf).create(path, True)
-        stream.write(bytearray(r.content))
-        stream.close()
-        listed.append({"path": name, "tokens": r.n})
-    if not listed:
+        shard = table.column("shard")[0].as_py()
+        files, base = pa.fs.FileSystem.from_uri(root)
+        files.create_dir(base, recursive=True)
+        draft = f"{base}/.{uuid.uuid4().hex}"
+        with files.open_output_stream(draft) as out:
+            out.write(table.column("token").to_numpy().astype("<u4").tobytes())
+        files.move(draft, f"{base}/shard-{shard:05d}.bin")
+        return pa.table({"shard": [shard], "n": [table.num_rows]})
+
+    written = rows.groupBy("shard").applyInArrow(write, "shard long, n long").collect()
+    if not written:
         raise ValueError("there are no tokens")
+    listed = [{"path": f"shard-{r.shard:05d}.bin", "tokens": r.n} for r in sorted(written)]
     manifest = {"format": 1, "dtype": "uint32", "tokens_per_shard": per_shard, "total_tokens": sum(s["tokens"] for s in listed), "shards": listed}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest.json")
     stream = path.getFileSystem(conf).create(path, True)
     stream.write(bytearray(json.dumps(manifest).encode()))
