@@ -40,8 +40,16 @@ def test_quality_order_and_short_circuit(rows):
     texts = pa.array([t for _, t, *_ in rows], pa.string())
     rules = (*quality.BASE, *quality.RULES)
     expected = [plain.quality(t)[-1] for _, t, *_ in rows]
-    assert quality.passes(texts, rules).tolist() == expected
-    assert quality.passes(texts, rules[::-1]).tolist() == expected
+    assert quality.passes(quality.Facts(texts), rules).tolist() == expected
+    assert quality.passes(quality.Facts(texts), rules[::-1]).tolist() == expected
+    seen = []  # a rule sees what those before it left
+
+    def watch(rule):
+        return quality.Rule(rule.name, lambda f: (seen.append(len(f.n_words)), rule.rejects(f))[1])
+
+    alone = [int((~r.rejects(quality.Facts(texts))).sum()) for r in rules[:1]]
+    quality.passes(quality.Facts(texts), [watch(r) for r in rules])
+    assert seen[0] == len(texts) and seen[1] == alone[0] and seen == sorted(seen, reverse=True)
     seen = [{"rule": "long", "rejected": 9, "seconds": 1.0}, {"rule": "symbols", "rejected": 1, "seconds": 0.01}]
     assert [r.name for r in quality.ordered(quality.RULES, seen)][:2] == ["symbols", "long"]
 

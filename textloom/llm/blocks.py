@@ -56,7 +56,9 @@ def small_batches(spark: SparkSession) -> None:
     ship(spark)
 
 
+#: Applications that have the package, and that clean up their checkpoints.
 _SHIPPED: set[str] = set()
+_CLEANED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -91,6 +93,9 @@ def shared_folder(spark: SparkSession) -> str:
         if not folder and not _local(sc):
             raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
+    if sc.applicationId not in _CLEANED:  # the folder below is this application's own
+        remove_at_exit(spark, sc.getCheckpointDir())
+        _CLEANED.add(sc.applicationId)
     return sc.getCheckpointDir()
 
 
@@ -246,6 +251,24 @@ class Words:
         out[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = self.data[self.inside]
         return out.tobytes(), starts
 
+    def of(self, rows: np.ndarray) -> Words:
+        """The words of some rows (marked), which are not cut again."""
+        if rows.all():
+            return self
+        sizes = np.diff(self.offsets)
+        bytes_, own = np.repeat(rows, sizes), rows[self.row]
+        offsets = np.concatenate([[0], np.cumsum(sizes[rows])])
+        shift = np.zeros(len(rows), np.int64)
+        shift[rows] = offsets[:-1] - self.offsets[:-1][rows]
+        moved = shift[self.row[own]]
+        out = Words(
+            self.data[bytes_], offsets, self.starts[own] + moved, self.stops[own] + moved,
+            np.concatenate([[0], np.cumsum(self.counts[rows])]), self.inside[bytes_],
+        )
+        if "codes" in self.__dict__:  # equal words keep theirs
+            out.codes = (self.codes[0][own], self.codes[1])
+        return out
+
     def windows(self, n: int) -> np.ndarray:
         """Indexes of the words that n consecutive words of one row start at."""
         if len(self.starts) < n:

@@ -2,12 +2,13 @@
 
 Each rule's cost and selectivity are estimated on a bounded sample; rules then
 run in order of rejections per second, each only on the rows that the earlier
-ones left. The verdict is the conjunction of all rules, so the order changes
-the time and never the result.
+ones left. A rule's cost is what it adds to the words, which are cut once and
+shared. The verdict is the conjunction of all rules, so the order changes the time
+and never the result.
 
 Defined cases: a null text has no words, like an empty one; repeated rows are
-judged one by one; an empty table gives an empty result; an input column with
-the name of an added one is replaced by it.
+judged one by one; a very long text is one step of its own; an empty table gives
+an empty result; an input column with the name of an added one is replaced by it.
 """
 
 from __future__ import annotations
@@ -32,12 +33,12 @@ _SYMBOL = blocks._table(b"#*$%&|<>")
 class Facts:
     """Counts of a column of texts, each computed when first asked for."""
 
-    def __init__(self, texts: pa.Array):
-        self.texts = texts
+    def __init__(self, texts: pa.Array | blocks.Words):
+        self._words = texts if isinstance(texts, blocks.Words) else blocks.words(texts)
 
-    @cached_property
-    def _words(self) -> blocks.Words:
-        return blocks.words(self.texts)
+    def of(self, rows: np.ndarray) -> Facts:
+        """The same of some rows (marked)."""
+        return self if rows.all() else Facts(self._words.of(rows))
 
     @cached_property
     def n_words(self) -> np.ndarray:
@@ -51,12 +52,11 @@ class Facts:
 
     @cached_property
     def n_symbols(self) -> np.ndarray:
-        data, offsets = blocks.raw(self.texts)
-        return blocks.per_row(_SYMBOL[data], offsets)
+        return blocks.per_row(_SYMBOL[self._words.data], self._words.offsets)
 
     @cached_property
     def _lines(self) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = blocks.raw(self.texts)
+        data, offsets = self._words.data, self._words.offsets
         n = len(offsets) - 1
         breaks = np.flatnonzero(data == 10)
         # a row of k breaks has k + 1 lines; a line's bytes are those between its bounds
@@ -137,20 +137,16 @@ RULES = (
 )
 
 
-def passes(texts: pa.Array, rules: Sequence[Rule]) -> np.ndarray:
-    """Which texts no rule rejects. Rejected rows are dropped after a rule that
-    rejects over a quarter of the rows at hand; else later rules see them too,
-    which changes no verdict."""
-    kept = np.ones(len(texts), bool)
-    alive, facts = np.arange(len(texts)), Facts(texts)
+def passes(facts: Facts, rules: Sequence[Rule]) -> np.ndarray:
+    """Which texts no rule rejects. A rule sees the rows that all before it left."""
+    kept = np.zeros(len(facts.n_words), bool)
+    alive = np.arange(len(kept))
     for rule in rules:
         if not len(alive):
             break
-        out = rule.rejects(facts)
-        kept[alive[out]] = False
-        if 4 * out.sum() > len(alive):  # else the counts at hand cost less than new ones
-            alive = alive[~out]
-            facts = Facts(facts.texts.filter(pa.array(~out)))
+        left = ~rule.rejects(facts)
+        alive, facts = alive[left], facts.of(left)
+    kept[alive] = True
     return kept
 
 
@@ -161,10 +157,11 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks.steps(batch, text):
-                rows = []
+                rows, cut = [], blocks.words(part.column(text))
+                cut.codes  # shared, like the words  # noqa: B018
                 for rule in rules:
                     began = time.perf_counter()
-                    out = int(rule.rejects(Facts(part.column(text))).sum())
+                    out = int(rule.rejects(Facts(cut)).sum())
                     rows.append((rule.name, time.perf_counter() - began, out, part.num_rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["rule", "seconds", "rejected", "seen"])
 
@@ -186,7 +183,7 @@ def quality_filter(docs: DataFrame, rules: Sequence[Rule] = (*BASE, *RULES), tex
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks.steps(batch, text):
-                yield part.filter(pa.array(passes(part.column(text), rules)))
+                yield part.filter(pa.array(passes(Facts(part.column(text)), rules)))
 
     return docs.mapInArrow(keep, docs.schema)
 
@@ -212,7 +209,7 @@ def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "
                 for rule in BASE:
                     failed |= rule.rejects(facts)
                 kept = np.zeros(len(texts), bool)
-                kept[~failed] = passes(texts.filter(pa.array(~failed)), rules)
+                kept[~failed] = passes(facts.of(~failed), rules)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(f.name) for f in rest]
                     + [pa.array(np.asarray(getattr(facts, c), np.int64)) for c in COUNTS]
