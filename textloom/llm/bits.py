@@ -173,9 +173,9 @@ def link_near(bucket: np.ndarray, fps: np.ndarray, radius: int, small: int = 64)
 
 
 def meet(dealt: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """(a, b): links between nodes of rows (bucket long, node long, fp binary) that
-    meet in a bucket and lie within the radius; enough of them to connect whatever
-    is linked."""
+    """(a, b) that connect the nodes of rows (bucket long, node long, fp binary) that
+    meet in a bucket and lie within the radius: a bucket's least connected node, and
+    another one. So buckets with the same nodes say the same."""
     block = BLOCK
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,14 @@ def meet(dealt: DataFrame, lanes: int, radius: int) -> DataFrame:
             data, _ = blocks.raw(table.column("fp").combine_chunks())
             fps = data.view(">u8").astype(np.uint64).reshape(len(node), lanes)
             found = link_near(bucket, fps, radius)
-            return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
+            group = Forest(len(node))
+            group.join(found[:, 0], found[:, 1])
+            label = group.labels()
+            least = np.full(len(node), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, node)
+            root = least[label]
+            own = np.flatnonzero(node != root)
+            return pa.RecordBatch.from_arrays([pa.array(root[own]), pa.array(node[own])], ["a", "b"])
 
         for batch in batches:  # sorted by cell: whole cells are compared together
             held.append(batch)

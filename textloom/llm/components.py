@@ -28,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
         large = _least_of(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = _least_of(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = least.select("u", F.col("m").alias("v"))
         now = cut(small.unionByName(own).where("u <> v").distinct())
@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _least_of(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Edges (u, v) with m of their u. A hub's edges stay where they are: hubs are
     broadcast, if they are few, and only other edges are dealt by u."""
-    hubs = least.where(least["n"] > HUB).select("u", "m")
+    hubs = cut(least.where(least["n"] > HUB).select("u", "m"))
     if not 0 < hubs.count() <= HUBS:
         return edges.join(least.select("u", "m"), "u")
     hubs = F.broadcast(hubs)

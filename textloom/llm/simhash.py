@@ -64,8 +64,8 @@ def exact_tables(width: int, radius: int, n: int) -> list[np.ndarray]:
 
 
 def links(nodes: DataFrame, lanes: int, radius: int, tables: list[np.ndarray]) -> DataFrame:
-    """(a, b): links between nodes (node long, fp binary) that meet in a table and
-    lie within the radius; enough of them to connect whatever is linked."""
+    """(a, b) that connect the nodes (node long, fp binary) that meet in a table and
+    lie within the radius."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
