@@ -321,9 +321,7 @@ def test_decontamination_with_more_words_than_a_million():
     assert sorted(place.tolist()) == list(range(1, 12))
 
 
-@pytest.mark.parametrize("hub", [1000, 3])
-def test_components(spark, monkeypatch, hub):
-    monkeypatch.setattr(components, "HUB", hub)
+def test_components(spark):
     r = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(229, 41)]
     got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
