@@ -112,6 +112,12 @@ def eos_parts(c: Column | str) -> Column:
     return F.split(c, EOS, -1)
 
 
+def json_object(c: Column | str) -> Column:
+    """A text's JSON object as a variant; null for bad JSON, anything but an object,
+    and an object that has a key twice."""
+    return let(F.try_parse_json(c), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
+
+
 def uniform(*key: Column) -> Column:
     """A number in [0, 1) from the MD5 of a seeded key; the same in other engines."""
     return F.conv(F.substring(F.md5(F.concat_ws("-", *key)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

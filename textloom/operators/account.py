@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,13 @@ def weighted_loss(batches: DataFrame, loss: str = "loss", tokens: str = "tokens"
     return some.groupBy(*keys).agg(F.avg(loss).alias("batch_mean"), (F.sum(F.col(loss) * F.col(tokens)) / F.sum(tokens)).alias("token_mean"))
 
 
+def trained_loss(batches: DataFrame, loss: str = "loss", tokens: str = "tokens") -> DataFrame:
+    """(token_mean, tokens) over all batches; without any trained token it raises."""
+    total = F.sum(tokens)
+    sums = batches.where(F.col(tokens) > 0).agg((F.sum(F.col(loss) * F.col(tokens)) / total).alias("mean"), F.coalesce(total, F.lit(0)).alias("tokens"))
+    return sums.select(F.when(F.col("tokens") > 0, F.col("mean")).otherwise(F.raise_error(F.lit("there are no trained tokens")).cast("double")).alias("token_mean"), "tokens")
+
+
 def cross_entropy(logits: Column, target: Column) -> Column:
     """Log-sum-exp minus the target's logit; null for an ignored target."""
     wide = F.transform(logits, lambda x: x.cast("double"))
@@ -90,3 +99,20 @@ def batch_digest(batches: DataFrame, batch: int, key: str, first: int = 10) -> D
     ids = batches.where(F.col("batch") == batch).orderBy("place").limit(first)
     row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", key))), lambda r: r[key].cast("string")), ",")
     return ids.agg(F.sha2(row, 256).alias("digest"))
+
+
+def check_resume(saved: Mapping[str, Any], config: Mapping[str, Any], step: int, digest: str, epochs: int) -> tuple[int, int]:
+    """(epoch, batch) at which a saved run goes on. It raises unless the run has the
+    same configuration, ends at the given step, is within its epochs, has taken no
+    negative time and meets the same next batch (batch_digest)."""
+    rules = {
+        "the configuration or the data changed": saved.get("config") == dict(config),
+        "the step isn't the saved one": saved.get("base_step", 0) + saved.get("steps", 0) == step,
+        "the elapsed time is negative": saved.get("seconds", 0.0) >= 0,
+        "the run is beyond its epochs": saved.get("epoch", 0) <= epochs,
+        "the next batch differs": saved.get("batch_digest", digest) == digest,
+    }
+    for problem, ok in rules.items():
+        if not ok:
+            raise ValueError(f"the run can't be resumed: {problem}")
+    return saved.get("epoch", 0), saved.get("batch", 0)

@@ -81,6 +81,28 @@ def complete_exchange(messages: Column, min_reply: int = 0) -> Column:
     return F.coalesce(first & (last["role"] == "assistant") & alternates(messages) & (F.length(X.strip(last["content"])) >= min_reply), F.lit(False))
 
 
+def strict_exchange(messages: Column, place: Column) -> Column:
+    """The messages with stripped contents if they are a complete exchange (two or
+    more, named roles, contents that aren't blank, from the user to the assistant, in
+    turns); anything else raises with its place."""
+    def checked(ms: Column) -> Column:
+        problem = (
+            F.when(F.coalesce(F.size(ms), F.lit(0)) < 2, "the messages are no complete exchange")
+            .when(F.exists(ms, lambda m: F.coalesce(m["role"], F.lit("")) == ""), "a message has no role")
+            .when(F.exists(ms, lambda m: F.coalesce(m["content"], F.lit("")) == ""), "a message has no content")
+            .when((F.get(ms, F.lit(0))["role"] != "user") | (F.try_element_at(ms, F.lit(-1))["role"] != "assistant"), "the messages must go from the user to the assistant")
+            .when(~alternates(ms), "roles must alternate")
+        )
+        return F.when(problem.isNull(), ms).otherwise(F.raise_error(F.concat(place.cast("string"), F.lit(": "), problem)).cast(MESSAGES))
+
+    return X.let(F.transform(messages, lambda m: message(m["role"], X.strip(m["content"]))), checked)
+
+
+def message_digest(messages: Column) -> Column:
+    """The SHA-256 of the messages' JSON, contents as they are, keys in order."""
+    return F.sha2(F.to_json(F.transform(messages, lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))), 256)
+
+
 def normalize(messages: Column) -> Column:
     """The alternating user and assistant turns of an imported chat, contents
     collapsed: other and blank messages go, then a head before the user and a tail

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions.schemas import EMOTIONS_28, EMOTIONS_6, EMOTIONS_7, EMOTIONS_DIALOGUE, MESSAGES
-from textloom.operators.chat import canonical, context_windows, default_state, message, normalize, normalize_keep_system, turn_pairs_text, two_speakers, without_system
+from textloom.operators.chat import canonical, context_windows, default_state, message, message_digest, normalize, normalize_keep_system, turn_pairs_text, two_speakers, without_system
 from textloom.operators.corpus import dedup_first
 from textloom.operators.sampling import shuffled
 
@@ -237,3 +237,34 @@ def scripted_emotions(rows: DataFrame, back: int = 2) -> DataFrame:
     near = context_windows(clean, "dialogue_id", "at", "line", back)
     nth = F.row_number().over(Window.partitionBy("dialogue_id").orderBy("at")) - 1
     return near.select("dialogue_id", nth.alias("utterance_index"), F.col("context").alias("prompt"), "emotion", "context_turns")
+
+
+def scripted_sample(rows: DataFrame, seed: int, most: int | None = None, back: int = 2) -> DataFrame:
+    """scripted_emotions in a seeded order, by pos; `most` of them."""
+    key = F.concat_ws("-", "dialogue_id", F.col("utterance_index").cast("string"))
+    placed = shuffled(scripted_emotions(rows, back).withColumn("key__", key), "key__", seed).drop("key__")
+    return placed if most is None else placed.where(F.col("pos") < most)
+
+
+def chat_wave(sources: Mapping[str, DataFrame], provenance: Mapping[str, Mapping[str, str]], key: str, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(records, counts) of several sources' rows: each source is converted, keeps the
+    first one of equal conversations in an order seeded with seed + its index, and
+    `most` of them; equal ones of several sources stay with the first source. Records
+    have pos, their place in a seeded order; counts have source, bucket (that of the
+    provenance, if any) and usable. A source without records raises."""
+    parts = []
+    for i, (name, rows) in enumerate(sources.items()):
+        found = convert_chat(name, rows, provenance[name]).withColumns({"source_index": F.lit(i), "bucket": F.lit(provenance[name].get("bucket", "approved"))})
+        placed = shuffled(found, key, seed + i, "rank__").withColumn("digest__", message_digest(F.col("messages")))
+        unique = dedup_first(placed, F.col("digest__"), "rank__")
+        few = unique.orderBy("rank__").limit(most)
+        parts.append(few.select("source_index", "rank__", "dataset_source", "dataset_license", "dataset_repository", "dataset_split", "bucket", F.col(key).cast("string").alias("source_id"), "state", "messages"))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    counts = both.groupBy(F.col("dataset_source").alias("source"), "bucket").agg(F.count("*").alias("usable"))
+    if missing := sorted(set(sources) - {r.source for r in counts.collect()}):  # a row a source
+        raise ValueError(f"no usable records of {', '.join(missing)}")
+    both = both.withColumn("rank__", F.struct("source_index", "rank__"))
+    unique = dedup_first(both, message_digest(F.col("messages")), "rank__").drop("rank__", "source_index")
+    return shuffled(unique.withColumn("key__", F.concat_ws("-", "dataset_source", "source_id")), "key__", seed).drop("key__"), counts

@@ -78,6 +78,20 @@ def english(lang: Column | str) -> Column:
     return F.coalesce(F.lower(X.strip(lang)).isin("english", "en"), F.lit(False))
 
 
+def scores_pass(score: Column, language_score: Column, least: float = 3.0, least_language: float = 0.8) -> Column:
+    """Both scores (numbers or text) reach their thresholds; a missing one is 0, one
+    that is no number fails."""
+    def reaches(c: Column, floor: float) -> Column:
+        return F.coalesce(F.when(c.isNull(), F.lit(0.0)).otherwise(c.cast("string").try_cast("double")) >= floor, F.lit(False))
+
+    return reaches(score, least) & reaches(language_score, least_language)
+
+
+def without_sources(records: DataFrame, *sources: str, source: str = "source") -> DataFrame:
+    """records but those of the given sources, which another step samples by itself."""
+    return records.where(~F.coalesce(F.col(source).isin(*sources), F.lit(False)))
+
+
 def long_enough(text: Column | str, words: int = 0, characters: int = 0) -> Column:
     text = F.coalesce(text, F.lit(""))
     return (F.size(X.words(text)) >= words) & (F.length(X.strip(text)) >= characters)
@@ -98,20 +112,41 @@ def first_signals(signals: DataFrame, shard: str, order: str = "ord") -> DataFra
     return rows.groupBy("row").agg(F.min_by("quality_signals", order).alias("quality_signals"))
 
 
+def signal_counters(lines: DataFrame, shard: str, documents: int, line: str = "value") -> DataFrame:
+    """One row about a shard's lines of signals: invalid_signal_records (no JSON
+    objects), invalid_signal_ids (not of the shard, or of no document) and
+    duplicate_signal_ids (beyond the first one of a document)."""
+    record = lines.select(X.json_object(line).alias("v"))
+    # an id that is no text doesn't count; its type tells, since a cast would hide it
+    is_text = F.schema_of_variant(F.try_variant_get("v", "$.id", "variant")) == "STRING"
+    row = F.regexp_extract(F.when(is_text, F.try_variant_get("v", "$.id", "string")), "^" + shard.replace(".", r"\.") + r"/(\p{Nd}+)$", 1)
+    at = F.try_to_number(F.when(row != "", row), F.lit("9" * 18)).cast("long")
+    rows = record.select(F.col("v").isNotNull().alias("good"), at.alias("at")).groupBy("good", F.when(F.col("at") < documents, F.col("at")).alias("at")).agg(F.count("*").alias("n"))
+    total = lambda c, n="n": F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0))
+    valid = F.col("at").isNotNull()
+    return rows.agg(
+        total(~F.col("good")).alias("invalid_signal_records"), total(F.col("good") & ~valid).alias("invalid_signal_ids"),
+        (total(valid) - F.count_if(valid)).alias("duplicate_signal_ids"),
+    )
+
+
 def classify(docs: DataFrame, dups: DataFrame, key: str, checks: Sequence[tuple[str, Column]], digest: Column, order: str, within: Sequence[str] = ()) -> DataFrame:
-    """docs with `reason`: duplicate_ids, the first failed check's name,
+    """(order, within, reason) of docs: duplicate_ids, the first failed check's name,
     exact_duplicates (a row with the same digest, within the given columns, comes
-    before and passed the checks) or kept."""
+    before and passed the checks) or kept. The order is unique. Checks and digests are
+    computed once: what they give is dealt out by the order, and both the digests'
+    minima and the join read that one shuffle."""
     marked = docs.join(dups.select(F.col("id").alias("dup__")), F.col(key).cast("string") == F.col("dup__"), "left")
     reason = F.when(F.col("dup__").isNotNull(), "duplicate_ids")
     for name, failed in checks:
         reason = reason.when(failed, name)
-    marked = marked.withColumn("reason", reason).withColumn("digest__", digest)
-    first = marked.where("reason IS NULL").groupBy(*within, "digest__").agg(F.min(order).alias("first__"))
+    slim = marked.select(order, *within, reason.alias("reason__"), digest.alias("digest__")).repartition(order)
+    # no filter, so that both sides have the same columns and rows of the shuffle
+    first = slim.groupBy(*within, "digest__").agg(F.min(F.when(F.col("reason__").isNull(), F.col(order))).alias("first__"))
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*within, "digest__")]
-    joined = marked.alias("m").join(first.alias("f"), same, "left")
     late = F.when(F.col(f"m.{order}") > F.col("first__"), "exact_duplicates").otherwise("kept")
-    return joined.select(*(F.col(f"m.{c}") for c in docs.columns), F.coalesce("reason", late).alias("reason"))
+    joined = slim.alias("m").join(first.alias("f"), same, "left")
+    return joined.select(*(F.col(f"m.{c}") for c in (order, *within)), F.coalesce("reason__", late).alias("reason"))
 
 
 def dedup_first(df: DataFrame, digest: Column, order: str, within: Sequence[str] = ()) -> DataFrame:
@@ -135,6 +170,24 @@ def char_budget(docs: DataFrame, target: int, order: str, text: str = "text", st
     return run.where(F.col("before") < target).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(target) - F.col("before")).cast("int"))).drop("before")
 
 
+def stratified_budget(docs: DataFrame, target: int, strata: Sequence[str], order: str, stratum: str = "source", text: str = "text") -> DataFrame:
+    """Documents of the listed strata, one stratum after another, each until its even
+    share of `target` characters (rounded up) and all until the target; what a stratum
+    lacks no other one gets. Adds start, the characters before a document."""
+    if target < 1:
+        raise ValueError("target must be positive")
+    share = -(-target // len(strata))
+    index = F.array_position(F.array(*map(F.lit, strata)), F.col(stratum))
+    n = F.length(F.coalesce(text, F.lit(""))).cast("long")
+    run = running_total(docs.where(F.col(stratum).isin(*strata)), n, order, "before__", [stratum])
+    totals = docs.where(F.col(stratum).isin(*strata)).groupBy(stratum).agg(F.least(F.sum(n), F.lit(share)).alias("taken__"))
+    ahead = Window.orderBy(index).rowsBetween(Window.unboundedPreceding, -1)  # a row for each of the listed strata
+    offsets = totals.withColumn("offset__", F.coalesce(F.sum("taken__").over(ahead), F.lit(0))).drop("taken__")
+    placed = run.join(F.broadcast(offsets), stratum).withColumn("start", F.col("before__") + F.col("offset__"))
+    room = F.least(F.lit(share) - F.col("before__"), F.lit(target) - F.col("start"))
+    return placed.where(room > 0).withColumn(text, F.substring(F.col(text), F.lit(1), room.cast("int"))).drop("before__", "offset__")
+
+
 #: Rows of a budget's tail that are decided at once.
 TAIL_ROWS = 10_000
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import seeded, uniform
+from textloom.operators.corpus import balanced_quota
 from textloom.operators.order import hash_order, position, running_total
 
 
@@ -38,6 +39,28 @@ def page_sample(df: DataFrame, order: str, seed: int, limit: int, page_rows: int
     return near.orderBy("rank__").limit(limit).drop("ord__", "nth__", "rank__")
 
 
+def full_page_sample(df: DataFrame, order: str, seed: int, limit: int, **pages: int) -> DataFrame:
+    """page_sample that raises if its pages hold fewer than `limit` rows; adds pos,
+    the place of a row in a seeded order."""
+    if limit < 1 or seed < 0:
+        raise ValueError("the limit must be positive and the seed not negative")
+    out = page_sample(df, order, seed, limit, **pages)
+    found = out.count()
+    if found < limit:
+        raise ValueError(f"the pages hold {found} rows of {limit}")
+    return shuffled(out, order, seed)
+
+
+def balanced_merge(first: DataFrame, second: DataFrame, key: str, seed: int, limit: int | None = None) -> DataFrame:
+    """Rows of both tables with side (0 or 1) and pos, their place in a seeded order:
+    all of them, or `limit` of them, half from each; what one lacks the other fills."""
+    n = (first.count(), second.count())
+    take = n if limit is None or limit >= sum(n) else balanced_quota(*n, limit)
+    sides = [sample(df, key, seed, k).withColumn("side", F.lit(i)) if k < m else df.withColumn("side", F.lit(i)) for i, (df, k, m) in enumerate(zip((first, second), take, n))]
+    both = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    return shuffled(both.withColumn("key__", F.concat_ws("-", "side", F.col(key).cast("string"))), "key__", seed).drop("key__")
+
+
 def split(df: DataFrame, key: str, seed: int, share: float, within: str | None = None) -> DataFrame:
     """df with `part`: validation for exactly max(1, floor(rows * share)) rows (of
     each group), train for the rest."""

@@ -39,7 +39,7 @@ normal AS (SELECT conv_id, count(*) AS n, string_agg(role || ': ' || t, chr(10)
   HAVING count(*) >= 2 AND count(*) FILTER (WHERE before = role) = 0)"""
 
 
-def _transcript(messages):
+def transcript(messages):
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
 
 
@@ -52,7 +52,7 @@ def chat_grouped(spark, sf):
 @query(f"WITH {_NORMAL} SELECT conv_id, transcript FROM normal")
 def chat_normalize(spark, sf):
     out = chats(spark, sf).withColumn("messages", H.normalize(F.col("messages"))).where("messages IS NOT NULL")
-    return out.select("conv_id", _transcript("messages").alias("transcript"))
+    return out.select("conv_id", transcript("messages").alias("transcript"))
 
 
 @query(rf"""WITH {_ROWS}, k AS (SELECT conv_id, i, role, {_strip('text')} AS t FROM c), e AS (SELECT conv_id, max(i) FILTER (WHERE role = 'assistant' AND t <> '') AS hi FROM k GROUP BY conv_id)
@@ -60,7 +60,7 @@ SELECT conv_id, string_agg(role || ': ' || t, chr(10) ORDER BY i) AS transcript
 GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user') > 0 AND count(*) FILTER (WHERE role = 'assistant') > 0""")
 def chat_keep_system(spark, sf):
     out = chats(spark, sf).withColumn("messages", H.normalize_keep_system(F.col("messages"))).where("messages IS NOT NULL")
-    return out.select("conv_id", _transcript("messages").alias("transcript"))
+    return out.select("conv_id", transcript("messages").alias("transcript"))
 
 
 @query(rf"""WITH {_GROUPED} SELECT conv_id, len(roles) > 0 AND len(list_filter(texts, lambda t: t IS NULL OR {_strip('t')} = '')) = 0
@@ -84,7 +84,7 @@ e AS (SELECT conv_id, max(i) FILTER (WHERE role = 'assistant') AS hi FROM r GROU
 SELECT conv_id, string_agg(role || ': ' || t, chr(10) ORDER BY i) AS transcript FROM r JOIN e USING (conv_id) WHERE i <= hi GROUP BY conv_id""")
 def chat_two_speakers(spark, sf):
     out = chats(spark, sf).withColumn("messages", H.two_speakers(F.col("messages"), "role", "content")).where("messages IS NOT NULL")
-    return out.select("conv_id", _transcript("messages").alias("transcript"))
+    return out.select("conv_id", transcript("messages").alias("transcript"))
 
 
 @query(rf"""WITH {_ROWS}, d AS (SELECT conv_id, coalesce(string_agg(role || chr(1) || {_strip('text')}, chr(2) ORDER BY i) FILTER (WHERE role <> 'system'), '') AS k FROM c GROUP BY conv_id)
@@ -134,7 +134,7 @@ t AS (SELECT r.conv_id, "at", CASE WHEN c.role = 'user' THEN s ELSE s + 1 END AS
 u AS (SELECT t.* FROM t JOIN c ON c.conv_id = t.conv_id AND c.i = t.s WHERE c.role = 'user')
 SELECT u.conv_id, "at"::INTEGER AS "at", string_agg(role || ': ' || text, chr(10) ORDER BY i) AS transcript FROM u JOIN c ON c.conv_id = u.conv_id AND c.i BETWEEN u.s AND u."at" GROUP BY u.conv_id, u."at" """)
 def reply_context(spark, sf):
-    return H.reply_contexts(chats(spark, sf), "conv_id").select("conv_id", "at", _transcript("messages").alias("transcript"))
+    return H.reply_contexts(chats(spark, sf), "conv_id").select("conv_id", "at", transcript("messages").alias("transcript"))
 
 
 _IDS = "list_transform(['" + "','".join(EMOTIONS_28) + "'], lambda x: x)"

@@ -118,8 +118,8 @@ def min_len_filter(spark, sf):
 @query("SELECT d.doc_id, coalesce(quality, 0)::DOUBLE AS score FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(quality, 0) >= 1 AND coalesce(toxic, 0) < 1")
 def score_threshold(spark, sf):
     both = docs(spark, sf).select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
-    score = F.coalesce(F.col("quality").cast("string").try_cast("double"), F.lit(0.0))
-    return both.where((score >= 1) & (F.coalesce("toxic", F.lit(0)) < 1)).select("doc_id", score.alias("score"))
+    clean = 1 - F.coalesce("toxic", F.lit(0))
+    return both.where(C.scores_pass(F.col("quality"), clean, 1, 1)).select("doc_id", F.coalesce("quality", F.lit(0)).cast("double").alias("score"))
 
 
 _LABEL = r"nullif(regexp_extract(text, '(?m)^(?:Released|Licensed) under (?:the )?([^\n]+?)\.?$', 1), '')"

@@ -24,8 +24,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def _load() -> None:
-    from textloom.plans import chat, corpus, sampling, tokens  # noqa: F401
+    from textloom.plans import chat, corpus, records, sampling, storage, tokens  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -131,14 +131,14 @@ def token_windows_stream(spark, sf):
     return w.select("idx", F.aggregate("window", F.lit(0), lambda a, x: a + x).cast("long").alias("total"), F.size("window").cast("long").alias("size"))
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, unnest(string_split(text, '')) AS t, generate_subscripts(string_split(text, ''), 1) AS p FROM conversations WHERE turn = 0),
-s AS (SELECT {_ID} AS id, row_number() OVER (ORDER BY conv_id, p) - 1 AS g FROM c WHERE t <> ''),
+@query(f"""WITH c AS (SELECT conv_id, turn, unnest(string_split(text, '')) AS t, generate_subscripts(string_split(text, ''), 1) AS p FROM conversations),
+s AS (SELECT {_ID} AS id, row_number() OVER (ORDER BY conv_id, turn, p) - 1 AS g FROM c WHERE t <> ''),
 w AS (SELECT g AS idx, sum(id) OVER (ORDER BY g ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS total, count(*) OVER (ORDER BY g ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS n FROM s)
 SELECT idx::BIGINT AS idx, total::BIGINT AS total FROM w WHERE n = 16""")
 def dense_windows_stream(spark, sf):
-    """Windows of 16 tokens from every place of the first turns as one stream."""
-    first = encoded(table(spark, sf, "conversations").where("turn = 0")).select("conv_id", "tokens")
-    w = K.stream_windows(first, "tokens", "conv_id", 16)
+    """Windows of 16 tokens from every place of all turns as one stream."""
+    turns = encoded(table(spark, sf, "conversations")).select((F.col("conv_id") * 2**20 + F.col("turn")).alias("at"), "tokens")
+    w = K.stream_windows(turns, "tokens", "at", 16)
     return w.select("idx", F.aggregate("window", F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
 
 

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions.schemas import MESSAGES
+from textloom.operators.chat import state_problems, valid
 from textloom.operators.corpus import duplicate_ids
+from textloom.operators.sampling import sample, shuffled
 
 
 def text_file(spark: SparkSession, path: str) -> DataFrame:
@@ -105,6 +107,45 @@ def chats(spark: SparkSession, path: str) -> DataFrame:
     return jsonl(spark, path, schema).withColumn("file", F.input_file_name())
 
 
+def strict_chats(spark: SparkSession, path: str) -> DataFrame:
+    """(line, messages, state, tools) of a chat file's lines, blank ones left out. A
+    line that is no JSON object, has no state or a bad one, or whose messages aren't
+    valid raises with its number."""
+    rows = numbered(spark, path, "\n").where(~X.blank("value")).withColumn("line", F.col("ord") + 1)
+    shape = f"messages {MESSAGES}, state string, tools array<struct<name:string,description:string,parameters:string>>"
+    rows = rows.select("line", F.try_parse_json("value").alias("any"), X.json_object("value").alias("object"), F.from_json("value", shape).alias("r")).select("line", "any", "object", "r.*")
+    problem = (
+        F.when(F.col("any").isNull(), "invalid JSON").when(F.col("object").isNull(), "not a JSON object").when(F.col("state").isNull(), "no state")
+        .when(F.size(state_problems(F.col("state"))) > 0, "bad state").when(~valid(F.col("messages")), "invalid messages")
+    )
+    line = F.when(problem.isNull(), F.col("line")).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), problem)).cast("long"))
+    return rows.select(line.alias("line"), "messages", "state", "tools")
+
+
+def shard_list(spark: SparkSession, path: str, seed: int) -> DataFrame:
+    """(shard, pos) of a list of shards, one a line, in a seeded order."""
+    rows = spark.read.text(path).select(X.strip("value").alias("shard")).where("shard <> ''").distinct()
+    return shuffled(rows, "shard", seed)
+
+
+def json_sample(spark: SparkSession, path: str, schema: str, seed: int, size: int) -> DataFrame:
+    """(ord, the schema's columns) of `size` JSON lines that are objects, in a seeded
+    order; other lines don't count. Without any it raises."""
+    rows = numbered(spark, path, "\n").where(X.json_object("value").isNotNull())
+    out = sample(rows, "ord", seed, size).select("ord", F.from_json("value", schema).alias("r")).select("ord", "r.*")
+    if out.isEmpty():
+        raise ValueError("there are no JSON objects")
+    return out
+
+
+def checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """(step, epoch, loss) of runs' metadata, one JSON object a line; a missing epoch
+    is 0, a missing step raises."""
+    rows = jsonl(spark, path, "step long, epoch long, loss double")
+    step = F.coalesce("step", F.raise_error(F.lit("a checkpoint has no step")).cast("long"))
+    return rows.select(step.alias("step"), F.coalesce("epoch", F.lit(0).cast("long")).alias("epoch"), "loss")
+
+
 def unpacked(spark: SparkSession, path: str, opener: Callable[[bytes], Iterator[tuple[str, bytes]]]) -> DataFrame:
     """(path, member, content) of the members of archives."""
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators.corpus import append_merge
 
 
 def document_block(text: Column | str) -> Column:
@@ -40,6 +41,19 @@ def write_buckets(records: DataFrame, path: str, bucket: str) -> None:
     records.write.partitionBy(bucket).json(path)
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV with a header, all fields quoted, as the CSV reader takes it."""
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**options).csv(path)
+
+
+def write_merged(existing: DataFrame, new: DataFrame, digest: Column, order: str, path: str) -> DataFrame:
+    """Existing rows and the new ones that none of them equals, written to a new
+    folder as JSON lines; the old ones stay as they are until that is there."""
+    append_merge(existing, new, digest, order).write.json(path)
+    return existing.sparkSession.read.schema(existing.schema).json(path)
+
+
 def write_token_shards(tokens: DataFrame, folder: str, per_shard: int, pos: str = "pos", token: str = "token") -> dict:
     """Little-endian uint32 shards of `per_shard` tokens and a manifest. A shard is
     one task's group, bounded by per_shard, and that task writes its file: beside
