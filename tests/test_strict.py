@@ -12,6 +12,7 @@ from textloom.operators import chat as H
 from textloom.operators import convert as V
 from textloom.operators import corpus as C
 from textloom.operators import sampling as S
+from textloom.operators import tokens as K
 from textloom.sources import files, scratch, sinks
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -146,3 +147,14 @@ def test_scratch_folders_differ(spark):
 def test_sources_left_out(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "source string")
     assert [r.source for r in C.without_sources(df, "a").collect()] == ["b", None]
+
+
+@pytest.mark.parametrize("call", [
+    lambda d: C.char_budget(d, 0, "k"), lambda d: C.char_budget_min_tail(d, 5, "k", 1, max_documents=0), lambda d: S.page_sample(d, "k", 1, 0), lambda d: S.split(d, "k", 1, 1.0),
+    lambda d: S.epoch_batches(d, "k", 1, 0, 0), lambda d: S.stage_slice(d, 5, 0, 0.0), lambda d: K.strided_windows(d, "t", 4, 0), lambda d: K.dense_windows(d, "t", 0),
+    lambda d: K.stream_windows(d, "t", "k", 0), lambda d: K.capped_stream(d, "t", "k", 1, 0), lambda d: A.tokens_per_parameter(F.col("k"), 1, 1, 0), lambda d: V.chat_wave({}, {}, "k", 1, 0),
+])
+def test_bad_arguments(spark, call):
+    df = spark.createDataFrame([(1, [1, 2], "x")], "k long, t array<int>, text string")
+    with pytest.raises(ValueError, match="must be"):
+        call(df)

@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.checks import positive
+
 
 def learning_rates(spark: SparkSession, base: float, total: int, warmup: float = 0.03, floor: float = 0.1) -> DataFrame:
     """(step, rate): linear warm-up, then a cosine down to a share of the base."""
@@ -25,6 +27,7 @@ def learning_rates(spark: SparkSession, base: float, total: int, warmup: float =
 
 def tokens_per_parameter(windows: Column, length: int, epochs: int, parameters: int) -> Column:
     """Planned training tokens for each parameter."""
+    positive(length=length, epochs=epochs, parameters=parameters)
     return windows * F.lit(length) * F.lit(epochs) / F.lit(float(parameters))
 
 

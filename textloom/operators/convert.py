@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.functions.checks import positive
 from textloom.functions.schemas import EMOTIONS_28, EMOTIONS_6, EMOTIONS_7, EMOTIONS_DIALOGUE, MESSAGES
 from textloom.operators.chat import canonical, context_windows, default_state, message, message_digest, normalize, normalize_keep_system, turn_pairs_text, two_speakers, without_system
 from textloom.operators.corpus import dedup_first
@@ -132,8 +133,7 @@ def merge_emotions(sources: Sequence[tuple[str, DataFrame]], order: str, key: st
     by source and order; system messages don't count), in a seeded order with their
     position, `most` of them; and the sources' numbers of records before that cut. A
     record of another source, or without a licence, raises; so does a total of zero."""
-    if most is not None and most < 1:
-        raise ValueError("the number of records must be positive")
+    positive(most=most)
     both = None
     for i, (name, rows) in enumerate(sources):
         same = F.col("dataset_source").eqNullSafe(F.lit(name))
@@ -252,6 +252,7 @@ def chat_wave(sources: Mapping[str, DataFrame], provenance: Mapping[str, Mapping
     `most` of them; equal ones of several sources stay with the first source. Records
     have pos, their place in a seeded order; counts have source, bucket (that of the
     provenance, if any) and usable. A source without records raises."""
+    positive(most=most)
     parts = []
     for i, (name, rows) in enumerate(sources.items()):
         found = convert_chat(name, rows, provenance[name]).withColumns({"source_index": F.lit(i), "bucket": F.lit(provenance[name].get("bucket", "approved"))})

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import text as X
+from textloom.functions.checks import positive
 from textloom.functions.schemas import ID_COLUMNS
 from textloom.operators.order import position, running_total
 
@@ -165,6 +166,7 @@ def text_digest(text: Column | str) -> Column:
 def char_budget(docs: DataFrame, target: int, order: str, text: str = "text", strata: Sequence[str] = ()) -> DataFrame:
     """Documents in order until `target` characters (in each stratum); the last
     one's text is cut to what is left."""
+    positive(target=target)
     n = F.length(F.coalesce(text, F.lit("")))
     run = running_total(docs, n.cast("long"), order, "before", strata)
     return run.where(F.col("before") < target).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(target) - F.col("before")).cast("int"))).drop("before")
@@ -174,8 +176,7 @@ def stratified_budget(docs: DataFrame, target: int, strata: Sequence[str], order
     """Documents of the listed strata, one stratum after another, each until its even
     share of `target` characters (rounded up) and all until the target; what a stratum
     lacks no other one gets. Adds start, the characters before a document."""
-    if target < 1:
-        raise ValueError("target must be positive")
+    positive(target=target)
     share = -(-target // len(strata))
     index = F.array_position(F.array(*map(F.lit, strata)), F.col(stratum))
     n = F.length(F.coalesce(text, F.lit(""))).cast("long")
@@ -200,6 +201,7 @@ def char_budget_min_tail(docs: DataFrame, target: int, order: str, min_words: in
     what doesn't count is out for good. Those that count are decided TAIL_ROWS at a
     time, in order, from their lengths; the remainder is shorter than the document
     that overflowed, so there are few of them."""
+    positive(target=target, max_documents=max_documents)
     n = F.length(F.coalesce(text, F.lit(""))).cast("long")
     run = running_total(docs.withColumn("chars__", n), "chars__", order, "before__")
     over = run.where((F.col("before__") < target) & (F.col("before__") + F.col("chars__") > target)).orderBy(order).limit(1).select(order, "before__").first()

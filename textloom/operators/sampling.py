@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.checks import positive, shares
 from textloom.functions.text import seeded, uniform
 from textloom.operators.corpus import balanced_quota
 from textloom.operators.order import hash_order, position, running_total
@@ -31,6 +32,7 @@ def sample(df: DataFrame, key: str, seed: int, size: int) -> DataFrame:
 def page_sample(df: DataFrame, order: str, seed: int, limit: int, page_rows: int = 100, fewest_pages: int = 20) -> DataFrame:
     """Up to `limit` rows from whole pages taken in a seeded order, of at most
     max(fewest_pages, 5 * ceil(limit / page_rows)) pages."""
+    positive(limit=limit, page_rows=page_rows)
     pages = max(fewest_pages, 5 * math.ceil(limit / page_rows))
     paged = position(df, order, "ord__").withColumn("page", F.floor(F.col("ord__") / page_rows).cast("long"))
     ranked = paged.select("page").distinct().withColumn("order__", seeded(seed, "page")).orderBy("order__").limit(pages)
@@ -42,8 +44,8 @@ def page_sample(df: DataFrame, order: str, seed: int, limit: int, page_rows: int
 def full_page_sample(df: DataFrame, order: str, seed: int, limit: int, **pages: int) -> DataFrame:
     """page_sample that raises if its pages hold fewer than `limit` rows; adds pos,
     the place of a row in a seeded order."""
-    if limit < 1 or seed < 0:
-        raise ValueError("the limit must be positive and the seed not negative")
+    if seed < 0:
+        raise ValueError("the seed must not be negative")
     out = page_sample(df, order, seed, limit, **pages)
     found = out.count()
     if found < limit:
@@ -64,6 +66,7 @@ def balanced_merge(first: DataFrame, second: DataFrame, key: str, seed: int, lim
 def split(df: DataFrame, key: str, seed: int, share: float, within: str | None = None) -> DataFrame:
     """df with `part`: validation for exactly max(1, floor(rows * share)) rows (of
     each group), train for the rest."""
+    shares(share=share)
     group = [within] if within else []
     placed = position(df.withColumn("order__", hash_order(seeded(seed, key))), "order__", "pos__", group)
     sizes = df.groupBy(*group).agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(share))).alias("take__"))
@@ -76,6 +79,7 @@ def split_sources(df: DataFrame, key: str, source: str, sources: Sequence[str],
     """df with `part`, for rows of the given sources: each source is split by itself,
     in an order seeded with seed + its index. A source without training rows left
     raises."""
+    shares(share=share)
     index = F.array_position(F.array(*map(F.lit, sources)), F.col(source)) - 1
     known = df.where(F.col(source).isin(*sources))
     order = hash_order(F.md5(F.concat((F.lit(seed) + index).cast("string"), F.lit("-"), F.col(key).cast("string"))))
@@ -96,12 +100,14 @@ def validation_draws(df: DataFrame, key: str, source: str, ratios: Mapping[str,
 
 def epoch_batches(df: DataFrame, key: str, seed: int, epoch: int, batch: int) -> DataFrame:
     """df with the epoch's batch number and place in it; the last batch may be short."""
+    positive(batch=batch)
     placed = shuffled(df, key, seed + epoch, "pos__")
     return placed.withColumn("batch", F.floor(F.col("pos__") / batch).cast("long")).withColumn("place", (F.col("pos__") % batch).cast("long")).drop("pos__")
 
 
 def stage_slice(df: DataFrame, total: int, stage: int, fraction: float, batch: str = "batch") -> DataFrame:
     """The batches that one stage of a resumed run works on."""
+    positive(fraction=fraction)
     size = max(1, math.ceil(total * fraction))
     return df.where((F.col(batch) >= stage * size) & (F.col(batch) < (stage + 1) * size))
 

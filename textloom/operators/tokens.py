@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import text as X
+from textloom.functions.checks import positive
 from textloom.functions.schemas import OUTPUT_ROLES
 from textloom.operators.corpus import char_budget
 from textloom.operators.order import running_total
@@ -203,6 +204,7 @@ def bpe_encode(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tupl
 def strided_windows(rows: DataFrame, tokens: str, length: int, stride: int) -> DataFrame:
     """rows with idx and window: length + 1 tokens from every stride-th place that
     has as many; ceil((n - length) / stride) of them."""
+    positive(length=length, stride=stride)
     n = F.size(tokens)
     at = F.when(n > length, F.sequence(F.lit(0), n - length - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
     out = rows.select("*", F.posexplode(at).alias("idx", "start__"))
@@ -211,6 +213,7 @@ def strided_windows(rows: DataFrame, tokens: str, length: int, stride: int) -> D
 
 def dense_windows(rows: DataFrame, tokens: str, length: int) -> DataFrame:
     """rows with idx and window: length tokens from every place that has as many."""
+    positive(length=length)
     n = F.size(tokens)
     at = F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
     return rows.select("*", F.explode(at).alias("idx")).withColumn("window", F.slice(tokens, F.col("idx") + 1, length))
@@ -220,8 +223,7 @@ def capped_stream(rows: DataFrame, tokens: str, order: str, end: int, most: int
     """rows as one token stream in the given order, cut after `most` tokens and
     closed by the end token unless it ends with one; adds start, the place of a
     row's first token. Without any token it raises."""
-    if most is not None and most < 1:
-        raise ValueError("the number of tokens must be positive")
+    positive(most=most)
     n = F.size(F.coalesce(tokens, F.array().cast("array<int>")))
     run = running_total(rows, n.cast("long"), order, "start").where(n > 0)
     if most is not None:
@@ -237,6 +239,7 @@ def stream_windows(rows: DataFrame, tokens: str, order: str, size: int, stride:
     """(idx, window): `size` tokens from every stride-th place of the rows' token
     stream that has as many, across the rows' ends. A row gives each window that it
     touches its slice; no task holds more than a window's."""
+    positive(size=size, stride=stride)
     n = F.size(F.coalesce(tokens, F.array().cast("array<int>"))).cast("long")
     run = running_total(rows.select(order, tokens), n, order, "start__").where(n > 0)
     total = run.agg(F.max(F.col("start__") + n).alias("n")).first()["n"] or 0
