@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontam, language, lm, packing, quality, sharding, simhash, substring, token_counts, url_rules
+from textloom.llm import decontam, language, lm, packing, quality, resampling, sharding, simhash, substring, token_counts, url_rules
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_url_filters": url_rules.op8_url_filters,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_language_id": language.op10_language_id,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.SQL,
     "op3_substring_dedup": substring.SQL,
     "op4_decontamination": decontam.SQL,
     "op8_url_filters": url_rules.SQL,
+    "op11_importance_resampling": resampling.SQL,
 }
