@@ -130,6 +130,12 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(drop)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def about(df: DataFrame, rows: int) -> DataFrame:
     """A sample of about `rows` rows, taken by a hash of the whole row, so that no
     task gathers it and copies that differ in any column are taken one by one."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontam, language, lm, packing, quality, resampling, sharding, simhash, substring, token_counts, url_rules
+from textloom.llm import codes, decontam, language, lm, packing, pii, quality, resampling, sharding, simhash, substring, token_counts, url_rules
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_language_id": language.op10_language_id,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_vector_codes": codes.op12_vector_codes,
+    "op13_personal_data": pii.op13_personal_data,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.SQL,
@@ -23,4 +25,5 @@ ORACLE_SQL = {
     "op4_decontamination": decontam.SQL,
     "op8_url_filters": url_rules.SQL,
     "op11_importance_resampling": resampling.SQL,
+    "op12_vector_codes": codes.SQL,
 }
