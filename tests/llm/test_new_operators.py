@@ -209,7 +209,8 @@ def with_cards(n=1200):
         d = "".join(r.choices("0123456789", k=15))
         good = next(d + c for c in "0123456789" if luhn(d + c))
         card = good if i % 100 else good[:-1] + str((int(good[-1]) + 1) % 10)
-        out.append(f"pay with card {card} now" if i % 2 == 0 else f"file x{''.join(r.choices('0123456789', k=16))}y here")
+        after = " 10.1" if i == 50 else " now"  # what follows makes the base's match longer, and fail
+        out.append(f"pay with card {card}{after}" if i % 2 == 0 else f"file x{''.join(r.choices('0123456789', k=16))}y here")
     return out
 
 
@@ -219,7 +220,7 @@ def test_trees_add_what_looks_alike(spark):
     out = {r.doc_id: r for r in pii.personal_data(docs).collect()}
     assert out[0]["a.b"] == {"k": 0}
     for i, t in enumerate(texts):
-        if i % 100 == 0:  # mistyped
+        if i % 100 == 0 or i == 50:  # mistyped, or run into another number
             assert out[i].n_card == 0 and out[i].spans == "card:14:30"
         elif i % 2 == 0:
             assert out[i].n_card == 1 and out[i].spans == "card:14:30"

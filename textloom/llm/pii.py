@@ -51,13 +51,17 @@ BASE = {
     "card": r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9](?:[\x20().-]*+[0-9])++",
 }
-#: Looser forms: any text around an @; dotted numbers of four or more parts; a
-#: dozen digits or more; telephone numbers without their plus.
+#: Looser forms: any text around an @; dotted numbers of four or more parts; a dozen
+#: digits or more, also those that other numbers follow; telephone numbers without
+#: their plus, and those in brackets and hyphens that other numbers follow.
 LOOSE = {
-    "email": r"""(?:\G|(?<![^\s@<>"'(),;:\[\]]))[^\s@<>"'(),;:\[\]]++@[^\s@<>"'(),;:\[\]]++""",
-    "ip": r"[0-9](?<![0-9.][0-9])[0-9]*+(?:\.[0-9]++){3,}+",
-    "card": r"[0-9](?<![0-9][0-9])(?<![0-9][\x20.-][0-9])(?:[\x20.-]?[0-9]){11,}+",
-    "phone": r"\(?[0-9](?<![0-9][0-9])(?<![0-9][\x20().-][0-9])(?:[\x20().-]{0,2}[0-9]){6,}+",
+    "email": (r"""(?:\G|(?<![^\s@<>"'(),;:\[\]]))[^\s@<>"'(),;:\[\]]++@[^\s@<>"'(),;:\[\]]++""",),
+    "ip": (r"[0-9](?<![0-9.][0-9])[0-9]*+(?:\.[0-9]++){3,}+",),
+    "card": (r"[0-9](?<![0-9][0-9])(?<![0-9][\x20.-][0-9])(?:[\x20.-]?[0-9]){11,}+", r"[0-9](?<![0-9][0-9])[0-9]{11,18}+(?![0-9])"),
+    "phone": (
+        r"\(?[0-9](?<![0-9][0-9])(?<![0-9][\x20().-][0-9])(?:[\x20().-]{0,2}[0-9]){6,}+",
+        r"\+[0-9]{1,3}+\x20?\([0-9]{1,4}+\)\x20?[0-9]{2,4}+(?:-[0-9]{2,4}+){1,3}+",
+    ),
 }
 #: What a text must have for a kind to be looked for at all.
 NEEDS = {"email": "@", "phone": "+"}
@@ -135,7 +139,7 @@ def confirmed(kind: str, m: Column) -> Column:
 
 
 def proposed(kind: str, m: Column) -> Column:
-    """Whether a looser match is worth a candidate."""
+    """Whether a match is worth a candidate; all that the base confirms are."""
     if kind == "card":
         return F.length(digits_of(m)).between(12, 19)
     if kind == "phone":
@@ -189,20 +193,18 @@ def feature(cell, i: int):
     return F.floor(cell / below).cast("int") % n if isinstance(cell, Column) else cell // below % n
 
 
-def _candidates(text: Column, kind: str, strict: bool) -> Column:
-    """Candidates of a kind by its base pattern (strict) or its looser one; null where
-    a text can have none."""
+def _candidates(text: Column, kind: str, pattern: str, strict: bool) -> Column:
+    """Candidates of a kind by its base pattern (strict) or a looser one; null where a
+    text can have none."""
     need = NEEDS.get(kind) if strict or kind == "email" else None
     there = F.contains(text, F.lit(need)) if need else text.rlike("[0-9]")
-    spans = found(text, (BASE if strict else LOOSE)[kind])
-    if not strict:
-        spans = F.filter(spans, lambda c: proposed(kind, c["m"]))
 
     def made(c: Column) -> Column:
         base = confirmed(kind, c["m"]) if strict else F.lit(False)
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), base.alias("base"), cell_of(kind, c).alias("cell"))
 
-    return F.when(there, F.transform(spans, made))
+    # what the base confirms is worth a candidate too
+    return F.when(there, F.transform(F.filter(found(text, pattern), lambda c: proposed(kind, c["m"])), made))
 
 
 def _of_kind(spans: str, i: int) -> Column:
@@ -213,7 +215,8 @@ def candidates(text: Column) -> Column:
     """(kind, start, stop, base, cell) of all candidates of a text, in that order; one
     of each kind and place, told by the base's pattern if that gives it too."""
     none = F.array().cast("array<struct<kind:int,start:int,stop:int,base:boolean,cell:int>>")
-    parts = [_candidates(text, kind, strict) for kind in KINDS for strict in (True, False)]
+    patterns = [(kind, p, p is BASE[kind]) for kind in KINDS for p in (BASE[kind], *LOOSE[kind])]
+    parts = [_candidates(text, *p) for p in patterns]
     every = F.concat(*(F.coalesce(p, none) for p in parts))
 
     def once(a: Column) -> Column:
