@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from textloom.functions import text as X
 from textloom.functions.checks import positive
 from textloom.functions.schemas import ID_COLUMNS
-from textloom.operators.order import position, running_total
+from textloom.operators.order import position, totals
+from textloom.sources import scratch
 
 
 def signal_scores(signals: Column, name: str) -> Column:
@@ -151,10 +152,11 @@ def classify(docs: DataFrame, dups: DataFrame, key: str, checks: Sequence[tuple[
 
 
 def dedup_first(df: DataFrame, digest: Column, order: str, within: Sequence[str] = ()) -> DataFrame:
-    """The first row of each digest (within columns). A grouped minimum and a
-    semi-join: the minimum is pre-aggregated, so a hot digest isn't one task's."""
+    """The first row of each digest (within columns). A grouped minimum over a slim
+    table and a semi-join: the minimum is pre-aggregated, so a hot digest isn't one
+    task's, and the rows themselves are read once."""
     marked = df.withColumn("digest__", digest)
-    first = marked.groupBy(*within, "digest__").agg(F.min(order).alias("first__"))
+    first = scratch.table(marked.select(F.col(order).alias("order__"), *within, "digest__")).groupBy(*within, "digest__").agg(F.min("order__").alias("first__"))
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*within, "digest__")]
     return marked.alias("m").join(first.alias("f"), [*same, F.col(f"m.{order}") == F.col("first__")], "left_semi").drop("digest__")
 
@@ -163,13 +165,22 @@ def text_digest(text: Column | str) -> Column:
     return F.sha2(X.strip(text), 256)
 
 
+def size_budget(rows: DataFrame, size: str, target: int, order: str, strata: Sequence[str] = ()) -> DataFrame:
+    """Rows in order until the numbers in `size` reach the target (in each stratum);
+    the last one's number is cut to what is left."""
+    positive(target=target)
+    kept = totals(rows, F.col(size).cast("long"), order, strata).until(rows, target)
+    return kept.withColumn(size, F.coalesce("room__", size)).drop("room__")
+
+
 def char_budget(docs: DataFrame, target: int, order: str, text: str = "text", strata: Sequence[str] = ()) -> DataFrame:
     """Documents in order until `target` characters (in each stratum); the last
-    one's text is cut to what is left."""
+    one's text is cut to what is left. Lengths alone tell where that is: the texts
+    that are kept are a filter of a scan, without a shuffle."""
     positive(target=target)
-    n = F.length(F.coalesce(text, F.lit("")))
-    run = running_total(docs, n.cast("long"), order, "before", strata)
-    return run.where(F.col("before") < target).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(target) - F.col("before")).cast("int"))).drop("before")
+    kept = totals(docs, F.length(F.coalesce(text, F.lit(""))).cast("long"), order, strata).until(docs, target)
+    cut = F.when(F.col("room__").isNull(), F.col(text)).otherwise(F.substring(F.col(text), F.lit(1), F.col("room__").cast("int")))
+    return kept.withColumn(text, cut).drop("room__")
 
 
 def stratified_budget(docs: DataFrame, target: int, strata: Sequence[str], order: str, stratum: str = "source", text: str = "text") -> DataFrame:
@@ -180,11 +191,12 @@ def stratified_budget(docs: DataFrame, target: int, strata: Sequence[str], order
     share = -(-target // len(strata))
     index = F.array_position(F.array(*map(F.lit, strata)), F.col(stratum))
     n = F.length(F.coalesce(text, F.lit(""))).cast("long")
-    run = running_total(docs.where(F.col(stratum).isin(*strata)), n, order, "before__", [stratum])
-    totals = docs.where(F.col(stratum).isin(*strata)).groupBy(stratum).agg(F.least(F.sum(n), F.lit(share)).alias("taken__"))
+    known = docs.where(F.col(stratum).isin(*strata))
+    seen = totals(known, n, order, [stratum])
+    taken = seen.sums().withColumn("taken__", F.least("total__", F.lit(share))).drop("total__")
     ahead = Window.orderBy(index).rowsBetween(Window.unboundedPreceding, -1)  # a row for each of the listed strata
-    offsets = totals.withColumn("offset__", F.coalesce(F.sum("taken__").over(ahead), F.lit(0))).drop("taken__")
-    placed = run.join(F.broadcast(offsets), stratum).withColumn("start", F.col("before__") + F.col("offset__"))
+    offsets = taken.withColumn("offset__", F.coalesce(F.sum("taken__").over(ahead), F.lit(0))).drop("taken__")
+    placed = seen.attach(known, "before__").join(F.broadcast(offsets), stratum).withColumn("start", F.col("before__") + F.col("offset__"))
     room = F.least(F.lit(share) - F.col("before__"), F.lit(target) - F.col("start"))
     return placed.where(room > 0).withColumn(text, F.substring(F.col(text), F.lit(1), room.cast("int"))).drop("before__", "offset__")
 
@@ -203,16 +215,17 @@ def char_budget_min_tail(docs: DataFrame, target: int, order: str, min_words: in
     that overflowed, so there are few of them."""
     positive(target=target, max_documents=max_documents)
     n = F.length(F.coalesce(text, F.lit(""))).cast("long")
-    run = running_total(docs.withColumn("chars__", n), "chars__", order, "before__")
-    over = run.where((F.col("before__") < target) & (F.col("before__") + F.col("chars__") > target)).orderBy(order).limit(1).select(order, "before__").first()
+    over = totals(docs, n, order).ends(F.lit(target)).first()
     if over is None:
-        out = run.where(F.col("before__") < target)
+        out = docs
+    elif over["value__"] == over["room__"]:
+        out = docs.where(F.col(order) <= over["last__"])
     else:
-        room, at, first, taken, last = target - over["before__"], over[order], True, [], None
+        room, at, first, taken, last = over["room__"], over["last__"], True, [], None
         # characters up to the first one of the last word that a cut must keep
         word, gap = r"[^\s\x1c-\x1f]++", r"[\s\x1c-\x1f]++"
         need = F.length(F.regexp_extract(F.coalesce(text, F.lit("")), f"(?U)^(?:{gap})?(?:{word}{gap}){{{min_words - 1}}}[^\\s\\x1c-\\x1f]", 0)) if min_words > 0 else F.lit(1)
-        rest = run.withColumn("need__", F.when(need > 0, need)).select(order, "chars__", "need__")
+        rest = docs.withColumn("chars__", n).withColumn("need__", F.when(need > 0, need)).select(order, "chars__", "need__")
         while room > 0 and last is None:
             beyond = F.col(order) >= at if first else F.col(order) > at
             counts = (F.col("chars__") > 0) & ((F.col("chars__") <= room) | (F.col("need__") <= room))
@@ -230,13 +243,13 @@ def char_budget_min_tail(docs: DataFrame, target: int, order: str, min_words: in
             at, first = live[-1][order], False
         # empty texts fit wherever something is left
         end = last[0] if last else taken[-1] if taken and room <= 0 else None
-        empty = (F.col("chars__") == 0) & (F.col(order) > over[order]) & (F.lit(True) if end is None else F.col(order) < end)
+        empty = (n == 0) & (F.col(order) > over["last__"]) & (F.lit(True) if end is None else F.col(order) < end)
         kind = docs.schema[order].dataType
+        # fewer than the characters of the text that overflowed
         marks = docs.sparkSession.createDataFrame([(o,) for o in taken + ([last[0]] if last else [])], T.StructType([T.StructField("taken__", kind)]))
-        out = run.where((F.col(order) < over[order]) | empty).unionByName(run.join(marks, F.col(order) == F.col("taken__"), "left_semi"))
+        out = docs.join(F.broadcast(marks), F.col(order) == F.col("taken__"), "left").where((F.col(order) < over["last__"]) | empty | F.col("taken__").isNotNull()).drop("taken__")
         if last:
             out = out.withColumn(text, F.when(F.col(order) == F.lit(last[0]), F.substring(F.col(text), 1, int(last[1]))).otherwise(F.col(text)))
-    out = out.drop("chars__", "before__")
     return out if max_documents is None else position(out, order, "nth__").where(F.col("nth__") < max_documents).drop("nth__")
 
 

@@ -1,7 +1,7 @@
 """Token plane: vocabularies, encoding, byte-pair training, windows, samples.
 
-Character work is array expressions; byte-pair encoding runs once per distinct
-word of a batch in Arrow batches, since merges never cross white space.
+Character work is array expressions; byte-pair encoding merges each distinct word
+of the corpus once, in Arrow batches, since merges never cross white space.
 """
 
 from __future__ import annotations
@@ -9,8 +9,11 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator, Sequence
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +22,8 @@ from textloom.functions import text as X
 from textloom.functions.checks import positive
 from textloom.functions.schemas import OUTPUT_ROLES
 from textloom.operators.corpus import char_budget
-from textloom.operators.order import running_total
+from textloom.operators.order import totals
+from textloom.sources import scratch
 
 UNK, EOS = "<UNK>", X.EOS
 #: Newline, then the printable ASCII characters, in the vocabulary's order.
@@ -27,7 +31,8 @@ PRINTABLE = ("\n", *map(chr, range(0x20, 0x7F)))
 
 
 def distinct_characters(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select(F.explode(X.characters(F.replace(text, F.lit(EOS), F.lit("")))).alias("token")).distinct()
+    """(token): a text gives each of its characters once."""
+    return docs.select(F.explode(F.array_distinct(X.characters(F.replace(text, F.lit(EOS), F.lit(""))))).alias("token")).distinct()
 
 
 def char_vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
@@ -55,6 +60,13 @@ def char_ids(text: Column | str, vocabulary: Sequence[str]) -> Column:
     return F.when(F.contains(whole, F.lit(EOS)), closed).otherwise(ids(whole))
 
 
+def char_token_count(text: Column | str) -> Column:
+    """How many ids char_ids gives, without giving them; 0 for null."""
+    whole = F.coalesce(text, F.lit(""))
+    rest = F.length(F.replace(whole, F.lit(EOS), F.lit("")))
+    return (rest + (F.length(whole) - rest) / len(EOS)).cast("long")
+
+
 def decode(tokens: Column, vocabulary: Sequence[str]) -> Column:
     """Text up to the first end token; the replacement character for unknown ones;
     an id outside the vocabulary raises."""
@@ -155,50 +167,130 @@ def check_vocabulary(vocabulary: Sequence[str], merges: Sequence[tuple[str, str]
 
 
 def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Symbols of a word after all merges: in passes, the pair of the lowest rank that
-    is there is merged wherever it is, from the left."""
-    symbols = list(word)
-    while len(symbols) > 1:
-        least = min((ranks[p] for p in zip(symbols, symbols[1:]) if p in ranks), default=None)
-        if least is None:
-            break
-        out: list[str] = []
-        joined = False  # whether the last symbol of out is a pair made in this pass
-        for s in symbols:
-            if out and not joined and ranks.get((out[-1], s)) == least:
-                out[-1] += s
-                joined = True
-            else:
-                out.append(s)
-                joined = False
-        symbols = out
-    return symbols
-
-
-def bpe_encode(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tuple[str, str]], text: str = "text", name: str = "tokens") -> DataFrame:
-    """docs with the token ids of each text. Every distinct word of a batch is
-    merged once."""
+    """Symbols of a word after all merges: the pair of the lowest rank that is there is
+    merged wherever it is, from the left, before any other. Symbols are a linked list
+    and mergeable pairs wait in a heap, so that the cost follows the merges made."""
+    symbols: list[str] = list(word)
+    n = len(symbols)
+    after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i, p in enumerate(zip(symbols, symbols[1:])) if (r := ranks.get(p)) is not None]
+    heapify(heap)
+    made: list[tuple[int, int]] = []  # pairs of a lower rank than that being merged
+    now = -1
+    while heap or made:
+        if made and (not heap or heap[0][0] != now):
+            for entry in made:
+                heappush(heap, entry)
+            made = []
+        now, i = heappop(heap)
+        j = after[i]
+        if not symbols[i] or j >= n or ranks.get((symbols[i], symbols[j])) != now:
+            continue  # one of its symbols has gone
+        symbols[i] += symbols[j]
+        symbols[j] = ""
+        after[i] = after[j]
+        if after[i] < n:
+            ahead[after[i]] = i
+        for k in (ahead[i], i):
+            if k >= 0 and after[k] < n:
+                r = ranks.get((symbols[k], symbols[after[k]]))
+                if r is not None:
+                    if r < now:
+                        made.append((r, k))
+                    else:
+                        heappush(heap, (r, k))
+    return [s for s in symbols if s]
+
+
+#: Words of a corpus that an encoder looks up, and the characters that one can have.
+HEAD_WORDS, HEAD_LENGTH = 1 << 17, 64
+
+
+def bpe_words(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tuple[str, str]], text: str = "text") -> DataFrame:
+    """(word, n, ids) of the corpus's distinct words, each merged once; a stored table."""
     ids, ranks = {t: i for i, t in enumerate(vocabulary)}, {p: i for i, p in enumerate(merges)}
+    unk = ids[UNK]
+    counted = docs.select(F.explode(X.words(F.replace(F.col(f"`{text}`"), F.lit(EOS), F.lit(" ")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[ids.get(s, unk) for s in merge_word(w, ranks)] for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(out, pa.list_(pa.int32()))], ["word", "n", "ids"])
+
+    return scratch.table(counted.mapInArrow(run, "word string, n long, ids array<int>"))
+
+
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words with the greatest n, at most `most` of them: the threshold comes from
+    a histogram with eight bars a doubling."""
+    bar = F.floor(F.log2("n") * 8).cast("int")
+    short = words.where(F.length("word") <= HEAD_LENGTH)
+    total, least = 0, None
+    for r in sorted(short.groupBy(bar.alias("bar")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["bar"]):
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["bar"]
+    return short.where(bar >= least) if least is not None else short.limit(0)
+
+
+def bpe_encode(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tuple[str, str]], text: str = "text", name: str = "tokens", head: int = HEAD_WORDS) -> DataFrame:
+    """docs with the token ids of each text (null for null). Every distinct word of the
+    corpus is merged once. The most frequent ones are looked up where the text is; of
+    the others a text names its distinct ones, which are joined by word (no key of that
+    join is frequent) and put into their places. Columns of any name are carried."""
+    ids = {t: i for i, t in enumerate(vocabulary)}
     unk, end = ids[UNK], ids[EOS]
-    schema = T.StructType([f for f in docs.schema.fields if f.name != name] + [T.StructField(name, T.ArrayType(T.IntegerType()))])
+    words = bpe_words(docs, vocabulary, merges, text)
+    known = _frequent(words, head).select("word", "ids")
+    table = {r.word: r.ids for r in known.toLocalIterator()}
+    all_known = len(table) == words.count()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    fields = [f for f in docs.schema.fields if f.name != name]
+    carried = [T.StructField(f"c{i}__", f.dataType) for i, f in enumerate(fields)]
+    own = carried[[f.name for f in fields].index(text)].name
+    schema = T.StructType(carried + T.StructType.fromDDL("row__ long, parts__ array<struct<ids:array<int>,rare:int>>, rare__ array<string>").fields)
     pieces = re.compile(r"<EOS>|\s|(?:(?!<EOS>)\S)+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            memo: dict[str, list[int]] = {EOS: [end]}
-            out = []
-            for t in batch.column(text).to_pylist():
-                row: list[int] | None = None if t is None else []
-                for w in pieces.findall(t or ""):
-                    got = memo.get(w)
-                    if got is None:
-                        got = memo[w] = [ids.get(s, unk) for s in merge_word(w, ranks)]
-                    row += got
-                out.append(row)
-            keep = [batch.column(f.name) for f in schema.fields[:-1]]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.list_(pa.int32()))], schema.names)
-
-    return docs.mapInArrow(run, schema)
+        look_up = dict(shared.value)
+        look_up[EOS] = [end]
+        row = TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                parts: list = []
+                rare: list = []
+                for t in batch.column(own).to_pylist():
+                    run_of: list[int] = []
+                    mine: list | None = None if t is None else []
+                    names: dict[str, int] = {}
+                    for w in pieces.findall(t or ""):
+                        got = look_up.get(w)
+                        if got is None and (len(w) > 1 or not w.isspace()):
+                            mine.append({"ids": run_of, "rare": names.setdefault(w, len(names))})
+                            run_of = []
+                        else:
+                            run_of += got if got is not None else [ids.get(w, unk)]
+                    if mine is not None and run_of:
+                        mine.append({"ids": run_of, "rare": -1})
+                    parts.append(mine)
+                    rare.append(list(names))
+                made = [pa.array(row + np.arange(batch.num_rows)), pa.array(parts, pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("rare", pa.int32())]))), pa.array(rare, pa.list_(pa.string()))]
+                row += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
+
+    missing = F.raise_error(F.lit("a word of a text is not among the corpus's")).cast("array<int>")
+    cut = docs.select(*(F.col(f"`{f.name}`").alias(c.name) for f, c in zip(fields, carried))).mapInArrow(run, schema)
+    restored = [F.col(c.name).alias(f.name) for f, c in zip(fields, carried)]
+    if all_known:
+        return cut.select(*restored, F.flatten(F.col("parts__.ids")).alias(name))
+    held = scratch.table(cut)
+    asked = held.select("row__", F.posexplode("rare__").alias("at", "word"))
+    found = asked.join(words.select("word", "ids"), "word").groupBy("row__").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("found__"))
+    both = held.join(found, "row__", "left")
+    own_ids = lambda p: F.when(p["rare"] >= 0, F.concat(p["ids"], F.coalesce(F.get(F.col("found__"), p["rare"])["ids"], missing))).otherwise(p["ids"])
+    return both.select(*restored, F.flatten(F.transform("parts__", own_ids)).alias(name))
 
 
 def strided_windows(rows: DataFrame, tokens: str, length: int, stride: int) -> DataFrame:
@@ -219,36 +311,46 @@ def dense_windows(rows: DataFrame, tokens: str, length: int) -> DataFrame:
     return rows.select("*", F.explode(at).alias("idx")).withColumn("window", F.slice(tokens, F.col("idx") + 1, length))
 
 
-def capped_stream(rows: DataFrame, tokens: str, order: str, end: int, most: int | None = None) -> DataFrame:
+def capped_stream(rows: DataFrame, tokens: str, order: str, end: int, most: int | None = None, size: str | None = None) -> DataFrame:
     """rows as one token stream in the given order, cut after `most` tokens and
     closed by the end token unless it ends with one; adds start, the place of a
-    row's first token. Without any token it raises."""
+    row's first token. Without any token it raises. Where a column `size` has the
+    number of a row's tokens, tokens are made for the rows that are kept only."""
     positive(most=most)
-    n = F.size(F.coalesce(tokens, F.array().cast("array<int>")))
-    run = running_total(rows, n.cast("long"), order, "start").where(n > 0)
-    if most is not None:
-        run = run.where(F.col("start") < most).withColumn(tokens, F.slice(tokens, F.lit(1), F.greatest(F.least(F.size(tokens).cast("long"), F.lit(most) - F.col("start")), F.lit(0)).cast("int")))
-    last = run.agg(F.max("start").alias("start")).first()["start"]
+    n = F.size(F.coalesce(tokens, F.array().cast("array<int>"))).cast("long") if size is None else F.col(size)
+    seen = totals(rows, n, order)
+    last = seen.slim.where("value__ > 0").agg(F.max(order).alias("last")).first()["last"]
     if last is None:
         raise ValueError("there are no tokens")
-    open_ = (F.col("start") == last) & (F.element_at(tokens, -1) != end)
+    kept = rows
+    if most is not None:
+        reached = seen.ends(F.lit(most)).first()
+        if reached is not None:
+            last, kept = reached["last__"], rows.where(F.col(order) <= reached["last__"])
+            cut = F.slice(tokens, F.lit(1), F.lit(int(reached["room__"])))
+            kept = kept.withColumn(tokens, F.when(F.col(order) == last, cut).otherwise(F.col(tokens)))
+    run = seen.attach(kept, "start").where(n > 0)
+    open_ = (F.col(order) == last) & (F.element_at(tokens, -1) != end)
     return run.withColumn(tokens, F.when(open_, F.concat(tokens, F.array(F.lit(end)))).otherwise(F.col(tokens)))
 
 
-def stream_windows(rows: DataFrame, tokens: str, order: str, size: int, stride: int = 1) -> DataFrame:
+def stream_windows(rows: DataFrame, tokens: str, order: str, size: int, stride: int = 1, count: str | None = None) -> DataFrame:
     """(idx, window): `size` tokens from every stride-th place of the rows' token
     stream that has as many, across the rows' ends. A row gives each window that it
-    touches its slice; no task holds more than a window's."""
+    touches its slice; no task holds more than a window's. Where a column `count` has
+    the number of a row's tokens, tokens are made once."""
     positive(size=size, stride=stride)
-    n = F.size(F.coalesce(tokens, F.array().cast("array<int>"))).cast("long")
-    run = running_total(rows.select(order, tokens), n, order, "start__").where(n > 0)
-    total = run.agg(F.max(F.col("start__") + n).alias("n")).first()["n"] or 0
-    windows = max(0, (total - size) // stride + 1)
+    n = F.size(F.coalesce(tokens, F.array().cast("array<int>"))).cast("long") if count is None else F.col(count)
+    rows = rows.select(order, tokens, n.alias("n__"))
+    seen = totals(rows, "n__", order)
+    total = seen.sums().first()
+    windows = max(0, ((total["total__"] if total else 0) or 0) - size + stride) // stride
+    run = seen.attach(rows, "start__").where("n__ > 0")
     lo = F.greatest(F.lit(0), F.ceil((F.col("start__") - size + 1) / stride))
-    hi = F.least(F.lit(windows - 1), F.floor((F.col("start__") + n - 1) / stride))
+    hi = F.least(F.lit(windows - 1), F.floor((F.col("start__") + F.col("n__") - 1) / stride))
     at = run.withColumn("idx", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))))
     begin = F.greatest(F.col("idx") * stride - F.col("start__"), F.lit(0))
-    end = F.least(F.col("idx") * stride + size - F.col("start__"), n)
+    end = F.least(F.col("idx") * stride + size - F.col("start__"), F.col("n__"))
     own = at.where(end > begin).select("idx", F.struct("start__", F.slice(tokens, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")).alias("part")).alias("own"))
     parts = own.groupBy("idx").agg(F.sort_array(F.collect_list("own")).alias("parts"))
     return parts.select("idx", F.flatten(F.transform("parts", lambda p: p["part"])).alias("window"))

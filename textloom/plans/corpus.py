@@ -9,6 +9,7 @@ from textloom.functions import text as X
 from textloom.operators import corpus as C
 from textloom.operators.order import position
 from textloom.plans.registry import query
+from textloom.sources import scratch
 
 #: Targets of the budget queries, in characters.
 BUDGET, STRATUM_BUDGET = 500_000, 20_000
@@ -277,7 +278,8 @@ b AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UN
 SELECT doc_id, source, least(length(text), {BUDGET} - before)::BIGINT AS chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS turn
 FROM b WHERE before < {BUDGET}""")
 def curated_corpus(spark, sf):
+    """Lengths and digests alone tell which documents stay: the texts are read once."""
     d = docs(spark, sf).where(C.english("lang") & C.long_enough("text", 10))
-    kept = C.char_budget(C.dedup_first(d, C.text_digest("text"), "doc_id", ["source"]), BUDGET, "doc_id")
-    placed = position(kept.select("doc_id", "source", F.length("text").cast("long").alias("chars")), "doc_id", "turn", ["source"])
-    return placed.select("doc_id", "source", "chars", "turn")
+    slim = scratch.table(d.select("doc_id", "source", F.length("text").cast("long").alias("chars"), C.text_digest("text").alias("digest")))
+    kept = C.size_budget(C.dedup_first(slim, F.col("digest"), "doc_id", ["source"]), "chars", BUDGET, "doc_id")
+    return position(kept.select("doc_id", "source", "chars"), "doc_id", "turn", ["source"])

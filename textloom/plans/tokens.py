@@ -20,6 +20,11 @@ def encoded(df, text="text"):
     return df.withColumn("tokens", K.char_ids(text, _VOCABULARY))
 
 
+def counted(df, text="text"):
+    """encoded, with the number of tokens told by the text's length."""
+    return encoded(df, text).withColumn("n", K.char_token_count(text))
+
+
 @query(f"""
 WITH d AS (SELECT DISTINCT t FROM {_CHARS} WHERE t <> ''), base AS (SELECT chr(10) AS token, 0 AS id UNION ALL SELECT chr(i::INTEGER), i - 31 FROM range(32, 127) r(i)),
 extra AS (SELECT t AS token, row_number() OVER (ORDER BY t) + 95 AS id FROM d WHERE t NOT IN (SELECT token FROM base)),
@@ -99,8 +104,8 @@ SELECT shard::BIGINT AS shard, count(*) AS n_tokens, sum(id)::BIGINT AS total FR
 def token_shards(spark, sf):
     """Texts with their end tokens, one after another, in shards of 100,000 tokens:
     a text gives each shard that it touches its slice, never a row a token."""
-    d = encoded(docs(spark, sf)).select("doc_id", F.concat(F.coalesce("tokens", F.array().cast("array<int>")), F.array(F.lit(97))).alias("tokens"))
-    d = running_total(d, F.size("tokens").cast("long"), "doc_id", "start")
+    d = encoded(docs(spark, sf)).select("doc_id", (K.char_token_count("text") + 1).alias("n"), F.concat(F.coalesce("tokens", F.array().cast("array<int>")), F.array(F.lit(97))).alias("tokens"))
+    d = running_total(d, "n", "doc_id", "start")
     size = 100_000
     d = d.withColumn("shard", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.size("tokens") - 1) / size))))
     lo = F.greatest(F.col("shard") * size - F.col("start"), F.lit(0))
@@ -117,7 +122,7 @@ _STREAM = f"s AS (SELECT id, row_number() OVER (ORDER BY doc_id, p) - 1 AS g FRO
 SELECT (g // 1000)::BIGINT AS part, count(*) AS n_tokens, sum(id)::BIGINT AS total, sum(id * (g % 1000))::BIGINT AS weighted FROM e GROUP BY 1""")
 def corpus_tokens(spark, sf):
     """At most 100,000 tokens of the corpus and the end token, summed in thousands."""
-    d = K.capped_stream(encoded(docs(spark, sf)).select("doc_id", "tokens"), "tokens", "doc_id", 97, 100_000)
+    d = K.capped_stream(counted(docs(spark, sf)).select("doc_id", "n", "tokens"), "tokens", "doc_id", 97, 100_000, "n")
     t = d.select("start", F.posexplode("tokens").alias("i", "id")).withColumn("g", F.col("start") + F.col("i"))
     return t.groupBy(F.floor(F.col("g") / 1000).cast("long").alias("part")).agg(
         F.count("*").alias("n_tokens"), F.sum("id").alias("total"), F.sum(F.col("id") * (F.col("g") % 1000)).alias("weighted"))
@@ -127,7 +132,7 @@ def corpus_tokens(spark, sf):
 SELECT (g // 128)::BIGINT AS idx, (sum(id) + max(far) FILTER (WHERE g % 128 = 0))::BIGINT AS total, 129::BIGINT AS size FROM f WHERE (g // 128) * 128 + 129 <= n GROUP BY 1""")
 def token_windows_stream(spark, sf):
     """Windows of 129 tokens, 128 apart, over all texts as one stream."""
-    w = K.stream_windows(encoded(docs(spark, sf)).select("doc_id", "tokens"), "tokens", "doc_id", 129, 128)
+    w = K.stream_windows(counted(docs(spark, sf)), "tokens", "doc_id", 129, 128, "n")
     return w.select("idx", F.aggregate("window", F.lit(0), lambda a, x: a + x).cast("long").alias("total"), F.size("window").cast("long").alias("size"))
 
 
@@ -137,8 +142,8 @@ w AS (SELECT g AS idx, sum(id) OVER (ORDER BY g ROWS BETWEEN CURRENT ROW AND 15
 SELECT idx::BIGINT AS idx, total::BIGINT AS total FROM w WHERE n = 16""")
 def dense_windows_stream(spark, sf):
     """Windows of 16 tokens from every place of all turns as one stream."""
-    turns = encoded(table(spark, sf, "conversations")).select((F.col("conv_id") * 2**20 + F.col("turn")).alias("at"), "tokens")
-    w = K.stream_windows(turns, "tokens", "at", 16)
+    turns = counted(table(spark, sf, "conversations")).select((F.col("conv_id") * 2**20 + F.col("turn")).alias("at"), "n", "tokens")
+    w = K.stream_windows(turns, "tokens", "at", 16, 1, "n")
     return w.select("idx", F.aggregate("window", F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
 
 

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -26,3 +26,11 @@ def folder(spark: SparkSession) -> str:
     system = path.getFileSystem(sc._jsc.hadoopConfiguration())
     system.deleteOnExit(path)
     return system.makeQualified(path).toString()
+
+
+def table(df: DataFrame) -> DataFrame:
+    """df, written to a folder of its own and read back: what it is made of is read
+    once, however often the table is."""
+    at = folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
