@@ -183,3 +183,64 @@ def test_losses_and_gates(spark):
     runs = spark.createDataFrame([("a", 1, 3.0), ("a", 2, 2.0), ("a", 3, 2.0), ("a", 4, 2.5), ("b", 1, 1.0)], "run string, epoch int, loss double")
     assert {(r.run, r.best_epoch, r.stale) for r in A.best_epoch(runs, "run").collect()} == {("a", 2, 2), ("b", 1, 0)}
     assert {(r.run, r.stop_epoch) for r in A.first_impatient(runs, "run", 2).collect()} == {("a", 4), ("b", None)}
+
+
+def in_passes(word, ranks):
+    """Merging as it is defined: the lowest rank that is there, wherever it is, from the left."""
+    symbols = list(word)
+    while True:
+        least = min((ranks[p] for p in zip(symbols, symbols[1:]) if p in ranks), default=None)
+        if least is None:
+            return symbols
+        out, i = [], 0
+        while i < len(symbols):
+            if i + 1 < len(symbols) and ranks.get((symbols[i], symbols[i + 1])) == least:
+                out.append(symbols[i] + symbols[i + 1])
+                i += 2
+            else:
+                out.append(symbols[i])
+                i += 1
+        symbols = out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merging_by_heap_equals_merging_in_passes(seed):
+    """Also for merges whose parts come behind them, which training never gives."""
+    import random
+
+    r = random.Random(seed)
+    tokens = ["a", "b", "c"]
+    for _ in range(12):
+        tokens.append(r.choice(tokens) + r.choice(tokens))
+    pairs = list({(r.choice(tokens), r.choice(tokens)) for _ in range(25)})
+    r.shuffle(pairs)
+    ranks = {p: i for i, p in enumerate(pairs)}
+    for _ in range(400):
+        w = "".join(r.choices("abc", k=r.randint(0, 30)))
+        assert K.merge_word(w, ranks) == in_passes(w, ranks), w
+    assert K.merge_word("ab" * 50_000, {("a", "b"): 0, ("ab", "ab"): 1}) == ["abab"] * 25_000
+
+
+@pytest.mark.parametrize("head", [0, 3, 1 << 17])
+def test_encoding_by_the_corpus_words(spark, head):
+    """Whatever is looked up and whatever is joined, ids and columns are the same."""
+    rows = [(1, "low lower lowest<EOS>low new  newer\n", {"k": 1}), (2, None, None), (3, "", {}), (4, "<EOS>", {}), (5, "  x é low", {}), (5, "low low low wide wide", {}), (6, "widest" * 30, {})]
+    df = spark.createDataFrame(rows, "i int, `t.x` string, `a.b` map<string,int>").repartition(3)
+    vocabulary, merges = [*sorted(set("lowernstid xé\n") | {"lo", "low", "er", "ne"}), K.UNK, K.EOS], [("l", "o"), ("lo", "w"), ("e", "r"), ("n", "e")]
+    ranks, ids = {p: i for i, p in enumerate(merges)}, {t: i for i, t in enumerate(vocabulary)}
+
+    def plain(t):
+        if t is None:
+            return None
+        import re
+
+        out = []
+        for piece in re.findall(r"<EOS>|\s|(?:(?!<EOS>)\S)+", t):
+            out += [ids[K.EOS]] if piece == K.EOS else [ids.get(s, ids[K.UNK]) for s in in_passes(piece, ranks)]
+        return out
+
+    out = K.bpe_encode(df, vocabulary, merges, text="t.x", head=head)
+    assert out.columns == ["i", "t.x", "a.b", "tokens"]
+    got = sorted(((r.i, r["t.x"], r["a.b"], r.tokens) for r in out.collect()), key=str)
+    assert got == sorted(((i, t, m, plain(t)) for i, t, m in rows), key=str)
+    assert K.bpe_encode(df.limit(0), vocabulary, merges, text="t.x").count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import account as A
 from textloom.operators import convert as C
+from textloom.operators import epochs as E
 from textloom.operators import sampling as S
 from textloom.operators.order import position
 from textloom.plans.corpus import docs, table
@@ -62,6 +63,39 @@ def stage_slice(spark, sf):
     return S.stage_slice(b, total, 3, 0.125)
 
 
+def _keyed(seed: int, epoch: int) -> str:
+    """SQL of (doc_id, place): the rounds of an order over the documents' numbers."""
+    step = "SELECT doc_id, k, n, a, b, x // b AS d0, x % b AS d1 FROM w, c WHERE k = 0 OR x >= n"
+    for r, (m, add, m2) in enumerate(E.Order(1, seed, epoch).keys):
+        own, other, size = ("d0", "d1", "a") if r % 2 == 0 else ("d1", "d0", "b")
+        mixed = f"(({other} * {m} + {add}) % {E.PRIME})"
+        step = f"SELECT * REPLACE (({own} + ({mixed} * {m2} % {E.SECOND}) % {size}) % {size} AS {own}) FROM ({step})"
+    return f"""WITH RECURSIVE o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents),
+c AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM o)),
+w AS (SELECT doc_id, number::BIGINT AS x, 0 AS k FROM o UNION ALL SELECT doc_id, d0 * b + d1, k + 1 FROM ({step})),
+p AS (SELECT doc_id, x AS place FROM w, c WHERE k > 0 AND x < n)"""
+
+
+@query(f"{_keyed(7, 2)} SELECT doc_id, place // 32 AS batch, place % 32 AS place FROM p")
+def keyed_epoch(spark, sf):
+    """An epoch's batches by a computed place: one scan of the numbered rows."""
+    rows, n = E.numbered(docs(spark, sf).select("doc_id"), "doc_id")
+    return E.epoch_places(rows, E.Order(n, 7, 2), 32).select("doc_id", "batch", "place")
+
+
+@query(f"{_keyed(7, 3)} SELECT doc_id, place // 32 AS batch, place % 32 AS place FROM p WHERE place // 32 BETWEEN 2 AND 4")
+def keyed_batches(spark, sf):
+    """Three batches of an epoch; which rows they hold is computed before they are read."""
+    rows, n = E.numbered(docs(spark, sf).select("doc_id"), "doc_id")
+    return E.batches(rows, E.Order(n, 7, 3), 32, 2, 3).select("doc_id", "batch", "place")
+
+
+@query(f"{_keyed(8, 0)}, s AS (SELECT greatest(1, ceil(((n + 31) // 32) * 0.125))::BIGINT AS size FROM c) SELECT doc_id, place // 32 AS batch FROM p, s WHERE place // 32 >= 3 * size AND place // 32 < 4 * size")
+def keyed_stage(spark, sf):
+    rows, n = E.numbered(docs(spark, sf).select("doc_id"), "doc_id")
+    return E.stage(rows, E.Order(n, 8), 32, 3, 0.125).select("doc_id", "batch")
+
+
 @query("""
 WITH r(label, lo, hi) AS (VALUES (0, 0.0, 0.7), (1, 0.7, 0.9), (2, 0.9, 1.0)),
 e AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS nth, count(*) OVER (PARTITION BY label) AS n FROM embeddings),

@@ -13,8 +13,8 @@ from textloom.operators.order import running_total
 from textloom.plans.chat import _GROUPED, _ROWS, _strip, chats, transcript
 from textloom.plans.corpus import docs, table
 from textloom.plans.registry import query, sql_of
-from textloom.plans.tokens import _ID, encoded
-from textloom.sources import files, scratch, sinks
+from textloom.plans.tokens import _ID, counted, encoded
+from textloom.sources import files, scratch, sinks, streams
 
 
 def _lines(rows, order, line, path):
@@ -143,3 +143,59 @@ def stored_token_shards(spark, sf):
     return back.groupBy(F.floor(F.col("pos") / 1000).cast("long").alias("part")).agg(F.count("*").alias("n"), F.sum(F.col("token") * (F.col("pos") % 1000 + 1)).alias("weighted"))
 
 
+
+
+def _stored_stream(spark, rows, per_shard):
+    """A folder of shards of rows (at, n, tokens) in the order of `at`."""
+    at = scratch.folder(spark)
+    sinks.write_token_stream(running_total(rows, "n", "at", "start").where("n > 0"), at, per_shard)
+    return at
+
+
+@query(sql_of("dense_windows_stream"))
+def stored_dense_windows(spark, sf):
+    """Windows of 16 tokens from every place of a stored shard set, without a shuffle."""
+    turns = counted(table(spark, sf, "conversations")).select((F.col("conv_id") * 2**20 + F.col("turn")).alias("at"), "n", "tokens")
+    w = streams.shard_windows(spark, _stored_stream(spark, turns, 10_000), 16)
+    return w.select("idx", F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(sql_of("token_windows_stream"))
+def stored_strided_windows(spark, sf):
+    """Windows of 129 tokens, 128 apart, of the documents' stored shard set."""
+    texts = counted(docs(spark, sf)).select(F.col("doc_id").alias("at"), "n", "tokens")
+    w = streams.shard_windows(spark, _stored_stream(spark, texts, 100_000), 129, 128)
+    return w.select("idx", F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("window").cast("long").alias("size"))
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, lang, text FROM documents")
+def stored_csv_archive(spark, sf):
+    """Texts with their line breaks through CSV members of tar.gz files, which must
+    have the checksums of a catalogue."""
+    at = scratch.folder(spark)
+    streams.write_csv_archives(docs(spark, sf).select("doc_id", "lang", "text"), at)
+    catalogue = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in streams.checksums(spark, at).collect()}
+    return streams.csv_rows(spark, at, ["doc_id", "lang", "text"], r"\.csv$", catalogue).select("doc_id", "lang", "text")
+
+
+@query("SELECT doc_id, lang FROM documents")
+def stored_json_array(spark, sf):
+    """Items of one JSON array, which may be of any size."""
+    at = scratch.folder(spark)
+    lines = F.concat(F.when(F.col("first"), "[").otherwise(","), F.to_json(F.struct("doc_id", "lang")))
+    d = docs(spark, sf).select("doc_id", "lang")
+    least = d.agg(F.min("doc_id").alias("least")).first()["least"]
+    rows = d.withColumn("first", F.col("doc_id") == F.lit(least)).select(F.col("doc_id").alias("o"), lines.alias("value"))
+    closed = rows.unionByName(spark.range(1).select(F.lit(2**62).alias("o"), F.lit("]").alias("value")))
+    sinks.write_ordered(closed, f"{at}/items.json", "o", "value")
+    items = streams.json_items(spark, f"{at}/items.json")
+    return items.select(F.from_json("value", "doc_id long, lang string").alias("r")).select("r.*")
+
+
+@query(f"""WITH b AS (SELECT string_agg(regexp_replace(text, '\\s+$', '') || chr(10) || '<EOS>' || chr(10) || chr(10), '' ORDER BY doc_id) AS t FROM documents)
+SELECT strlen(t)::BIGINT AS bytes, sha256(t) AS sha256 FROM b""")
+def stored_corpus_file(spark, sf):
+    """The one ordered file of all texts, byte by byte."""
+    at = scratch.folder(spark)
+    sinks.write_document_file(docs(spark, sf), f"{at}/corpus.txt", "doc_id")
+    return streams.checksums(spark, f"{at}/corpus.txt").select("bytes", "sha256")
