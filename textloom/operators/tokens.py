@@ -7,6 +7,7 @@ of the corpus once, in Arrow batches, since merges never cross white space.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
@@ -118,7 +119,7 @@ def train_bpe(docs: DataFrame, vocab_size: int, order: str, text: str = "text",
         raise ValueError("training text must not be empty")
     other = "[^" + "".join(re.escape(c) for c in sorted(vocabulary)) + "]"
     pieces = word_counts(docs, text).select(F.explode(F.split("word", other)).alias("piece"), "n").where(F.length("piece") > 1)
-    held = [(list(r.piece), r.n) for r in pieces.groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator()]
+    held = [(list(r.piece), r.n) for r in pieces.groupBy("piece").agg(F.sum("n").alias("n")).collect()]
     counts: Counter = Counter()
     where: dict[tuple[str, str], set[int]] = defaultdict(set)
     for i, (symbols, n) in enumerate(held):
@@ -210,6 +211,7 @@ def bpe_words(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tuple
     """(word, n, ids) of the corpus's distinct words, each merged once; a stored table."""
     ids, ranks = {t: i for i, t in enumerate(vocabulary)}, {p: i for i, p in enumerate(merges)}
     unk = ids[UNK]
+    scratch.shipped(docs.sparkSession)
     counted = docs.select(F.explode(X.words(F.replace(F.col(f"`{text}`"), F.lit(EOS), F.lit(" ")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,33 +252,39 @@ def bpe_encode(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tupl
     carried = [T.StructField(f"c{i}__", f.dataType) for i, f in enumerate(fields)]
     own = carried[[f.name for f in fields].index(text)].name
     schema = T.StructType(carried + T.StructType.fromDDL("row__ long, parts__ array<struct<ids:array<int>,rare:int>>, rare__ array<string>").fields)
-    pieces = re.compile(r"<EOS>|\s|(?:(?!<EOS>)\S)+")
+    pieces, marked = re.compile(r"\S+|\s"), re.compile(r"<EOS>|\s|(?:(?!<EOS>)\S)+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look_up = dict(shared.value)
-        look_up[EOS] = [end]
+        look_up = {w: array("i", i).tobytes() for w, i in shared.value.items()}
+        look_up |= {c: array("i", [ids.get(c, unk)]).tobytes() for c in map(chr, range(0x3001)) if c.isspace()}
+        look_up[EOS] = array("i", [end]).tobytes()
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                parts: list = []
+                # all ids of the batch, where its parts end, what closes a part, and where rows end
+                flat, part_ends, closed, row_ends = bytearray(), [0], [], [0]
                 rare: list = []
                 for t in batch.column(own).to_pylist():
-                    run_of: list[int] = []
-                    mine: list | None = None if t is None else []
+                    words_ = pieces.findall(t or "") if t is None or EOS not in t else marked.findall(t)
+                    got = list(map(look_up.get, words_))
                     names: dict[str, int] = {}
-                    for w in pieces.findall(t or ""):
-                        got = look_up.get(w)
-                        if got is None and (len(w) > 1 or not w.isspace()):
-                            mine.append({"ids": run_of, "rare": names.setdefault(w, len(names))})
-                            run_of = []
-                        else:
-                            run_of += got if got is not None else [ids.get(w, unk)]
-                    if mine is not None and run_of:
-                        mine.append({"ids": run_of, "rare": -1})
-                    parts.append(mine)
+                    lo = 0
+                    for _ in range(got.count(None)):
+                        i = got.index(None, lo)
+                        flat += b"".join(got[lo:i])
+                        closed.append(names.setdefault(words_[i], len(names)))
+                        part_ends.append(len(flat) // 4)
+                        lo = i + 1
+                    flat += b"".join(got[lo:])
+                    if len(flat) > 4 * part_ends[-1]:
+                        closed.append(-1)
+                        part_ends.append(len(flat) // 4)
+                    row_ends.append(len(closed))
                     rare.append(list(names))
-                made = [pa.array(row + np.arange(batch.num_rows)), pa.array(parts, pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("rare", pa.int32())]))), pa.array(rare, pa.list_(pa.string()))]
+                known_ids = pa.ListArray.from_arrays(pa.array(part_ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+                parts = pa.StructArray.from_arrays([known_ids, pa.array(closed, pa.int32())], ["ids", "rare"])
+                made = [pa.array(row + np.arange(batch.num_rows)), pa.ListArray.from_arrays(pa.array(row_ends, pa.int32()), parts), pa.array(rare, pa.list_(pa.string()))]
                 row += batch.num_rows
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
 
@@ -284,13 +292,13 @@ def bpe_encode(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tupl
     cut = docs.select(*(F.col(f"`{f.name}`").alias(c.name) for f, c in zip(fields, carried))).mapInArrow(run, schema)
     restored = [F.col(c.name).alias(f.name) for f, c in zip(fields, carried)]
     if all_known:
-        return cut.select(*restored, F.flatten(F.col("parts__.ids")).alias(name))
+        return cut.select(*restored, F.when(F.col(own).isNotNull(), F.flatten(F.col("parts__.ids"))).alias(name))
     held = scratch.table(cut)
     asked = held.select("row__", F.posexplode("rare__").alias("at", "word"))
     found = asked.join(words.select("word", "ids"), "word").groupBy("row__").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("found__"))
     both = held.join(found, "row__", "left")
     own_ids = lambda p: F.when(p["rare"] >= 0, F.concat(p["ids"], F.coalesce(F.get(F.col("found__"), p["rare"])["ids"], missing))).otherwise(p["ids"])
-    return both.select(*restored, F.flatten(F.transform("parts__", own_ids)).alias(name))
+    return both.select(*restored, F.when(F.col(own).isNotNull(), F.flatten(F.transform("parts__", own_ids))).alias(name))
 
 
 def strided_windows(rows: DataFrame, tokens: str, length: int, stride: int) -> DataFrame:

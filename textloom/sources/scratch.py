@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +37,24 @@ def table(df: DataFrame) -> DataFrame:
     at = folder(df.sparkSession)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+#: Applications whose tasks can import this package.
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Lets tasks import this package: it is sent to the executors once, unless they
+    share the driver's path in a local run."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    known = [Path.cwd(), *(Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    if sc.applicationId in _SHIPPED or re.fullmatch(r"local(\[.*\])?", sc.master) and package.parent in known:
+        return
+    at = tempfile.mkdtemp(prefix="package-")  # the driver serves it from here
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    made = Path(at, f"{package.name}.zip")
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(made))
+    _SHIPPED.add(sc.applicationId)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.checks import positive
+from textloom.sources import scratch
 
 #: Bytes of a file that are read, and of rows that are given, at once; rows likewise.
 BLOCK, BATCH_BYTES, BATCH_ROWS = 1 << 20, 4 << 20, 4096
@@ -48,6 +49,7 @@ def located(uri: str) -> tuple[pa.fs.FileSystem, str]:
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes) of the files that a path or pattern names, or that its folders
     have; hidden ones are left out. Names and sizes are all that the driver sees."""
+    scratch.shipped(spark)
     jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
     found, held = [], list(system.globStatus(at) or [])
@@ -216,8 +218,8 @@ def write_csv_archives(rows: DataFrame, folder: str) -> None:
     """A tar.gz for each partition with a CSV member for each batch of rows, header
     first, all fields quoted. A file is written beside its place and then moved, so
     that a repeated task does no harm."""
-    names = rows.columns
-    root = folder
+    scratch.shipped(rows.sparkSession)
+    names, root = rows.columns, folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -247,6 +249,7 @@ def shard_windows(spark: SparkSession, folder: str, size: int, stride: int = 1)
     that has as many. A window belongs to the shard that it begins in; what it has
     beyond that is read from the next shards' beginnings."""
     positive(size=size, stride=stride)
+    scratch.shipped(spark)
     manifest = json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0])
     if manifest.get("format") != 1 or manifest.get("dtype") != "uint32":
         raise ValueError("unknown shard format")
