@@ -187,6 +187,30 @@ def tree_paths(spark, sf):
     return paths.where(found(F.col("messages"))).select("conv_id", F.col("messages")[0]["content"].alias("asked"), F.col("messages")[1]["content"].alias("reply"))
 
 
+_CHAIN = f"""c AS (SELECT conv_id, turn, role, text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+t AS (SELECT conv_id, k * n + row_number() OVER (PARTITION BY conv_id, k ORDER BY turn) AS pos, role, {_strip('text')} AS text,
+  coalesce({_strip('text')}, '') = '' OR role NOT IN ('user', 'assistant') OR length(text) % 7 = 0 AS bad FROM c, range(4) r(k)),
+b AS (SELECT *, min(CASE WHEN bad THEN pos END) OVER (PARTITION BY conv_id) AS stop FROM t)"""
+
+
+@query(f"""WITH {_CHAIN} SELECT conv_id, count(*) AS n, sha256(string_agg(role || ':' || text, '|' ORDER BY pos)) AS path_sha256
+FROM b WHERE stop IS NULL OR pos < stop GROUP BY conv_id""")
+def deep_tree_paths(spark, sf):
+    """Trees as deep as four times a conversation, where turns of some lengths are flagged."""
+    turn = F.struct("turn", F.to_json(F.struct(
+        "text", F.when(F.col("role") == "user", "prompter").otherwise(F.col("role")).alias("role"), F.lit("en").alias("lang"), F.lit(0).alias("rank"),
+        F.create_map(F.lit("spam"), F.struct(F.when(F.length("text") % 7 == 0, 0.75).otherwise(0.0).alias("value"), F.lit(2).alias("count"))).alias("labels"),
+    )).alias("j"))
+    chain = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn))["j"].alias("m"))
+    nested = F.aggregate(
+        F.reverse(F.flatten(F.array_repeat("m", 4))), F.lit(""),
+        lambda inner, j: F.concat(F.substring(j, F.lit(1), F.length(j) - 1), F.lit(',"replies":['), inner, F.lit("]}")),
+    )
+    found = trees.deep_paths(chain.select("conv_id", F.parse_json(nested).alias("tree")), "tree", "conv_id")
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
+    return found.select("conv_id", F.size("messages").cast("long").alias("n"), F.sha2(said, 256).alias("path_sha256"))
+
+
 _SFT_LEN = 1024
 _SFT = rf"""{_ROWS}, s AS (SELECT conv_id, i, role, length(role) + 5 + length(text) + 1 + (role = 'assistant')::INTEGER AS size, CASE WHEN role = 'assistant' THEN length(text) + 2 ELSE 0 END AS trained FROM c),
 f AS (SELECT conv_id, count(*) AS n, sum(size) AS total, coalesce(min(i) FILTER (WHERE role <> 'system'), max(i) + 1) AS lead FROM s GROUP BY conv_id),

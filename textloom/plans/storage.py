@@ -10,11 +10,14 @@ from textloom.functions.schemas import MESSAGES
 from textloom.operators import chat as H
 from textloom.operators import corpus as C
 from textloom.operators.order import running_total
+from textloom.plans import chat as P
 from textloom.plans.chat import _GROUPED, _ROWS, _strip, chats, transcript
 from textloom.plans.corpus import docs, table
 from textloom.plans.registry import query, sql_of
 from textloom.plans.tokens import _ID, counted, encoded
-from textloom.sources import files, scratch, sinks, streams
+from textloom.operators import prepare as R
+from textloom.operators import tokens as K
+from textloom.sources import files, gates, scratch, sinks, streams
 
 
 def _lines(rows, order, line, path):
@@ -199,3 +202,63 @@ def stored_corpus_file(spark, sf):
     at = scratch.folder(spark)
     sinks.write_document_file(docs(spark, sf), f"{at}/corpus.txt", "doc_id")
     return streams.checksums(spark, f"{at}/corpus.txt").select("bytes", "sha256")
+
+
+@query(f"SELECT * FROM ({sql_of('sft_samples')}) WHERE n_trained > 0")
+def gated_samples(spark, sf):
+    """Samples that are written only if there are some and all have a trained target."""
+    fitted, vocabulary = P._fitted(spark, sf)
+    made = fitted.where("parts IS NOT NULL").withColumn("s", K.supervised(F.col("parts"), P._SFT_LEN, vocabulary.index(K.EOS)))
+    real = F.aggregate("parts", F.lit(0), lambda a, m: a + F.size(m["ids"]))
+    made = made.select("conv_id", "outcome", "s.*", F.greatest(F.lit(P._SFT_LEN + 1) - real, F.lit(0)).cast("long").alias("n_padding"))
+    at = f"{scratch.folder(spark)}/samples"
+    gates.write_gated(made.where(F.exists("labels", lambda x: x != -100)), at, gates.sample_gates("labels"))
+    trained = F.size(F.filter("labels", lambda x: x != -100)).cast("long")
+    return spark.read.parquet(at).select("conv_id", "outcome", trained.alias("n_trained"), "n_padding", F.size("input_ids").cast("long").alias("n_inputs"))
+
+
+@query("SELECT count(*) AS ends, (sum(length(text)) + count(*))::BIGINT AS tokens, count(*) AS n_rows FROM documents")
+def gated_tokens(spark, sf):
+    """The corpus's tokens, written only if end tokens part the texts and there are
+    enough for a small model; what the gates saw and what is there."""
+    d = encoded(docs(spark, sf)).select("doc_id", F.concat(F.coalesce("tokens", F.array().cast("array<int>")), F.array(F.lit(97))).alias("tokens"))
+    at = f"{scratch.folder(spark)}/tokens"
+    seen = gates.write_gated(d, at, gates.token_gates("tokens", 97, 10_000, 20.0, 128))
+    return spark.read.parquet(at).agg(F.lit(seen["ends"]).alias("ends"), F.lit(seen["tokens"]).alias("tokens"), F.count("*").alias("n_rows"))
+
+
+_LIMIT = 40
+_PREPARED = f"""s(name, bucket, i) AS (VALUES ('src0', 'approved', 0), ('src1', 'approved', 1), ('src2', 'research', 2), ('src3', 'emotion', 4)),
+r AS (SELECT s.name, s.bucket, doc_id, text, row_number() OVER (PARTITION BY s.name ORDER BY md5((5 + i) || '-' || doc_id)) AS k FROM documents d JOIN s ON d.source = s.name),
+u AS (SELECT name, bucket, doc_id FROM r WHERE k <= {_LIMIT} AND length({_strip('text')}) >= 200),
+o(output, bucket, without) AS (VALUES ('approved_chat', 'approved', ''), ('approved_chat_for_sft', 'approved', 'src1'), ('research_chat', 'research', ''), ('emotion', 'emotion', ''))"""
+
+
+@query(f"""WITH {_PREPARED} SELECT output, u.name AS source, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM u JOIN o ON o.bucket = u.bucket AND o.without <> u.name GROUP BY 1, 2
+UNION ALL SELECT 'ledger', 'missing', 0, 0""")
+def prepared_sources(spark, sf):
+    """Four outputs of five sources, one of which fails: counts of what is written, and
+    the ledger's errors. A second run finds the others done."""
+    def rows(name):
+        return lambda s: docs(s, sf).where(F.col("source") == name).select(F.col("doc_id").alias("id"), "text")
+
+    def convert(r):
+        message = F.array(F.struct(F.lit("user").alias("role"), X.strip("text").alias("content")))
+        return r.where(F.length(X.strip("text")) >= 200).select("key__", "id", message.alias("messages"))
+
+    def missing(s):
+        return s.read.parquet(f"{sf}/there_is_no_such_table.parquet")
+
+    sources = [R.Source("src0", "approved", rows("src0"), convert), R.Source("src1", "approved", rows("src1"), convert), R.Source("src2", "research", rows("src2"), convert),
+               R.Source("missing", "research", missing, convert), R.Source("src3", "emotion", rows("src3"), convert)]
+    outputs = [R.Output("approved_chat", ["approved"]), R.Output("approved_chat_for_sft", ["approved"], ["src1"]), R.Output("research_chat", ["research"]), R.Output("emotion", ["emotion"])]
+    at = scratch.folder(spark)
+    R.prepare(spark, sources, outputs, at, _LIMIT, 5)
+    where = docs(spark, sf).select("doc_id", "source")
+    written = None
+    for o in outputs:
+        part = spark.read.schema("id long").json(f"{at}/outputs/{o.name}").withColumn("output", F.lit(o.name))
+        written = part if written is None else written.unionByName(part)
+    counts = written.join(where, F.col("id") == F.col("doc_id")).groupBy("output", "source").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    failed = R.Store(spark, at).ledger().where("state = 'error'").select(F.lit("ledger").alias("output"), "source", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("ids"))
+    return counts.unionByName(failed)
