@@ -15,7 +15,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from pathlib import Path
@@ -142,10 +142,34 @@ def about(df: DataFrame, rows: int) -> DataFrame:
     n = df.count()
     if n <= rows:
         return df
-    key = F.xxhash64(*(c for c, t in df.dtypes if not t.startswith("map")))
+    key = F.xxhash64(*(quoted(c) for c in hashable(df)))
     return df.where(F.pmod(key, F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """Columns without a map or variant anywhere inside."""
+    return [f.name for f in df.schema.fields if not re.search(r"\b(map<|variant\b)", f.dataType.simpleString())]
+
+
+def apart(docs: DataFrame, text: str, added: Iterable[str] = (), keep_text: bool = True) -> tuple[DataFrame, Callable[..., DataFrame], dict[str, str]]:
+    """The rows under names that nothing clashes with (the text's is text__), without
+    the columns that added ones replace; what gives the columns their names back, with
+    further ones behind them; and the names by the columns' own."""
+    gone = {a.lower() for a in added}
+    names = {f.name: "text__" if f.name == text else f"c{i}__" for i, f in enumerate(docs.schema.fields) if f.name == text or f.name.lower() not in gone}
+    inner = docs.select(*(quoted(n).alias(safe) for n, safe in names.items()))
+
+    def back(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*(F.col(safe).alias(n) for n, safe in names.items() if keep_text or n != text), *more)
+
+    return inner, back, names
+
+
 def others(docs: DataFrame, text: str, added: Iterable[str]) -> list:
     """The fields of docs but the text and those that added columns replace; names
     differ in more than case, as Spark resolves them."""
@@ -157,7 +181,7 @@ def renamed(docs: DataFrame, fields: list, text: str) -> tuple[DataFrame, list[T
     """The rows with the fields under names that can't clash, the text as text__,
     and those names' fields."""
     carried = [T.StructField(f"c{i}__", f.dataType) for i, f in enumerate(fields)]
-    return docs.select(*(F.col(f"`{f.name}`").alias(c.name) for f, c in zip(fields, carried)), F.col(f"`{text}`").alias("text__")), carried
+    return docs.select(*(quoted(f.name).alias(c.name) for f, c in zip(fields, carried)), quoted(text).alias("text__")), carried
 
 
 def restored(fields: list, carried: list) -> list[Column]:

@@ -200,7 +200,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_te
             out.append(docs.sparkSession.sparkContext.broadcast((index, _by_prefix(index))))
 
     held, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), item_text).where(F.col(item_text).isNotNull())
+    rows = benchmark.select(F.coalesce(blocks.quoted(item).cast("string"), F.lit("")), blocks.quoted(item_text).alias("text__")).where("text__ IS NOT NULL")
     for i, t in rows.toLocalIterator():  # one block of items is on the driver at a time
         if held and size + len(t) // 2 > block_words:
             add(held)
@@ -218,8 +218,8 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     contaminated. An input column of such a name is replaced."""
     blocks.small_batches(docs.sparkSession)
     added = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, contaminated boolean")
-    rest = blocks.others(docs, "", added.names)
-    docs = docs.select(*(f"`{f.name}`" for f in rest))
+    docs, back, _ = blocks.apart(docs, text, added.names)
+    rest, text = docs.schema.fields, "text__"
     shared = indexes(docs, benchmark, text, item, item_text, block_words)
     carried = T.StructType(rest + T.StructType.fromDDL("hits__ array<int>, items__ array<string>").fields)
 
@@ -260,7 +260,7 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     for i, block in enumerate(chain):
         last = i == len(chain) - 1
         out = out.mapInArrow(step(block, last), closed if last else carried)
-    return out
+    return back(out, *added.names)
 
 
 def digest(found: DataFrame) -> DataFrame:

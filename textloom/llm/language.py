@@ -82,7 +82,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_row
                 keys, n = np.unique(np.repeat(labels, np.diff(ends)) * SLOTS + slots, return_counts=True)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(keys // SLOTS)).cast(pa.string()), pa.array(keys % SLOTS), pa.array(n.astype(np.int64))], ["lang", "slot", "n"])
 
-    chosen = blocks.about(labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()), sample_rows).select(F.col(text).alias("text"), F.col(label).alias("label"))
+    label_, text_ = blocks.quoted(label), blocks.quoted(text)
+    chosen = blocks.about(labelled.where(label_.isNotNull() & text_.isNotNull()), sample_rows).select(text_.alias("text"), label_.cast("string").alias("label"))
     known = chosen.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS)
     chosen = chosen.join(F.broadcast(known.select("label")), "label", "left_semi").select("text", "label")
     sums = chosen.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
@@ -144,9 +145,8 @@ def identify(pages: DataFrame, names: list[str], logs: np.ndarray, url: str = "u
     """All columns but the html, with lang, probability, text_lang, declared,
     suffix and host_prior (probabilities by language, in the order of names)."""
     rest = blocks.others(pages, html, ("lang", "probability", "text_lang", "declared", "suffix", "host_prior"))
-    named = pages.withColumn("url__", F.col(url))
-    pages, carried = blocks.renamed(named, [*rest, named.schema["url__"]], html)
-    at = carried.pop().name
+    pages, carried = blocks.renamed(pages, rest, html)
+    at = carried[[f.name for f in rest].index(url)].name
     labels = F.split("host", r"\.")
     seen = (
         text_evidence(pages, names, logs, "text__")
@@ -154,9 +154,11 @@ def identify(pages: DataFrame, names: list[str], logs: np.ndarray, url: str = "u
         .withColumn("suffix", F.element_at(labels, -1))
         .withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."))
         .withColumn("declared", F.coalesce("declared", F.lit("")))
-        .withColumn("verdict", F.when(F.col("evidence").isNotNull(), _argmax(F.col("evidence"), names)))
     )
-    seen = blocks.cut(seen)
+    if not names:  # nothing is known of any language
+        none = {"lang": "string", "probability": "double", "text_lang": "string"}
+        return seen.select(*blocks.restored(rest, carried), *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "declared", "suffix", F.array().cast("array<double>").alias("host_prior"))
+    seen = blocks.cut(seen.withColumn("verdict", F.when(F.col("evidence").isNotNull(), _argmax(F.col("evidence"), names))))
     # the host prior, level by level: (own counts + PARENT * parent's share) / (pages + PARENT)
     k = range(len(names))
     level = blocks.cut(seen.groupBy("suffix", "domain", "host").agg(*_counts(names)))

@@ -68,7 +68,9 @@ def pack(docs: DataFrame, text: str = "text", path: str | None = None, capacity:
     spark = docs.sparkSession
     blocks.small_batches(spark)
     added = T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long")
-    rest = [f for f in docs.schema.fields if f.name not in (text, *added.names, "sequence_id", "offset", "bin__", "open__")]
+    docs, back, _ = blocks.apart(docs, text, (*added.names, "sequence_id", "offset"), keep_text=False)
+    text = "text__"
+    rest = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType(rest + added.fields + T.StructType.fromDDL("bin__ long, open__ boolean").fields)
 
     def cut_up(part: pa.RecordBatch) -> pa.Table:
@@ -126,7 +128,7 @@ def pack(docs: DataFrame, text: str = "text", path: str | None = None, capacity:
     out = pieces.join(final, "bin__", "left").withColumn("sequence_id", F.coalesce("sequence_id", "bin__"))
     inside = Window.partitionBy("sequence_id").orderBy("piece", "start", "length", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long"))
-    return out.select(*(f.name for f in rest), *added.names, "sequence_id", "offset")
+    return back(out, *added.names, "sequence_id", "offset")
 
 
 def _level(bins: DataFrame, groups: int, capacity: int) -> DataFrame:

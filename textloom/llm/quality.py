@@ -153,6 +153,8 @@ def passes(facts: Facts, rules: Sequence[Rule]) -> np.ndarray:
 def estimate(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 512) -> list[dict]:
     """Seconds, rejections and rows of each rule over about sample_rows rows. Only
     these sums reach the driver."""
+    if not rules:
+        return []
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,6 +180,8 @@ def ordered(rules: Sequence[Rule], seen: list[dict]) -> list[Rule]:
 def quality_filter(docs: DataFrame, rules: Sequence[Rule] = (*BASE, *RULES), text: str = "text", sample_rows: int = 512) -> DataFrame:
     """The rows that pass every rule, with all their columns."""
     blocks.small_batches(docs.sparkSession)
+    docs, back, _ = blocks.apart(docs, text)
+    text = "text__"
     rules = ordered(rules, estimate(docs, rules, text, sample_rows))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +189,7 @@ def quality_filter(docs: DataFrame, rules: Sequence[Rule] = (*BASE, *RULES), tex
             for part in blocks.steps(batch, text):
                 yield part.filter(pa.array(passes(Facts(part.column(text)), rules)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return back(docs.mapInArrow(keep, docs.schema))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -195,9 +199,11 @@ def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "
     """All columns but the text, with COUNTS, base_failed and kept: the cascade
     judges what the base let through."""
     blocks.small_batches(docs.sparkSession)
-    rules = ordered(rules, estimate(docs, rules, text, sample_rows))
     added = [*COUNTS, "base_failed", "kept"]
-    rest = [f for f in docs.schema.fields if f.name != text and f.name not in added]
+    docs, back, _ = blocks.apart(docs, text, added, keep_text=False)
+    text = "text__"
+    rules = ordered(rules, estimate(docs, rules, text, sample_rows))
+    rest = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType(rest + [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.BooleanType()) for c in added[-2:]])
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +223,7 @@ def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "
                     schema.names,
                 )
 
-    return docs.select(*(f.name for f in rest), text).mapInArrow(report, schema)
+    return back(docs.select(*(f.name for f in rest), text).mapInArrow(report, schema), *added)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

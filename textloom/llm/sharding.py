@@ -170,9 +170,9 @@ class ShardStore:
             raise ValueError("the store has no shards")
         rows = self.spark.read.parquet(*(f"{self.root}/{s.path}" for s in shards))
         names = self.spark.createDataFrame([(s.path.split("/", 1)[1], s.bytes, s.level) for s in shards], "shard string, shard_bytes long, shard_level int")
-        rows = rows.drop("shard", "shard_row", "shard_bytes", "shard_level").select("*", F.col("_metadata.file_path").alias("file__"), F.col("_metadata.row_index").alias("shard_row"))
-        shard = F.regexp_extract("file__", r"/data/([^/]+/[^/]+)$", 1)
-        return rows.withColumn("shard", shard).drop("file__").join(F.broadcast(names) if len(shards) <= 10_000 else names, "shard", "left")
+        shard = F.regexp_extract(F.col("_metadata.file_path"), r"/data/([^/]+/[^/]+)$", 1)
+        rows = rows.drop("shard", "shard_row", "shard_bytes", "shard_level").select("*", shard.alias("shard"), F.col("_metadata.row_index").alias("shard_row"))
+        return rows.join(F.broadcast(names) if len(shards) <= 10_000 else names, "shard", "left")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

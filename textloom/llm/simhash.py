@@ -121,6 +121,12 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     pairs that have it are linked. Different texts with the same least key, or
     without any, all stay."""
     blocks.small_batches(docs.sparkSession)
+    docs, back, names = blocks.apart(docs, text)
+    text, key = "text__", names[key]
+    return back(_near_dedup(docs, key, text, shingle, similarity))
+
+
+def _near_dedup(docs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
     marked = docs.withColumn("mark__", F.xxhash64(text))
     texts = marked.select(F.col("mark__").alias("node"), F.col(text).alias("text"))
     roots = components(jaccard.links(texts, Fraction(str(similarity)), shingle))

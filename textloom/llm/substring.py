@@ -381,7 +381,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", counts: bool = False) -
     added = _DIGESTS if counts else T.StructType([T.StructField(text, T.StringType())])
     rest = blocks.others(docs, text, added.names)
     docs, carried = blocks.renamed(docs, rest, text)
-    docs = docs.withColumn("key__", F.xxhash64(*(c for c, t in docs.dtypes if not t.startswith("map"))))
+    docs = docs.withColumn("key__", F.xxhash64(*blocks.hashable(docs)))
 
     sc = spark.sparkContext
     grams = _hot_grams(docs, "text__")
