@@ -50,8 +50,20 @@ def test_quality_order_and_short_circuit(rows):
     alone = [int((~r.rejects(quality.Facts(texts))).sum()) for r in rules[:1]]
     quality.passes(quality.Facts(texts), [watch(r) for r in rules])
     assert seen[0] == len(texts) and seen[1] == alone[0] and seen == sorted(seen, reverse=True)
-    seen = [{"rule": "long", "rejected": 9, "seconds": 1.0}, {"rule": "symbols", "rejected": 1, "seconds": 0.01}]
-    assert [r.name for r in quality.ordered(quality.RULES, seen)][:2] == ["symbols", "long"]
+
+
+def test_rules_are_ordered_by_what_they_still_reject(spark, docs, rows):
+    names = [r.name for r in quality.RULES]  # long, symbols, word_length, dup_lines, top_word
+    cost = dict.fromkeys(names, 1.0)
+    seen = quality.Seen(cost | {"long": 0.1}, {0b00010: 5, 0b00110: 60, 0b01000: 40, 0b10000: 1, 0: 10})
+    # word_length's rows are all rejected by symbols, so that it comes last; long rejects none
+    assert [r.name for r in quality.ordered(quality.RULES, seen)] == ["symbols", "dup_lines", "top_word", "long", "word_length"]
+    found = quality.estimate(docs, quality.RULES, base=quality.BASE)
+    texts = pa.array([t for _, t, *_ in rows], pa.string())
+    facts = quality.Facts(texts)
+    left = ~np.logical_or.reduce([r.rejects(facts) for r in quality.BASE])
+    mask = sum(r.rejects(facts).astype(int) << i for i, r in enumerate(quality.RULES))[left]
+    assert found.masks == {int(m): int(n) for m, n in zip(*np.unique(mask, return_counts=True))} and set(found.seconds) == set(names)
 
 
 def test_quality_filter_keeps_columns(docs, rows):
@@ -329,3 +341,19 @@ def test_components(spark):
     linked = {(nodes.index(a), nodes.index(b)) for a, b in edges} | {(nodes.index(b), nodes.index(a)) for a, b in edges}
     roots = plain.groups(len(nodes), lambda i, j: (i, j) in linked)
     assert got == {x: nodes[k] for x, k in zip(nodes, roots) if nodes[k] != x}
+
+
+def test_a_frequent_shingle_makes_no_large_bucket(spark, monkeypatch):
+    """Without any counters: a passage in a third of the texts, which differ else."""
+    monkeypatch.setattr(jaccard, "BUCKET", 40)
+    monkeypatch.setattr(jaccard, "rarity", lambda texts, n: np.zeros(jaccard.SLOTS, np.int64))
+    r = random.Random(9)
+    say = lambda n: " ".join(r.choices([f"w{i}" for i in range(3000)], k=n))
+    passage = say(12)
+    texts = [f"{say(40)} {passage} {say(20)}" if i % 3 == 0 else say(70) for i in range(600)]
+    texts += [t + " end" for t in texts[:60:5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(4)
+    met = jaccard.meeting(df, Fraction(4, 5), 5)
+    assert met.groupBy("shingle").count().where("count > 40").isEmpty()
+    got = {frozenset(x) for x in components.components(jaccard.links(df, Fraction(4, 5), 5)).collect()}
+    assert got == {frozenset((600 + k, 5 * k)) for k in range(12)}

@@ -5,8 +5,10 @@ A text is the set of its lower-cased word n-grams (of all its words, if it has
 fewer), as 64-bit hashes; equal texts are one node. In one order of all shingles,
 rare ones first, two sets of a similarity of at least p / q share a shingle among
 the first size - ceil(size * p / q) + 1 of each (prefix filter). These shingles are
-the buckets in which fingerprints meet; how rare one is comes from SLOTS counters
-over all texts, which only decides how large buckets are.
+the buckets in which fingerprints meet. How rare one is comes from SLOTS counters
+over all texts, and of a shingle whose bucket is larger than a block from that
+bucket's own size: it counts as frequent, and the prefixes are taken again as long as
+that makes large buckets smaller. The order only decides how large buckets are.
 
 Fingerprints are SimHashes of LANES * 64 bits over the set. The radius is such that
 two sets of the similarity lie beyond it with a chance below LOSS. In each bucket
@@ -33,11 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import bits, blocks
+from textloom.llm import bits, blocks, frequent
 from textloom.llm.components import components
 
 #: Counters that shingles share to be ordered by frequency.
 SLOTS = 1 << 16
+#: Nodes of a bucket that make its shingle frequent, and such shingles that are known.
+BUCKET, HEAVY = bits.BLOCK, 1 << 18
+#: Share of the nodes in large buckets that another order must take out of them.
+WORTH = 0.1
 #: 64-bit parts of a fingerprint.
 LANES = 8
 #: Chance that two sets of the similarity don't meet in a family.
@@ -114,10 +120,9 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h.view(np.uint64) >> np.uint64(64 - (SLOTS - 1).bit_length())).astype(np.int64)
 
 
-def prefixes(texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:
-    """(shingle, node, size) of texts (node, text): the rarest shingles of every node,
-    as many as any two nodes of the similarity must share one of."""
-    slots, (p, q) = SLOTS, similarity.as_integer_ratio()
+def rarity(texts: DataFrame, n: int) -> np.ndarray:
+    """How often shingles come, by slot: SLOTS numbers at any corpus size."""
+    slots = SLOTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, once = np.zeros(slots, np.int64), Once()
@@ -128,18 +133,29 @@ def prefixes(texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["slot", "n"])
 
     counted = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(slots, np.int64)  # SLOTS rows at any corpus size
+    table = np.zeros(slots, np.int64)
     table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    often = texts.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def prefixes(texts: DataFrame, similarity: Fraction, n: int, slots: np.ndarray, heavy: np.ndarray, times: np.ndarray) -> DataFrame:
+    """(shingle, node, size) of texts (node, text): the rarest shingles of every node,
+    as many as any two nodes of the similarity must share one of. heavy are frequent
+    shingles, sorted, and times how frequent they are; all others are rarer."""
+    p, q = similarity.as_integer_ratio()
+    often = texts.sparkSession.sparkContext.broadcast((slots, np.append(heavy, np.int64(0)), np.append(times, np.int64(0))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = Once()
+        in_slot, known, known_times = often.value
         for batch in batches:
             for part in blocks.steps(once(batch)):
                 h, ends = shingles(part.column("text"), n)
                 size = np.diff(ends)
                 row = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((h, often.value[_slot(h)], row))
+                at = np.searchsorted(known[:-1], h)  # behind all: the entry of none
+                frequent_ = np.where(known[at] == h, known_times[at], 0)
+                order = np.lexsort((h, in_slot[_slot(h)], frequent_, row))
                 first = np.arange(len(h)) - np.repeat(ends[:-1], size) < np.repeat(size + (-size * p // q) + 1, size)
                 none = np.flatnonzero(size == 0)  # meet at a value of their own
                 rarest, row = np.concatenate([h[order][first], np.zeros(len(none), np.int64)]), np.concatenate([row[first], none])
@@ -246,14 +262,33 @@ def linked(cells: DataFrame, similarity: Fraction, n: int) -> DataFrame:
     return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
+def meeting(texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:
+    """(shingle, node, size): buckets of two nodes or more such that any two nodes of
+    the similarity share one."""
+    slots, group = rarity(texts, n), Window.partitionBy("shingle")
+    heavy, times, before = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    while True:
+        met = prefixes(texts, similarity, n, slots, heavy, times).withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)})
+        met = blocks.stored(met.where("lo < hi").select("shingle", "node", F.col("size").cast("long").alias("size")).distinct())
+        large = blocks.cut(met.groupBy(F.col("shingle").alias("token")).agg(F.count("*").alias("n")).where(F.col("n") > BUCKET))
+        nodes = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not nodes or before is not None and nodes > (1 - WORTH) * before:
+            return met
+        before = nodes
+        found = frequent.head(large, HEAVY)
+        both = np.concatenate([heavy, found.column("token").to_numpy()])
+        counts = np.concatenate([times, found.column("n").to_numpy()])
+        heavy, at = np.unique(both, return_inverse=True)
+        times = np.zeros(len(heavy), np.int64)
+        np.maximum.at(times, at, counts)
+
+
 def links(texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:
     """(a, b): links between nodes of texts (node, text) that have the similarity
     or more; enough of them to connect whatever is linked."""
     p, q = similarity.as_integer_ratio()
     zero = F.lit(bytearray(8 * LANES))
-    group = Window.partitionBy("shingle")
-    met = prefixes(texts, similarity, n).withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)})
-    met = blocks.stored(met.where("lo < hi").select("shingle", "node", F.col("size").cast("long").alias("size")).distinct())
+    met = meeting(texts, similarity, n)
     fps = fingerprints(texts, n)
     large = met.where(F.col("size") >= SMALL).join(fps, "node").select(F.col("shingle").alias("bucket"), "node", "fp")
     # where one of two linked sets is small, the other isn't much larger

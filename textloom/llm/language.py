@@ -3,9 +3,10 @@
 The text gives log likelihoods per language from hashed byte trigrams, fitted on
 a bounded sample of labelled texts. The page's declared markup language and its
 address suffix are two more observations; how far each can be believed is counted
-over all pages, against the text's own verdict. The prior comes from the host:
-counts of all its pages, smoothed towards its domain, that towards its suffix,
-that towards all pages. All counts are grouped sums.
+over all pages, against their texts' verdicts. The prior comes from the host:
+counts of all its pages, smoothed towards its domain, that towards all pages. All
+counts are grouped sums, and a page's own verdict is taken out of each that it is
+judged by, so that its text counts once.
 
 Defined cases: a page without trigrams has no text evidence, a null text_lang, and
 is left out of all counts; a missing or unknown declaration counts as its own
@@ -13,8 +14,9 @@ value; a null url has the empty host and suffix; pages with no evidence at all g
 the most common language; repeated rows are judged one by one; a very long page is
 one step of its own; an empty table gives an empty result; ties go to the language
 that sorts first; an input column with the name of an added one is replaced, other
-columns are carried whatever their names. The model knows the LABELS most frequent
-labels of its sample.
+columns are carried whatever their names; without labelled texts languages,
+probabilities and priors are null or empty. The model knows all labels of its sample
+(SLOTS numbers each).
 """
 
 from __future__ import annotations
@@ -33,8 +35,6 @@ from textloom.llm.url_rules import host_of
 
 #: Labelled texts, about, that the trigram model is fitted on.
 SAMPLE_ROWS = 20_000
-#: Labels that it can tell apart.
-LABELS = 256
 #: Slots that trigrams are hashed to.
 SLOTS = 1 << 16
 #: Weight of a level's parent in the host prior, as pages.
@@ -84,8 +84,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_row
 
     label_, text_ = blocks.quoted(label), blocks.quoted(text)
     chosen = blocks.about(labelled.where(label_.isNotNull() & text_.isNotNull()), sample_rows).select(text_.alias("text"), label_.cast("string").alias("label"))
-    known = chosen.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS)
-    chosen = chosen.join(F.broadcast(known.select("label")), "label", "left_semi").select("text", "label")
+    chosen = blocks.cut(chosen)
     sums = chosen.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(sums.column("lang").to_pylist()))
     n = np.full((SLOTS, len(names)), 0.5)
@@ -132,15 +131,6 @@ def _counts(names: list[str]) -> list[Column]:
     return [F.count(F.when(F.col("verdict") == x, 1)).cast("double").alias(f"n{i}") for i, x in enumerate(names)]
 
 
-def _believed(pages: DataFrame, column: str, names: list[str]) -> DataFrame:
-    """Log probability of each value of a column in each language, add-one, from
-    all pages with a verdict."""
-    n = pages.groupBy(column).agg(*_counts(names))
-    row = pages.groupBy().agg(*_counts(names), F.countDistinct(column).alias("v")).first()  # one row
-    logs = [F.log((F.col(f"n{i}") + 1) / F.lit(row[f"n{i}"] + row["v"] + 1.0)) for i in range(len(names))]
-    return n.select(column, F.array(*logs).alias(f"by_{column}"))
-
-
 def identify(pages: DataFrame, names: list[str], logs: np.ndarray, url: str = "url", html: str = "html", parent: float = PARENT) -> DataFrame:
     """All columns but the html, with lang, probability, text_lang, declared,
     suffix and host_prior (probabilities by language, in the order of names)."""
@@ -159,31 +149,37 @@ def identify(pages: DataFrame, names: list[str], logs: np.ndarray, url: str = "u
         none = {"lang": "string", "probability": "double", "text_lang": "string"}
         return seen.select(*blocks.restored(rest, carried), *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "declared", "suffix", F.array().cast("array<double>").alias("host_prior"))
     seen = blocks.cut(seen.withColumn("verdict", F.when(F.col("evidence").isNotNull(), _argmax(F.col("evidence"), names))))
-    # the host prior, level by level: (own counts + PARENT * parent's share) / (pages + PARENT)
+    # counts by host and domain, by declared language and by suffix: a row each
     k = range(len(names))
-    level = blocks.cut(seen.groupBy("suffix", "domain", "host").agg(*_counts(names)))
-
-    def sums(*keys: str) -> DataFrame:
-        return level.groupBy(*keys).agg(F.array(*(F.sum(f"n{i}") for i in k)).alias("c"))
-
-    def smooth(c: str, above: Column) -> Column:
-        total = F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(F.col(c), above, lambda x, p: (x + parent * p) / (total + parent))
-
-    whole = sums().first()
-    counts = [x or 0.0 for x in whole["c"]] if whole else [0.0 for _ in k]
-    overall = F.array(*(F.lit((x + 1.0) / (sum(counts) + len(counts))) for x in counts))
-    by_suffix = sums("suffix").select("suffix", smooth("c", overall).alias("p1"))
-    by_domain = sums("suffix", "domain").join(by_suffix, "suffix").select("domain", smooth("c", F.col("p1")).alias("p2"))
-    by_host = sums("domain", "host").join(by_domain, "domain").select("host", smooth("c", F.col("p2")).alias("host_prior"))
-    judged = (
-        seen.join(by_host, "host")
-        .join(_believed(seen, "declared", names), "declared")
-        .join(_believed(seen, "suffix", names), "suffix")
-    )
+    level = blocks.cut(seen.groupBy("domain", "host", "declared", "suffix").agg(*_counts(names)))
+
+    def sums(*keys: str, name: str) -> DataFrame:
+        return level.groupBy(*keys).agg(F.array(*(F.sum(f"n{i}") for i in k)).alias(name))
+
+    whole = level.agg(F.array(*(F.sum(f"n{i}") for i in k)).alias("c"), F.countDistinct("declared").alias("declared"), F.countDistinct("suffix").alias("suffix")).first()
+    counts = [x or 0.0 for x in whole["c"]]
+    by_host = sums("domain", "host", name="of_host").join(sums("domain", name="of_domain"), "domain").drop("domain")
+    judged = seen.join(by_host, "host").join(sums("declared", name="of_declared"), "declared").join(sums("suffix", name="of_suffix"), "suffix")
+    # a page's own vote is left out of all that it is judged by
+    judged = judged.withColumn("own", F.array(*(F.when(F.col("verdict") == x, 1.0).otherwise(0.0) for x in names)))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    judged = judged.withColumn("others", F.zip_with(F.array(*map(F.lit, counts)), "own", lambda x, o: x - o))
+    judged = judged.withColumns({c: F.zip_with(c, "own", lambda x, o: x - o) for c in ("of_host", "of_domain", "of_declared", "of_suffix")})
+
+    def smooth(c: str, above: str) -> Column:
+        """(counts + parent * the share above) / (pages + parent)"""
+        return F.zip_with(F.col(c), F.col(above), lambda x, p: (x + parent * p) / (add(F.col(c)) + parent))
+
+    judged = judged.withColumn("overall", F.transform("others", lambda x: (x + 1.0) / (add(F.col("others")) + len(names))))
+    judged = judged.withColumn("of_domain", smooth("of_domain", "overall")).withColumn("host_prior", smooth("of_host", "of_domain"))
+
+    def likely(column: str) -> Column:
+        """Log probability of the page's value in each language, add-one."""
+        return F.zip_with(F.col(f"of_{column}"), F.col("others"), lambda x, n: F.log((x + 1) / (n + whole[column] + 1.0)))
+
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     text = F.coalesce("evidence", F.array(*(F.lit(0.0) for _ in k)))
-    logp = plus(plus(text, "by_declared"), plus("by_suffix", F.transform("host_prior", lambda p: F.log(p))))
+    logp = plus(plus(text, likely("declared")), plus(likely("suffix"), F.transform("host_prior", lambda p: F.log(p))))
     judged = judged.withColumn("logp", logp)
     weights = F.transform("logp", lambda x: F.exp(x - F.array_max("logp")))
     return judged.select(

@@ -150,31 +150,60 @@ def passes(facts: Facts, rules: Sequence[Rule]) -> np.ndarray:
     return kept
 
 
-def estimate(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 512) -> list[dict]:
-    """Seconds, rejections and rows of each rule over about sample_rows rows. Only
-    these sums reach the driver."""
+@dataclass(frozen=True)
+class Seen:
+    """Of a sample: seconds that each rule took, and how many rows each set of rules
+    rejects (a bit for each rule)."""
+
+    seconds: dict[str, float]
+    masks: dict[int, int]
+
+
+def estimate(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 512, base: Sequence[Rule] = ()) -> Seen:
+    """Costs and joint rejections of the rules over about sample_rows rows, less those
+    that a base rule rejects. At most a row for each rule and each set of rules that a
+    row of the sample has reaches the driver."""
     if not rules:
-        return []
+        return Seen({}, {})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks.steps(batch, text):
-                rows, cut = [], blocks.words(part.column(text))
+                cut = blocks.words(part.column(text))
                 cut.codes  # shared, like the words  # noqa: B018
-                for rule in rules:
+                alive = np.ones(part.num_rows, bool)
+                for rule in base:
+                    alive &= ~rule.rejects(Facts(cut))
+                mask, seconds = np.zeros(part.num_rows, np.int64), []
+                for i, rule in enumerate(rules):
                     began = time.perf_counter()
-                    out = int(rule.rejects(Facts(cut)).sum())
-                    rows.append((rule.name, time.perf_counter() - began, out, part.num_rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["rule", "seconds", "rejected", "seen"])
+                    mask |= rule.rejects(Facts(cut)).astype(np.int64) << i
+                    seconds.append(time.perf_counter() - began)
+                found, n = np.unique(mask[alive], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*range(len(rules)), *[-1] * len(found)], pa.int32()), pa.array([0] * len(rules) + found.tolist(), pa.int64()),
+                     pa.array(seconds + [0.0] * len(found)), pa.array([0] * len(rules) + n.tolist(), pa.int64())],
+                    ["rule", "mask", "seconds", "n"],
+                )
 
-    sums = blocks.about(docs, sample_rows).select(text).mapInArrow(measure, "rule string, seconds double, rejected long, seen long").groupBy("rule")
-    return [r.asDict() for r in sums.agg(*(F.sum(c).alias(c) for c in ("seconds", "rejected", "seen"))).collect()]
+    made = blocks.about(docs, sample_rows).select(text).mapInArrow(measure, "rule int, mask long, seconds double, n long")
+    sums = made.groupBy("rule", "mask").agg(F.sum("seconds").alias("seconds"), F.sum("n").alias("n")).collect()
+    return Seen({rules[r["rule"]].name: r["seconds"] for r in sums if r["rule"] >= 0}, {r["mask"]: r["n"] for r in sums if r["rule"] < 0})
 
 
-def ordered(rules: Sequence[Rule], seen: list[dict]) -> list[Rule]:
-    """Rules by rejections per second, most first; unmeasured ones stay last."""
-    score = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-9) for r in seen}
-    return sorted(rules, key=lambda r: -score.get(r.name, -1.0))
+def ordered(rules: Sequence[Rule], seen: Seen) -> list[Rule]:
+    """Rules by rejections per second, most first, where a rule's rejections are those
+    among the rows that the rules before it left."""
+    left, alive, out = list(range(len(rules))), dict(seen.masks), []
+    while left:
+        def score(i: int) -> float:
+            return sum(n for m, n in alive.items() if m >> i & 1) / max(seen.seconds.get(rules[i].name, 0.0), 1e-9)
+
+        best = max(left, key=lambda i: (score(i), -i))
+        out.append(rules[best])
+        left.remove(best)
+        alive = {m: n for m, n in alive.items() if not m >> best & 1}
+    return out
 
 
 def quality_filter(docs: DataFrame, rules: Sequence[Rule] = (*BASE, *RULES), text: str = "text", sample_rows: int = 512) -> DataFrame:
@@ -202,7 +231,7 @@ def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "
     added = [*COUNTS, "base_failed", "kept"]
     docs, back, _ = blocks.apart(docs, text, added, keep_text=False)
     text = "text__"
-    rules = ordered(rules, estimate(docs, rules, text, sample_rows))
+    rules = ordered(rules, estimate(docs, rules, text, sample_rows, BASE))
     rest = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType(rest + [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.BooleanType()) for c in added[-2:]])
 

@@ -5,7 +5,9 @@ runs of shards of similar size (a tier is a power of FAN of the least size) and
 merges a tier that has FAN or more of them into files of the target size; merged
 files climb tiers until they reach the target. Readers see only what the last
 manifest lists, and a manifest is committed by renaming a complete file to the
-next version's name, which fails if another writer has taken it.
+next version's name, which fails if another writer has taken it (where the file
+system's rename never overwrites, as HDFS's and local ones' do not; an object store
+needs a committer that guarantees it).
 
 All work is DataFrame scans and writes. Merging needs no shuffle: the scan packs
 whole small files into splits of the target size, and each split is written as
@@ -21,7 +23,10 @@ from __future__ import annotations
 
 import json
 import math
+import re
+import time
 import uuid
+from collections.abc import Collection
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,21 +114,23 @@ class ShardStore:
     def _tier(self, shard: Shard) -> int:
         return max(0, math.floor(math.log(max(shard.bytes, 1) / self.small, FAN)) + 1)
 
-    def plan(self, shards: list[Shard]) -> list[Shard]:
+    def plan(self, shards: list[Shard], stuck: Collection[frozenset[str]] = ()) -> list[Shard]:
         """The lowest run that is due: shards of one tier, FAN at least, that are
-        below the target. None: the store is compact."""
+        below the target, and not stuck. None: the store is compact."""
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
             if 2 * s.bytes < self.target:
                 tiers.setdefault(self._tier(s), []).append(s)
-        return next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= FAN), [])
+        return next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= FAN and frozenset(s.path for s in tiers[t]) not in stuck), [])
 
     def compact(self) -> int:
-        """Merges runs of similar size until none is due; one version a merge."""
+        """Merges runs of similar size until none is due; one version a merge. A run
+        that can't become fewer files is left, and others go on."""
+        stuck: set[frozenset[str]] = set()
         while True:
             version = self.version()
             shards = self.shards(version)
-            run = self.plan(shards)
+            run = self.plan(shards, stuck)
             if not run:
                 return version
             total = sum(s.bytes for s in run)
@@ -141,20 +148,30 @@ class ShardStore:
             level, first = 1 + max(s.level for s in run), min(s.arrival for s in run)
             if len(merged) >= len(run):  # the scan can't make fewer files of them
                 self._drop(p for p, _ in merged)
-                return version
+                stuck.add(frozenset(gone))
+                continue
             self._commit(version, [s for s in shards if s.path not in gone] + [Shard(p, n, first, level) for p, n in merged])
 
-    def vacuum(self) -> None:
-        """Deletes the files that the last version doesn't list; older versions can
-        be read no more."""
-        keep = {s.path for s in self.shards()}
+    def vacuum(self, grace_seconds: float = 24 * 3600.0) -> None:
+        """Deletes the files that older versions list and the last one doesn't, and
+        their manifests; they can be read no more. Files that no version lists may be
+        another writer's, not committed yet: they go once they are older than the
+        grace time."""
+        last = self.version()
+        keep = {s.path for s in self.shards(last)}
+        old = sorted(int(s.getPath().getName()[1:-5]) for s in self._fs.listStatus(self._path("_manifests")) if re.fullmatch(r"v\d+\.json", s.getPath().getName()))
+        listed = {s.path for v in old if v < last for s in self.shards(v)}
+        before = (time.time() - grace_seconds) * 1000
         for folder in self._fs.listStatus(self._path("data")) if self._fs.exists(self._path("data")) else []:
             name = f"data/{folder.getPath().getName()}"
-            files = [s.getPath().getName() for s in self._fs.listStatus(folder.getPath())]
-            if not any(f"{name}/{f}" in keep for f in files):
+            held = self._fs.listStatus(folder.getPath())
+            gone = [s for s in held if (p := f"{name}/{s.getPath().getName()}") not in keep and (p in listed or s.getModificationTime() < before)]
+            data = [s for s in held if s.getPath().getName().endswith(".parquet")]
+            if data and all(s in gone for s in data):  # nothing else is left in it
                 self._fs.delete(folder.getPath(), True)
             else:
-                self._drop(f"{name}/{f}" for f in files if f.endswith(".parquet") and f"{name}/{f}" not in keep)
+                self._drop(f"{name}/{s.getPath().getName()}" for s in gone if s in data)
+        self._drop(f"_manifests/v{v:08d}.json" for v in old if v < last)
 
     def _drop(self, paths) -> None:
         for p in list(paths):

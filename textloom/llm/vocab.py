@@ -8,6 +8,7 @@ after another, and each distinct pre-token of a step needs one call only.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -27,11 +28,26 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: How the vocabulary's file normalises and cuts texts. The pre-tokens
+#: here stand on them, so that a file with others is refused.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 @lru_cache(maxsize=2)
 def load(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    own = json.loads(t.to_str())
+    if own["normalizer"] != _NORMALIZER or own["pre_tokenizer"] != _PRE_TOKENIZER or any(a["normalized"] or a["lstrip"] or a["rstrip"] for a in own["added_tokens"]):
+        raise ValueError(f"{path} cuts texts in another way than pre-tokens are cut here")
     t.no_truncation()
     t.no_padding()
     return t
