@@ -17,7 +17,7 @@ from textloom.functions.checks import positive
 from textloom.functions.schemas import EMOTIONS_28, EMOTIONS_6, EMOTIONS_7, EMOTIONS_DIALOGUE, MESSAGES
 from textloom.operators.chat import canonical, context_windows, default_state, message, message_digest, normalize, normalize_keep_system, turn_pairs_text, two_speakers, without_system
 from textloom.operators.corpus import dedup_first
-from textloom.operators.sampling import shuffled
+from textloom.operators.sampling import least, shuffled
 
 #: Prompt texts are the caller's; these are this library's defaults.
 RECOGNISE = "Name only the emotions that the message supports. Do not diagnose the writer."
@@ -85,6 +85,15 @@ def _zipped() -> Column:
     return F.when(F.size("speakers") == F.size("dialogue"), two_speakers(turns))
 
 
+#: Sentences of the emotion prompts.
+IDENTIFY = "Identify the emotions expressed in this message:\n"
+ANSWER = "Emotions: "
+TURN_NOTE = "\nThe user's latest turn is annotated as: "
+CONTEXT_NOTE = "\nThe conversation's annotated emotional context is: "
+CONTEXT_CAVEAT = ". Treat this as background context, not proof of the user's current mood."
+SITUATION_NOTE = "\nSituation shared in the original prompt: "
+
+
 #: Messages of a source's row, or null. Columns named messages, conversations and
 #: output are JSON strings.
 CHAT: dict[str, Callable[[], Column]] = {
@@ -148,6 +157,15 @@ def merge_emotions(sources: Sequence[tuple[str, DataFrame]], order: str, key: st
     return (placed if most is None else placed.where(F.col("pos") < most)), counts
 
 
+def emotion_records(rows: DataFrame, source: str, license: str, state: bool = True) -> DataFrame:
+    """rows of an emotion converter as records: with the default state, the source and
+    its licence, which must not be empty."""
+    if not source or not license:
+        raise ValueError("a record needs its source and licence")
+    out = rows.withColumns({"dataset_source": F.lit(source), "dataset_license": F.lit(license)})
+    return out.withColumn("state", default_state()) if state else out
+
+
 def label_name(label: Column, labels: tuple[str, ...]) -> Column:
     """A label's name from its id or spelling (given as text); null if unknown."""
     names = F.array(*map(F.lit, labels))
@@ -165,8 +183,8 @@ def recognition(rows: DataFrame, text: str = "text", labels: str = "labels", ins
     out = out.where((F.size("emotion_labels") > 0) & (F.col(text) != ""))
     return out.withColumn("messages", F.array(
         message(F.lit("system"), F.lit(instruction)),
-        message(F.lit("user"), F.concat(F.lit("Identify the emotions expressed in this message:\n"), F.col(text))),
-        message(F.lit("assistant"), F.concat(F.lit("Emotions: "), F.array_join("emotion_labels", ", "))),
+        message(F.lit("user"), F.concat(F.lit(IDENTIFY), F.col(text))),
+        message(F.lit("assistant"), F.concat(F.lit(ANSWER), F.array_join("emotion_labels", ", "))),
     ))
 
 
@@ -184,7 +202,7 @@ def paired_emotions(rows: DataFrame, key: str, dialog: str = "dialog", emotion:
     label = F.when(label == "no emotion", "neutral").otherwise(label)
     return out.withColumn("label__", label).select(
         key, "at", F.when(F.col("label__") == "neutral", F.array().cast("array<string>")).otherwise(F.array("label__")).alias("emotion_labels"),
-        F.concat(F.array(message(F.lit("system"), F.concat(F.lit(instruction + "\nThe user's latest turn is annotated as: "), F.col("label__"), F.lit(".")))), _pair(F.col("user__"), F.col("reply__"))).alias("messages"),
+        F.concat(F.array(message(F.lit("system"), F.concat(F.lit(instruction + TURN_NOTE), F.col("label__"), F.lit(".")))), _pair(F.col("user__"), F.col("reply__"))).alias("messages"),
     )
 
 
@@ -206,9 +224,9 @@ def listener_replies(rows: DataFrame, instruction: str = RESPOND, back: int = 3)
     pick = lambda f: F.when(before[f] != "", before[f]).otherwise(first[f])
     emotion = F.when(pick("context") != "", pick("context")).otherwise("unspecified")
     system = F.concat(
-        F.lit(instruction + "\nThe conversation's annotated emotional context is: "), emotion,
-        F.lit(". Treat this as background context, not proof of the user's current mood."),
-        F.when(pick("prompt") != "", F.concat(F.lit("\nSituation shared in the original prompt: "), X.bounded(pick("prompt")))).otherwise(""),
+        F.lit(instruction + CONTEXT_NOTE), emotion,
+        F.lit(CONTEXT_CAVEAT),
+        F.when(pick("prompt") != "", F.concat(F.lit(SITUATION_NOTE), X.bounded(pick("prompt")))).otherwise(""),
     )
     said = F.transform(F.slice("t", F.col("start") + 1, F.col("at") - F.col("start") + 1), lambda u: message(F.when(u["speaker"] == F.get("t", F.lit(0))["speaker"], "user").otherwise("assistant"), u["utterance"]))
     return turns.select(
@@ -258,7 +276,7 @@ def chat_wave(sources: Mapping[str, DataFrame], provenance: Mapping[str, Mapping
         found = convert_chat(name, rows, provenance[name]).withColumns({"source_index": F.lit(i), "bucket": F.lit(provenance[name].get("bucket", "approved"))})
         placed = shuffled(found, key, seed + i, "rank__").withColumn("digest__", message_digest(F.col("messages")))
         unique = dedup_first(placed, F.col("digest__"), "rank__")
-        few = unique.orderBy("rank__").limit(most)
+        few = least(unique, "rank__", most)
         parts.append(few.select("source_index", "rank__", "dataset_source", "dataset_license", "dataset_repository", "dataset_split", "bucket", F.col(key).cast("string").alias("source_id"), "state", "messages"))
     both = parts[0]
     for part in parts[1:]:

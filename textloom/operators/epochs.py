@@ -14,10 +14,11 @@ import hashlib
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.checks import positive
+from textloom.functions.text import seeded
 from textloom.operators.order import LOOKUP, position
 from textloom.sources import scratch
 
@@ -99,6 +100,12 @@ class Order:
         """The number of the row at a place."""
         return self._walked(F.col(place) if isinstance(place, str) else place, True)
 
+    def place_of(self, number: int) -> int:
+        while True:
+            number = self._through(number, False)
+            if number < self.n:
+                return number
+
     def number_at(self, place: int) -> int:
         while True:
             place = self._through(place, True)
@@ -136,6 +143,25 @@ def batches(rows: DataFrame, order: Order, batch: int, first: int, count: int =
     return epoch_places(kept, order, batch, number)
 
 
+def buffered(df: DataFrame, order: str, key: str, seed: int, buffer: int, name: str = "pos") -> DataFrame:
+    """df with its places in a shuffle by buffers: runs of `buffer` rows in the order of
+    a numeric column come in a seeded order, and the rows of a run in one of their own.
+    No row moves further than its run's shuffle, and nothing is sorted as a whole."""
+    positive(buffer=buffer)
+    rows, n = numbered(df, order, "number__")
+    if not n:
+        return df.withColumn(name, F.lit(None).cast("long"))
+    runs = -(-n // buffer)
+    runs_order = Order(runs, seed)
+    run = F.floor(F.col("number__") / buffer).cast("long")
+    inside = F.row_number().over(Window.partitionBy("run__").orderBy(seeded(seed, key), "number__")) - 1
+    placed = rows.withColumn("run__", run).withColumn("at__", runs_order.place("run__")).withColumn("inside__", inside)
+    # the last run may be short: what comes behind it moves up
+    last = runs_order.place_of(runs - 1)
+    short = F.when(F.col("at__") > last, runs * buffer - n).otherwise(0)
+    return placed.withColumn(name, F.col("at__") * buffer + F.col("inside__") - short).drop("number__", "run__", "at__", "inside__")
+
+
 def stage(rows: DataFrame, order: Order, batch: int, index: int, fraction: float, number: str = "number") -> DataFrame:
     """The rows of one stage of an epoch that runs in stages of a fraction of its batches."""
     positive(batch=batch, fraction=fraction)

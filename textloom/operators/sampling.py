@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textloom.functions.checks import positive, shares
 from textloom.functions.text import seeded, uniform
 from textloom.operators.corpus import balanced_quota
-from textloom.operators.order import hash_order, position, running_total
+from textloom.operators.order import hash_order, position, totals
 
 
 def shuffled(df: DataFrame, key: str, seed: int, name: str = "pos") -> DataFrame:
@@ -23,10 +23,61 @@ def shuffled(df: DataFrame, key: str, seed: int, name: str = "pos") -> DataFrame
     return position(df.withColumn("order__", hash_order(seeded(seed, key))), "order__", name).drop("order__")
 
 
+#: Rows of a sample that may pass one task.
+TOP = 10_000
+#: Bits of a hash that one histogram tells apart.
+BAR_BITS = 14
+
+
 def sample(df: DataFrame, key: str, seed: int, size: int) -> DataFrame:
-    """`size` rows without replacement: the least in a seeded order (a top-k, of
-    which every task keeps its own `size` least only)."""
-    return df.withColumn("order__", seeded(seed, key)).orderBy("order__").limit(size).drop("order__")
+    """`size` rows without replacement: the least in a seeded order. A small sample is
+    a top-k; of a larger one the greatest hash is found first, so that it is a filter."""
+    if size <= TOP:
+        return df.withColumn("order__", seeded(seed, key)).orderBy("order__").limit(size).drop("order__")
+    limit = threshold(df.select(seeded(seed, key).alias("hash__")), "hash__", size)
+    if limit is None:
+        return df
+    last, more, ties = limit
+    mine = seeded(seed, key)
+    if more == ties:
+        return df.where(mine <= F.lit(last))
+    # rows that share their key: as many as are left
+    return df.where(mine < F.lit(last)).unionByName(df.where(mine == F.lit(last)).limit(more))
+
+
+def threshold(hashes: DataFrame, column: str, size: int) -> tuple[str, int, int] | None:
+    """(hash, how many of its rows belong to the sample, how many it has): the hash (hex,
+    evenly spread) that the `size`-th least row has; None if there are no more rows than
+    that. Histograms of BAR_BITS bits each narrow the range until a top-k of what is in
+    it is small; only bars reach the driver."""
+    number = F.conv(F.substring(column, 1, 15), 16, 10).cast("long")
+    shift, left, rows = 60, size, hashes
+    low = 0  # the range is [low, low + 2 ** shift)
+    while True:
+        step = max(0, shift - BAR_BITS)
+        bars = rows.groupBy(F.shiftright(number - F.lit(low), step).alias("bar")).agg(F.count("*").alias("n")).collect()
+        if shift == 60 and sum(r["n"] for r in bars) <= size:
+            return None
+        for r in sorted(bars, key=lambda r: r["bar"]):
+            if r["n"] >= left:
+                break
+            left -= r["n"]
+        low, shift = low + (r["bar"] << step), step
+        rows = rows.where(number.between(low, low + (1 << shift) - 1))
+        if left <= TOP or shift == 0:
+            break
+    found = rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(column).limit(min(left, TOP)).collect()
+    for r in found:  # keys are distinct as a rule: a row each
+        if r["n"] >= left:
+            return r[column], left, r["n"]
+        left -= r["n"]
+    raise ValueError("more than TOP hashes share 60 bits")
+
+
+def least(df: DataFrame, order: str, size: int) -> DataFrame:
+    """The `size` rows that come first in a numeric column without ties; no task sees
+    more of them than its range's."""
+    return totals(df, F.lit(1).cast("long"), order).until(df, size).drop("room__")
 
 
 def page_sample(df: DataFrame, order: str, seed: int, limit: int, page_rows: int = 100, fewest_pages: int = 20) -> DataFrame:
@@ -38,7 +89,7 @@ def page_sample(df: DataFrame, order: str, seed: int, limit: int, page_rows: int
     ranked = paged.select("page").distinct().withColumn("order__", seeded(seed, "page")).orderBy("order__").limit(pages)
     nth = ranked.withColumn("nth__", F.row_number().over(Window.orderBy("order__")) - 1).drop("order__")  # `pages` rows
     near = paged.join(F.broadcast(nth), "page").withColumn("rank__", F.col("nth__") * page_rows + F.col("ord__") % page_rows)
-    return near.orderBy("rank__").limit(limit).drop("ord__", "nth__", "rank__")
+    return least(near, "rank__", limit).drop("ord__", "nth__", "rank__")
 
 
 def full_page_sample(df: DataFrame, order: str, seed: int, limit: int, **pages: int) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.operators import corpus as C
 from textloom.operators.order import position
-from textloom.plans.registry import query
+from textloom.plans.registry import query, sql_of
 from textloom.sources import scratch
+from textloom.streaming import counters
 
 #: Targets of the budget queries, in characters.
 BUDGET, STRATUM_BUDGET = 500_000, 20_000
@@ -106,6 +107,22 @@ def reject_reason_counts(spark, sf):
     return _classified(spark, sf).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query(sql_of("reject_reason_counts"))
+def stream_reason_counts(spark, sf):
+    """The same counts from a stream of the documents in several batches."""
+    labels = table(spark, sf, "labels")
+    dups = C.duplicate_ids(labels.where("toxic = 1")).select(F.col("id").cast("long").alias("dup__"))
+    signals = labels.select(F.col("doc_id").alias("signal__")).distinct()
+    at = scratch.folder(spark)
+    docs(spark, sf).repartition(4).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(docs(spark, sf).schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    d = C.quality_signals(stream).join(signals, F.col("doc_id") == F.col("signal__"), "left").join(dups, F.col("doc_id") == F.col("dup__"), "left")
+    checks = [("duplicate_ids", F.col("dup__").isNotNull()), ("missing_signals", F.col("signal__").isNull()), ("quality_rejected", ~C.rules_pass(*map(F.col, _RULE)))]
+    ledger = counters.Ledger(spark, f"{at}/ledger")
+    counters.run(d, ledger, f"{at}/checkpoint", checks, C.text_digest("text"), "doc_id", ["source"]).awaitTermination()
+    return counters.reasons(ledger)
+
+
 @query("SELECT doc_id FROM documents WHERE lower(trim(lang)) IN ('english', 'en')")
 def lang_filter(spark, sf):
     return docs(spark, sf).where(C.english("lang")).select("doc_id")

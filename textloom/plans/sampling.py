@@ -25,6 +25,13 @@ def topk_sample(spark, sf):
     return S.sample(docs(spark, sf).select("doc_id"), "doc_id", 11, 100)
 
 
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY md5('21-' || event_id)) AS k, count(*) OVER () AS n FROM events) WHERE k <= n // 2")
+def half_sample(spark, sf):
+    """A sample that is too large for one task: a filter by the greatest hash in it."""
+    e = table(spark, sf, "events").select("event_id")
+    return S.sample(e, "event_id", 21, e.count() // 2)
+
+
 @query("""
 WITH o AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS ord FROM events),
 p AS (SELECT page, row_number() OVER (ORDER BY md5('5-' || page)) - 1 AS nth FROM (SELECT DISTINCT (ord // 100)::BIGINT AS page FROM o)),
@@ -63,14 +70,17 @@ def stage_slice(spark, sf):
     return S.stage_slice(b, total, 3, 0.125)
 
 
-def _keyed(seed: int, epoch: int) -> str:
-    """SQL of (doc_id, place): the rounds of an order over the documents' numbers."""
+_NUMBERS = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents"
+
+
+def _keyed(seed: int, epoch: int, numbers: str = _NUMBERS) -> str:
+    """SQL of (doc_id, place): the rounds of an order over rows' numbers."""
     step = "SELECT doc_id, k, n, a, b, x // b AS d0, x % b AS d1 FROM w, c WHERE k = 0 OR x >= n"
     for r, (m, add, m2) in enumerate(E.Order(1, seed, epoch).keys):
         own, other, size = ("d0", "d1", "a") if r % 2 == 0 else ("d1", "d0", "b")
         mixed = f"(({other} * {m} + {add}) % {E.PRIME})"
         step = f"SELECT * REPLACE (({own} + ({mixed} * {m2} % {E.SECOND}) % {size}) % {size} AS {own}) FROM ({step})"
-    return f"""WITH RECURSIVE o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents),
+    return f"""WITH RECURSIVE o AS ({numbers}),
 c AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM o)),
 w AS (SELECT doc_id, number::BIGINT AS x, 0 AS k FROM o UNION ALL SELECT doc_id, d0 * b + d1, k + 1 FROM ({step})),
 p AS (SELECT doc_id, x AS place FROM w, c WHERE k > 0 AND x < n)"""
@@ -90,6 +100,17 @@ def keyed_batches(spark, sf):
     return E.batches(rows, E.Order(n, 7, 3), 32, 2, 3).select("doc_id", "batch", "place")
 
 
+_RUNS = f"SELECT DISTINCT number // 64 AS doc_id, number // 64 AS number FROM ({_NUMBERS})"
+
+
+@query(f"""{_keyed(3, 0, _RUNS)}, i AS (SELECT doc_id, number // 64 AS run, row_number() OVER (PARTITION BY number // 64 ORDER BY md5('3-' || doc_id)) - 1 AS inside, count(*) OVER () AS total FROM ({_NUMBERS})),
+l AS (SELECT place AS last FROM p, c WHERE p.doc_id = c.n - 1)
+SELECT i.doc_id, p.place * 64 + inside - CASE WHEN p.place > last THEN (total + 63) // 64 * 64 - total ELSE 0 END AS pos FROM i JOIN p ON p.doc_id = i.run, l""")
+def buffered_shuffle(spark, sf):
+    """Runs of 64 documents in a seeded order, shuffled inside."""
+    return E.buffered(docs(spark, sf).select("doc_id"), "doc_id", "doc_id", 3, 64)
+
+
 @query(f"{_keyed(8, 0)}, s AS (SELECT greatest(1, ceil(((n + 31) // 32) * 0.125))::BIGINT AS size FROM c) SELECT doc_id, place // 32 AS batch FROM p, s WHERE place // 32 >= 3 * size AND place // 32 < 4 * size")
 def keyed_stage(spark, sf):
     rows, n = E.numbered(docs(spark, sf).select("doc_id"), "doc_id")
