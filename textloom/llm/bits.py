@@ -225,4 +225,4 @@ def meet(dealt: DataFrame, lanes: int, radius: int) -> DataFrame:
         cell = F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
         met = met.select(cell.alias("cell"), "node", "fp")
     parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return met.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
+    return met.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(blocks.frugal(compare), "a long, b long")

@@ -9,6 +9,7 @@ in Python.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import shutil
@@ -146,6 +147,22 @@ def about(df: DataFrame, rows: int) -> DataFrame:
     return df.where(F.pmod(key, F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives the memory that it has free back to the system:
+    it may wait for further tasks for long, beside others that wait."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def quoted(name: str) -> Column:
     """A column by its name, whatever is in it."""
     return F.col("`" + name.replace("`", "``") + "`")

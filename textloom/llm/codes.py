@@ -174,7 +174,7 @@ def _assigned(state: DataFrame, steps: list[Step], carried: list[T.StructField],
                 entries[:, p], made[:, 2 * p], made[:, 2 * p + 1], _ = assign(x, step, None if old is None else old[:, p], bounds[:, 2 * p].copy(), bounds[:, 2 * p + 1].copy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c.name) for c in carried), _blob(v), _blob(entries), _blob(made)], schema.names)
 
-    return state.mapInArrow(run, schema)
+    return state.mapInArrow(blocks.frugal(run), schema)
 
 
 def _moved(state: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
@@ -194,7 +194,7 @@ def _moved(state: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
             lists = pa.FixedSizeListArray.from_arrays(pa.array(sums[have].ravel()), width).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(n[have]), lists], ["slot", "n", "sums"])
 
-    parted = state.select("v__", "entry__").mapInArrow(run, "slot long, n long, sums array<long>")
+    parted = state.select("v__", "entry__").mapInArrow(blocks.frugal(run), "slot long, n long, sums array<long>")
     total = parted.groupBy("slot").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(width))).alias("sums")).collect()
     out = [b.copy() for b in books]
     for r in total:
@@ -222,7 +222,7 @@ def _coded(state: DataFrame, books: list[np.ndarray], carried: list[T.StructFiel
                 code = np.char.add(code, names[e[:, p]])
             yield pa.RecordBatch.from_arrays([*(batch.column(c.name) for c in carried), pa.array(code.tolist(), pa.string()), pa.array(error)], schema.names)
 
-    return state.mapInArrow(run, schema)
+    return state.mapInArrow(blocks.frugal(run), schema)
 
 
 def _label_errors(rows: DataFrame, label: str, n: int) -> DataFrame:

@@ -179,7 +179,7 @@ def _rank(docs: DataFrame, text: str, shared) -> Counter:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["shingle", "n"])
 
-    sums = docs.select(text).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    sums = docs.select(text).mapInArrow(blocks.frugal(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     return Counter({r.shingle: r.n for r in sums.toLocalIterator()})
 
 
@@ -259,7 +259,7 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     chain = shared or [None]
     for i, block in enumerate(chain):
         last = i == len(chain) - 1
-        out = out.mapInArrow(step(block, last), closed if last else carried)
+        out = out.mapInArrow(blocks.frugal(step(block, last)), closed if last else carried)
     return back(out, *added.names)
 
 

@@ -95,7 +95,7 @@ def summed(docs: DataFrame, text: str, tokens: Callable, table: DataFrame, value
                 )
                 row += part.num_rows
 
-    parts = blocks.stored(docs.select(*(f"`{f.name}`" for f in carried), f"`{text}`").mapInArrow(look_up, schema))
+    parts = blocks.stored(docs.select(*(f"`{f.name}`" for f in carried), f"`{text}`").mapInArrow(blocks.frugal(look_up), schema))
     rare = parts.select("row__", F.explode("rare__").alias("r")).select("row__", "r.token", "r.times")
     tail = rare.join(table.select("token", *names), "token").groupBy("row__").agg(*(F.sum(F.col(c) * F.col("times")).alias(f"{c}__") for c in names))
     out = parts.drop("rare__").join(tail, "row__", "left")

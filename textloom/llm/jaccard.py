@@ -132,7 +132,7 @@ def rarity(texts: DataFrame, n: int) -> np.ndarray:
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["slot", "n"])
 
-    counted = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = texts.mapInArrow(blocks.frugal(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(slots, np.int64)
     table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
     return table
@@ -163,7 +163,7 @@ def prefixes(texts: DataFrame, similarity: Fraction, n: int, slots: np.ndarray,
                     at = row[lo : lo + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(rarest[lo : lo + (1 << 16)]), part.column("node").take(pa.array(at)), pa.array(size[at], pa.int32())], ["shingle", "node", "size"])
 
-    return texts.mapInArrow(run, "shingle long, node long, size int")
+    return texts.mapInArrow(blocks.frugal(run), "shingle long, node long, size int")
 
 
 def fingerprints(texts: DataFrame, n: int) -> DataFrame:
@@ -178,7 +178,7 @@ def fingerprints(texts: DataFrame, n: int) -> DataFrame:
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * LANES), len(fps), [None, pa.py_buffer(fps.astype(">u8"))])
                 yield pa.RecordBatch.from_arrays([part.column("node"), raw.cast(pa.binary())], ["node", "fp"])
 
-    return blocks.stored(texts.mapInArrow(run, "node long, fp binary").dropDuplicates(["node"]))
+    return blocks.stored(texts.mapInArrow(blocks.frugal(run), "node long, fp binary").dropDuplicates(["node"]))
 
 
 def together(h: np.ndarray, ends: np.ndarray, similarity: Fraction) -> np.ndarray:
@@ -259,7 +259,7 @@ def linked(cells: DataFrame, similarity: Fraction, n: int) -> DataFrame:
             yield compare(pa.Table.from_batches(held))
 
     parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(blocks.frugal(run), "a long, b long")
 
 
 def meeting(texts: DataFrame, similarity: Fraction, n: int) -> DataFrame:

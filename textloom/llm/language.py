@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_row
     label_, text_ = blocks.quoted(label), blocks.quoted(text)
     chosen = blocks.about(labelled.where(label_.isNotNull() & text_.isNotNull()), sample_rows).select(text_.alias("text"), label_.cast("string").alias("label"))
     chosen = blocks.cut(chosen)
-    sums = chosen.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    sums = chosen.mapInArrow(blocks.frugal(count), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(sums.column("lang").to_pylist()))
     n = np.full((SLOTS, len(names)), 0.5)
     if names:
@@ -119,7 +119,7 @@ def text_evidence(pages: DataFrame, names: list[str], logs: np.ndarray, html: st
                     schema.names,
                 )
 
-    return pages.select(*(f.name for f in rest), html).mapInArrow(run, schema)
+    return pages.select(*(f.name for f in rest), html).mapInArrow(blocks.frugal(run), schema)
 
 
 def _argmax(scores: Column, names: list[str]) -> Column:

@@ -112,7 +112,7 @@ def pack(docs: DataFrame, text: str = "text", path: str | None = None, capacity:
         if held:
             yield from close()
 
-    pieces = blocks.cut(docs.select(*(f.name for f in rest), text).mapInArrow(local, schema))
+    pieces = blocks.cut(docs.select(*(f.name for f in rest), text).mapInArrow(blocks.frugal(local), schema))
     open_bins = blocks.cut(pieces.where("open__").groupBy("bin__").agg(F.sum("length").alias("fill")).withColumn("now", F.col("bin__")))
     n = open_bins.count()
     while n > 1:
@@ -146,7 +146,7 @@ def _level(bins: DataFrame, groups: int, capacity: int) -> DataFrame:
         filled = np.bincount(found, weights=sizes).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least[found]), pa.array(filled[found])], ["now", "into", "filled"])
 
-    return bins.select("now", "fill").repartition(groups, "now").mapInArrow(merge, "now long, into long, filled long")
+    return bins.select("now", "fill").repartition(groups, "now").mapInArrow(blocks.frugal(merge), "now long, into long, filled long")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_
                     ["rule", "mask", "seconds", "n"],
                 )
 
-    made = blocks.about(docs, sample_rows).select(text).mapInArrow(measure, "rule int, mask long, seconds double, n long")
+    made = blocks.about(docs, sample_rows).select(text).mapInArrow(blocks.frugal(measure), "rule int, mask long, seconds double, n long")
     sums = made.groupBy("rule", "mask").agg(F.sum("seconds").alias("seconds"), F.sum("n").alias("n")).collect()
     return Seen({rules[r["rule"]].name: r["seconds"] for r in sums if r["rule"] >= 0}, {r["mask"]: r["n"] for r in sums if r["rule"] < 0})
 
@@ -218,7 +218,7 @@ def quality_filter(docs: DataFrame, rules: Sequence[Rule] = (*BASE, *RULES), tex
             for part in blocks.steps(batch, text):
                 yield part.filter(pa.array(passes(Facts(part.column(text)), rules)))
 
-    return back(docs.mapInArrow(keep, docs.schema))
+    return back(docs.mapInArrow(blocks.frugal(keep), docs.schema))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -252,7 +252,7 @@ def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "
                     schema.names,
                 )
 
-    return back(docs.select(*(f.name for f in rest), text).mapInArrow(report, schema), *added)
+    return back(docs.select(*(f.name for f in rest), text).mapInArrow(blocks.frugal(report), schema), *added)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def links(nodes: DataFrame, lanes: int, radius: int, tables: list[np.ndarray]) -
                     key = blocks.mix(key) & np.uint64((1 << 48) - 1) | np.uint64(t << 48)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0), part.column(1)], ["bucket", "node", "fp"])
 
-    dealt = nodes.mapInArrow(deal, "bucket long, node long, fp binary")
+    dealt = nodes.mapInArrow(blocks.frugal(deal), "bucket long, node long, fp binary")
     return bits.meet(dealt, lanes, radius)
 
 
@@ -93,7 +93,7 @@ def _fingerprinted(docs: DataFrame, columns: tuple[str, ...], text: str, shingle
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * lanes), len(fps), [None, pa.py_buffer(fps.astype(">u8"))])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), raw.cast(pa.binary())], schema.names)
 
-    return docs.select(*columns, text).mapInArrow(run, schema)
+    return docs.select(*columns, text).mapInArrow(blocks.frugal(run), schema)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, lanes: int = 1, radius: int = 4) -> DataFrame:

@@ -147,7 +147,7 @@ def _hot_grams(docs: DataFrame, text: str) -> np.ndarray:
         some = np.flatnonzero(n >= max(least, total // (2 * HOT_SHARE)))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], total))], ["k", "n"])
 
-    sums = docs.select(text).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    sums = docs.select(text).mapInArrow(blocks.frugal(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     return _frequent(sums, "k < 0", np.zeros(SLOTS, bool))
 
 
@@ -180,7 +180,7 @@ def _hot_blocks(docs: DataFrame, text: str, hot) -> np.ndarray:
         whole = np.append(np.zeros(keep.sum(), bool), True)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[keep], 0)), pa.array(np.append(n[keep], total)), pa.array(whole)], ["k", "n", "whole"])
 
-    sums = docs.select(text).mapInArrow(count, "k long, n long, whole boolean").groupBy("k", "whole").agg(F.sum("n").alias("n"))
+    sums = docs.select(text).mapInArrow(blocks.frugal(count), "k long, n long, whole boolean").groupBy("k", "whole").agg(F.sum("n").alias("n"))
     return _frequent(sums, "whole", None)
 
 
@@ -224,7 +224,7 @@ def _known(docs: DataFrame, text: str, key: str, hot, copies) -> DataFrame:
                     ["anchor", "digest", "key", "at", "many"],
                 )
 
-    rows = docs.select(text, key).mapInArrow(found, "anchor long, digest long, key long, at int, many boolean")
+    rows = docs.select(text, key).mapInArrow(blocks.frugal(found), "anchor long, digest long, key long, at int, many boolean")
     group = Window.partitionBy("anchor")
     order = group.orderBy("digest", "key", "at")
     rows = rows.withColumns({
@@ -310,7 +310,7 @@ def _factored(refs: DataFrame) -> DataFrame:
 
     parts = max(int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = refs.repartition(parts, "anchor").sortWithinPartitions("anchor", "digest")
-    return dealt.mapInArrow(run, "key long, at int, digest long, mask long")
+    return dealt.mapInArrow(blocks.frugal(run), "key long, at int, digest long, mask long")
 
 
 def _by_window(refs: DataFrame) -> DataFrame:
@@ -328,7 +328,7 @@ def _by_window(refs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*taken, pa.array(windows - w.ends[row], pa.int32()), pa.array(made, pa.binary())], ["anchor", "digest", "key", "at", "edge", "j", "window"])
 
     refs = refs.dropDuplicates(["anchor", "digest"]).drop("lead")
-    windows = refs.mapInArrow(run, "anchor long, digest long, key long, at int, edge boolean, j int, window binary")
+    windows = refs.mapInArrow(blocks.frugal(run), "anchor long, digest long, key long, at int, edge boolean, j int, window binary")
     again = blocks.cut(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     hits = windows.where("edge").join(again, ["anchor", "window"], "left_semi")
     return hits.groupBy("key", "at", "digest").agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask"))
@@ -449,7 +449,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", counts: bool = False) -
                     schema.names,
                 )
 
-    settled = blocks.stored(docs.join(lists, "key__", "left").mapInArrow(settle, schema))
+    settled = blocks.stored(docs.join(lists, "key__", "left").mapInArrow(blocks.frugal(settle), schema))
     refs = settled.select(F.col("key__").alias("key"), F.explode("refs__").alias("r")).select("key", "r.*")
     masks = _factored(refs.where("NOT big").drop("big"))
     if not refs.where("big").isEmpty():
@@ -478,7 +478,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", counts: bool = False) -
     names = [c.name for c in carried]
     edges = F.transform(F.filter("refs__", lambda x: x["edge"]), lambda x: F.struct(x["at"].alias("at"), x["digest"].alias("digest")))
     left = settled.where("z__ IS NOT NULL").select(*names, "key__", "z__", "whole__", edges.alias("edges__"))
-    late = left.join(masks, "key__", "left").select(*names, "z__", "whole__", "edges__", "masks__").mapInArrow(finish, closed)
+    late = left.join(masks, "key__", "left").select(*names, "z__", "whole__", "edges__", "masks__").mapInArrow(blocks.frugal(finish), closed)
     out = settled.where("z__ IS NULL").select(*names, "m__").unionByName(late)
     out = out.select(*blocks.restored(rest, carried), *(F.col(f"m__.`{n}`").alias(n) for n in added.names))
     return out if counts else out.select(*(f"`{c}`" for c in order))

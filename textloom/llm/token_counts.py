@@ -47,10 +47,10 @@ def piece_table(docs: DataFrame, text: str, path: str) -> DataFrame:
             texts = [w if w is not None else t for t, w in zip(batch.column("token").to_pylist(), batch.column("whole").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("n"), pa.array(vocab.pieces_of(texts, path))], ["token", "n", "pieces"])
 
-    found = docs.select(text).mapInArrow(distinct, "token binary, whole binary, n long")
+    found = docs.select(text).mapInArrow(blocks.frugal(distinct), "token binary, whole binary, n long")
     # few tokens are long; a shorter one is its own whole
     found = found.groupBy("token").agg(F.sum("n").alias("n"), F.max("whole").alias("whole"))
-    return blocks.stored(found.select("token", "whole", "n").mapInArrow(count, "token binary, n long, pieces long"))
+    return blocks.stored(found.select("token", "whole", "n").mapInArrow(blocks.frugal(count), "token binary, n long, pieces long"))
 
 
 def token_counts(docs: DataFrame, text: str = "text", path: str | None = None, limit: int = 2048) -> DataFrame:
