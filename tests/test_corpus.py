@@ -210,3 +210,32 @@ def test_ratio_draws(spark):
     assert out.select("k").distinct().count() > 55
     with pytest.raises(ValueError):
         S.source_ratios({"b": 1.0}, "a")
+
+
+def scans(df, name="documents.parquet"):
+    return df._jdf.queryExecution().executedPlan().toString().count(name)
+
+
+def test_rows_are_read_once(spark):
+    """Totals come from slim tables: the plan of the rows reads its input once, and a
+    budget doesn't shuffle it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert scans(C.round_robin(docs, ["src0", "src1"], "doc_id")) == 1
+    assert scans(C.dedup_first(docs, C.text_digest("text"), "doc_id", ["source"])) == 1
+    cut = C.char_budget(docs, 20_000, "doc_id")
+    assert scans(cut) == 1 and "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), LessThanOrEqual(doc_id" in cut._jdf.queryExecution().executedPlan().toString()
+    assert scans(C.char_budget(docs, 2_000, "doc_id", strata=["source"])) == 1
+
+
+def test_ends_of_totals(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (2, 0, "a"), (3, 5, "a"), (4, 1, "b"), (5, 7, None)], "o long, v long, s string")
+    from textloom.operators import order
+
+    t = order.totals(df, "v", "o", rows_per_range=2)
+    for target, want in ((1, (1, 5, 1)), (5, (1, 5, 5)), (6, (3, 5, 1)), (18, (5, 7, 7))):
+        assert tuple(t.ends(F.lit(target)).first()) == want
+    assert t.ends(F.lit(19)).first() is None and t.sums().first()["total__"] == 18
+    t = order.totals(df, "v", "o", ["s"], rows_per_range=2)
+    assert sorted(map(tuple, t.ends(F.lit(6)).collect()), key=str) == [("a", 3, 5, 1), (None, 5, 7, 6)]
+    assert sorted((r.o, r.room__) for r in t.until(df, 6).collect()) == [(1, None), (2, None), (3, 1), (4, None), (5, 6)]

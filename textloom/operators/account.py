@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 from textloom.functions.checks import positive
 
 
-def learning_rates(spark: SparkSession, base: float, total: int, warmup: float = 0.03, floor: float = 0.1) -> DataFrame:
-    """(step, rate): linear warm-up, then a cosine down to a share of the base."""
+def learning_rate(step: Column, base: float, total: int, warmup: float = 0.03, floor: float = 0.1) -> Column:
+    """The rate of a step (0..total-1): linear warm-up, then a cosine down to a share of
+    the base."""
     if base <= 0 or total < 1 or not 0 <= warmup < 1 or not 0 <= floor <= 1:
         raise ValueError("base and total must be positive, warmup in [0, 1), floor in [0, 1]")
-    step = F.col("step")
     warm = max(1, int(total * warmup)) if warmup > 0 else 0
     decay = max(1, total - warm)
     progress = F.least(F.lit(1.0), F.greatest(step - warm, F.lit(0)) / F.lit(float(max(1, decay - 1))))
     cosine = F.lit(base) * (F.lit(floor) + F.lit(1 - floor) * F.lit(0.5) * (F.lit(1.0) + F.cos(F.lit(math.pi) * progress)))
-    rate = F.lit(float(base)) if total == 1 else F.when(step < warm, F.lit(base) * (step + 1) / F.lit(float(max(warm, 1)))).otherwise(cosine)
-    return spark.range(total).select(F.col("id").alias("step"), rate.alias("rate"))
+    return F.lit(float(base)) if total == 1 else F.when(step < warm, F.lit(base) * (step + 1) / F.lit(float(max(warm, 1)))).otherwise(cosine)
+
+
+def learning_rates(spark: SparkSession, base: float, total: int, warmup: float = 0.03, floor: float = 0.1) -> DataFrame:
+    """(step, rate) of all steps."""
+    return spark.range(total).select(F.col("id").alias("step"), learning_rate(F.col("id"), base, total, warmup, floor).alias("rate"))
 
 
 def tokens_per_parameter(windows: Column, length: int, epochs: int, parameters: int) -> Column:
@@ -82,14 +86,18 @@ def progress(done: Column, target: Column, seconds: Column) -> Column:
     return F.struct((F.lit(100.0) * done / target).alias("percent"), rate.alias("rate"), F.when(rate > 0, F.greatest(target - done, F.lit(0)) / rate).alias("eta"))
 
 
-def merge_statistics(first: DataFrame, second: DataFrame, kept_first: int, kept_second: int, digest: Column) -> DataFrame:
-    """One row: rows available, duplicates removed, rows selected."""
+def merge_statistics(first: DataFrame, second: DataFrame, selected: DataFrame, digest: Column) -> DataFrame:
+    """One row: rows available, duplicates removed, and rows selected of both tables, as
+    the merged rows (with their side, 0 or 1) have them."""
     both = first.select(F.lit(0).alias("side"), digest.alias("d")).unionByName(second.select(F.lit(1).alias("side"), digest.alias("d")))
     least = both.groupBy("d").agg(F.min("side").alias("side"), F.count("*").alias("n"))
-    return least.agg(
+    # one row on each side
+    taken = selected.agg(F.count_if(F.col("side") == 0).alias("selected_first"), F.count_if(F.col("side") == 1).alias("selected_second"))
+    stats = least.agg(
         F.count_if(F.col("side") == 0).alias("available_first"), F.count_if(F.col("side") == 1).alias("available_second"),
         (F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).alias("duplicates"),
-    ).withColumns({"selected_first": F.lit(kept_first), "selected_second": F.lit(kept_second)})
+    )
+    return stats.crossJoin(F.broadcast(taken))
 
 
 def beats_uniform(loss: Column, vocabulary: int) -> Column:

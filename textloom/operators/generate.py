@@ -25,13 +25,20 @@ def capitalized(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(c.substr(F.lit(2), F.length(c))))
 
 
-def sentences(spark: SparkSession, n: int, seed: int, templates: Sequence[str], slots: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(i, text): template i modulo their number, each {slot} filled by a choice."""
-    rows = spark.range(n).withColumnRenamed("id", "i")
-    text = F.element_at(F.array(*map(F.lit, templates)), (F.col("i") % len(templates) + 1).cast("int"))
+def sentence(row: Column, seed: int, templates: Sequence[str], slots: Mapping[str, Sequence[str]], fields: Mapping[str, Column] | None = None) -> Column:
+    """The text of a numbered row: template number row modulo their number, each {slot}
+    filled by a choice and each {field} by a column."""
+    text = F.element_at(F.array(*map(F.lit, templates)), (row % len(templates) + 1).cast("int"))
     for slot, values in slots.items():
-        text = F.replace(text, F.lit("{" + slot + "}"), choice(values, seed, F.col("i"), slot))
-    return rows.select("i", text.alias("text"))
+        text = F.replace(text, F.lit("{" + slot + "}"), choice(values, seed, row, slot))
+    for field, value in (fields or {}).items():
+        text = F.replace(text, F.lit("{" + field + "}"), F.coalesce(value, F.lit("")))
+    return text
+
+
+def sentences(spark: SparkSession, n: int, seed: int, templates: Sequence[str], slots: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(i, text) of n rows."""
+    return spark.range(n).select(F.col("id").alias("i"), sentence(F.col("id"), seed, templates, slots).alias("text"))
 
 
 def scenario_formats(scenarios: DataFrame, formats: DataFrame) -> DataFrame:

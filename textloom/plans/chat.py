@@ -12,7 +12,7 @@ from textloom.operators import corpus as C
 from textloom.operators import tokens as K
 from textloom.operators import trees
 from textloom.plans.corpus import docs, table
-from textloom.plans.registry import query
+from textloom.plans.registry import query, sql_of
 
 
 def chats(spark, sf):
@@ -149,6 +149,15 @@ def emotion_recognition(spark, sf):
     return out.select("doc_id", F.array_join("emotion_labels", ", ").alias("labels"), F.col("messages")[1]["content"].alias("asked"))
 
 
+@query(f"SELECT doc_id, labels, 'some_emotions' AS dataset_source, 'cc-by' AS dataset_license, 0.5::DOUBLE AS happiness FROM ({sql_of('emotion_recognition')})")
+def emotion_records(spark, sf):
+    """Recognition tasks as records, with the default state, source and licence."""
+    d = docs(spark, sf).select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id")
+    out = V.recognition(d.withColumn("labels", F.array(F.col("quality") + 2, F.col("toxic") * 12 + 2)))
+    out = V.emotion_records(out, "some_emotions", "cc-by")
+    return out.select("doc_id", F.array_join("emotion_labels", ", ").alias("labels"), "dataset_source", "dataset_license", F.col("state.emotions.happiness").alias("happiness"))
+
+
 _DIALOGUE = "['" + "','".join(EMOTIONS_DIALOGUE) + "']"
 
 

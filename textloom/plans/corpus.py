@@ -280,12 +280,16 @@ def source_rollup(spark, sf):
 WITH p AS (SELECT DISTINCT sha256({_STRIP}) AS d FROM benchmark), q AS (SELECT sha256({_STRIP}) AS d FROM documents),
 a AS (SELECT d, 0 AS side FROM (SELECT sha256({_STRIP}) AS d FROM benchmark) UNION ALL SELECT d, 1 FROM q),
 m AS (SELECT d, min(side) AS side, count(*) AS n FROM a GROUP BY d)
-SELECT count(*) FILTER (WHERE side = 0) AS available_first, count(*) FILTER (WHERE side = 1) AS available_second, (sum(n) - count(*))::BIGINT AS duplicates,
- 10::INTEGER AS selected_first, 30::INTEGER AS selected_second FROM m""")
+SELECT count(*) FILTER (WHERE side = 0) AS available_first, count(*) FILTER (WHERE side = 1) AS available_second, (sum(m.n) - count(*))::BIGINT AS duplicates,
+ any_value(n1.k)::BIGINT AS selected_first, any_value(least(n2.n, 60 - n1.k))::BIGINT AS selected_second
+FROM m, (SELECT count(*) AS n FROM documents) n2, (SELECT least(count(*), greatest(30, 60 - (SELECT count(*) FROM documents))) AS k FROM benchmark) n1""")
 def merge_stats(spark, sf):
+    """A balanced merge of 60 rows of both tables, in numbers."""
     from textloom.operators.account import merge_statistics
+    from textloom.operators.sampling import balanced_merge
 
-    return merge_statistics(table(spark, sf, "benchmark"), docs(spark, sf), 10, 30, C.text_digest("text"))
+    first, second = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    return merge_statistics(first, second, balanced_merge(first, second, "id", 42, 60), C.text_digest("text"))
 
 
 @query(f"""

@@ -47,6 +47,24 @@ def chat_sources(spark, sf):
     return _union(V.convert_chat(s, r).select(F.lit(s).alias("source"), "conv_id", transcript("messages").alias("transcript")) for s, r in rows.items())
 
 
+_MORE_SOURCES = {
+    "cat_v28": "chat_normalize", "wizardlm": "chat_normalize", "ultrachat": "chat_normalize", "empathetic_dialogues": "chat_normalize", "esconv": "chat_normalize",
+    "synthetic_conversations": "chat_normalize", "ultrachat_200k": "chat_keep_system", "english_daily_dialogues": "chat_two_speakers",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{s}' AS source, conv_id, transcript FROM ({sql_of(q)})" for s, q in _MORE_SOURCES.items()))
+def more_chat_sources(spark, sf):
+    """The conversations in eight more sources' spellings."""
+    c = chats(spark, sf)
+    spelled = {"cat_v28": ("role", "content"), "wizardlm": ("from", "value"), "ultrachat": ("role", "content"), "empathetic_dialogues": ("speaker", "text"),
+               "esconv": ("speaker", "content"), "synthetic_conversations": ("from", "text"), "ultrachat_200k": ("role", "content")}
+    column = {"cat_v28": "messages", "ultrachat": "messages", "ultrachat_200k": "messages"}
+    rows = {s: c.select("conv_id", _json(*keys).alias(column.get(s, "conversations"))) for s, keys in spelled.items()}
+    rows["english_daily_dialogues"] = c.select("conv_id", F.transform("messages", lambda m: F.struct(m["role"].alias("speaker"), m["content"].alias("text"))).alias("turns"))
+    return _union(V.convert_chat(s, r).select(F.lit(s).alias("source"), "conv_id", transcript("messages").alias("transcript")) for s, r in rows.items())
+
+
 _PROVENANCE = {"license": "mit", "repository": "some/where", "split": "train"}
 _LEAD = "'" + V.PROBLEM_LEAD.replace("\n", "' || chr(10) || '") + "'"
 
@@ -251,19 +269,21 @@ def batch_digest(spark, sf):
     return A.batch_digest(S.epoch_batches(docs(spark, sf).select("doc_id"), "doc_id", 7, 2, 32), 1, "doc_id")
 
 
-_TEMPLATES = ("The {thing} is {how}.", "{thing} and {how} again.")
+_TEMPLATES = ("The {thing} from {source} is {how}.", "{thing} and {how} again, says {source}.")
 _SLOTS = {"thing": ("cat", "boat", "tree"), "how": ("near", "far", "old", "new", "odd")}
 
 
 def _chosen(slot):
     values = "['" + "','".join(_SLOTS[slot]) + "']"
-    return f"{values}[floor(('0x' || substr(md5('3-{slot}-' || i), 1, 8))::BIGINT / 4294967296.0 * {len(_SLOTS[slot])})::INTEGER + 1]"
+    return f"{values}[floor(('0x' || substr(md5('3-{slot}-' || doc_id), 1, 8))::BIGINT / 4294967296.0 * {len(_SLOTS[slot])})::INTEGER + 1]"
 
 
-@query(f"""SELECT i, upper(left(t, 1)) || lower(substr(t, 2)) AS text FROM (SELECT i, replace(replace(['{_TEMPLATES[0]}', '{_TEMPLATES[1]}'][i % 2 + 1], '{{thing}}', {_chosen('thing')}), '{{how}}', {_chosen('how')}) AS t FROM range(2000) r(i))""")
+@query(f"""SELECT doc_id, upper(left(t, 1)) || lower(substr(t, 2)) AS text FROM (SELECT doc_id, replace(replace(replace(['{_TEMPLATES[0]}', '{_TEMPLATES[1]}'][doc_id % 2 + 1],
+ '{{thing}}', {_chosen('thing')}), '{{how}}', {_chosen('how')}), '{{source}}', coalesce(source, '')) AS t FROM documents)""")
 def template_sentences(spark, sf):
-    out = G.sentences(spark, 2000, 3, _TEMPLATES, _SLOTS)
-    return out.select("i", G.capitalized(F.col("text")).alias("text"))
+    """A sentence about each document."""
+    text = G.sentence(F.col("doc_id"), 3, _TEMPLATES, _SLOTS, {"source": F.col("source")})
+    return docs(spark, sf).select("doc_id", G.capitalized(text).alias("text"))
 
 
 @query("SELECT n_name AS scenario, r_name AS format FROM nation, region")

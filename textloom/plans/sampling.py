@@ -170,11 +170,15 @@ def emotion_merge_counts(spark, sf):
     return C.merge_emotions(_emotion_sources(spark, sf), "doc_id", "doc_id", 42)[1].withColumnRenamed("dataset_source", "source")
 
 
-@query("""
-WITH s AS (SELECT i AS step FROM range(1000) t(i))
-SELECT step, CASE WHEN step < 30 THEN 0.0003 * (step + 1) / 30.0 ELSE 0.0003 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (step - 30) / 969.0)))) END::DOUBLE AS rate FROM s""")
+@query(f"""{_keyed(7, 2)}, s AS (SELECT place // 32 AS step, count(*) AS rows FROM p GROUP BY 1),
+t AS (SELECT (n + 31) // 32 AS total, greatest(1, floor((n + 31) // 32 * 0.03::DOUBLE)) AS warm FROM c)
+SELECT step, rows, CASE WHEN total = 1 THEN 0.0003 WHEN step < warm THEN 0.0003 * (step + 1) / warm
+ ELSE 0.0003 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, greatest(step - warm, 0) / greatest(1, greatest(1, total - warm) - 1))))) END::DOUBLE AS rate FROM s, t""")
 def lr_schedule(spark, sf):
-    return A.learning_rates(spark, 0.0003, 1000)
+    """Rate and rows of each step of an epoch over the documents."""
+    rows, n = E.numbered(docs(spark, sf).select("doc_id"), "doc_id")
+    steps = E.epoch_places(rows, E.Order(n, 7, 2), 32).groupBy(F.col("batch").alias("step")).agg(F.count("*").alias("rows"))
+    return steps.withColumn("rate", A.learning_rate(F.col("step"), 0.0003, -(-n // 32)))
 
 
 @query("""
