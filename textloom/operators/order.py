@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from textloom.sources import scratch
 
 #: Ranges with bounds of their own; of a larger table each is cut into even parts.
-RANGES = 256
+RANGES = 64
+#: Rows of a range, and of the task that rows meet in, which may be wide: as many
+#: ranges and tasks as the table needs.
+ROWS, TASK_ROWS = 2_000, 25_000
 #: Rows of offsets or ends that are broadcast; more are joined by a shuffle.
 LOOKUP = 1 << 17
 
@@ -37,6 +40,7 @@ class Totals:
     slim: DataFrame  # order, strata, value__, part__
     offsets: DataFrame  # strata, part__, total__, offset__
     ranges: int  # rows of offsets
+    rows: int = 0
 
     def _joined(self, df: DataFrame, small: DataFrame, rows: int, keys: Sequence[str], how: str = "inner") -> DataFrame:
         """df with the columns of a small table that has its keys, told from df's own."""
@@ -48,7 +52,11 @@ class Totals:
         """df, of which this was made, with the sum of the rows before each row."""
         keys = [*self.strata, "part__"]
         inside = Window.partitionBy(*keys).orderBy(self.order).rowsBetween(Window.unboundedPreceding, -1)
-        rows = df.withColumn("part__", self.part).withColumn("before__", F.coalesce(F.sum(self.value).over(inside), F.lit(0)))
+        rows = df.withColumn("part__", self.part)
+        tasks = -(-self.rows // TASK_ROWS)
+        if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            rows = rows.repartition(tasks, *keys)
+        rows = rows.withColumn("before__", F.coalesce(F.sum(self.value).over(inside), F.lit(0)))
         rows = self._joined(rows, self.offsets.drop("total__"), self.ranges, keys)
         columns = [c for c in df.columns if c != name]
         return rows.select(*(f"`{c}`" for c in columns), (F.col("before__") + F.col("offset__")).cast("long").alias(name))
@@ -83,7 +91,7 @@ class Totals:
         return self.offsets.groupBy(*self.strata).agg(F.sum("total__").alias("total__"))
 
 
-def totals(df: DataFrame, value: Column | str, order: str, strata: Sequence[str] = (), rows_per_range: int = 500_000) -> Totals:
+def totals(df: DataFrame, value: Column | str, order: str, strata: Sequence[str] = (), rows_per_range: int = ROWS) -> Totals:
     """Sums by range of `value` in the order of a numeric column without ties. df is
     read once, for its order, strata and value only."""
     value = F.col(value) if isinstance(value, str) else value
@@ -106,11 +114,11 @@ def totals(df: DataFrame, value: Column | str, order: str, strata: Sequence[str]
     sums = slim.groupBy(*strata, "part__").agg(F.sum("value__").alias("total__"))
     ahead = Window.partitionBy(*strata).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
     offsets = scratch.table(sums.withColumn("offset__", F.coalesce(F.sum("total__").over(ahead), F.lit(0))))
-    return Totals(order, tuple(strata), value, part, slim, offsets, offsets.count())
+    return Totals(order, tuple(strata), value, part, slim, offsets, offsets.count(), seen["n"])
 
 
 def running_total(
-    df: DataFrame, value: Column | str, order: str, name: str, strata: Sequence[str] = (), rows_per_range: int = 500_000
+    df: DataFrame, value: Column | str, order: str, name: str, strata: Sequence[str] = (), rows_per_range: int = ROWS
 ) -> DataFrame:
     """df with `name`, the sum of `value` over the rows before each row in the order
     of the numeric column `order` (within strata), which must have no ties."""

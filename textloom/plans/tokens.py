@@ -104,8 +104,8 @@ SELECT shard::BIGINT AS shard, count(*) AS n_tokens, sum(id)::BIGINT AS total FR
 def token_shards(spark, sf):
     """Texts with their end tokens, one after another, in shards of 100,000 tokens:
     a text gives each shard that it touches its slice, never a row a token."""
-    d = encoded(docs(spark, sf)).select("doc_id", (K.char_token_count("text") + 1).alias("n"), F.concat(F.coalesce("tokens", F.array().cast("array<int>")), F.array(F.lit(97))).alias("tokens"))
-    d = running_total(d, "n", "doc_id", "start")
+    d = running_total(docs(spark, sf).select("doc_id", "text", (K.char_token_count("text") + 1).alias("n")), "n", "doc_id", "start")
+    d = encoded(d).select("start", F.concat(F.coalesce("tokens", F.array().cast("array<int>")), F.array(F.lit(97))).alias("tokens"))
     size = 100_000
     d = d.withColumn("shard", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.size("tokens") - 1) / size))))
     lo = F.greatest(F.col("shard") * size - F.col("start"), F.lit(0))
