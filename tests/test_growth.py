@@ -25,3 +25,16 @@ def test_ranges_follow_the_rows(spark):
     placed = many.attach(df, "p")
     assert placed.where("o <> p").isEmpty()
     assert placed.rdd.getNumPartitions() >= 12
+
+
+@pytest.mark.parametrize(("size", "stride"), [(16, 1), (129, 128), (5000, 7), (3, 10)])
+def test_windows_across_chunks(spark, size, stride):
+    long = [i * i % 251 for i in range(20_000)]
+    rows = [[1, 2], long, [], None, [7], long[:9_000], [5, 6]]
+    flat = [x for r in rows for x in r or []]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, t array<int>").repartition(3)
+    out = K.stream_windows(df, F.transform("t", lambda x: x + 1), "i", size, stride)
+    got = {r.idx: r.s for r in out.select("idx", F.hash("window").alias("s")).collect()}
+    want = spark.createDataFrame([(i, [x + 1 for x in flat[s : s + size]]) for i, s in list(enumerate(range(0, len(flat) - size + 1, stride)))[::97]], "idx long, w array<int>")
+    assert len(got) == len(range(0, len(flat) - size + 1, stride))
+    assert all(got[r.idx] == r.s for r in want.select("idx", F.hash("w").alias("s")).collect())

@@ -6,6 +6,7 @@ of the corpus once, in Arrow batches, since merges never cross white space.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections import Counter, defaultdict
@@ -342,26 +343,48 @@ def capped_stream(rows: DataFrame, tokens: str, order: str, end: int, most: int
     return run.withColumn(tokens, F.when(open_, F.concat(tokens, F.array(F.lit(end)))).otherwise(F.col(tokens)))
 
 
-def stream_windows(rows: DataFrame, tokens: str, order: str, size: int, stride: int = 1, count: str | None = None) -> DataFrame:
+#: Tokens of a stream's chunk, and of the task that chunks meet in.
+CHUNK, TASK_TOKENS = 1 << 13, 1 << 24
+
+
+def stream_windows(rows: DataFrame, tokens: Column | str, order: str, size: int, stride: int = 1, count: str | None = None) -> DataFrame:
     """(idx, window): `size` tokens from every stride-th place of the rows' token
-    stream that has as many, across the rows' ends. A row gives each window that it
-    touches its slice; no task holds more than a window's. Where a column `count` has
-    the number of a row's tokens, tokens are made once."""
+    stream that has as many, across the rows' ends. The stream is cut into chunks that
+    also hold the first tokens of the next one; a row gives each chunk that it touches
+    its slice, and a chunk is cut into the windows that begin in it. So a token is
+    shuffled about once, whatever the windows share, and no group is longer than a
+    chunk. Where a column `count` has the number of a row's tokens, tokens are made
+    once; if they are an expression, behind the shuffle that gives rows their places."""
     positive(size=size, stride=stride)
-    n = F.size(F.coalesce(tokens, F.array().cast("array<int>"))).cast("long") if count is None else F.col(count)
-    rows = rows.select(order, tokens, n.alias("n__"))
+    made = F.col(tokens) if isinstance(tokens, str) else tokens
+    n = F.size(F.coalesce(made, F.array().cast("array<int>"))).cast("long") if count is None else F.col(count)
+    rows = rows.select(order, tokens, n.alias("n__")) if isinstance(tokens, str) else rows.withColumn("n__", n)
     seen = totals(rows, "n__", order)
     total = seen.sums().first()
-    windows = max(0, ((total["total__"] if total else 0) or 0) - size + stride) // stride
-    run = seen.attach(rows, "start__").where("n__ > 0")
-    lo = F.greatest(F.lit(0), F.ceil((F.col("start__") - size + 1) / stride))
-    hi = F.least(F.lit(windows - 1), F.floor((F.col("start__") + F.col("n__") - 1) / stride))
-    at = run.withColumn("idx", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))))
-    begin = F.greatest(F.col("idx") * stride - F.col("start__"), F.lit(0))
-    end = F.least(F.col("idx") * stride + size - F.col("start__"), F.col("n__"))
-    own = at.where(end > begin).select("idx", F.struct("start__", F.slice(tokens, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")).alias("part")).alias("own"))
-    parts = own.groupBy("idx").agg(F.sort_array(F.collect_list("own")).alias("parts"))
-    return parts.select("idx", F.flatten(F.transform("parts", lambda p: p["part"])).alias("window"))
+    total = (total["total__"] if total else 0) or 0
+    windows = max(0, total - size + stride) // stride
+    # places of a chunk's windows, and of a piece's: chunks are cut in two steps, as Spark
+    # may copy what a row is cut from for each of its parts
+    room = max(CHUNK, 4 * size)
+    step = stride * -(-max(size, math.isqrt(room * stride)) // stride)
+    room = step * -(-room // step)
+    run = seen.attach(rows, "start__").where("n__ > 0").select("start__", "n__", made.alias("tokens__"))
+    lo = F.greatest(F.lit(0), F.floor((F.col("start__") - size + 1) / room))
+    hi = F.least(F.lit((windows - 1) * stride // room), F.floor((F.col("start__") + F.col("n__") - 1) / room))
+    at = run.withColumn("chunk__", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))))
+    begin = F.greatest(F.col("chunk__") * room - F.col("start__"), F.lit(0))
+    end = F.least((F.col("chunk__") + 1) * room + size - 1 - F.col("start__"), F.col("n__"))
+    own = at.where(end > begin).select("chunk__", F.struct("start__", F.slice("tokens__", (begin + 1).cast("int"), (end - begin).cast("int")).alias("part")).alias("own__"))
+    tasks = -(-total // TASK_TOKENS)
+    own = own.repartition(tasks, "chunk__") if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else own
+    chunks = own.groupBy("chunk__").agg(F.sort_array(F.collect_list("own__")).alias("parts__")).select("chunk__", F.flatten("parts__.part").alias("held__"))
+    first = (F.col("chunk__") * (room // stride)).cast("long")
+    last = F.least(first + (room // stride - 1), F.lit(windows - 1))
+    pieces = chunks.select("held__", first.alias("first__"), last.alias("last__"), F.explode(F.sequence(first, last, F.lit(step // stride))).alias("from__"))
+    piece = F.slice("held__", ((F.col("from__") - F.col("first__")) * stride + 1).cast("int"), step + size - 1)
+    pieces = pieces.select("from__", piece.alias("piece__"), F.least(F.col("from__") + (step // stride - 1), F.col("last__")).alias("to__"))
+    cut = pieces.select("from__", "piece__", F.explode(F.sequence("from__", "to__")).alias("idx"))
+    return cut.select("idx", F.slice("piece__", ((F.col("idx") - F.col("from__")) * stride + 1).cast("int"), size).alias("window"))
 
 
 def shifted(window: str) -> tuple[Column, Column]:

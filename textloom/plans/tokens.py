@@ -132,7 +132,8 @@ def corpus_tokens(spark, sf):
 SELECT (g // 128)::BIGINT AS idx, (sum(id) + max(far) FILTER (WHERE g % 128 = 0))::BIGINT AS total, 129::BIGINT AS size FROM f WHERE (g // 128) * 128 + 129 <= n GROUP BY 1""")
 def token_windows_stream(spark, sf):
     """Windows of 129 tokens, 128 apart, over all texts as one stream."""
-    w = K.stream_windows(counted(docs(spark, sf)), "tokens", "doc_id", 129, 128, "n")
+    texts = docs(spark, sf).select("doc_id", "text", K.char_token_count("text").alias("n"))
+    w = K.stream_windows(texts, K.char_ids("text", _VOCABULARY), "doc_id", 129, 128, "n")
     return w.select("idx", F.aggregate("window", F.lit(0), lambda a, x: a + x).cast("long").alias("total"), F.size("window").cast("long").alias("size"))
 
 
@@ -142,8 +143,8 @@ w AS (SELECT g AS idx, sum(id) OVER (ORDER BY g ROWS BETWEEN CURRENT ROW AND 15
 SELECT idx::BIGINT AS idx, total::BIGINT AS total FROM w WHERE n = 16""")
 def dense_windows_stream(spark, sf):
     """Windows of 16 tokens from every place of all turns as one stream."""
-    turns = counted(table(spark, sf, "conversations")).select((F.col("conv_id") * 2**20 + F.col("turn")).alias("at"), "n", "tokens")
-    w = K.stream_windows(turns, "tokens", "at", 16, 1, "n")
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 2**20 + F.col("turn")).alias("at"), "text", K.char_token_count("text").alias("n"))
+    w = K.stream_windows(turns, K.char_ids("text", _VOCABULARY), "at", 16, 1, "n")
     return w.select("idx", F.aggregate("window", F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
 
 
