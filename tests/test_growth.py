@@ -38,3 +38,21 @@ def test_windows_across_chunks(spark, size, stride):
     want = spark.createDataFrame([(i, [x + 1 for x in flat[s : s + size]]) for i, s in list(enumerate(range(0, len(flat) - size + 1, stride)))[::97]], "idx long, w array<int>")
     assert len(got) == len(range(0, len(flat) - size + 1, stride))
     assert all(got[r.idx] == r.s for r in want.select("idx", F.hash("w").alias("s")).collect())
+
+
+def test_tokens_are_joined_to_runs(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sinks, "_write_shards", lambda rows, *_: seen.append(rows.collect()))
+    df = spark.createDataFrame([(i, i * 1000) for i in (3, 0, 1, 2, 4, 7)], "pos long, token long").coalesce(1)
+    sinks.write_token_shards(df, str(tmp_path), 3)
+    assert sorted((r.shard, r.pos, r.ids) for r in seen[0]) == [(0, 0, [0, 1000, 2000]), (1, 3, [3000, 4000]), (2, 7, [7000])]
+
+
+def test_shards_are_listed_once(spark, tmp_path):
+    df = spark.range(8).select(F.col("id").alias("pos"), F.col("id").alias("token"))
+    sinks.write_token_shards(df, f"file://{tmp_path}/s", 3)
+    (tmp_path / "s" / "other.bin").write_bytes(b"1")
+    assert files.token_shards(spark, f"file://{tmp_path}/s").count() == 8
+    (tmp_path / "s" / "shard-00001.bin").unlink()
+    with pytest.raises(FileNotFoundError, match="shard-00001"):
+        files.token_shards(spark, f"file://{tmp_path}/s")

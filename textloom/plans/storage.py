@@ -14,7 +14,7 @@ from textloom.plans import chat as P
 from textloom.plans.chat import _GROUPED, _ROWS, _strip, chats, transcript
 from textloom.plans.corpus import docs, table
 from textloom.plans.registry import query, sql_of
-from textloom.plans.tokens import _ID, counted, encoded
+from textloom.plans.tokens import _ID, encoded
 from textloom.operators import prepare as R
 from textloom.operators import tokens as K
 from textloom.sources import files, gates, scratch, sinks, streams
@@ -137,9 +137,9 @@ s AS (SELECT {_ID} AS id, row_number() OVER (ORDER BY conv_id, turn, p) - 1 AS p
 SELECT (pos // 1000)::BIGINT AS part, count(*) AS n, sum(id * (pos % 1000 + 1))::BIGINT AS weighted FROM s GROUP BY 1""")
 def stored_token_shards(spark, sf):
     """The turns' tokens, through shards of 10,000 and back."""
-    turns = encoded(table(spark, sf, "conversations")).select((F.col("conv_id") * 2**20 + F.col("turn")).alias("at"), "tokens")
-    n = F.size(F.coalesce("tokens", F.array().cast("array<int>"))).cast("long")
-    run = running_total(turns, n, "at", "start").select("start", F.posexplode("tokens").alias("i", "token"))
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 2**20 + F.col("turn")).alias("at"), "text")
+    placed = running_total(turns, K.char_token_count("text"), "at", "start")
+    run = encoded(placed).select("start", F.posexplode("tokens").alias("i", "token"))
     at = scratch.folder(spark)
     sinks.write_token_shards(run.select((F.col("start") + F.col("i")).alias("pos"), "token"), at, 10_000)
     back = files.token_shards(spark, at)
@@ -149,16 +149,17 @@ def stored_token_shards(spark, sf):
 
 
 def _stored_stream(spark, rows, per_shard):
-    """A folder of shards of rows (at, n, tokens) in the order of `at`."""
+    """A folder of shards of the tokens of rows (at, text) in the order of `at`."""
     at = scratch.folder(spark)
-    sinks.write_token_stream(running_total(rows, "n", "at", "start").where("n > 0"), at, per_shard)
+    placed = running_total(rows.withColumn("n", K.char_token_count("text")), "n", "at", "start").where("n > 0")
+    sinks.write_token_stream(encoded(placed).select("start", "tokens"), at, per_shard)
     return at
 
 
 @query(sql_of("dense_windows_stream"))
 def stored_dense_windows(spark, sf):
     """Windows of 16 tokens from every place of a stored shard set, without a shuffle."""
-    turns = counted(table(spark, sf, "conversations")).select((F.col("conv_id") * 2**20 + F.col("turn")).alias("at"), "n", "tokens")
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 2**20 + F.col("turn")).alias("at"), "text")
     w = streams.shard_windows(spark, _stored_stream(spark, turns, 10_000), 16)
     return w.select("idx", F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
@@ -166,7 +167,7 @@ def stored_dense_windows(spark, sf):
 @query(sql_of("token_windows_stream"))
 def stored_strided_windows(spark, sf):
     """Windows of 129 tokens, 128 apart, of the documents' stored shard set."""
-    texts = counted(docs(spark, sf)).select(F.col("doc_id").alias("at"), "n", "tokens")
+    texts = docs(spark, sf).select(F.col("doc_id").alias("at"), "text")
     w = streams.shard_windows(spark, _stored_stream(spark, texts, 100_000), 129, 128)
     return w.select("idx", F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("window").cast("long").alias("size"))
 

@@ -215,12 +215,24 @@ def token_shards(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                if path.rsplit("/", 1)[-1] not in starts:
+                    continue
                 start, n = starts[path.rsplit("/", 1)[-1]]
                 if len(content) != 4 * n:
                     raise ValueError(f"{path} has {len(content)} bytes for {n} tokens")
                 tokens = np.frombuffer(content, "<u4").astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + n)), pa.array(tokens)], ["pos", "token"])
 
-    files = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in names])
+    # one listing of the folder, not one of each shard
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(folder)
+    there = {s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)}
+    if missing := sorted(set(names) - there):
+        raise FileNotFoundError(f"{folder}/{missing[0]}")
+    read = spark.read.format("binaryFile")
+    if all(n.endswith(".bin") for n in names):
+        files = read.option("pathGlobFilter", "*.bin").load(folder)
+    else:
+        files = read.load([f"{folder}/{n}" for n in names])
     return files.select("path", "content").mapInArrow(run, "pos long, token long")
 

@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators.corpus import append_merge
-from textloom.sources import streams
+from textloom.sources import scratch, streams
 
 
 def document_block(text: Column | str) -> Column:
@@ -98,10 +99,24 @@ def write_token_shards(tokens: DataFrame, folder: str, per_shard: int, pos: str
     """Little-endian uint32 shards of `per_shard` tokens and a manifest. A shard is
     one task's group, bounded by per_shard, and that task writes its file: beside
     it first, then moved, so that a repeated task does no harm. Only names and
-    sizes reach the driver. An id outside uint32 raises."""
+    sizes reach the driver. An id outside uint32 raises. Tokens that follow one another
+    are joined to runs before they are shuffled."""
+    scratch.shipped(tokens.sparkSession)
     checked = F.when(F.col(token).between(0, 4294967295), F.col(token)).otherwise(F.raise_error(F.lit("token id outside uint32")).cast("long"))
-    rows = tokens.select(F.floor(F.col(pos) / per_shard).cast("long").alias("shard"), F.col(pos).cast("long").alias("pos"), F.array(checked.cast("long")).alias("ids"))
-    return _write_shards(rows, folder, per_shard)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.column("pos").null_count:
+                raise ValueError("a token has no place")
+            batch = batch.sort_by("pos")
+            at = batch.column("pos").to_numpy()
+            shard = at // per_shard
+            begins = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(shard) != 0)])[: len(at)])
+            ids = pa.ListArray.from_arrays(pa.array(np.append(begins, len(at)), pa.int32()), batch.column("id"))
+            yield pa.RecordBatch.from_arrays([pa.array(shard[begins]), pa.array(at[begins]), ids], ["shard", "pos", "ids"])
+
+    rows = tokens.select(F.col(pos).cast("long").alias("pos"), checked.cast("long").alias("id"))
+    return _write_shards(rows.mapInArrow(runs, "shard long, pos long, ids array<long>"), folder, per_shard)
 
 
 def write_token_stream(rows: DataFrame, folder: str, per_shard: int, start: str = "start", tokens: str = "tokens") -> dict:
