@@ -56,3 +56,11 @@ def test_shards_are_listed_once(spark, tmp_path):
     (tmp_path / "s" / "shard-00001.bin").unlink()
     with pytest.raises(FileNotFoundError, match="shard-00001"):
         files.token_shards(spark, f"file://{tmp_path}/s")
+
+
+def test_items_cost_their_own_length(monkeypatch):
+    monkeypatch.setattr(streams, "BLOCK", 1 << 23)
+    text = json.dumps([{"id": i, "lang": "en" * 20} for i in range(100_000)])
+    began = time.perf_counter()
+    assert sum(1 for _ in streams._items(io.BytesIO(text.encode()))) == 100_000
+    assert time.perf_counter() - began < 20

@@ -186,6 +186,11 @@ def json_items(spark: SparkSession, path: str, pattern: str | None = None, diges
     return read(spark, path, _items, "value string", pattern, digests)
 
 
+#: Blanks as Python strips them, and those around one comma.
+_BLANK = re.compile(r"\s*")
+_BETWEEN = re.compile(r"\s*,?\s*")
+
+
 def _items(stream: io.IOBase) -> Iterator[tuple]:
     text, decode = _text(stream), json.JSONDecoder().raw_decode
     held = ""
@@ -196,22 +201,23 @@ def _items(stream: io.IOBase) -> Iterator[tuple]:
         if whole.strip():
             yield (json.dumps(json.loads(whole), ensure_ascii=False, separators=(",", ":")),)
         return
-    held, ended = held[1:], False
+    # items are told by their place in what is held: nothing is copied for an item
+    at, ended = 1, False
     while True:
-        held = held.lstrip().removeprefix(",").lstrip()
-        if held.startswith("]"):
+        at = _BETWEEN.match(held, at).end()
+        if held.startswith("]", at):
             return
         try:
-            value, at = decode(held)
-            if not held[at:].lstrip().startswith((",", "]")):  # a number may go on in the next block
+            value, to = decode(held, at)
+            if not held.startswith((",", "]"), _BLANK.match(held, to).end()):  # a number may go on in the next block
                 raise ValueError("the JSON array is broken")
             yield (json.dumps(value, ensure_ascii=False, separators=(",", ":")),)
-            held = held[at:]
+            at = to
         except ValueError:
             if ended:
                 raise
-            more = text.read(max(BLOCK, len(held)))  # doubling, so that a long item is not tried often
-            held, ended = held + more, not more
+            more = text.read(max(BLOCK, len(held) - at))  # doubling, so that a long item is not tried often
+            held, at, ended = held[at:] + more, 0, not more
 
 
 def write_csv_archives(rows: DataFrame, folder: str) -> None:
