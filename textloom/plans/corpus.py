@@ -114,8 +114,11 @@ def stream_reason_counts(spark, sf):
     dups = C.duplicate_ids(labels.where("toxic = 1")).select(F.col("id").cast("long").alias("dup__"))
     signals = labels.select(F.col("doc_id").alias("signal__")).distinct()
     at = scratch.folder(spark)
-    docs(spark, sf).repartition(4).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(docs(spark, sf).schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    # as many files as the scan has tasks, half of them a batch
+    d = docs(spark, sf)
+    (d if d.rdd.getNumPartitions() >= 4 else d.repartition(4)).write.parquet(f"{at}/in")
+    written = len(spark.read.schema(d.schema).parquet(f"{at}/in").inputFiles())
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", max(1, -(-written // 2))).parquet(f"{at}/in")
     d = C.quality_signals(stream).join(signals, F.col("doc_id") == F.col("signal__"), "left").join(dups, F.col("doc_id") == F.col("dup__"), "left")
     checks = [("duplicate_ids", F.col("dup__").isNotNull()), ("missing_signals", F.col("signal__").isNull()), ("quality_rejected", ~C.rules_pass(*map(F.col, _RULE)))]
     ledger = counters.Ledger(spark, f"{at}/ledger")

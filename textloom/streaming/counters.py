@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from textloom.sources import scratch
+
 
 class Ledger:
     """Tables of a folder with a part for each batch."""
@@ -43,7 +45,8 @@ def decide(rows: DataFrame, batch: int, ledger: Ledger, checks: Sequence[tuple[s
         named = F.when(failed, name).otherwise(named)
     # one key for the digest and what it counts within, so that nulls are like others
     key = F.sha2(F.concat_ws("\x1f", digest, *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in within)), 256)
-    marked = rows.select(F.col(order).alias("id"), named.alias("reason"), key.alias("digest"))
+    # three readers: checks and digests are computed once
+    marked = scratch.table(rows.select(F.col(order).alias("id"), named.alias("reason"), key.alias("digest")))
     seen = ledger.read("digests", "digest string", batch).select(F.col("digest").alias("seen__")).distinct()
     joined = marked.join(seen, marked["digest"] == seen["seen__"], "left")
     good = joined.where("reason IS NULL AND seen__ IS NULL")
