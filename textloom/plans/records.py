@@ -19,6 +19,7 @@ from textloom.plans.chat import _PAIRS, _ROWS, _collapse, _strip, chats, transcr
 from textloom.plans.corpus import docs, table
 from textloom.plans.registry import query, sql_of
 from textloom.plans.sampling import _POS
+from textloom.sources import scratch
 
 
 def _json(role, content):
@@ -36,7 +37,7 @@ _BY_SOURCE = {"openhermes": "chat_normalize", "smol-smoltalk": "chat_keep_system
 @query(" UNION ALL ".join(f"SELECT '{s}' AS source, conv_id, transcript FROM ({sql_of(q)})" for s, q in _BY_SOURCE.items()))
 def chat_sources(spark, sf):
     """The conversations in four sources' spellings."""
-    c = chats(spark, sf)
+    c = scratch.table(chats(spark, sf))  # grouped once, and read in splits by each source
     field = lambda f: F.transform("messages", lambda m: m[f])
     rows = {
         "openhermes": c.select("conv_id", _json("from", "value").alias("conversations")),
@@ -56,7 +57,7 @@ _MORE_SOURCES = {
 @query(" UNION ALL ".join(f"SELECT '{s}' AS source, conv_id, transcript FROM ({sql_of(q)})" for s, q in _MORE_SOURCES.items()))
 def more_chat_sources(spark, sf):
     """The conversations in eight more sources' spellings."""
-    c = chats(spark, sf)
+    c = scratch.table(chats(spark, sf))
     spelled = {"cat_v28": ("role", "content"), "wizardlm": ("from", "value"), "ultrachat": ("role", "content"), "empathetic_dialogues": ("speaker", "text"),
                "esconv": ("speaker", "content"), "synthetic_conversations": ("from", "text"), "ultrachat_200k": ("role", "content")}
     column = {"cat_v28": "messages", "ultrachat": "messages", "ultrachat_200k": "messages"}
@@ -298,7 +299,7 @@ l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY r) AS
 
 
 def _wave(spark, sf):
-    c = chats(spark, sf)
+    c = scratch.table(chats(spark, sf))
     rows = {"openhermes": c.select("conv_id", _json("from", "value").alias("conversations")), "smol-smoltalk": c.select("conv_id", _json("role", "content").alias("messages"))}
     return V.chat_wave(rows, {"openhermes": _PROVENANCE, "smol-smoltalk": _PROVENANCE | {"bucket": "research"}}, "conv_id", 7, 90)
 
