@@ -86,3 +86,18 @@ def test_sources_read_stored_chats(spark, name):
     plan = getattr(records, name)(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert "Exchange" in chat.chats(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rare_words_are_merged_where_they_stand(spark, monkeypatch):
+    """Only long words are joined; others make no row of their own."""
+    merges = [("a", "b"), ("ab", "c")]
+    vocabulary = ["a", "b", "c", "ab", "abc", " ", K.UNK, K.EOS]
+    df = spark.createDataFrame([(i, f"abcab {'abc' * (i + 1)} b{K.EOS}ca") for i in range(6)] + [(9, None)], "i long, text string")
+    lone = [4, 3, 5]
+    want = {i: [*lone, *[4] * (i + 1), 5, 1, 7, 2, 0] for i in range(6)} | {9: None}
+    monkeypatch.setattr(K, "TASK_WORDS", 1)
+    out = K.bpe_encode(df, vocabulary, merges, head=1)
+    assert {r.i: r.tokens for r in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    longer = df.withColumn("text", F.concat("text", F.repeat(F.lit("abc"), F.lit(30))))
+    assert {r.i: r.tokens for r in K.bpe_encode(longer, vocabulary, merges, head=1).collect()} == {i: w and [*w[:-2], 2, 0, *[4] * 30] for i, w in want.items()}

@@ -33,8 +33,16 @@ PRINTABLE = ("\n", *map(chr, range(0x20, 0x7F)))
 
 
 def distinct_characters(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(token): a text gives each of its characters once."""
-    return docs.select(F.explode(F.array_distinct(X.characters(F.replace(text, F.lit(EOS), F.lit(""))))).alias("token")).distinct()
+    """(token): a batch of texts gives each of its characters once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[str] = set()
+            for t in batch.column("text").to_pylist():
+                found.update((t or "").replace(EOS, ""))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["token"])
+
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "token string").distinct()
 
 
 def char_vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
@@ -168,12 +176,30 @@ def check_vocabulary(vocabulary: Sequence[str], merges: Sequence[tuple[str, str]
         raise ValueError("merges repeat or use unknown tokens")
 
 
+#: Characters of a word that is merged where it stands.
+HEAD_LENGTH = 64
+
+
 def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     """Symbols of a word after all merges: the pair of the lowest rank that is there is
     merged wherever it is, from the left, before any other. Symbols are a linked list
     and mergeable pairs wait in a heap, so that the cost follows the merges made."""
     symbols: list[str] = list(word)
     n = len(symbols)
+    if n <= HEAD_LENGTH:  # a scan for each merge is less than a heap
+        none = len(ranks)
+        own = [ranks.get(p, none) for p in zip(symbols, symbols[1:])]
+        while own and (least := min(own)) < none:
+            i = own.index(least)
+            while i >= 0:
+                symbols[i] += symbols.pop(i + 1)
+                del own[i]
+                if i < len(own):
+                    own[i] = ranks.get((symbols[i], symbols[i + 1]), none)
+                if i:
+                    own[i - 1] = ranks.get((symbols[i - 1], symbols[i]), none)
+                i = own.index(least, i) if least in own else -1
+        return symbols
     after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i) for i, p in enumerate(zip(symbols, symbols[1:])) if (r := ranks.get(p)) is not None]
     heapify(heap)
@@ -204,23 +230,36 @@ def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return [s for s in symbols if s]
 
 
-#: Words of a corpus that an encoder looks up, and the characters that one can have.
-HEAD_WORDS, HEAD_LENGTH = 1 << 17, 64
+#: Words of a corpus that an encoder looks up, and others that a task remembers.
+HEAD_WORDS, TASK_WORDS = 1 << 17, 1 << 17
 
 
-def bpe_words(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tuple[str, str]], text: str = "text") -> DataFrame:
-    """(word, n, ids) of the corpus's distinct words, each merged once; a stored table."""
-    ids, ranks = {t: i for i, t in enumerate(vocabulary)}, {p: i for i, p in enumerate(merges)}
-    unk = ids[UNK]
+def bpe_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) of the corpus's distinct words; a stored table."""
     scratch.shipped(docs.sparkSession)
-    counted = docs.select(F.explode(X.words(F.replace(F.col(f"`{text}`"), F.lit(EOS), F.lit(" ")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                found: Counter = Counter()
+                for t in whole.column("text").slice(at, 1024).to_pylist():
+                    found.update((t or "").replace(EOS, " ").split())
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+
+    rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word string, n long")
+    return scratch.table(rows.groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def _merged(words: DataFrame, ids: dict[str, int], ranks: dict[tuple[str, str], int]) -> DataFrame:
+    """(word, ids) of distinct words, each merged once."""
+    unk = ids[UNK]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[ids.get(s, unk) for s in merge_word(w, ranks)] for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(out, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, pa.list_(pa.int32()))], ["word", "ids"])
 
-    return scratch.table(counted.mapInArrow(run, "word string, n long, ids array<int>"))
+    return words.select("word").mapInArrow(run, "word string, ids array<int>")
 
 
 def _frequent(words: DataFrame, most: int) -> DataFrame:
@@ -238,16 +277,19 @@ def _frequent(words: DataFrame, most: int) -> DataFrame:
 
 
 def bpe_encode(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tuple[str, str]], text: str = "text", name: str = "tokens", head: int = HEAD_WORDS) -> DataFrame:
-    """docs with the token ids of each text (null for null). Every distinct word of the
-    corpus is merged once. The most frequent ones are looked up where the text is; of
-    the others a text names its distinct ones, which are joined by word (no key of that
-    join is frequent) and put into their places. Columns of any name are carried."""
+    """docs with the token ids of each text (null for null). The corpus's most frequent
+    words are merged once and looked up where the text is; other short ones are merged
+    there, and the last TASK_WORDS of a task are remembered. Of words of more than
+    HEAD_LENGTH characters, which cost more, a text names its distinct ones; the corpus's
+    are merged once, joined by word and put into their places. Columns of any name are
+    carried."""
     ids = {t: i for i, t in enumerate(vocabulary)}
     unk, end = ids[UNK], ids[EOS]
-    words = bpe_words(docs, vocabulary, merges, text)
-    known = _frequent(words, head).select("word", "ids")
-    table = {r.word: r.ids for r in known.toLocalIterator()}
-    all_known = len(table) == words.count()
+    ranks = {p: i for i, p in enumerate(merges)}
+    words = bpe_words(docs, text)
+    table = {r.word: r.ids for r in _merged(_frequent(words, head), ids, ranks).collect()}
+    long = words.where(F.length("word") > HEAD_LENGTH)
+    all_known = long.isEmpty()
     shared = docs.sparkSession.sparkContext.broadcast(table)
     fields = [f for f in docs.schema.fields if f.name != name]
     carried = [T.StructField(f"c{i}__", f.dataType) for i, f in enumerate(fields)]
@@ -259,6 +301,7 @@ def bpe_encode(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tupl
         look_up = {w: array("i", i).tobytes() for w, i in shared.value.items()}
         look_up |= {c: array("i", [ids.get(c, unk)]).tobytes() for c in map(chr, range(0x3001)) if c.isspace()}
         look_up[EOS] = array("i", [end]).tobytes()
+        near: dict[str, bytes] = {}
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -271,8 +314,18 @@ def bpe_encode(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tupl
                     got = list(map(look_up.get, words_))
                     names: dict[str, int] = {}
                     lo = 0
+                    i = -1
                     for _ in range(got.count(None)):
-                        i = got.index(None, lo)
+                        i = got.index(None, i + 1)
+                        w = words_[i]
+                        if len(w) <= HEAD_LENGTH:
+                            made = near.get(w)
+                            if made is None:
+                                if len(near) >= TASK_WORDS:
+                                    near.clear()
+                                made = near[w] = array("i", [ids.get(s, unk) for s in merge_word(w, ranks)]).tobytes()
+                            got[i] = made
+                            continue
                         flat += b"".join(got[lo:i])
                         closed.append(names.setdefault(words_[i], len(names)))
                         part_ends.append(len(flat) // 4)
@@ -294,7 +347,7 @@ def bpe_encode(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tupl
     restored = [F.col(c.name).alias(f.name) for f, c in zip(fields, carried)]
     if all_known:
         return cut.select(*restored, F.when(F.col(own).isNotNull(), F.flatten(F.col("parts__.ids"))).alias(name))
-    held = scratch.table(cut)
+    held, words = scratch.table(cut), _merged(long, ids, ranks)
     asked = held.select("row__", F.posexplode("rare__").alias("at", "word"))
     found = asked.join(words.select("word", "ids"), "word").groupBy("row__").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("found__"))
     both = held.join(found, "row__", "left")
