@@ -56,11 +56,12 @@ def head(table: DataFrame, most: int) -> pa.Table:
     return table.where(bar >= least).toArrow()
 
 
-def summed(docs: DataFrame, text: str, tokens: Callable, table: DataFrame, values: dict[str, str], carried: list, per_text: Callable | None = None, extra: str = "") -> DataFrame:
+def summed(docs: DataFrame, text: str, tokens: Callable, table: DataFrame, values: dict[str, str], carried: list, per_text: Callable | None = None, extra: str = "", also: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """A row for each text: the carried fields, what per_text tells (with the fields
     of extra), and the sums of the table's value columns (name: SQL type) over the
     text's tokens. tokens(texts) gives the code of each token, the distinct tokens
-    and the offsets by text; the table has every token."""
+    and the offsets by text; the table has every token. also(stored rows, sums) joins
+    more to the sums by row__."""
     names = list(values)
     top = head(table, HEAD)
     head_tokens = top.column("token").combine_chunks().cast(pa.large_binary())
@@ -99,4 +100,6 @@ def summed(docs: DataFrame, text: str, tokens: Callable, table: DataFrame, value
     rare = parts.select("row__", F.explode("rare__").alias("r")).select("row__", "r.token", "r.times")
     tail = rare.join(table.select("token", *names), "token").groupBy("row__").agg(*(F.sum(F.col(c) * F.col("times")).alias(f"{c}__") for c in names))
     out = parts.drop("rare__").join(tail, "row__", "left")
+    if also:
+        out = also(parts, out)
     return out.withColumns({c: (F.col(c) + F.coalesce(f"{c}__", F.lit(0))).cast(t) for c, t in values.items()}).drop("row__", *(f"{c}__" for c in names))

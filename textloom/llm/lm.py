@@ -1,4 +1,5 @@
-"""Language-model scores by context-tree weighting over bytes.
+"""Language-model scores by context-tree weighting over the bytes of single words: a
+smaller model than context_tree.py, whose trees are over whole texts.
 
 A text, lower-cased (A to Z) and closed by END, is cut into units: a word's bytes
 with the white space byte (or END) behind them, of at most CUT bytes. Each byte is
@@ -33,12 +34,12 @@ their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import blocks, frequent
@@ -257,13 +258,13 @@ def code_lengths(tokens: pa.Array, n: np.ndarray, begin: np.ndarray, kept: np.nd
     return out
 
 
-def _counted(docs: DataFrame) -> DataFrame:
+def _counted(docs: DataFrame, tokens: Callable = units) -> DataFrame:
     """(token, n, trained) of every distinct unit of docs (text__, held_out)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks.steps(batch, "text__", 2 * blocks.STEP_BYTES):
-                codes, distinct, ends = units(part.column("text__"))
+                codes, distinct, ends = tokens(part.column("text__"))
                 train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(ends))
                 n = np.bincount(codes, minlength=len(distinct))
                 trained = np.bincount(codes[train], minlength=len(distinct))
@@ -428,9 +429,3 @@ def score(docs: DataFrame, training: Column | str, text: str = "text") -> DataFr
         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
         (-F.col("score") * F.lit(float(np.log2(10))) / F.col("bytes__")).alias("code_length"),
     )
-
-
-def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
-    return score(docs, training)

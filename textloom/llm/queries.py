@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from textloom.llm import codes, decontam, language, lm, packing, pii, quality, resampling, sharding, simhash, substring, token_counts, url_rules
+from textloom.llm import codes, context_tree, decontam, language, packing, pii, quality, resampling, sharding, simhash, substring, token_counts, url_rules
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_decontamination": decontam.op4_decontamination,
-    "op5_lm_scoring": lm.op5_lm_scoring,
+    "op5_lm_scoring": context_tree.op5_lm_scoring,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_sharding": sharding.op7_sharding,
     "op8_url_filters": url_rules.op8_url_filters,
