@@ -8,7 +8,7 @@ stand START bytes. Every context that the corpus has is a node, at every depth.
 keeps a Krichevsky-Trofimov estimate; its weighted probability is half its own estimate
 and half the product of its children's (a deepest node's is its own estimate), and
 predictions mix all depths by the weights. DEPTH is the method's one parameter and the
-same for any corpus.
+same for any corpus; bytes further back are not seen.
 
 A byte behind its DEPTH last ones is a gram, and all that training texts tell the
 tree are counts of grams. They come from one grouped sum over all texts, with grams that
