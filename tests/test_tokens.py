@@ -1,10 +1,12 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import account as A
+from textloom.operators import merging
 from textloom.operators import tokens as K
 
 VOCABULARY = [*K.PRINTABLE, K.UNK, K.EOS]
@@ -244,3 +246,42 @@ def test_encoding_by_the_corpus_words(spark, head):
     got = sorted(((r.i, r["t.x"], r["a.b"], r.tokens) for r in out.collect()), key=str)
     assert got == sorted(((i, t, m, plain(t)) for i, t, m in rows), key=str)
     assert K.bpe_encode(df.limit(0), vocabulary, merges, text="t.x").count() == 0
+
+
+def test_bpe_learns_from_whole_texts(spark):
+    """Merges and the base alphabet also come from what is beyond any number of leading characters."""
+    t = ["ab " * 90_000, "zq " * 100_000]
+    vocabulary, merges = K.train_bpe(texts(spark, *t), 9, "i")
+    assert merges == [("z", "q"), ("a", "b")]
+    vocabulary, merges = K.train_bpe(texts(spark, *t), 5, "i")
+    assert (vocabulary[:3], merges) == ([" ", "q", "z"], [])
+
+
+@pytest.mark.parametrize("most", [0, 5, 40, 1000])
+def test_merges_do_not_depend_on_where_words_are(spark, monkeypatch, most):
+    """On the driver or in the stored table, in whatever blocks: as by sequential passes."""
+    seed, t = 1, []
+    for i in range(120):
+        w = []
+        for _ in range(5):
+            seed = seed * 48271 % 2147483647
+            w.append("".join("aabcé"[(seed >> k) % 5] for k in range(0, 2 + seed % 19, 2)))
+        t.append(" ".join(w) + (" aaaaaaa abab" + K.EOS + "ab " if i % 3 else ""))
+    t.append("abc" * 30 + " " + "aé" * 40)  # never on the driver
+    monkeypatch.setattr(merging, "HEAD", most)
+    monkeypatch.setattr(merging, "BLOCK", 200)
+    monkeypatch.setattr(merging, "STEPS", 5)
+    _, merges = K.train_bpe(texts(spark, *t), 60, "i")
+    assert merges == sequential(" ".join(t).replace(K.EOS, ""), 60) and len(merges) > 45
+
+
+def test_changes_of_a_merge_are_those_of_counting_anew():
+    for word in ("aaaaa", "aaaa", "aaa", "abab", "cababab", "abcab", "aabb"):
+        place = np.zeros(0x110000, np.uint16)
+        for i, c in enumerate("abc"):
+            place[ord(c)] = i + 1
+        for pair in ((1, 1), (1, 2), (2, 1)):
+            state = merging.State(*merging.cut([word, "x" + word + "xa"], np.array([3, 2 << 24, 0]), place))
+            counts = Counter(state.pairs())
+            merging.change(counts, (*pair, 4), state.merge(*pair, 4, 5))
+            assert {p: n for p, n in counts.items() if n} == state.pairs()

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
 
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from textloom.functions import text as X
 from textloom.functions.checks import positive
 from textloom.functions.schemas import OUTPUT_ROLES
+from textloom.operators import merging
 from textloom.operators.corpus import char_budget
 from textloom.operators.order import totals
 from textloom.sources import scratch
@@ -105,63 +106,34 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return at.groupBy("p.first", "p.second").agg(F.sum("n").alias("n"))
 
 
-#: Leading characters of a corpus that merges are trained on.
+#: Leading characters of a corpus whose counts rank the base alphabet in the query bpe_alphabet.
 SAMPLE_CHARACTERS = 250_000
 
 
-def train_bpe(docs: DataFrame, vocab_size: int, order: str, text: str = "text", sample_characters: int = SAMPLE_CHARACTERS) -> tuple[list[str], list[tuple[str, str]]]:
-    """Vocabulary and ranked merges, from the corpus's first sample_characters
-    characters in the given order. The base alphabet is ranked by their counts there;
-    all other characters of the corpus come behind, with count 0. Words are split at
-    characters outside it; the pieces and their counts, which the sample bounds, come
-    to the driver, which keeps pair counts up to date merge by merge."""
+def train_bpe(docs: DataFrame, vocab_size: int, order: str, text: str = "text", sample_characters: int | None = None, words: DataFrame | None = None) -> tuple[list[str], list[tuple[str, str]]]:
+    """Vocabulary and ranked merges, from all texts. The base alphabet is ranked by the
+    characters' counts; words are split at characters outside it, and merging.learn counts
+    all of them. Where the docs' bpe_words are stored already, `words` is these. Only if
+    sample_characters is given, counts come from as many characters, the first in the
+    given order; all other characters of the corpus come behind, with count 0."""
     if vocab_size < 3:
         raise ValueError("vocab_size must be at least 3")
-    if sample_characters < 1:
+    if sample_characters is not None and sample_characters < 1:
         raise ValueError("sample_characters must be positive")
-    sample = char_budget(docs.select(order, text), sample_characters, order, text)
-    known = character_counts(sample, text).unionByName(distinct_characters(docs, text).withColumn("n", F.lit(0).cast("long")))
-    ranked = known.groupBy("token").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "token").limit(min(256, vocab_size - 2)).collect()
-    docs = sample
-    vocabulary = {r.token for r in ranked}
-    if not vocabulary:
+    if sample_characters is not None:
+        words = bpe_words(char_budget(docs.select(order, text), sample_characters, order, text), text)
+    elif words is None:
+        words = bpe_words(docs, text)
+    words = words.where("trained > 0").select("word", F.col("trained").alias("n"))
+    known = letter_counts(words)
+    if sample_characters is not None:
+        known = known.unionByName(distinct_characters(docs, text).withColumn("n", F.lit(0).cast("long")))
+    ranked = known.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(min(256, vocab_size - 2)).collect()
+    if not ranked:
         raise ValueError("training text must not be empty")
-    other = "[^" + "".join(re.escape(c) for c in sorted(vocabulary)) + "]"
-    pieces = word_counts(docs, text).select(F.explode(F.split("word", other)).alias("piece"), "n").where(F.length("piece") > 1)
-    held = [(list(r.piece), r.n) for r in pieces.groupBy("piece").agg(F.sum("n").alias("n")).collect()]
-    counts: Counter = Counter()
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, (symbols, n) in enumerate(held):
-        for pair in zip(symbols, symbols[1:]):
-            counts[pair] += n
-            where[pair].add(i)
-    merges: list[tuple[str, str]] = []
-    while len(vocabulary) < vocab_size - 2:
-        best = max(((n, p) for p, n in counts.items() if n > 0 and p[0] + p[1] not in vocabulary), default=None)
-        if best is None:
-            break
-        pair = best[1]
-        token = pair[0] + pair[1]
-        for i in list(where[pair]):
-            symbols, n = held[i]
-            for p in zip(symbols, symbols[1:]):
-                counts[p] -= n
-                where[p].discard(i)
-            out, k = [], 0
-            while k < len(symbols):
-                if k + 1 < len(symbols) and (symbols[k], symbols[k + 1]) == pair:
-                    out.append(token)
-                    k += 2
-                else:
-                    out.append(symbols[k])
-                    k += 1
-            held[i] = (out, n)
-            for p in zip(out, out[1:]):
-                counts[p] += n
-                where[p].add(i)
-        vocabulary.add(token)
-        merges.append(pair)
-    return [*sorted(vocabulary), UNK, EOS], merges
+    alphabet = sorted(r.token for r in ranked)
+    merges = merging.learn(words, alphabet, vocab_size - 2)
+    return [*sorted({*alphabet, *(a + b for a, b in merges)}), UNK, EOS], merges
 
 
 def check_vocabulary(vocabulary: Sequence[str], merges: Sequence[tuple[str, str]] = ()) -> None:
@@ -234,20 +206,53 @@ def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
 HEAD_WORDS, TASK_WORDS = 1 << 17, 1 << 17
 
 
+WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
+
+
 def bpe_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) of the corpus's distinct words; a stored table."""
+    """(word, n, trained) of the corpus's distinct words; a stored table. n counts words
+    that end at end markers, as in encoding; trained is for training, which takes end
+    markers out first, and also has a row for each white-space character, with n 0."""
     scratch.shipped(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 found: Counter = Counter()
+                more: Counter = Counter()  # that training counts, besides
                 for t in whole.column("text").slice(at, 1024).to_pylist():
-                    found.update((t or "").replace(EOS, " ").split())
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+                    t = t or ""
+                    words = t.replace(EOS, " ").split()
+                    found.update(words)
+                    if EOS in t:
+                        more.subtract(words)
+                        t = t.replace(EOS, "")
+                        more.update(t.split())
+                    for c in WHITE:
+                        if k := t.count(c):
+                            more[c] += k
+                names = [*found, *(w for w in more if w not in found)]
+                n = [found[w] for w in names]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array([k + more[w] for w, k in zip(names, n)], pa.int64())], ["word", "n", "trained"])
+
+    rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word string, n long, trained long")
+    return scratch.table(rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained")))
+
+
+def letter_counts(words: DataFrame) -> DataFrame:
+    """(token, n): characters of words (word, n); a task gives each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(0x110000, np.int64)
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+            sums += merging.total(codes, np.repeat(batch.column("n").to_numpy(), [len(w) for w in words]), len(sums))
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(map(chr, found.tolist()), pa.string()), pa.array(sums[found])], ["token", "n"])
 
-    rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word string, n long")
-    return scratch.table(rows.groupBy("word").agg(F.sum("n").alias("n")))
+    scratch.shipped(words.sparkSession)
+    return words.select("word", "n").mapInArrow(run, "token string, n long")
 
 
 def _merged(words: DataFrame, ids: dict[str, int], ranks: dict[tuple[str, str], int]) -> DataFrame:
@@ -276,17 +281,17 @@ def _frequent(words: DataFrame, most: int) -> DataFrame:
     return short.where(bar >= least) if least is not None else short.limit(0)
 
 
-def bpe_encode(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tuple[str, str]], text: str = "text", name: str = "tokens", head: int = HEAD_WORDS) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: Sequence[str], merges: Sequence[tuple[str, str]], text: str = "text", name: str = "tokens", head: int = HEAD_WORDS, words: DataFrame | None = None) -> DataFrame:
     """docs with the token ids of each text (null for null). The corpus's most frequent
     words are merged once and looked up where the text is; other short ones are merged
     there, and the last TASK_WORDS of a task are remembered. Of words of more than
     HEAD_LENGTH characters, which cost more, a text names its distinct ones; the corpus's
     are merged once, joined by word and put into their places. Columns of any name are
-    carried."""
+    carried. Where the docs' bpe_words are stored already, `words` is these."""
     ids = {t: i for i, t in enumerate(vocabulary)}
     unk, end = ids[UNK], ids[EOS]
     ranks = {p: i for i, p in enumerate(merges)}
-    words = bpe_words(docs, text)
+    words = (bpe_words(docs, text) if words is None else words).where("n > 0")
     table = {r.word: r.ids for r in _merged(_frequent(words, head), ids, ranks).collect()}
     long = words.where(F.length("word") > HEAD_LENGTH)
     all_known = long.isEmpty()

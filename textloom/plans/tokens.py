@@ -167,6 +167,7 @@ def bpe_merges(spark, sf):
 
 @query()
 def bpe_encode_len(spark, sf):
-    vocabulary, merges = K.train_bpe(docs(spark, sf), 400, "doc_id")
-    d = K.bpe_encode(docs(spark, sf).select("doc_id", "text"), vocabulary, merges)
+    words = K.bpe_words(docs(spark, sf))
+    vocabulary, merges = K.train_bpe(docs(spark, sf), 400, "doc_id", words=words)
+    d = K.bpe_encode(docs(spark, sf).select("doc_id", "text"), vocabulary, merges, words=words)
     return d.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))

@@ -31,6 +31,12 @@ def folder(spark: SparkSession) -> str:
     return system.makeQualified(path).toString()
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    """Deletes a folder that `folder` named."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(df: DataFrame) -> DataFrame:
     """df, written to a folder of its own and read back: what it is made of is read
     once, however often the table is."""
